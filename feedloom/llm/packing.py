@@ -21,7 +21,7 @@ from feedloom.llm.common import chunks, text_of
 SEQUENCE = 2048
 END_ID = 1
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 _TRAILING = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 
 
