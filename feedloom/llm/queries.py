@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import Workspace
 from feedloom.llm.exact_dedup import exact_dedup
+from feedloom.llm.ngram_jaccard import jaccard_components
 from feedloom.llm.packing import pack
 from feedloom.llm.warc import read_records, write_archives
 
@@ -30,6 +31,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(stored, ["refers_to", "sha1"], "left").select("page_id", F.when(F.col("record_type") == "revisit", F.col("stored")).otherwise(F.col("n")).alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_packing": op8_packing,
 }
