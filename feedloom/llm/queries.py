@@ -12,6 +12,7 @@ from feedloom.llm.common import Workspace
 from feedloom.llm.exact_dedup import exact_dedup
 from feedloom.llm.ngram_jaccard import jaccard_components
 from feedloom.llm.packing import pack
+from feedloom.llm.suffix_dedup import remove_repeats
 from feedloom.llm.warc import read_records, write_archives
 
 
@@ -48,11 +49,19 @@ def packed(docs: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of a repeated 400-byte string goes, the first one too."""
+    out = remove_repeats(table(spark, sf_dir, "documents"), keep_first=False)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_packing": op8_packing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
