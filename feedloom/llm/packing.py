@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ SEQUENCE = 2048
 END_ID = 1
 #: Distinct words whose ids a worker remembers.
 CACHE_WORDS = 1_000_000
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 _TRAILING = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 
 
@@ -48,28 +50,44 @@ class WordTokenizer:
 
     def forget(self) -> None:
         self.units: dict[bytes, list[int]] = {}
-        self.pool, self.sizes, self.code = [], [], _Codes(self)
+        self.code = _Codes(self)
+        self.fresh: list[list[int]] = []  # ids of words met since the last call ended
+        self.pool, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.filled = self.known = 0
+
+    def _keep_fresh(self) -> None:
+        sizes = np.fromiter(map(len, self.fresh), np.int64, len(self.fresh))
+        n, total = len(sizes), int(sizes.sum())
+        if self.filled + total > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.filled], np.zeros(self.filled + 2 * total, np.uint32)])
+        if self.known + n > len(self.sizes):
+            self.starts, self.sizes = (np.concatenate([x[: self.known], np.zeros(self.known + 2 * n, np.int64)]) for x in (self.starts, self.sizes))
+        self.pool[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(self.fresh), np.uint32, total)
+        self.sizes[self.known : self.known + n] = sizes
+        self.starts[self.known : self.known + n] = self.filled + np.cumsum(sizes) - sizes
+        self.filled, self.known, self.fresh = self.filled + total, self.known + n, []
 
     def unit(self, u: bytes) -> list[int]:
         if (got := self.units.get(u)) is None:
-            s = unicodedata.normalize("NFC", u.decode("utf-8", "replace"))
-            s = s.lower() if s and max(s) < "ƀ" else ""
-            if s.isalpha():
-                got = [t.id for t in self.model.tokenize(s if s.isascii() else "".join(map(self.letters.__getitem__, s.encode())))]
+            if u.isascii():
+                s = u.decode() if u.isalpha() else ""
             else:
-                got = self.whole.encode(u.decode("utf-8", "replace"), add_special_tokens=False).ids
+                s = unicodedata.normalize("NFC", u.decode("utf-8", "replace"))
+                s = s.lower() if max(s) < "ƀ" else ""
+                s = "".join(map(self.letters.__getitem__, s.encode())) if s.isalpha() else ""
+            got = [t.id for t in self.model.tokenize(s)] if s else self.whole.encode(u.decode("utf-8", "replace"), add_special_tokens=False).ids
             self.units[u] = got
         return got
 
     def word(self, w: bytes) -> list[int]:
         core = w.rstrip(_TRAILING)
-        if core and len(core) < len(w) and core.decode("utf-8", "replace")[-1].isalpha():
+        if core and len(core) < len(w) and (core[-1] in _LETTERS or core.decode("utf-8", "replace")[-1].isalpha()):
             return self.unit(core) + self.unit(w[len(core) :])
         return self.unit(w)
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text's with END_ID behind them, and the texts' offsets."""
-        if len(self.sizes) > CACHE_WORDS:
+        if self.known > CACHE_WORDS:
             self.forget()
         code = self.code
         end = code[b" "]  # no word has a space: it stands for the end
@@ -81,18 +99,11 @@ class WordTokenizer:
             flat += map(code.__getitem__, t.lower().split()) if b"<|" not in t else [code[b" " + t]]
             flat.append(end)
             counts.append(len(flat) - before)
+        self._keep_fresh()
         codes = np.array(flat, np.int64)
-        sizes = np.array(self.sizes, np.int64)
-        place = np.zeros(len(sizes) + 1, np.int64)
-        np.cumsum(sizes, out=place[1:])
-        # only the ids of this call's words are laid out
-        used, codes = np.unique(codes, return_inverse=True)
-        pool = np.fromiter((i for u in used.tolist() for i in self.pool[u]), np.uint32)
-        size = sizes[used]
-        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-        each = size[codes]
+        each = self.sizes[codes]
         total = np.concatenate([[0], np.cumsum(each)])
-        out = pool[np.repeat(starts[codes] - total[:-1], each) + np.arange(total[-1])]
+        out = self.pool[np.repeat(self.starts[codes] - total[:-1], each) + np.arange(total[-1])]
         return out, total[np.concatenate([[0], np.cumsum(counts)])]
 
 
@@ -105,9 +116,8 @@ class _Codes(dict):
             ids = self.owner.word(w)
         else:
             ids = self.owner.whole.encode(w[1:].decode(), add_special_tokens=False).ids if len(w) > 1 else [END_ID]
-        self[w] = n = len(self.owner.sizes)
-        self.owner.pool.append(ids)
-        self.owner.sizes.append(len(ids))
+        self[w] = n = len(self)
+        self.owner.fresh.append(ids)
         return n
 
 
