@@ -13,6 +13,7 @@ from feedloom.llm.exact_dedup import exact_dedup
 from feedloom.llm.ngram_jaccard import jaccard_components
 from feedloom.llm.packing import pack
 from feedloom.llm.suffix_dedup import remove_repeats
+from feedloom.llm.toxicity import labelled_texts, toxicity_scores, train
 from feedloom.llm.warc import read_records, write_archives
 
 
@@ -40,6 +41,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(labelled_texts(docs, table(spark, sf_dir, "labels")))
+    return toxicity_scores(docs, model)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -60,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
