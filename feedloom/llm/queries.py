@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import Workspace
 from feedloom.llm.exact_dedup import exact_dedup
 from feedloom.llm.ngram_jaccard import jaccard_components
+from feedloom.llm.ngram_lm import score_texts
 from feedloom.llm.packing import pack
 from feedloom.llm.suffix_dedup import remove_repeats
 from feedloom.llm.toxicity import labelled_texts, toxicity_scores, train
@@ -21,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the pages' archives, reads every record back through the index, and resolves revisits."""
     pages, space = table(spark, sf_dir, "pages"), Workspace(spark)
@@ -64,6 +69,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_lm": op1_ngram_lm,
     "op3_warc": op3_warc,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_exact_dedup": op6_exact_dedup,
