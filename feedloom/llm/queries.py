@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import Workspace
+from feedloom.llm.decontaminate import contaminated
 from feedloom.llm.exact_dedup import exact_dedup
+from feedloom.llm.licences import CUES, GAP, RULES, licence_hits, sentence_table
 from feedloom.llm.ngram_jaccard import jaccard_components
 from feedloom.llm.ngram_lm import score_texts
 from feedloom.llm.packing import pack
+from feedloom.llm.preference import conversations, format_pairs, swapped_answers
 from feedloom.llm.suffix_dedup import remove_repeats
 from feedloom.llm.toxicity import labelled_texts, toxicity_scores, train
 from feedloom.llm.warc import read_records, write_archives
@@ -26,6 +29,11 @@ def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds; documents without any have no row."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("fp")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the pages' archives, reads every record back through the index, and resolves revisits."""
     pages, space = table(spark, sf_dir, "pages"), Workspace(spark)
@@ -38,6 +46,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(stored, ["refers_to", "sha1"], "left").select("page_id", F.when(F.col("record_type") == "revisit", F.col("stored")).otherwise(F.col("n")).alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op4_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no preferences: the last answers of neighbouring conversations are swapped to get rejected ones."""
+    pairs = format_pairs(swapped_answers(conversations(table(spark, sf_dir, "conversations"))))
+    masked = lambda c: F.aggregate(c, F.lit(0), lambda n, s: n + s["stop"] - s["start"]).cast("bigint")
+    return pairs.select("conv_id", F.col("prompt_turns").cast("bigint").alias("prompt_turns"), *(F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen_text", "rejected_text")), masked("chosen_mask").alias("chosen_masked"), masked("rejected_mask").alias("rejected_masked"), "usable")
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -61,6 +76,10 @@ def packed(docs: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_hits(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of a repeated 400-byte string goes, the first one too."""
     out = remove_repeats(table(spark, sf_dir, "documents"), keep_first=False)
@@ -70,15 +89,55 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_lm": op1_ngram_lm,
+    "op2_decontaminate": op2_decontaminate,
     "op3_warc": op3_warc,
+    "op4_preference": op4_preference,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
+    "op9_licences": op9_licences,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_preference": """
+        WITH t AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS turns FROM conversations GROUP BY conv_id),
+        l AS (SELECT *, list_max([i FOR i IN range(1, len(turns) + 1) IF turns[i].role = 'assistant']) AS last FROM t),
+        p AS (SELECT a.conv_id, a.turns[1:a.last] AS c, a.last,
+                     CASE WHEN b.last IS NULL THEN a.turns[1:a.last - 1] ELSE list_append(a.turns[1:a.last - 1], b.turns[b.last]) END AS r
+              FROM l a LEFT JOIN l b ON b.conv_id = xor(a.conv_id, 1) AND b.last IS NOT NULL WHERE a.last IS NOT NULL),
+        n AS (SELECT *, CASE WHEN c = r THEN last ELSE last - 1 END AS k FROM p),
+        s AS (SELECT conv_id, k, [CASE WHEN i <= k THEN c[i] END FOR i IN range(1, k + 1)] AS pr, c[k + 1:] AS cc, r[k + 1:] AS rr FROM n),
+        x AS (SELECT conv_id, k, cc, rr,
+                     coalesce(array_to_string(['<|' || e.role || '|>' || chr(10) || e.text || '<|end|>' || chr(10) FOR e IN pr], ''), '') AS a,
+                     coalesce(array_to_string(['<|' || e.role || '|>' || chr(10) || e.text || '<|end|>' || chr(10) FOR e IN cc], ''), '') AS b,
+                     coalesce(array_to_string(['<|' || e.role || '|>' || chr(10) || e.text || '<|end|>' || chr(10) FOR e IN rr], ''), '') AS d FROM s)
+        SELECT conv_id, k AS prompt_turns, sha256(a) AS prompt_sha256, sha256(b) AS chosen_text_sha256, sha256(d) AS rejected_text_sha256,
+               CAST(coalesce(list_sum([length(e.text) + 8 FOR e IN cc IF e.role = 'assistant']), 0) AS BIGINT) AS chosen_masked,
+               CAST(coalesce(list_sum([length(e.text) + 8 FOR e IN rr IF e.role = 'assistant']), 0) AS BIGINT) AS rejected_masked,
+               len([1 FOR e IN cc IF e.role = 'assistant']) > 0 AND len([1 FOR e IN rr IF e.role = 'assistant']) > 0 AND b <> d AS usable
+        FROM x
+    """,
+    "op9_licences": f"""
+        WITH known(sentence, sid) AS (VALUES {_values(sentence_table())}),
+        rules(licence, rule, pattern, n_sentences) AS (VALUES {_values([(a, b, ">" + ">".join(c) + ">", len(c)) for a, b, c in RULES])}),
+        docs AS (SELECT doc_id, text, row_number() OVER () AS rn FROM documents WHERE regexp_matches(lower(text), '{CUES}')),
+        cuts AS (SELECT rn, doc_id, 0 AS way, string_split_regex(regexp_replace(text, '\\s+', ' ', 'g'), '[.!?;]+(?: |$)') AS p FROM docs
+                 UNION ALL SELECT rn, doc_id, 1, string_split_regex(text, '[\\r\\n]+') FROM docs),
+        parts AS (SELECT rn, doc_id, way, unnest(p) AS part, generate_subscripts(p, 1) AS place FROM cuts),
+        hits AS (SELECT DISTINCT rn, doc_id, way, place, sid FROM parts JOIN known ON known.sentence = trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'))),
+        marked AS (SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY rn, way ORDER BY place, sid) > {GAP + 1} THEN '|>' ELSE '' END || sid AS m FROM hits),
+        lines AS (SELECT rn, doc_id, '>' || string_agg(m, '>' ORDER BY place, sid) || '>' AS line FROM marked GROUP BY rn, doc_id, way),
+        found AS (SELECT DISTINCT rn, doc_id, licence, rule, pattern, n_sentences FROM lines JOIN rules ON contains(line, pattern))
+        SELECT DISTINCT doc_id, licence, rule, n_sentences FROM found a
+        WHERE NOT EXISTS (SELECT 1 FROM found b WHERE b.rn = a.rn AND b.n_sentences > a.n_sentences AND contains(b.pattern, a.pattern))
+    """,
     "op3_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
         g AS (SELECT *, max(page_id) OVER (PARTITION BY d, n) AS top FROM p)

@@ -11,8 +11,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,9 +156,9 @@ def _scores(model: Model) -> Callable:
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = _present(model.features)
         for batch in chunks(batches, "body"):
-            data, at = string_buffers(batch.column(batch.schema.get_field_index("body")))
+            data, at = string_buffers(batch.column(2))
             score = [model.score(present(data[at[i] : at[i + 1]])) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], ["id", "held_out", "score"])
 
     return scores
 
@@ -178,33 +178,16 @@ def toxicity_scores(docs: DataFrame, model: Model, id_column: str = "doc_id", te
     """One row per row of docs: id, held_out, score (0 to 1), predicted (1 from THRESHOLD on). Null texts are empty ones."""
     out = docs.select(F.col(id_column).alias("id"), held_out(id_column).alias("held_out"), text_of(text_column).alias("body"))
     kind = docs.schema[id_column].dataType.simpleString()
-    scored = out.mapInArrow(_drop_body(_scores(model)), f"id {kind}, held_out boolean, score double")
+    scored = out.mapInArrow(_scores(model), f"id {kind}, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_column), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def _drop_body(scores: Callable) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scores(batches):
-            yield batch.select(["id", "held_out", "score"])
-
-    return run
-
-
 def drop_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """The rows of docs whose text the model does not predict toxic, all columns as they are."""
-    names = docs.columns
-    scored = docs.select("*", text_of(text_column).alias("body")) if "body" not in names else docs.withColumn("__own", F.col("body")).withColumn("body", text_of(text_column))
-    body = scored.columns.index("body")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _scores(model)(batches):
-            batch = batch.filter(pa.compute.less(batch.column(batch.num_columns - 1), THRESHOLD))
-            own = [batch.column(i) for i in range(len(scored.columns))]
-            if "__own" in scored.columns:
-                own[body] = own[-1]
-                own.pop()
-            else:
-                own.pop()
-            yield pa.RecordBatch.from_arrays(own, names)
 
-    return scored.mapInArrow(keep, docs.schema)
+    @F.pandas_udf("double")
+    def score(bodies: pd.Series) -> pd.Series:
+        present = _present(model.features)
+        return bodies.map(lambda b: model.score(present(np.frombuffer(b.encode(), np.uint8)))).astype("float64")
+
+    return docs.where(score(text_of(text_column)) < THRESHOLD)
