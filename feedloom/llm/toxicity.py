@@ -99,7 +99,7 @@ def _vectors(chosen: np.ndarray) -> Callable:
         for batch in chunks(batches, "body"):
             data, at = string_buffers(batch.column(0))
             found = [present(data[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["label", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["label", "draw", "found"])
 
     return vectors
 
@@ -144,10 +144,10 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     gain = sum(x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9)) for x, e in ((toxic, expected), (clean, n - expected)))
     chosen = np.sort(np.argsort(-gain, kind="stable")[:CHOSEN])
     rate = train_rows / max(1, int(rows.sum()))
-    sample = labelled.select("body", "label")
+    sample = labelled.select("body", "label", F.xxhash64("body", F.lit(7)).alias("draw"))
     if rate < 1:  # by content, so that it is the same sample each time
-        sample = sample.where(F.pmod(F.xxhash64("body", F.lit(7)), F.lit(1_000_000)) < int(rate * 1_000_000)).orderBy(F.xxhash64("body")).limit(train_rows)
-    got = sample.mapInArrow(_vectors(chosen), "label int, found array<int>").collect()
+        sample = sample.where(F.pmod("draw", F.lit(1_000_000)) < int(rate * 1_000_000))
+    got = sample.mapInArrow(_vectors(chosen), "label int, draw bigint, found array<int>").orderBy("draw").limit(train_rows).collect()
     weights, bias = fit_weights([np.array(r["found"], np.int64) for r in got], np.array([r["label"] for r in got], float), ratio[chosen])
     return Model(chosen, ratio[chosen], weights, bias)
 
