@@ -7,8 +7,8 @@ a sequence of its own, so no sequence crosses documents and none has padding; eq
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from feedloom.llm.common import chunks, text_of
 SEQUENCE = 2048
 END_ID = 1
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 _TRAILING = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 
@@ -49,25 +49,28 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.units: dict[bytes, list[int]] = {}
+        self.units: dict[bytes, bytes] = {}  # 32-bit ids packed into bytes: a tenth of a list's memory
         self.code = _Codes(self)
-        self.fresh: list[list[int]] = []  # ids of words met since the last call ended
+        self.fresh: list[bytes] = []  # ids of words met since the last call ended
         self.pool, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.filled = self.known = 0
 
     def _keep_fresh(self) -> None:
-        sizes = np.fromiter(map(len, self.fresh), np.int64, len(self.fresh))
+        sizes = np.fromiter(map(len, self.fresh), np.int64, len(self.fresh)) // 4
         n, total = len(sizes), int(sizes.sum())
         if self.filled + total > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.filled], np.zeros(self.filled + 2 * total, np.uint32)])
+            self.pool = np.concatenate([self.pool[: self.filled], np.zeros(self.filled // 2 + 2 * total, np.uint32)])
         if self.known + n > len(self.sizes):
-            self.starts, self.sizes = (np.concatenate([x[: self.known], np.zeros(self.known + 2 * n, np.int64)]) for x in (self.starts, self.sizes))
-        self.pool[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(self.fresh), np.uint32, total)
+            self.starts, self.sizes = (np.concatenate([x[: self.known], np.zeros(self.known // 2 + 2 * n, np.int64)]) for x in (self.starts, self.sizes))
+        self.pool[self.filled : self.filled + total] = np.frombuffer(b"".join(self.fresh), np.uint32)
         self.sizes[self.known : self.known + n] = sizes
         self.starts[self.known : self.known + n] = self.filled + np.cumsum(sizes) - sizes
         self.filled, self.known, self.fresh = self.filled + total, self.known + n, []
 
-    def unit(self, u: bytes) -> list[int]:
+    def _whole_ids(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def unit(self, u: bytes) -> bytes:
         if (got := self.units.get(u)) is None:
             if u.isascii():
                 s = u.decode() if u.isalpha() else ""
@@ -75,11 +78,11 @@ class WordTokenizer:
                 s = unicodedata.normalize("NFC", u.decode("utf-8", "replace"))
                 s = s.lower() if max(s) < "ƀ" else ""
                 s = "".join(map(self.letters.__getitem__, s.encode())) if s.isalpha() else ""
-            got = [t.id for t in self.model.tokenize(s)] if s else self.whole.encode(u.decode("utf-8", "replace"), add_special_tokens=False).ids
+            got = array("I", [t.id for t in self.model.tokenize(s)]).tobytes() if s else self._whole_ids(u.decode("utf-8", "replace"))
             self.units[u] = got
         return got
 
-    def word(self, w: bytes) -> list[int]:
+    def word(self, w: bytes) -> bytes:
         core = w.rstrip(_TRAILING)
         if core and len(core) < len(w) and (core[-1] in _LETTERS or core.decode("utf-8", "replace")[-1].isalpha()):
             return self.unit(core) + self.unit(w[len(core) :])
@@ -115,7 +118,7 @@ class _Codes(dict):
         if w[0] != 32:
             ids = self.owner.word(w)
         else:
-            ids = self.owner.whole.encode(w[1:].decode(), add_special_tokens=False).ids if len(w) > 1 else [END_ID]
+            ids = self.owner._whole_ids(w[1:].decode()) if len(w) > 1 else END_ID.to_bytes(4, "little")
         self[w] = n = len(self)
         self.owner.fresh.append(ids)
         return n
