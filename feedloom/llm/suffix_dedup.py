@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import _GOLD, Rolling, Workspace, chunks, mix, string_buffers, text_of
+from feedloom.llm.common import _GOLD, Rolling, Workspace, chunks, mix, small, string_buffers, text_of
 
 LENGTH = 400
 GRAM = 100
 #: Contexts of one k-gram (up to 2 * LENGTH bytes each) that may meet in one task.
 GROUP = 10_000
+#: Repeated k-grams (16 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _BLOCK = 2 << 20
 _ANCHORS = "id bigint, fp bigint, lo bigint, hi bigint, at bigint, gram bigint, around bigint"
 _SPANS = "id bigint, fp bigint, start bigint, stop bigint"
@@ -196,12 +198,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     space = Workspace(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("bigint").alias("true_id"), F.coalesce(F.col(id_column).cast("bigint"), F.lit(-(1 << 63))).alias("id"), text_of(text_column).alias("body")).withColumn("fp", F.xxhash64("body"))
     found = space.write(rows.where(F.octet_length("body") >= length).select("id", "fp", "body").mapInArrow(_anchor_rows(length, gram), _ANCHORS), "anchors")
-    often = found.groupBy("gram").agg(F.count("*").alias("total")).where("total > 1").select("gram")
-    again = space.write(found.join(often, "gram"), "again")
+    # written first: a join against a table can split a frequent k-gram, one against an aggregation cannot
+    often = space.write(found.groupBy("gram").agg(F.count("*").alias("total")).where("total > 1").select("gram"), "often")
+    again = space.write(found.join(small(often, BROADCAST_ROWS), "gram"), "again")
     space.drop("anchors")
     contexts = again.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "lo", "hi", "at")).alias("first"))
     contexts = space.write(contexts.select("gram", "around", "n", "first.*"), "contexts")
-    several = contexts.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = small(space.write(contexts.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several"), BROADCAST_ROWS)
     # equal surroundings: all windows have copies
     copies = contexts.where("n > 1").select("gram", "around", F.struct("id", "fp", "lo").alias("first"))
     settled = again.join(copies, ["gram", "around"])
