@@ -1,13 +1,10 @@
-"""Shared pieces of the training-data operators: the shared folder, tables written to it, and word hashing.
+"""Shared pieces of the training-data operators: tables in the shared folder, text buffers and hashing.
 
 All hashing here is 64-bit and depends on content alone, so every executor agrees on it.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.operators.graph import Workspace, components, shared_folder
+
+__all__ = ["Rolling", "Workspace", "chunks", "components", "mix", "randoms", "shards", "shared_folder", "shingles", "small", "string_buffers", "text_of", "word_hashes", "words"]
+
 #: Bytes of text that a task turns into arrays at a time (a single longer text is taken whole).
 CHUNK_BYTES = 1 << 19
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -24,33 +25,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; where that is unset (tests), under a folder of this application."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"feedloom-{spark.sparkContext.applicationId}")
-    return f"{base.rstrip('/')}/feedloom-{uuid.uuid4().hex}"
-
-
-class Workspace:
-    """Tables that one query writes to the shared folder, so that lost executors never recompute what is finished."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, shared_folder(spark)
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def folder(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def drop(self, *names: str) -> None:
-        """Removes tables that nothing reads any more."""
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def shards(spark: SparkSession) -> int:
     """Pieces to deal an index over: as many as the session shuffles to, so they grow with the cluster's settings."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -187,32 +161,6 @@ def shingles(hashes: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, n
     return rolled[keep], before[row]
 
 
-def components(spark: SparkSession, space: Workspace, links: DataFrame, name: str = "components", rounds: int = 40) -> DataFrame:
-    """Connected components of links (a, b): (node, component), component being the smallest node.
-
-    Alternates the large-star and small-star steps; each round is a map-side-combined minimum and a join, written to
-    the shared folder. Nodes without links are not in the result.
-    """
-    edges = space.write(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
-    seen, last = None, f"{name}-0"
-    for k in range(1, rounds + 1):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = space.write(small, f"{name}-{k}")
-        space.drop(last)
-        last = f"{name}-{k}"
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, to be broadcast if it has at most `rows` rows; beyond that Spark's own choice of join stands."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
