@@ -44,3 +44,10 @@ def prune(registry: DataFrame, now: int, strikes: int = v.STRIKES, stale_days: i
     """(id, action): disable at too many strikes, flag what has long not answered. Disabling sets no date here."""
     action = F.when(F.col("enabled") & (F.col("strikes") >= strikes), "disable").when(F.col("enabled") & (now - F.col("last_ok_s") > stale_days * v.DAY), "flag-stale")
     return registry.select("id", action.alias("action")).where("action is not null")
+
+
+def rediscovered(registry: DataFrame, found: DataFrame) -> DataFrame:
+    """Disabled sources for which a new address (id, url) was found are active again; the others stay as they are."""
+    rows = registry.join(found, "id", "left")
+    hit = (F.col("status") == "disabled") & F.col("url").isNotNull()
+    return rows.withColumns({"status": F.when(hit, "active").otherwise(F.col("status")), "enabled": F.when(hit, True).otherwise(F.col("enabled")), "strikes": F.when(hit, 0).otherwise(F.col("strikes")), "disabled_s": F.when(~hit, F.col("disabled_s"))})
