@@ -16,22 +16,28 @@ from feedloom.operators.graph import Workspace, components
 def title_sessions(items: DataFrame, hours: int = v.SAME_TITLE_HOURS) -> DataFrame:
     """Adds key (normalised title) and session: items of one title whose gaps are at most `hours` share one.
 
-    The closure of "same title and at most `hours` apart" is a split of the sorted times at larger gaps, so one window
-    does what pairs would. Blank titles have no session.
+    The closure of "same title and at most `hours` apart" is a split of the sorted times at larger gaps. Items of one
+    title in one time slot of that width are never split, so the slots' first and last times, summed before the
+    shuffle, are all that has to be sorted, however common a title is. Blank titles and null times have no session.
     """
-    keyed = items.withColumn("key", text.normalise_title(F.col("title")))
-    w = Window.partitionBy("key").orderBy("published_s", "id")
-    far = (F.col("published_s") - F.lag("published_s").over(w)) > hours * 3600
-    return keyed.withColumn("session", F.when(F.col("key") != "", F.sum(F.coalesce(far.cast("int"), F.lit(0))).over(w)))
+    width = hours * 3600
+    keyed = items.withColumns({"key": text.normalise_title(F.col("title")), "slot": F.floor(F.col("published_s") / width)})
+    slots = keyed.where("key <> '' and slot is not null").groupBy("key", "slot").agg(F.min("published_s").alias("lo"), F.max("published_s").alias("hi"))
+    w = Window.partitionBy("key").orderBy("slot")
+    far = F.coalesce((F.col("lo") - F.lag("hi").over(w) > width).cast("int"), F.lit(0))
+    numbered = slots.withColumn("far", far).withColumn("session", F.sum("far").over(w)).select("key", "slot", "session")
+    # written first, so that the join can split a title that very many items share
+    numbered = Workspace(items.sparkSession).write(numbered, "sessions")
+    return keyed.join(numbered, ["key", "slot"], "left").drop("slot")
 
 
 def duplicate_groups(items: DataFrame) -> DataFrame:
     """Adds group, the least ord of the items connected by title sessions or by URL."""
     space = Workspace(items.sparkSession)
-    sessions = title_sessions(items).select("ord", "url", "key", "session")
-    by_title = Window.partitionBy("key", "session")
-    by_url = Window.partitionBy("url")
-    links = sessions.where("session is not null").select(F.col("ord").alias("a"), F.min("ord").over(by_title).alias("b")).union(sessions.where("url is not null").select(F.col("ord").alias("a"), F.min("ord").over(by_url).alias("b")))
+    sessions = space.write(title_sessions(items).select("ord", "url", "key", "session"), "keyed")
+    titles = space.write(sessions.where("session is not null").groupBy("key", "session").agg(F.min("ord").alias("b")), "titles")
+    urls = space.write(sessions.where("url is not null").groupBy("url").agg(F.min("ord").alias("b")), "urls")
+    links = sessions.join(titles, ["key", "session"]).select(F.col("ord").alias("a"), "b").union(sessions.join(urls, "url").select(F.col("ord").alias("a"), "b"))
     named = space.write(components(items.sparkSession, space, links), "named")
     return items.join(named.withColumnRenamed("node", "ord"), "ord", "left").withColumn("group", F.coalesce("component", "ord")).drop("component")
 
