@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from feedloom.operators.graph import Workspace, components, shared_folder
 
-__all__ = ["Rolling", "Workspace", "chunks", "components", "mix", "randoms", "shards", "shared_folder", "shingles", "small", "string_buffers", "text_of", "word_hashes", "words"]
+__all__ = ["Rolling", "Workspace", "add_up", "chunks", "components", "mix", "randoms", "shards", "shared_folder", "shingles", "small", "store_of", "string_buffers", "text_of", "word_hashes", "words"]
 
 #: Bytes of text that a task turns into arrays at a time (a single longer text is taken whole).
 CHUNK_BYTES = 1 << 19
@@ -161,6 +161,22 @@ def shingles(hashes: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, n
     return rolled[keep], before[row]
 
 
+def add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    k, c = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts])
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(c, first) if len(first) else c
+
+
+def store_of(uri: str):
+    """The file system that a task reaches a folder of the shared folder by, and the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, to be broadcast if it has at most `rows` rows; beyond that Spark's own choice of join stands."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

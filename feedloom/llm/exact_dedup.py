@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import Workspace, shards, small, text_of
+from feedloom.llm.common import Workspace, add_up, shards, small, text_of
 
 #: Bits of a fingerprint that name its home slot; the other bits are the remainder.
 QUOTIENT_BITS = 20
@@ -55,15 +55,6 @@ class CountingQuotientFilter:
         return cls.build(*add_up([f.fingerprints(bits) for f in filters], [f.counts for f in filters]), low, bits)
 
 
-def add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their counts."""
-    k, c = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts])
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(c, first) if len(first) else c
-
-
 def _filters(n_shards: int, bits: int) -> Callable:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import Workspace, chunks, mix, shards, string_buffers, text_of, word_hashes
+from feedloom.llm.common import Workspace, add_up, chunks, mix, shards, store_of, string_buffers, text_of, word_hashes
 
 #: The end of a text is a word of its own.
 END = mix(np.array([0x656E64], np.uint64))[0]
@@ -47,15 +47,9 @@ def _unpack(b: bytes, kind: str) -> np.ndarray:
 _COPIES: dict[str, str] = {}
 
 
-def _store(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def save(folder: str, arrays: dict[str, np.ndarray]) -> str:
     """Writes the arrays under a new name (each attempt of a task has its own) and returns it."""
-    store, path = _store(folder)
+    store, path = store_of(folder)
     store.create_dir(path, recursive=True)
     name = uuid.uuid4().hex
     for kind, x in arrays.items():
@@ -68,7 +62,7 @@ def mapped(folder: str, name: str, kind: str, dtype: str) -> np.ndarray:
     """A saved array, memory-mapped; from a store without local files, by way of a copy that goes with the worker."""
     from pyarrow import fs
 
-    store, path = _store(folder)
+    store, path = store_of(folder)
     file = f"{path}/{name}.{kind}"
     if not isinstance(store, fs.LocalFileSystem):
         if "" not in _COPIES:
@@ -85,14 +79,6 @@ def mapped(folder: str, name: str, kind: str, dtype: str) -> np.ndarray:
 # counting -----------------------------------------------------------------------------------------------------------
 
 
-def _add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts])
-    order = np.argsort(k)
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(c, first) if len(first) else c
-
-
 def _piece_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
@@ -119,13 +105,13 @@ class _Gather:
         self.counts.append(c)
         self.size += len(k)
         if self.size > 2 * _HELD:
-            k, c = _add_up(self.keys, self.counts)
+            k, c = add_up(self.keys, self.counts)
             self.keys, self.counts, self.size = [k], [c], len(k)
             if self.size > _HELD:
                 yield from self.flush()
 
     def flush(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        k, c = _add_up(self.keys, self.counts)
+        k, c = add_up(self.keys, self.counts)
         self.keys, self.counts, self.size = [], [], 0
         piece = self.piece(k)
         order = np.argsort(piece, kind="stable")
@@ -151,7 +137,7 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         n = len(both) // 2
         keys.append(np.cumsum(both[:n], dtype=np.uint32).astype(np.uint64) << np.uint64(32) | both[n:])
         counts.append(_unpack(c, "<u4").astype(np.int64))
-    return _add_up(keys, counts)
+    return add_up(keys, counts)
 
 
 def _count_words(n: int) -> Callable:

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import Workspace, chunks, small, text_of
+from feedloom.llm.common import Workspace, chunks, small, store_of, text_of
 
 #: Payloads below this size are stored again instead of being referred to.
 REVISIT_BYTES = 1000
@@ -49,15 +49,9 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
-def _store(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def _write(folder: str) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = _store(folder)
+        store, path = store_of(folder)
         store.create_dir(path, recursive=True)
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.warc.gz"  # each attempt has its own file
         out, at = None, 0
@@ -101,7 +95,7 @@ def write_archives(pages: DataFrame, space: Workspace, name: str = "warc", id_co
 
 def _read(folder: str) -> Callable:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = _store(folder)
+        store, path = store_of(folder)
 
         def runs() -> Iterator[list[tuple[str, int, int]]]:
             run: list[tuple[str, int, int]] = []
