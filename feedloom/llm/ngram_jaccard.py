@@ -163,7 +163,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     named = space.write(components(spark, space, links.union(more), "all"), "components")
     # nodes without an id of their own lend no name
     nodes = texts.join(named, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("group"))
-    names = nodes.groupBy("group").agg(F.min("least").alias("component_id"))
+    # written first: a join against a table can split a large group, one against an aggregation cannot
+    names = space.write(nodes.groupBy("group").agg(F.min("least").alias("component_id")), "names")
     counts = classed.groupBy("fp").agg(F.first("n").alias("n_shingles"))
     final = space.write(nodes.join(names, "group").join(counts, "fp").select("fp", "n_shingles", "component_id"), "final")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
