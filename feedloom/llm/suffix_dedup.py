@@ -26,7 +26,7 @@ GRAM = 100
 #: Contexts of one k-gram (up to 2 * LENGTH bytes each) that may meet in one task.
 GROUP = 10_000
 #: Repeated k-grams (16 bytes each) that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 _BLOCK = 2 << 20
 _ANCHORS = "id bigint, fp bigint, lo bigint, hi bigint, at bigint, gram bigint, around bigint"
 _SPANS = "id bigint, fp bigint, start bigint, stop bigint"
