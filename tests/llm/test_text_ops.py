@@ -149,6 +149,24 @@ def test_reparameterised_questions(spark, edges, empty):
     assert contaminated(edges, bench.limit(0)).collect() == []
 
 
+def test_items_of_one_template_with_other_equal_slots(spark):
+    far = "take {} red blocks out of the wooden box near the old door and then put {} blue blocks under the long table by the window"
+    bench = frame(spark, [(1, far.format(5, 5)), (2, far.format(3, 4))]).withColumnRenamed("doc_id", "item_id")
+    rows = [(1, far.format(3, 4)), (2, far.format(8, 9)), (3, far.format(7, 7)), (4, far.format(5, 6))]
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(frame(spark, rows), bench).collect()}
+    assert got >= {(1, 2), (2, 2), (3, 1), (4, 2)} and not {(1, 1), (2, 1), (3, 2)} & got
+    assert (4, 1) in got  # the item's own 5 among 13 tokens in a row
+
+
+def test_names_that_open_sentences_and_other_case(spark):
+    story = "{0} has 12 apples. {1} gives her 5 more. {0} eats 3 of them. {2} takes 2 away. How many are left?"
+    inner = "if Anna and then Bert buy 12 apples while Cara keeps Dora away from the red door of Emil and Fred"
+    bench = frame(spark, [(1, story.format("Anna", "Bert", "Cara")), (2, inner)]).withColumnRenamed("doc_id", "item_id")
+    rows = [(1, story.format("Zoe", "Kim", "Lou")), (2, story.format("Anna", "Bert", "Cara").upper()), (3, inner.lower()), (4, inner.upper()), (5, story.format("Zoe", "Zoe", "Zoe"))]
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(frame(spark, rows), bench).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (4, 2)}
+
+
 def test_preference_pairs(spark):
     turn = lambda *t: [{"role": r, "text": x} for r, x in t]
     u, a, b = ("user", "hi"), ("assistant", "yes"), ("assistant", "no!")
