@@ -3,8 +3,11 @@ sequence of identifiers in a text is matched against ordered rules."""
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,26 +72,95 @@ def sentence_table() -> list[tuple[str, str]]:
     return sorted(out.items())
 
 
+_WORD = re.compile("[a-z0-9]+")
+_STOP = re.compile(r"[.!?;]+(?=\s|$)")
+_COLON = re.compile(r":+(?=\s|$)")
+_LINE = re.compile(r"[\r\n]+")
+_ALNUM = re.compile("[A-Za-z0-9]")
+#: A blank line (comment signs and list bullets don't fill a line), or the number or letter of a list item.
+_BLANK = re.compile(r"(?:\r\n|\r|\n)[^A-Za-z0-9\r\n]*(?:\r\n|\r|\n)")
+_LIST = re.compile(r"(?:^|[\r\n])[^A-Za-z0-9\r\n]*?(?:[-*\u2022]|\(?[A-Za-z0-9]{1,3}[.)])(?=\s)")
+
+
+def _known(body: str, table: list[tuple[str, str]]) -> list[tuple[int, int, str]]:
+    """(start, end, identifier) of the known sentences of a text, in order.
+
+    A sentence begins and ends at the end of another, a colon, a blank line, a list marker, or a line break where the
+    next line begins with a capital or a figure; one that is alone in its line ends there anyhow. Of two that overlap
+    the longer stands.
+    """
+    lower = "".join(c if len(c) == 1 else " " for c in map(str.lower, body)) if len(body.lower()) != len(body) else body.lower()
+    spans = [m.span() for m in _WORD.finditer(lower)]
+    flat = " " + " ".join(lower[a:b] for a, b in spans) + " "
+    at = None
+    found = []
+    for sentence, sid in table:
+        i = flat.find(f" {sentence} ")
+        while i >= 0:
+            if at is None:
+                at, n = {}, 0
+                for k, (a, b) in enumerate(spans):
+                    at[n] = k
+                    n += b - a + 1
+                cuts = sorted({0, len(body), *(m.end() for x in (_STOP, _COLON, _BLANK, _LIST) for m in x.finditer(body))})
+                breaks = sorted({0, len(body), *(m.end() for m in _LINE.finditer(body))})
+                starts = [x for x in breaks if (m := _ALNUM.search(body, x)) and not m[0].islower()]
+            first = at[i]
+            last = first + sentence.count(" ")
+            a, b = spans[first][0], spans[last][1]
+            low = spans[first - 1][1] if first else 0
+            high = spans[last + 1][0] if last + 1 < len(spans) else len(body)
+            between = lambda p, x, y: bisect.bisect_left(p, x) < bisect.bisect_right(p, y)
+            opens = first == 0 or between(cuts, low, a) or between(starts, low, a)
+            closes = last + 1 == len(spans) or between(cuts, b, high) or between(starts, b, high)
+            alone = (first == 0 or between(breaks, low, a)) and (last + 1 == len(spans) or between(breaks, b, high)) and not between(breaks, a + 1, b)
+            if opens and closes or alone:
+                found.append((a, b, sid))
+            i = flat.find(f" {sentence} ", i + 1)
+    kept: list[tuple[int, int, str]] = []
+    for x in sorted(found, key=lambda x: (x[0], -x[1])):
+        if not kept or x[0] >= kept[-1][1]:
+            kept.append(x)
+        elif x[1] - x[0] > kept[-1][1] - kept[-1][0]:
+            kept[-1] = x
+    return kept
+
+
+def _lines(table: list[tuple[str, str]]):
+    def unknown(between: str) -> int:
+        pieces = [sum(bool(_ALNUM.search(p)) for p in x.split(between)) for x in (_STOP, _LINE)]
+        return min(pieces)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], []
+            for k, body in enumerate(batch.column(2).to_pylist()):
+                line, end = ">", None
+                for a, b, sid in _known(body, table):
+                    line += ("|>" if end is not None and unknown(body[end:a]) > GAP else "") + sid + ">"
+                    end = b
+                if end is not None:
+                    rows.append(k)
+                    out.append(line)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(out, pa.string())], ["id", "fp", "line"])
+
+    return lines
+
+
 def licence_hits(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of docs with a rule's match, licence and rule: id, licence, rule, n_sentences.
 
-    A text is cut twice: at the ends of sentences (line breaks being spaces, as in wrapped headers) and at line breaks;
-    a rule matches in either. Between two sentences of a rule at most GAP others may stand. A rule that is part of a
+    Known sentences are found across line breaks (as in wrapped headers), between ends of sentences, colons, blank lines,
+    list markers and line breaks, and make one sequence a text. Between two sentences of a rule at most GAP others (or
+    lines, if they are fewer) may stand. A rule that is part of a
     longer one matched in the text is left out. Null and empty texts match nothing; a null id stays null; rows that
     repeat an id give one row for each licence and rule.
     """
     spark = docs.sparkSession
-    known = F.broadcast(spark.createDataFrame(sentence_table(), "sentence string, sid string"))  # fixed size
     rows = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("body")).where(F.lower("body").rlike(CUES))
-    cuts = F.array(F.struct(F.lit(0).alias("way"), F.split(F.regexp_replace("body", r"\s+", " "), r"[.!?;]+(?: |$)").alias("parts")), F.struct(F.lit(1).alias("way"), F.split("body", r"[\r\n]+").alias("parts")))
-    parts = rows.select("id", F.xxhash64("body").alias("fp"), F.explode(cuts).alias("c")).select("id", "fp", "c.way", F.posexplode("c.parts").alias("place", "part"))
-    clean = F.trim(F.regexp_replace(F.lower("part"), "[^a-z0-9]+", " "))
-    hits = parts.where(F.lower("part").rlike(CUES)).select("id", "fp", "way", "place", clean.alias("sentence")).join(known, "sentence").drop("sentence").distinct()
-    # a text's known sentences in order, far ones with a mark between them: bounded by the text
-    ordered = hits.groupBy("id", "fp", "way").agg(F.array_sort(F.collect_list(F.struct("place", "sid"))).alias("s"))
-    mark = lambda i: F.when((i > 0) & (F.get("s", i)["place"] - F.get("s", i - 1)["place"] > GAP + 1), F.lit("|>")).otherwise(F.lit(""))
-    line = F.array_join(F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.concat(mark(i), F.get("s", i)["sid"])), ">")
-    ordered = ordered.select("id", "fp", F.concat(F.lit(">"), line, F.lit(">")).alias("line"))
+    kind = docs.schema[id_column].dataType.simpleString()
+    ordered = rows.select("id", F.xxhash64("body").alias("fp"), "body").mapInArrow(_lines(sentence_table()), f"id {kind}, fp bigint, line string")
     rules = F.broadcast(spark.createDataFrame([(a, b, ">" + ">".join(c) + ">", len(c)) for a, b, c in RULES], "licence string, rule string, pattern string, n_sentences int"))  # fixed size
     found = ordered.join(rules, F.col("line").contains(F.col("pattern"))).select("id", "fp", "licence", "rule", "pattern", "n_sentences").distinct()
     best = found.groupBy("id", "fp").agg(F.collect_list(F.struct("licence", "rule", "pattern", "n_sentences")).alias("all"))

@@ -191,3 +191,84 @@ def test_licence_rules(spark, edges, empty):
     split = licence_hits(frame(spark, [(9, bsd.replace(":\n\n*", ".\n\n*"))])).collect()
     assert {r["licence"] for r in split} <= {"BSD-2-Clause"}
     assert licence_hits(empty).collect() == [] and licence_hits(edges).collect() == []
+
+
+GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD2 = """Copyright (c) 2020, Jo Doe
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+ISC = """ISC License
+
+Copyright (c) 2020 Jo Doe
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+"""
+APACHE = """Copyright 2020 Jo Doe
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_licence_texts_as_published(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 Jo Doe\n\n" + GRANT
+    paragraphs = "Copyright (c) 2020 Jo Doe\n" + "\n".join(" ".join(p.split()) for p in GRANT.split("\n\n"))
+    comment = "".join(f" * {x}\n" for x in ("/* x\n" + APACHE).split("\n"))
+    rows = [(1, mit), (2, paragraphs), (3, " ".join(GRANT.split())), (4, BSD2 + BSD_END), (5, BSD2 + BSD3 + BSD_END), (6, " ".join((BSD2.split("\n\n", 1)[1] + BSD3).split())), (7, ISC), (8, APACHE), (9, comment), (10, GPL), (11, "it is not\nreleased under the MIT License today"), (12, "#!/bin/sh\r\n" + GRANT.replace("\n", "\r\n"))]
+    got = {tuple(r) for r in licence_hits(frame(spark, rows)).collect()}
+    text = lambda i, x, n: (i, x, "text", n)
+    assert got == {text(1, "MIT", 3), text(2, "MIT", 3), text(3, "MIT", 3), text(4, "BSD-2-Clause", 3), text(5, "BSD-3-Clause", 4), text(6, "BSD-3-Clause", 4), text(7, "ISC", 1), (8, "Apache-2.0", "header", 3), (9, "Apache-2.0", "header", 3), (10, "GPL-3.0", "header", 2), text(12, "MIT", 3)}
