@@ -63,15 +63,56 @@ def components(spark: SparkSession, space: Workspace, links: DataFrame, name: st
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def cycles(edges: DataFrame, limit: int = 16) -> DataFrame:
-    """Nodes (node) on a directed cycle of edges (a, b) with at most `limit` edges: those that reach themselves."""
-    spark = edges.sparkSession
-    space = Workspace(spark)
-    edges = space.write(edges.select("a", "b").distinct(), "edges")
-    reach, size = edges, -1
-    for k in range(limit):
-        if (now := reach.count()) == size:
+def cycles(edges: DataFrame) -> DataFrame:
+    """Nodes (node) on a directed cycle of edges (a, b), however long: those that reach themselves.
+
+    Nodes without edges in or out are peeled off until nothing changes. Then the greatest node that reaches a node is
+    its colour, and a colour's node with all that reach it within the colour is a strong component; the edges left
+    within colours are taken again. All rounds go on to the fixed point and hold nodes and edges, never pairs.
+    """
+    space = Workspace(edges.sparkSession)
+    written = 0
+
+    def put(df: DataFrame) -> tuple[DataFrame, str]:
+        nonlocal written
+        written += 1
+        return space.write(df, f"cycles-{written}"), f"cycles-{written}"
+
+    every, _ = put(edges.select("a", "b").where("a is not null and b is not null").distinct())
+    found = every.where("a = b").select(F.col("a").alias("node"))
+    left, name = put(every.where("a <> b"))
+    size = left.count()
+    while size:
+        while True:
+            peeled, next_name = put(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+            space.drop(name)
+            left, name, before, size = peeled, next_name, size, peeled.count()
+            if size == before:
+                break
+        if not size:
             break
-        size = now
-        reach = space.write(reach.union(reach.alias("x").join(edges.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")).distinct(), f"reach-{k}")
-    return reach.where("a = b").select(F.col("a").alias("node"))
+        colours, last = put(left.select(F.col("a").alias("node")).distinct().withColumn("colour", F.col("node")))
+        moved = True
+        while moved:
+            reached = left.join(colours.select(F.col("node").alias("a"), "colour"), "a").groupBy(F.col("b").alias("node")).agg(F.max("colour").alias("reached"))
+            now, next_name = put(colours.select("node", F.col("colour").alias("was")).join(reached, "node", "left").select("node", F.greatest("was", "reached").alias("colour"), "was"))
+            space.drop(last)
+            colours, last = now.drop("was"), next_name
+            moved = now.where("colour > was").limit(1).count() > 0
+        side = lambda c, x: c.select(F.col("node").alias(x), "colour")
+        inside, inside_name = put(left.join(side(colours, "a"), "a").join(side(colours, "b"), ["b", "colour"]).select("a", "b", "colour"))
+        back, back_name = put(colours.where("node = colour"))
+        reach, grown = back.count(), True
+        while grown:
+            now, next_name = put(back.union(inside.join(back.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node"), "colour")).distinct())
+            space.drop(back_name)
+            back, back_name = now, next_name
+            reach, grown = now.count(), now.count() > reach
+        strong = back.join(back.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1"), "colour", "left_semi")
+        found = found.union(strong.select("node"))
+        space.drop(name)
+        rest = inside.join(back.select(F.col("node").alias("a")), "a", "left_anti").join(back.select(F.col("node").alias("b")), "b", "left_anti")
+        left, name = put(rest.select("a", "b"))
+        space.drop(inside_name, last)
+        size = left.count()
+    return found.distinct()

@@ -163,7 +163,7 @@ def grf_04_graph_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey % 40 AS a, s_suppkey * 7 % 40 AS b FROM supplier WHERE s_suppkey % 3 = 0), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node FROM r WHERE a = b""")
 def grf_03_cycles(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("s_suppkey")
-    return graph.cycles(table(spark, sf, "supplier").where(s % 3 == 0).select((s % 40).alias("a"), (s * 7 % 40).alias("b")), limit=64)
+    return graph.cycles(table(spark, sf, "supplier").where(s % 3 == 0).select((s % 40).alias("a"), (s * 7 % 40).alias("b")))
 
 
 @query(q.with_(q.EVENTS) + f"SELECT at_s // {v.DAY} AS day, count(*) AS n, round(sum({q.WEIGHT}), 4) AS w FROM ev GROUP BY 1")

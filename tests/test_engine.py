@@ -54,6 +54,27 @@ def test_components_by_chains_and_stars(spark):
     assert got == {x: find(x) for x in parent if any(x in p and p[0] != p[1] for p in links)}
 
 
+def test_cycles_of_any_length(spark):
+    rng = random.Random(5)
+    ring = [(i, (i + 1) % 20) for i in range(20)]
+    edges = ring + [(3, 100), (100, 101), (200, 0), (7, 7), (300, 300)] + [(rng.randrange(400, 415), rng.randrange(400, 415)) for _ in range(16)]
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+
+    def reach(x):
+        seen, todo = set(), [x]
+        while todo:
+            for y in out.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return seen
+
+    got = [r["node"] for r in graph.cycles(spark.createDataFrame(edges, "a bigint, b bigint")).collect()]
+    assert sorted(got) == sorted(x for x in out if x in reach(x)) and set(range(20)) <= set(got)
+
+
 def test_diversity_floor_against_a_loop(spark):
     rng = random.Random(4)
     rows = [(f"i{k:03d}", rng.choice(["link", "link", "link", "video", "audio"] if k > 70 else ["link"]), 100.0 - k, k) for k in range(120)]
