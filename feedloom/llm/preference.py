@@ -60,7 +60,8 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
 
 def swapped_answers(talks: DataFrame, id_column: str = "conv_id") -> DataFrame:
     """Pairs for tables without preferences: a conversation up to its last assistant turn is chosen; rejected has the
-    last answer of the conversation whose id differs in the lowest bit instead, or ends before it if there is none."""
+    last answer of the conversation whose id differs in the lowest bit instead, or ends before it if there is none.
+    A conversation without an assistant turn has no answer to compare, so it gives no pair."""
     answers = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: F.get("turns", i)["role"] == "assistant")
     last = talks.withColumn("last", F.array_max(answers)).where("last is not null")
     own = last.select(F.col(id_column).bitwiseXOR(F.lit(1)).alias("partner"), F.get("turns", F.col("last")).alias("answer"))
