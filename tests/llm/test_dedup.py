@@ -102,16 +102,49 @@ def rows_of(df):
     return [(r[0], r[1], [tuple(s) for s in r[2]], bytes(r[3])) for r in df.collect()]
 
 
-@pytest.mark.parametrize("group", [1, 10_000])
+def test_longest_factors_of_small_strings():
+    """Factor lengths in suffix order against a comparison of all pairs of suffixes."""
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        n, gram = 30, 2
+        contexts = [bytes(rng.integers(97, 99, rng.integers(6, 14)).astype(np.uint8)) for _ in range(n)]
+        reach = np.array([rng.integers(0, len(c) - gram) for c in contexts])
+        contexts = [c[:r] + b"ab" + c[r + 2 :] for c, r in zip(contexts, reach, strict=True)]
+        group = np.sort(rng.integers(0, 3, n))
+        at = np.cumsum([0, *map(len, contexts)])
+        data = np.frombuffer(b"".join(contexts), np.uint8)
+        position = rng.permutation(n)
+        for d, order, lcp in suffix.suffix_orders(data, at[:-1] + reach, reach, np.diff(at) - reach, group):
+            tails = {i: contexts[i][reach[i] - d :] for i in range(n) if reach[i] >= d}
+            assert sorted(order.tolist()) == sorted(tails)
+            shown = [(group[i], tails[i]) for i in order]
+            assert shown == sorted(shown)
+
+            def common(i, j):
+                k = 0
+                while group[i] == group[j] and k < min(len(tails[i]), len(tails[j])) and tails[i][k] == tails[j][k]:
+                    k += 1
+                return k
+
+            for least in (1, 4):
+                got = suffix.longest_factors(position[order], lcp, least)
+                want = [max((common(i, j) for j in tails if position[j] < position[i]), default=0) for i in order]
+                assert got.tolist() == [x if x >= least else 0 for x in want]
+
+
+@pytest.mark.parametrize("group", [1, 3, 1000])
 def test_remove_every_copy(spark, empty, monkeypatch, group):
     monkeypatch.setattr(suffix, "GROUP", group)
-    rows = [r for r in edge_rows() if r[0] != 70]
+    rows = edge_rows()
     got = rows_of(suffix.remove_repeats(frame(spark, rows), 60, 20, keep_first=False))
     assert sorted(map(repr, got)) == sorted(map(repr, brute_repeats(rows, 60, False)))
     assert suffix.remove_repeats(empty, 60, 20).collect() == []
 
 
-def test_keep_the_first_copy(spark):
-    rows = sorted({i: (i, t) for i, t in edge_rows() if i is not None and i != 70}.values())
+@pytest.mark.parametrize("group", [1, 1000])
+def test_keep_the_first_copy(spark, monkeypatch, group):
+    """Also with null and repeated ids: null ids come first, equal rows of one id keep alike."""
+    monkeypatch.setattr(suffix, "GROUP", group)
+    rows = edge_rows()
     got = rows_of(suffix.remove_repeats(frame(spark, rows), 60, 20, keep_first=True))
     assert sorted(map(repr, got)) == sorted(map(repr, brute_repeats(rows, 60, True)))
