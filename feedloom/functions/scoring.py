@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedloom import vocab as v
-from feedloom.functions import text
 
 TERMS = ["recency", "trust", "metrics", "cluster", "content", "read_time", "affinity"]
 
@@ -16,7 +15,7 @@ def decay(age_days: Column, half_life: float = v.HALF_LIFE_DAYS) -> Column:
 
 
 def read_score(minutes: Column, peak: float = v.PEAK_MINUTES, sigma: float = v.SIGMA_MINUTES) -> Column:
-    return F.exp(-(minutes - peak) * (minutes - peak) / (2 * sigma * sigma))
+    return F.exp(-F.pow(minutes - peak, F.lit(2.0)) / (2 * sigma * sigma))
 
 
 def event_weight(kind: Column, dwell_ms: Column) -> Column:
@@ -25,18 +24,18 @@ def event_weight(kind: Column, dwell_ms: Column) -> Column:
 
 
 def contributions(now: int, cluster_size: Column, affinity: Column, weights: dict[str, float] | None = None) -> dict[str, Column]:
-    """The seven terms of an item's score. affinity: the mean over its topics plus that over its entities."""
+    """The seven terms of an item's score, from n_plain and minutes. affinity: the mean over its topics plus that over its entities."""
     w = v.WEIGHTS | (weights or {})
     age = F.greatest((F.lit(now) - F.col("published_s")) / float(v.DAY), F.lit(0.0))
     volume = F.greatest(F.coalesce("score", F.lit(0)) + F.coalesce("comments", F.lit(0)), F.lit(0))
     media = F.col("kind").isin("video", "audio")
-    full = text.has_full_text(F.col("body"))
+    full = F.col("n_plain") > v.FULL_TEXT_CHARS
     return {
         "recency": w["recency"] * decay(age),
         "trust": w["trust"] * F.coalesce("trust", F.lit(0.5)),
         "metrics": w["metrics"] * F.log10(1 + volume) / 5,
         "cluster": w["cluster"] * F.log10(cluster_size.cast("double")),
         "content": F.when(full, w["full_text"]).when(media, w["media"]).otherwise(0.0),
-        "read_time": w["read_time"] * read_score(text.read_minutes(F.col("body"))),
+        "read_time": w["read_time"] * read_score(F.col("minutes")),
         "affinity": w["affinity"] * affinity,
     }

@@ -20,12 +20,16 @@ def title_tokens(title: Column) -> Column:
 
 def plain(text: Column) -> Column:
     """Markup out, white space squeezed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]*>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]*>", " "), r"(?: \s|[\t\n\x0B\f\r])\s*", " "))
+
+
+def plain_words(p: Column) -> Column:
+    """Words of a plain text: its single spaces and one."""
+    return F.when(p == "", 0).otherwise(F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))) + 1)
 
 
 def word_count(text: Column) -> Column:
-    p = plain(text)
-    return F.when(p == "", 0).otherwise(F.size(F.split(p, " ")))
+    return plain_words(plain(text))
 
 
 def half_up(x: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom import vocab as v
 from feedloom.functions import scoring, text
-from feedloom.operators.graph import Workspace, components
+from feedloom.operators.graph import Workspace, components, small
 
 
 # entity resolution --------------------------------------------------------------------------------------------------
@@ -34,7 +34,7 @@ def title_sessions(items: DataFrame, hours: int = v.SAME_TITLE_HOURS) -> DataFra
 def duplicate_groups(items: DataFrame) -> DataFrame:
     """Adds group, the least ord of the items connected by title sessions or by URL."""
     space = Workspace(items.sparkSession)
-    sessions = space.write(title_sessions(items).select("ord", "url", "key", "session"), "keyed")
+    sessions = space.write(title_sessions(items.select("ord", "url", "title", "published_s")).select("ord", "url", "key", "session"), "keyed")
     titles = space.write(sessions.where("session is not null").groupBy("key", "session").agg(F.min("ord").alias("b")), "titles")
     urls = space.write(sessions.where("url is not null").groupBy("url").agg(F.min("ord").alias("b")), "urls")
     links = sessions.join(titles, ["key", "session"]).select(F.col("ord").alias("a"), "b").union(sessions.join(urls, "url").select(F.col("ord").alias("a"), "b"))
@@ -43,45 +43,85 @@ def duplicate_groups(items: DataFrame) -> DataFrame:
 
 
 def representatives(grouped: DataFrame) -> DataFrame:
-    """One item a group: full text first, then the longer, the more trusted, the more active, the smaller id.
+    """One item a group: full text first, then the longer (n_plain), the more trusted, the more active, the smaller id.
 
     The representative keeps its own fields; topics are united, its own first; metrics are the greatest of the group.
     """
-    plain = F.length(text.plain(F.col("body")))
+    plain = F.col("n_plain")
     rank = F.struct((plain <= v.FULL_TEXT_CHARS).alias("short"), (-plain).alias("length"), (-F.coalesce("trust", F.lit(0.5))).alias("trust"), (-(F.coalesce("score", F.lit(0)) + F.coalesce("comments", F.lit(0)))).alias("volume"), F.col("id").alias("i"))
-    best = grouped.withColumn("rank", rank).groupBy("group").agg(F.min_by("id", "rank").alias("id"), F.collect_set("topics").alias("all_topics"), F.max("score").alias("score"), F.max("comments").alias("comments"), F.count("*").alias("size"), F.min("ord").alias("first"))
+    # topics one by one: the set is the vocabulary at most, however large the group
+    united = grouped.select("group", F.explode("topics").alias("t")).groupBy("group").agg(F.array_sort(F.collect_set("t")).alias("all_topics"))
+    best = grouped.withColumn("rank", rank).groupBy("group").agg(F.min_by("id", "rank").alias("id"), F.max("score").alias("score"), F.max("comments").alias("comments"), F.count("*").alias("size"), F.min("ord").alias("first"))
     own = grouped.drop("score", "comments", "group")
-    return own.join(best, "id").withColumn("topics", F.array_distinct(F.concat("topics", F.array_sort(F.flatten("all_topics"))))).drop("all_topics")
+    return own.join(best.join(united, "group", "left"), "id").withColumn("topics", F.array_distinct(F.concat("topics", F.coalesce("all_topics", F.array().cast("array<string>"))))).drop("all_topics")
 
 
-def story_pairs(items: DataFrame, threshold: float = v.TITLE_JACCARD) -> DataFrame:
-    """Pairs a < b of ords whose titles' word sets have a Jaccard similarity of at least threshold.
+def title_classes(items: DataFrame) -> DataFrame:
+    """(ord, words, c): the items with title words; items of one word set share c, the least ord of them."""
+    sets = items.select("ord", F.array_sort(text.title_tokens(F.col("title"))).alias("words")).where(F.size("words") > 0)
+    classes = Workspace(items.sparkSession).write(sets.groupBy("words").agg(F.min("ord").alias("c")), "classes")
+    return sets.join(classes, "words")
+
 
-    Equal sets are one class first. Rare words come first in each class's prefix, and classes meet on prefix words.
+def story_links(items: DataFrame, threshold: float = v.TITLE_JACCARD, shared: int = v.SHARED_ENTITIES) -> DataFrame:
+    """(x, y, kind): links whose components are the stories. Items of one story by definition are linked by them.
+
+    title: pairs x < y of classes of equal title word sets, named by their least ord, with a Jaccard similarity of at
+    least threshold; member: an item and its class; entities: an item and the least ord of those that have the same
+    `shared` entities. Groups of copies are thus stars and never opened into pairs. Rare words come first in a class's
+    prefix, and classes meet on prefix words.
     """
-    sets = items.select("ord", F.array_sort(text.title_tokens(F.col("title"))).alias("words")).where(F.size("words") > 0)
-    classes = sets.groupBy("words").agg(F.min("ord").alias("c"))
+    space = Workspace(items.sparkSession)
+    members = space.write(title_classes(items), "members")
+    classes = members.where("ord = c").select("c", "words")
     worded = classes.select("c", F.size("words").alias("n"), F.explode("words").alias("w"))
-    often = worded.groupBy("w").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("c").orderBy("df", "w")
+    often = space.write(worded.groupBy("w").agg(F.count("*").alias("df")), "often")
     # prefix length: n - ceil(threshold * n) + 1
-    prefix = worded.join(often, "w").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    ordered = worded.join(often, "w").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    prefix = space.write(ordered.select("c", "n", F.explode(F.slice("ws", 1, (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))).alias("e")).select("c", "n", "e.w"), "prefix")
     a, b = prefix.alias("a"), prefix.alias("b")
     met = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.c") < F.col("b.c")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9)).select(F.col("a.c").alias("x"), F.col("b.c").alias("y")).distinct()
     left, right = classes.select(F.col("c").alias("x"), F.col("words").alias("wx")), classes.select(F.col("c").alias("y"), F.col("words").alias("wy"))
     both = F.size(F.array_intersect("wx", "wy"))
-    near = met.join(left, "x").join(right, "y").where(both >= threshold * (F.size("wx") + F.size("wy") - both) - 1e-9).select("x", "y")
-    return near.union(sets.join(classes, "words").where("ord <> c").select(F.col("c").alias("x"), F.col("ord").alias("y")))
+    near = met.join(left, "x").join(right, "y").where(both >= threshold * (F.size("wx") + F.size("wy") - both) - 1e-9).select("x", "y", F.lit("title").alias("kind"))
+    own = members.where("ord <> c").select(F.col("c").alias("x"), F.col("ord").alias("y"), F.lit("member").alias("kind"))
+    return near.union(own).union(entity_links(items, shared))
+
+
+def entity_links(items: DataFrame, shared: int = v.SHARED_ENTITIES) -> DataFrame:
+    """(x, y, kind): each item and the least ord of those that share the same `shared` (1 or 2) entities with it."""
+    sets = items.select("ord", F.array_sort(F.array_distinct("entities")).alias("e"))
+    if shared == 1:
+        keyed = sets.select("ord", F.explode("e").alias("k"))
+    else:
+        pairs = F.flatten(F.transform("e", lambda p: F.transform(F.filter("e", lambda r: r > p), lambda r: F.struct(p.alias("p"), r.alias("r")))))
+        keyed = sets.select("ord", F.explode(pairs).alias("k"))
+    first = Workspace(items.sparkSession).write(keyed.groupBy("k").agg(F.min("ord").alias("x"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+    return keyed.join(first, "k").where("ord <> x").select("x", F.col("ord").alias("y"), F.lit("entities").alias("kind")).distinct()
+
 
+#: Ids of one story that are joined and hashed at once; longer lists are hashed in blocks, and the blocks' hashes again.
+STORY_BLOCK = 50_000
 
-def story_clusters(items: DataFrame) -> DataFrame:
-    """Adds cluster_id: the hash of the sorted ids of the items whose titles connect."""
+
+def story_clusters(items: DataFrame, block: int = STORY_BLOCK) -> DataFrame:
+    """Adds cluster_id, the hash of the sorted ids of the items whose titles or entities connect, and cluster_size."""
     space = Workspace(items.sparkSession)
-    links = story_pairs(items).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    slim = items.select("ord", "id", "title", "entities")
+    links = story_links(slim).select(F.col("x").alias("a"), F.col("y").alias("b"))
     named = space.write(components(items.sparkSession, space, links), "named")
-    placed = items.join(named.withColumnRenamed("node", "ord"), "ord", "left").withColumn("component", F.coalesce("component", "ord"))
-    ids = placed.groupBy("component").agg(F.substring(F.sha1(F.array_join(F.array_sort(F.collect_list("id")), "|").cast("binary")), 1, 12).alias("cluster_id"))
-    return placed.join(ids, "component").drop("component")
+    size = space.write(named.groupBy("component").agg(F.count("*").alias("cluster_size")), "sizes")
+    placed = space.write(slim.select("ord", "id").join(named.withColumnRenamed("node", "ord"), "ord").join(size, "component"), "placed")
+
+    def digest(x):
+        return F.sha1(F.array_join(F.array_sort(F.collect_list(x)), "|").cast("binary"))
+
+    parts = placed.groupBy("component", "cluster_size", F.when(F.col("cluster_size") > block, F.pmod(F.xxhash64("id"), F.ceil(F.col("cluster_size") / block))).alias("part")).agg(digest("id").alias("d"))
+    whole = parts.groupBy("component", "cluster_size").agg(F.when(F.count("*") == 1, F.first("d")).otherwise(digest("d")).alias("d"))
+    ids = space.write(whole.select("component", F.substring("d", 1, 12).alias("cluster_id")), "ids")
+    clusters = placed.join(ids, "component").select("ord", "cluster_id", "cluster_size")
+    alone = F.substring(F.sha1(F.col("id").cast("binary")), 1, 12)
+    return items.join(clusters, "ord", "left").withColumns({"cluster_id": F.coalesce("cluster_id", alone), "cluster_size": F.coalesce("cluster_size", F.lit(1))})
 
 
 # taste --------------------------------------------------------------------------------------------------------------
@@ -94,17 +134,28 @@ def gate(events: DataFrame, min_events: int = v.MIN_EVENTS, min_days: int = v.MI
     return g.withColumns({"ready": (F.col("n_events") >= min_events) & (F.col("span_days") >= min_days), "events_needed": F.greatest(F.lit(0), min_events - F.col("n_events")), "days_needed": F.greatest(F.lit(0.0), min_days - F.col("span_days"))})
 
 
-def _normalised(sums: DataFrame) -> DataFrame:
-    top = sums.agg(F.max("v").alias("top"))
-    return sums.crossJoin(F.broadcast(top)).where("top > 0").withColumn("v", F.col("v") / F.col("top")).drop("top")
+def _normalised(sums: DataFrame, *kind: str) -> DataFrame:
+    """v as a share of the greatest (of its kind). The greatest are a row a kind."""
+    top = sums.groupBy(*kind).agg(F.max("v").alias("top"))
+    both = sums.join(F.broadcast(top), list(kind)) if kind else sums.crossJoin(F.broadcast(top))
+    return both.where("top > 0").withColumn("v", F.col("v") / F.col("top")).drop("top")
 
 
 def taste_profile(events: DataFrame, items: DataFrame, now: int) -> DataFrame:
-    """(topic, v): decayed engagement by topic, the greatest being 1; empty until the gate is ready. Ages aren't clamped."""
+    """(kind, term, v): decayed engagement by topic and by entity, the greatest of each kind being 1.
+
+    Empty until the gate is ready. Ages aren't clamped.
+    """
     weight = scoring.event_weight(F.col("type"), F.col("dwell_ms")) * scoring.decay((F.lit(now) - F.col("at_s")) / float(v.DAY))
     by_item = events.withColumn("w", weight).groupBy("item_id").agg(F.sum("w").alias("w"))
-    sums = by_item.join(items.select(F.col("id").alias("item_id"), "topics"), "item_id").select(F.explode("topics").alias("topic"), "w").groupBy("topic").agg(F.sum("w").alias("v"))
-    return _normalised(sums.join(F.broadcast(gate(events).where("ready").select("ready"))).drop("ready"))
+
+    def named(kind: str, column: str) -> Column:
+        return F.transform(column, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("term")))
+
+    terms = F.concat(named("topic", "topics"), named("entity", "entities"))
+    joined = by_item.join(items.select(F.col("id").alias("item_id"), terms.alias("ts")), "item_id")
+    sums = joined.select(F.explode("ts").alias("t"), "w").groupBy("t.kind", "t.term").agg(F.sum("w").alias("v"))
+    return _normalised(sums.join(F.broadcast(gate(events).where("ready").select("ready"))).drop("ready"), "kind")
 
 
 def format_affinity(events: DataFrame, items: DataFrame, now: int) -> DataFrame:
@@ -119,58 +170,94 @@ def format_affinity(events: DataFrame, items: DataFrame, now: int) -> DataFrame:
     return _normalised(sums)
 
 
+#: Rows of a profile (a topic or an entity each) that may be broadcast; more are joined by a shuffle.
+PROFILE_ROWS = 100_000
+
+
+def affinity(items: DataFrame, profile: DataFrame) -> DataFrame:
+    """(id, liked): the mean liking of an item's topics plus that of its entities; items without any have no row."""
+    terms = [items.select("id", F.explode(c).alias("term"), F.size(c).alias("n"), F.lit(k).alias("kind")) for k, c in (("topic", "topics"), ("entity", "entities"))]
+    return terms[0].union(terms[1]).join(small(profile, PROFILE_ROWS), ["kind", "term"]).groupBy("id").agg(F.sum(F.col("v") / F.col("n")).alias("liked"))
+
+
 def score_items(items: DataFrame, profile: DataFrame, now: int) -> DataFrame:
-    """Adds the seven terms and total to items with cluster_id; the profile is a row a topic of the vocabulary."""
-    liked = items.select("id", F.explode("topics").alias("topic")).join(F.broadcast(profile), "topic").groupBy("id").agg(F.sum("v").alias("liked"))
-    size = items.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"))
-    rows = items.join(liked, "id", "left").join(size, "cluster_id")
-    mean = F.when(F.size("topics") > 0, F.coalesce("liked", F.lit(0.0)) / F.size("topics")).otherwise(0.0)
-    terms = scoring.contributions(now, F.col("cluster_size"), mean)
+    """Adds the seven terms and total to items with cluster_size (and n_plain and minutes for their bodies)."""
+    rows = items.join(affinity(items, profile), "id", "left")
+    terms = scoring.contributions(now, F.col("cluster_size"), F.coalesce("liked", F.lit(0.0)))
     return rows.withColumns(terms).withColumn("total", sum((F.col(t) for t in scoring.TERMS[1:]), F.col(scoring.TERMS[0]))).drop("liked")
 
 
 # ranking and selection ------------------------------------------------------------------------------------------------
 
+def by_total() -> list[Column]:
+    return [F.desc("total"), F.col("id")]
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """All rows with their place from 0 in the order, which must have no ties.
+
+    Rows are dealt by ranges of the order and numbered within their range as they are written; the ranges' sizes (a row
+    each) give what is to be added.
+    """
+    space = Workspace(rows.sparkSession)
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    dealt = space.write(dealt, "dealt").withColumns({"__part": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return dealt.join(F.broadcast(before), "__part").withColumn(name, F.col("before") + F.col("__at")).drop("__part", "__at", "before")
 
-def ranked(scored: DataFrame, top: int) -> DataFrame:
-    """The top items by total (ties by id) with their place from 0: a top-k, so no task sees all rows sorted."""
-    best = scored.orderBy(F.desc("total"), "id").limit(top)
-    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), "id")) - 1)
+
+def top(scored: DataFrame, n: int) -> DataFrame:
+    """The best n by total with their place: a top-k, so no task sorts all rows."""
+    best = scored.orderBy(*by_total()).limit(n)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(*by_total())) - 1)
 
 
 def diversity_floor(listed: DataFrame) -> DataFrame:
-    """Promotes videos, then audio, from behind the list's window until it has enough of each; places are numbered anew."""
+    """Promotes videos, then audio, from behind the list's window until it has enough of each; places are numbered anew.
+
+    A few rows at most are promoted; all others move by how many of those stood behind them.
+    """
     for kind in ("video", "audio"):
-        end = F.least(F.lit(v.FEATURED + v.LIST_WINDOW), F.count("*").over(Window.partitionBy()))
-        inside = (F.col("place") >= v.FEATURED) & (F.col("place") < F.col("end")) & (F.col("kind") == kind)
-        rows = listed.withColumn("end", end).withColumn("lack", v.MIN_PER_MEDIUM - F.sum(inside.cast("int")).over(Window.partitionBy()))
-        late = (F.col("place") >= F.col("end")) & (F.col("kind") == kind)
-        rows = rows.withColumn("turn", F.when(late, F.row_number().over(Window.partitionBy(late).orderBy(F.desc("total"), "place"))))
-        promoted = F.coalesce(F.col("turn") <= F.col("lack"), F.lit(False))
-        rows = rows.withColumn("promoted", promoted).withColumn("moved", F.sum(F.col("promoted").cast("int")).over(Window.partitionBy()))
-        key = F.when(F.col("promoted"), F.col("end") - F.col("moved") - 0.5 + F.col("turn") * 1e-4).otherwise(F.col("place").cast("double"))
-        listed = rows.withColumn("place", F.row_number().over(Window.orderBy(key, "id")) - 1).drop("end", "lack", "turn", "promoted", "moved")
+        stop = F.least(F.lit(v.FEATURED + v.LIST_WINDOW), F.col("n_rows"))
+        inside = (F.col("place") >= v.FEATURED) & (F.col("kind") == kind)
+        have = listed.where(F.col("place") < v.FEATURED + v.LIST_WINDOW).agg(F.count_if(inside).alias("have"), F.count("*").alias("n_rows"))
+        late = listed.where((F.col("place") >= v.FEATURED + v.LIST_WINDOW) & (F.col("kind") == kind)).orderBy(F.desc("total"), "place").limit(v.MIN_PER_MEDIUM)
+        late = late.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("t"), "place"))), lambda x: x["place"]).alias("late"))
+        moves = have.crossJoin(late).select(stop.alias("stop"), F.slice("late", 1, F.greatest(F.lit(0), v.MIN_PER_MEDIUM - F.col("have")).cast("int")).alias("late"))
+        p = F.col("place")
+        behind = F.size(F.filter("late", lambda x: x > p))
+        new = F.when(F.array_contains("late", p), F.col("stop") - F.size("late") + F.array_position("late", p) - 1).when(p >= F.col("stop") - F.size("late"), p + behind).otherwise(p)
+        listed = listed.crossJoin(F.broadcast(moves)).withColumn("place", new.cast("bigint")).drop("late", "stop")
     return listed
 
 
-def balanced(pool: DataFrame, n: int) -> DataFrame:
-    """n items of a ranked pool (place, topics), the first as feature, the others dealt evenly over primary channels."""
-    first = F.first("channel").over(Window.orderBy("place"))
-    rows = pool.withColumn("channel", F.get("topics", 0)).withColumn("feature_channel", first)
-    feature, body = rows.where("place = 0").withColumn("turn", F.lit(0)), rows.where("place > 0 and channel is not null")
+def balanced(scored: DataFrame, n: int) -> DataFrame:
+    """n of the scored items, the best as feature, the others dealt evenly over primary channels (n a channel suffice)."""
+    rows = scored.withColumn("channel", F.get("topics", 0))
+    best = rows.orderBy(*by_total()).limit(1).select(F.col("id").alias("feature"), F.col("channel").alias("feature_channel"))
+    rest = rows.join(F.broadcast(best), F.col("id") != F.col("feature")).where("channel is not null")
+    body = rest.withColumn("nth", F.row_number().over(Window.partitionBy("channel").orderBy(*by_total()))).where(F.col("nth") <= n)
     w = Window.partitionBy("channel")
-    body = body.withColumn("turn", F.row_number().over(w.orderBy("place")) + (F.col("channel") == F.col("feature_channel")).cast("int")).withColumn("channel_place", F.min("place").over(w))
-    every = feature.withColumn("channel_place", F.lit(-1)).unionByName(body)
-    return every.withColumn("pick", F.row_number().over(Window.orderBy("turn", "channel_place")) - 1).where(F.col("pick") < n).drop("turn", "channel_place", "feature_channel")
-
-
-def one_per_source(pool: DataFrame, n: int, backfill: int = 2) -> DataFrame:
-    """Each source's best first; if there are fewer than n, up to `backfill` more by place."""
-    rows = pool.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("place")))
-    first = rows.where("nth = 1").orderBy("place").limit(n)
-    more = rows.where("nth > 1").orderBy("place").limit(backfill)
-    pick = first.withColumn("late", F.lit(0)).unionByName(more.withColumn("late", F.lit(1))).orderBy("late", "place").limit(n)
-    return pick.drop("late", "nth")
+    body = body.withColumns({"turn": F.col("nth") + F.coalesce(F.col("channel") == F.col("feature_channel"), F.lit(False)).cast("int"), "lead": F.max("total").over(w), "lead_id": F.min_by("id", "nth").over(w)})
+    first = rows.join(F.broadcast(best), F.col("id") == F.col("feature")).withColumns({"nth": F.lit(0), "turn": F.lit(0), "lead": F.col("total"), "lead_id": F.col("id")})
+    pick = F.row_number().over(Window.orderBy("turn", F.desc("lead"), "lead_id")) - 1
+    return first.unionByName(body).withColumn("pick", pick).where(F.col("pick") < n).drop("turn", "lead", "lead_id", "nth", "feature", "feature_channel")
+
+
+def one_per_source(scored: DataFrame, n: int, backfill: int = 2) -> DataFrame:
+    """Each source's best first; if there are fewer than n, up to `backfill` more of the best."""
+    key = F.struct((-F.col("total")).alias("t"), F.col("id").alias("i"))
+    best = scored.groupBy("source").agg(F.min(key).alias("b")).select(F.col("b.i").alias("id"))
+    first = scored.join(best, "id", "left_semi").orderBy(*by_total()).limit(n).withColumn("late", F.lit(0))
+    more = scored.join(best, "id", "left_anti").orderBy(*by_total()).limit(backfill).withColumn("late", F.lit(1))
+    return first.unionByName(more).orderBy("late", *by_total()).limit(n).drop("late")
+
+
+def featured(scored: DataFrame, n: int = v.FEATURED) -> DataFrame:
+    """The ids of the best n that have a full text of enough minutes: what the front page features."""
+    ok = (F.col("minutes") >= v.MAKER_READ_MINUTES) & (F.col("n_plain") > v.FULL_TEXT_CHARS)
+    return scored.where(ok).orderBy(*by_total()).limit(n).select("id")
 
 
 # archive --------------------------------------------------------------------------------------------------------------

@@ -6,13 +6,17 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; where that is unset (tests), under a folder of this application."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"feedloom-{spark.sparkContext.applicationId}")
+    """A new folder name under spark.checkpoint.dir; where that is unset and the master is local (tests), under a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), f"feedloom-{spark.sparkContext.applicationId}")
     return f"{base.rstrip('/')}/feedloom-{uuid.uuid4().hex}"
 
 
@@ -37,30 +41,40 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def components(spark: SparkSession, space: Workspace, links: DataFrame, name: str = "components", rounds: int = 40) -> DataFrame:
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has at most `rows` rows; beyond that Spark's own choice of join stands."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def components(spark: SparkSession, space: Workspace, links: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of links (a, b): (node, component), component being the smallest node.
 
-    Alternates the large-star and small-star steps; each round is a map-side-combined minimum and a join, written to
-    the shared folder. Nodes without links are not in the result.
+    Alternates the large-star and small-star steps until the edges stay the same; each round is two map-side-combined
+    minima and two joins. What joins meet is written first, so that Spark can split a hub's rows. Nodes without links
+    are not in the result.
     """
-    edges = space.write(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
-    seen, last = None, f"{name}-0"
-    for k in range(1, rounds + 1):
+    written: list[str] = []
+
+    def put(df: DataFrame, what: str) -> tuple[DataFrame, tuple]:
+        """Writes df; its rows and checksums are taken on the way."""
+        seen = Observation()
+        found = space.write(df.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("v", "u") % 1000003).alias("s")), what)
+        written.append(what)
+        return found, tuple(seen.get[k] for k in ("n", "x", "s"))
+
+    edges, now = put(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
+    seen, k = None, 0
+    while now != seen and now[0]:
+        k, seen = k + 1, now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = space.write(small, f"{name}-{k}")
-        space.drop(last)
-        last = f"{name}-{k}"
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        least = space.write(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least-{k}")
+        large, _ = put(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{name}-large-{k}")
+        low = space.write(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low-{k}")
+        met = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        edges, now = put(met.distinct(), f"{name}-{k}")
+        space.drop(*written[:-1], f"{name}-least-{k}", f"{name}-low-{k}")
+        del written[:-1]
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def cycles(edges: DataFrame) -> DataFrame:

@@ -10,23 +10,24 @@ from feedloom.catalog import query
 from feedloom.functions import scoring, text
 from feedloom.operators import feed
 from feedloom.plans import sql as q
-from feedloom.sources.entities import engagements, items
+from feedloom.sources.entities import engagements, features, items
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    every = items(spark, sf)
-    profile = feed.taste_profile(engagements(spark, sf)[0], every, v.NOW)
+    """All items with their stories, terms and total, without bodies."""
+    every = features(spark, sf)
+    profile = feed.taste_profile(engagements(spark, sf)[0], items(spark, sf), v.NOW)
     return feed.score_items(feed.story_clusters(every), profile, v.NOW)
 
 
-def rank(spark: SparkSession, sf: str, top: int = 200) -> DataFrame:
-    return feed.ranked(scored(spark, sf), top)
+def rank(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.ranked(scored(spark, sf), feed.by_total())
 
 
-@query(q.with_(q.ITEMS, q.EVENTS, q.PROFILE) + "SELECT topic, round(v, 6) AS v FROM profile")
+@query(q.with_(q.ITEMS, q.EVENTS, q.PROFILE) + "SELECT kind, term, round(v, 6) AS v FROM profile")
 def agg_01_profile(spark: SparkSession, sf: str) -> DataFrame:
     p = feed.taste_profile(engagements(spark, sf)[0], items(spark, sf), v.NOW)
-    return p.select("topic", F.round("v", 6).alias("v"))
+    return p.select("kind", "term", F.round("v", 6).alias("v"))
 
 
 _FORMATS = ", ".join(f"('{c}', '{f}')" for f, cs in v.FORMATS.items() for c in cs)
@@ -71,7 +72,7 @@ def mth_05_explain(spark: SparkSession, sf: str) -> DataFrame:
 @query(q.FULL_RANK + "SELECT place, id, title, round(total, 5) AS total FROM ranked WHERE place < 50")
 def srt_01_rank(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: events and items to a profile, stories, seven-term scores and the top of the feed."""
-    return rank(spark, sf, 50).select("place", "id", "title", F.round("total", 5).alias("total")).withColumn("place", F.col("place").cast("bigint"))
+    return feed.top(scored(spark, sf), 50).select("place", "id", "title", F.round("total", 5).alias("total")).withColumn("place", F.col("place").cast("bigint"))
 
 
 @query(q.FULL_RANK + "SELECT source, id, nth FROM (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY total DESC, id) AS nth FROM total) WHERE nth <= 5")
@@ -81,46 +82,60 @@ def win_09_top_per_source(spark: SparkSession, sf: str) -> DataFrame:
     return top_per_group(scored(spark, sf), "source", [F.desc("total"), F.col("id")], 5).select("source", "id", F.col("nth").cast("bigint").alias("nth"))
 
 
-_BALANCED = q.FULL_RANK + """, f AS (SELECT topics[1] AS fc FROM ranked WHERE place = 0), b AS (SELECT id, place, topics[1] AS channel, row_number() OVER (PARTITION BY topics[1] ORDER BY place) + CAST(topics[1] = fc AS INT) AS turn, min(place) OVER (PARTITION BY topics[1]) AS cp FROM ranked, f WHERE place > 0),
-    e AS (SELECT id, topics[1] AS channel, 0 AS turn, -1 AS cp FROM ranked WHERE place = 0 UNION ALL SELECT id, channel, turn, cp FROM b), o AS (SELECT id, channel, row_number() OVER (ORDER BY turn, cp) - 1 AS pick FROM e)
+_BALANCED = q.FULL_RANK + f""", el AS (SELECT *, row_number() OVER (ORDER BY place) - 1 AS p FROM ranked WHERE {q.minutes('body')} >= 3), f AS (SELECT topics[1] AS fc FROM el WHERE p = 0),
+    b AS (SELECT id, p, topics[1] AS channel, row_number() OVER (PARTITION BY topics[1] ORDER BY p) + CAST(topics[1] = fc AS INT) AS turn, min(p) OVER (PARTITION BY topics[1]) AS cp FROM el, f WHERE p > 0),
+    e AS (SELECT id, topics[1] AS channel, 0 AS turn, -1 AS cp FROM el WHERE p = 0 UNION ALL SELECT id, channel, turn, cp FROM b), o AS (SELECT id, channel, row_number() OVER (ORDER BY turn, cp) - 1 AS pick FROM e)
     SELECT id, channel, pick FROM o WHERE pick < 13"""
 
 
 @query(_BALANCED)
 def win_06_balanced(spark: SparkSession, sf: str) -> DataFrame:
-    return feed.balanced(rank(spark, sf), 13).select("id", "channel", F.col("pick").cast("bigint").alias("pick"))
+    """A front page of 13 from the items that are long enough."""
+    return feed.balanced(scored(spark, sf).where(F.col("minutes") >= v.MAKER_READ_MINUTES), 13).select("id", "channel", F.col("pick").cast("bigint").alias("pick"))
+
+
+def _floor_sql(kind: str, before: str, after: str) -> str:
+    return f"""{after}_n AS (SELECT least(60, count(*)) AS stop, 2 - count(*) FILTER (kind = '{kind}' AND place >= 10 AND place < 60) AS lack FROM {before}),
+        {after}_l AS (SELECT id, row_number() OVER (ORDER BY total DESC, place) AS turn FROM {before} WHERE kind = '{kind}' AND place >= 60 QUALIFY turn <= (SELECT lack FROM {after}_n)),
+        {after} AS (SELECT r.id, r.kind, r.total, row_number() OVER (ORDER BY CASE WHEN turn IS NULL THEN r.place ELSE stop - (SELECT count(*) FROM {after}_l) - 0.5 + turn / 1000.0 END) - 1 AS place FROM {before} r LEFT JOIN {after}_l l USING (id), {after}_n)"""
 
 
-@query()
+@query(q.FULL_RANK + ", r0 AS (SELECT id, kind, total, place FROM ranked), " + _floor_sql("video", "r0", "r1") + ", " + _floor_sql("audio", "r1", "r2") + " SELECT id, kind, place FROM r2")
 def win_07_diversity(spark: SparkSession, sf: str) -> DataFrame:
-    """The top 200 with enough video and audio near the top; tests hold it against a loop."""
+    """All items in order with enough video and audio near the top."""
     return feed.diversity_floor(rank(spark, sf).select("id", "kind", "total", "place")).select("id", "kind", "place")
 
 
+@query(q.FULL_RANK + "SELECT id, place FROM ranked")
+def win_01_rank_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Every item's place in the order of totals."""
+    return rank(spark, sf).select("id", "place")
+
+
 @query(q.FULL_RANK + ", n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY place) AS nth FROM ranked), f AS (SELECT id, source, place, 0 AS late FROM n WHERE nth = 1 ORDER BY place LIMIT 60), m AS (SELECT id, source, place, 1 AS late FROM n WHERE nth > 1 ORDER BY place LIMIT 2) SELECT id, source FROM (SELECT * FROM f UNION ALL SELECT * FROM m ORDER BY late, place LIMIT 60)")
 def win_05_one_per_source(spark: SparkSession, sf: str) -> DataFrame:
-    return feed.one_per_source(rank(spark, sf), 60).select("id", "source")
+    return feed.one_per_source(scored(spark, sf), 60).select("id", "source")
 
 
 @query(q.with_(q.ITEMS, q.SESSIONS) + "SELECT id, key, CAST(session AS BIGINT) AS session FROM sessions")
 def jon_11_title_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return feed.title_sessions(items(spark, sf)).select("id", "key", F.col("session").cast("bigint").alias("session"))
+    return feed.title_sessions(features(spark, sf)).select("id", "key", F.col("session").cast("bigint").alias("session"))
 
 
 @query(q.with_(q.ITEMS, q.CLUSTERS) + "SELECT id, cluster_id FROM clustered")
 def grf_02_stories(spark: SparkSession, sf: str) -> DataFrame:
-    return feed.story_clusters(items(spark, sf)).select("id", "cluster_id")
+    return feed.story_clusters(features(spark, sf)).select("id", "cluster_id")
 
 
 @query(q.with_(q.ITEMS, q.GROUPS) + "SELECT id, grp FROM grouped")
 def grf_01_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return feed.duplicate_groups(items(spark, sf)).select("id", F.col("group").alias("grp"))
+    return feed.duplicate_groups(features(spark, sf)).select("id", F.col("group").alias("grp"))
 
 
 @query(q.with_(q.ITEMS, q.GROUPS) + f"""SELECT id, size, score, comments FROM (SELECT id, count(*) OVER w AS size, max(score) OVER w AS score, max(comments) OVER w AS comments,
     row_number() OVER (PARTITION BY grp ORDER BY length({q.plain('body')}) <= 800, length({q.plain('body')}) DESC, coalesce(trust, 0.5) DESC, score + comments DESC, id) AS rn FROM grouped WINDOW w AS (PARTITION BY grp)) WHERE rn = 1""")
 def win_02_representatives(spark: SparkSession, sf: str) -> DataFrame:
-    return feed.representatives(feed.duplicate_groups(items(spark, sf))).select("id", "size", "score", "comments")
+    return feed.representatives(feed.duplicate_groups(features(spark, sf))).select("id", "size", "score", "comments")
 
 
 @query(q.with_(q.ITEMS) + f"SELECT id, published_s, trust FROM items WHERE ord % 3 = 0 AND published_s >= {v.NOW - 14 * v.DAY} UNION ALL SELECT id, published_s - 60, trust FROM items WHERE ord % 3 = 1 AND published_s - 60 >= {v.NOW - 14 * v.DAY}")
@@ -133,12 +148,10 @@ def set_02_archive(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(q.FULL_RANK + ", o AS (SELECT id, row_number() OVER (ORDER BY published_s DESC, id) - 1 AS base FROM ranked) SELECT id, base - place AS delta FROM ranked JOIN o USING (id)")
 def jon_14_rank_deltas(spark: SparkSession, sf: str) -> DataFrame:
-    """How far ranking moves each of the top items against order by date."""
-    from pyspark.sql import Window
-
-    top = rank(spark, sf)
-    base = F.row_number().over(Window.orderBy(F.desc("published_s"), "id")) - 1
-    return top.withColumn("base", base).select("id", (F.col("base") - F.col("place")).cast("bigint").alias("delta"))
+    """How far ranking moves each item against the order by date."""
+    now = rank(spark, sf).select("id", "published_s", "place")
+    base = feed.ranked(now.select("id", "published_s"), [F.desc("published_s"), F.col("id")], "base").select("id", "base")
+    return now.join(base, "id").select("id", (F.col("base") - F.col("place")).alias("delta"))
 
 
 @query(q.with_(q.ITEMS, q.EVENTS) + "SELECT id FROM items WHERE id IN (SELECT item_id FROM ev)")
@@ -157,6 +170,6 @@ def srt_11_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
 @query(q.FULL_SCORE + f", g AS (SELECT *, {q.minutes('body')} AS m FROM total WHERE (length({q.plain('body')}) > 800 OR kind IN ('video', 'audio')) AND ({q.minutes('body')} >= 5 OR {q.plain('body')} = '')) SELECT id, cluster_id, round(total, 5) AS total FROM g ORDER BY g.total DESC, id LIMIT 100")
 def pip_01_curate(spark: SparkSession, sf: str) -> DataFrame:
     """Stories, scores, then the gates on full text and reading time, then the top 100."""
-    b = F.col("body")
-    rows = scored(spark, sf).where((text.has_full_text(b) | F.col("kind").isin("video", "audio")) & ((text.read_minutes(b) >= v.MIN_READ_MINUTES) | (text.plain(b) == "")))
-    return feed.ranked(rows, 100).select("id", "cluster_id", F.round("total", 5).alias("total"))
+    full = (F.col("n_plain") > v.FULL_TEXT_CHARS) | F.col("kind").isin("video", "audio")
+    rows = scored(spark, sf).where(full & ((F.col("minutes") >= v.MIN_READ_MINUTES) | (F.col("n_plain") == 0)))
+    return feed.top(rows, 100).select("id", "cluster_id", F.round("total", 5).alias("total"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom import vocab as v
@@ -98,8 +98,9 @@ def agg_32_failures(spark: SparkSession, sf: str) -> DataFrame:
 @query(q.FULL_SCORE + f"SELECT id, count(*) OVER (PARTITION BY cluster_id) AS n FROM total WHERE {q.minutes('body')} >= 3")
 def agg_33_cluster_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes of stories among the items that pass a gate."""
-    rows = scored(spark, sf).where(text.read_minutes(F.col("body")) >= 3)
-    return rows.select("id", F.count("*").over(Window.partitionBy("cluster_id")).alias("n"))
+    rows = scored(spark, sf).where(F.col("minutes") >= 3).select("id", "cluster_id")
+    size = feed.Workspace(spark).write(rows.groupBy("cluster_id").agg(F.count("*").alias("n")), "sizes")
+    return rows.join(size, "cluster_id").select("id", "n")
 
 
 @query(q.with_(q.ITEMS) + "SELECT list_sort(topics)[1] AS facet, kind, count(*) AS n FROM items GROUP BY ALL")
@@ -148,18 +149,13 @@ def jon_03_overlay(spark: SparkSession, sf: str) -> DataFrame:
     return r.join(over, "id", "left").select("id", F.coalesce("o_status", "status").alias("status"), F.coalesce("o_strikes", "strikes").alias("strikes"))
 
 
-@query(q.with_(q.ITEMS, q.TOKENS) + "SELECT x, y FROM story")
+@query(q.with_(q.ITEMS, q.TOKENS) + """, cls AS (SELECT words, min(ord) AS c FROM tok WHERE len(words) > 0 GROUP BY words), e AS (SELECT ord, unnest(entities) AS e FROM items),
+    k AS (SELECT a.ord, a.e AS p, b.e AS r FROM e a JOIN e b ON a.ord = b.ord AND a.e < b.e), kf AS (SELECT p, r, min(ord) AS x FROM k GROUP BY p, r)
+    SELECT a.c AS x, b.c AS y, 'title' AS kind FROM cls a JOIN cls b ON a.c < b.c WHERE len(list_intersect(a.words, b.words)) >= 0.6::DOUBLE * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) - 1e-9
+    UNION ALL SELECT c, ord, 'member' FROM tok JOIN cls USING (words) WHERE ord <> c UNION ALL SELECT DISTINCT x, ord, 'entities' FROM k JOIN kf USING (p, r) WHERE ord <> x""")
 def jon_10_story_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs of items with like titles: pairs of classes, opened to their members for this report."""
-    every = items(spark, sf)
-    sets = every.select("ord", F.array_sort(text.title_tokens(F.col("title"))).alias("words")).where(F.size("words") > 0)
-    reps = sets.groupBy("words").agg(F.min("ord").alias("c"))
-    member = sets.join(reps, "words").select("ord", "c")
-    near = feed.story_pairs(every).join(reps.select(F.col("c").alias("x")), "x").join(reps.select(F.col("c").alias("y")), "y")
-    a, b = member.select(F.col("ord").alias("i"), F.col("c").alias("x")), member.select(F.col("ord").alias("j"), F.col("c").alias("y"))
-    across = near.join(a, "x").join(b, "y").select("i", "j")
-    within = a.join(b.select(F.col("j"), F.col("y").alias("x")), "x").where("i < j").select("i", "j")
-    return across.union(within).select(F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))
+    """Like titles as pairs between classes of equal titles, and who is in a class or shares two entities; no copies are opened into pairs."""
+    return feed.story_links(items(spark, sf).select("ord", "title", "entities"))
 
 
 _OK = f"({q.minutes('body')} >= 3 AND length({q.plain('body')}) > 800)"
@@ -168,17 +164,19 @@ _OK = f"({q.minutes('body')} >= 3 AND length({q.plain('body')}) > 800)"
 @query(q.FULL_RANK + f"SELECT id, {_OK} AND sum(CAST({_OK} AS INT)) OVER (ORDER BY place) <= 10 AS featured FROM ranked")
 def win_08_featured(spark: SparkSession, sf: str) -> DataFrame:
     """The first ten that are eligible; the rest keeps its order."""
-    ok = (text.read_minutes(F.col("body")) >= 3) & text.has_full_text(F.col("body"))
-    rows = rank(spark, sf).withColumn("ok", ok)
-    return rows.select("id", (F.col("ok") & (F.sum(F.col("ok").cast("int")).over(Window.orderBy("place")) <= v.FEATURED)).alias("featured"))
+    rows = scored(spark, sf)
+    best = F.broadcast(feed.featured(rows).withColumn("featured", F.lit(True)))
+    return rows.select("id").join(best, "id", "left").select("id", F.coalesce("featured", F.lit(False)).alias("featured"))
 
 
-_CELLS = ["wide", "tall", "small", "small", "wide", "small", "tall", "small", "small", "wide", "small", "tall"]
+# fixed values: sizes of the cells behind the feature, over and over
+_CELLS = ["wide", "regular", "tall", "regular", "regular", "wide", "regular", "regular", "tall", "regular", "regular", "wide"]
 
 
-@query(q.FULL_RANK + f"SELECT id, {q.array(_CELLS)}[place % 12 + 1] AS cell FROM ranked")
+@query(q.FULL_RANK + f"SELECT id, CASE WHEN place = 0 THEN 'feature' ELSE {q.array(_CELLS)}[(place - 1) % 12 + 1] END AS cell FROM ranked")
 def win_12_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return rank(spark, sf).select("id", pick(_CELLS, F.col("place") % 12).alias("cell"))
+    p = F.col("place")
+    return rank(spark, sf).select("id", F.when(p == 0, "feature").otherwise(pick(_CELLS, (p - 1) % 12)).alias("cell"))
 
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -187,15 +185,22 @@ def win_04_last(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("event_id"))
 
 
-@query(q.FULL_RANK + ", f AS (SELECT id, total + coalesce((SELECT sum(v) FROM profile WHERE topic = ranked.topics[1]), 0) AS s FROM ranked) SELECT id, row_number() OVER (ORDER BY round(s, 9) DESC, id) - 1 AS place FROM f")
+_LIVE = f"""live AS (SELECT kind, term, s / max(s) OVER (PARTITION BY kind) AS v FROM (SELECT kind, term, sum(({q.WEIGHT}) * exp(-0.6931471805599453 * ({v.NOW} - at_s) / {v.DAY}.0::DOUBLE / 7)) AS s
+    FROM (SELECT * FROM ev WHERE at_s >= {v.NOW - 14 * v.DAY}) ev JOIN (SELECT id, 'topic' AS kind, unnest(topics) AS term FROM items UNION ALL SELECT id, 'entity', unnest(entities) FROM items) i ON i.id = ev.item_id
+    WHERE (SELECT count(*) >= {v.MIN_EVENTS} AND (max(at_s) - min(at_s)) / {v.DAY}.0 >= {v.MIN_DAYS} FROM ev WHERE at_s >= {v.NOW - 14 * v.DAY}) GROUP BY kind, term)),
+    mine AS (SELECT id, sum(v / n) AS m FROM (SELECT id, 'topic' AS kind, unnest(topics) AS term, len(topics) AS n FROM items UNION ALL SELECT id, 'entity', unnest(entities), len(entities) FROM items) JOIN live USING (kind, term) GROUP BY id)"""
+
+
+@query(q.FULL_RANK + ", " + _LIVE + ", f AS (SELECT id, round(total - affinity + 6.0::DOUBLE * coalesce(m, 0), 9) AS s FROM ranked LEFT JOIN mine USING (id)) SELECT id, row_number() OVER (ORDER BY s DESC, id) - 1 AS place FROM f")
 def srt_02_for_you(spark: SparkSession, sf: str) -> DataFrame:
-    """Base score plus the liking of the first topic."""
+    """The base score without taste, plus the taste of the last two weeks."""
     from feedloom.sources.entities import engagements
 
-    liking = feed.taste_profile(engagements(spark, sf)[0], items(spark, sf), v.NOW)
-    rows = rank(spark, sf).withColumn("topic", F.get("topics", 0)).join(F.broadcast(liking), "topic", "left")
-    s = F.round(F.col("total") + F.coalesce("v", F.lit(0.0)), 9)
-    return rows.select("id", (F.row_number().over(Window.orderBy(s.desc(), "id")) - 1).cast("bigint").alias("place"))
+    recent = engagements(spark, sf)[0].where(F.col("at_s") >= v.NOW - 14 * v.DAY)
+    live = feed.affinity(items(spark, sf), feed.taste_profile(recent, items(spark, sf), v.NOW))
+    s = F.round(F.col("total") - F.col("affinity") + v.WEIGHTS["affinity"] * F.coalesce("liked", F.lit(0.0)), 9)
+    rows = scored(spark, sf).join(live, "id", "left").select("id", s.alias("s"))
+    return feed.ranked(rows, [F.desc("s"), F.col("id")]).select("id", "place")
 
 
 @query(q.with_(q.ITEMS) + "SELECT source, count(*) AS n FROM items GROUP BY source ORDER BY n DESC, source LIMIT 12")
@@ -260,9 +265,8 @@ def stf_02_rediscovered(spark: SparkSession, sf: str) -> DataFrame:
 @query(q.FULL_RANK + f", ok AS (SELECT * FROM ranked WHERE {_OK}), top AS (SELECT id FROM ok ORDER BY place LIMIT 10) SELECT id, topics[1] AS rail FROM ranked WHERE id NOT IN (SELECT id FROM top)")
 def pip_07_rails(spark: SparkSession, sf: str) -> DataFrame:
     """The front page below the feature block: what is not featured, by primary channel."""
-    rows = rank(spark, sf)
-    ok = rows.where((text.read_minutes(F.col("body")) >= 3) & text.has_full_text(F.col("body")))
-    return rows.join(ok.orderBy("place").limit(v.FEATURED).select("id"), "id", "left_anti").select("id", F.get("topics", 0).alias("rail"))
+    rows = scored(spark, sf)
+    return rows.join(F.broadcast(feed.featured(rows)), "id", "left_anti").select("id", F.get("topics", 0).alias("rail"))
 
 
 @query("SELECT DISTINCT o_custkey AS c, CAST(floor(epoch(max(o_orderdate) OVER (PARTITION BY o_custkey))) AS BIGINT) - CAST(floor(epoch(min(o_orderdate) OVER (PARTITION BY o_custkey))) AS BIGINT) AS span_s FROM orders")

@@ -33,7 +33,8 @@ ITEMS = f"""items AS (
     SELECT 'd' || d.doc_id AS id, d.doc_id AS ord, d.source, trim(regexp_extract(d.text, '^[^\\n.]{{1,80}}', 0)) AS title, d.text AS body,
            {v.NOW - v.DAY} - d.doc_id * 37 % 43200 * 60 AS published_s, [{array(v.CHANNELS)}[d.doc_id % 18 + 1], {array(v.CHANNELS)}[(d.doc_id * 7 + 3) % 18 + 1]] AS topics,
            CAST(l.quality AS DOUBLE) AS trust, {array(v.ITEM_KINDS)}[d.doc_id % 6 + 1] AS kind, {array(v.SOURCE_TYPES)}[d.doc_id % 9 + 1] AS source_type,
-           d.n_chars % 500 AS score, d.doc_id % 50 AS comments, 'https://e.example/' || (d.doc_id % 700) AS url
+           d.n_chars % 500 AS score, d.doc_id % 50 AS comments, 'https://e.example/' || (d.doc_id % 700) AS url,
+           ['p' || (d.doc_id % 41), 'q' || (d.doc_id * 7 % 43), 'r' || (d.doc_id // 2 % 37)] AS entities
     FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 EVENTS = """ev AS (
     SELECT event_id, 'd' || regexp_extract(props, '(\\d+)', 1) AS item_id, CASE event_type WHEN 'view' THEN 'open' WHEN 'click' THEN 'read' WHEN 'purchase' THEN 'dwell' END AS type,
@@ -41,10 +42,10 @@ EVENTS = """ev AS (
     FROM events WHERE event_type IN ('view', 'click', 'purchase'))"""
 WEIGHT = "CASE type WHEN 'open' THEN 1.0::DOUBLE WHEN 'read' THEN 3.0::DOUBLE ELSE least(coalesce(dwell_ms, 0) / 30000.0::DOUBLE, 5.0::DOUBLE) END"
 PROFILE = f"""sums AS (
-    SELECT topic, sum(({WEIGHT}) * exp(-0.6931471805599453 * ({v.NOW} - at_s) / {v.DAY}.0::DOUBLE / 7)) AS s
-    FROM ev JOIN (SELECT id, unnest(topics) AS topic FROM items) i ON i.id = ev.item_id
-    WHERE (SELECT count(*) >= {v.MIN_EVENTS} AND (max(at_s) - min(at_s)) / {v.DAY}.0 >= {v.MIN_DAYS} FROM ev) GROUP BY topic),
-profile AS (SELECT topic, s / max(s) OVER () AS v FROM sums)"""
+    SELECT kind, term, sum(({WEIGHT}) * exp(-0.6931471805599453 * ({v.NOW} - at_s) / {v.DAY}.0::DOUBLE / 7)) AS s
+    FROM ev JOIN (SELECT id, 'topic' AS kind, unnest(topics) AS term FROM items UNION ALL SELECT id, 'entity', unnest(entities) FROM items) i ON i.id = ev.item_id
+    WHERE (SELECT count(*) >= {v.MIN_EVENTS} AND (max(at_s) - min(at_s)) / {v.DAY}.0 >= {v.MIN_DAYS} FROM ev) GROUP BY kind, term),
+profile AS (SELECT kind, term, s / max(s) OVER (PARTITION BY kind) AS v FROM sums)"""
 REGISTRY = f"""registry AS (
     SELECT 's' || c_custkey AS id, c_custkey AS n, CASE WHEN c_custkey % 11 = 0 THEN 'disabled' WHEN c_custkey % 7 = 0 THEN 'failing' WHEN c_custkey % 5 = 0 THEN 'dormant' ELSE 'active' END AS status,
            c_custkey % 11 <> 0 AS enabled, CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 3 ELSE 0 END AS strikes, CASE WHEN c_custkey % 11 = 0 THEN {v.NOW} - (c_custkey % 20) * {v.DAY} END AS disabled_s,
@@ -66,23 +67,25 @@ TOKENS = f"""tok AS (SELECT ord, list_sort(list_distinct(list_filter(string_spli
 story AS (SELECT a.ord AS x, b.ord AS y FROM tok a JOIN tok b ON a.ord < b.ord AND len(a.words) > 0 AND len(b.words) > 0
           WHERE len(list_intersect(a.words, b.words)) >= 0.6::DOUBLE * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) - 1e-9)"""
 CLUSTERS = f"""{TOKENS},
-sedge AS (SELECT x AS a, y AS b FROM story UNION ALL SELECT y, x FROM story),
+shared AS (SELECT a.ord AS x, b.ord AS y FROM (SELECT ord, unnest(entities) AS e FROM items) a JOIN (SELECT ord, unnest(entities) AS e FROM items) b ON a.e = b.e AND a.ord < b.ord GROUP BY ALL HAVING count(*) >= 2),
+told AS (SELECT x, y FROM story UNION SELECT x, y FROM shared),
+sedge AS (SELECT x AS a, y AS b FROM told UNION ALL SELECT y, x FROM told),
 sreach AS (SELECT ord AS a, ord AS b FROM items UNION SELECT r.a, e.b FROM sreach r JOIN sedge e ON r.b = e.a),
 comp AS (SELECT a AS ord, min(b) AS c FROM sreach GROUP BY a),
 cid AS (SELECT c, substr(sha1(string_agg(i.id, '|' ORDER BY i.id)), 1, 12) AS cluster_id FROM comp JOIN items i USING (ord) GROUP BY c),
 clustered AS (SELECT i.*, cid.cluster_id FROM items i JOIN comp USING (ord) JOIN cid USING (c))"""
 _W = v.WEIGHTS
-SCORED = f"""liked AS (SELECT id, sum(v) AS liked FROM (SELECT id, unnest(topics) AS topic FROM items) JOIN profile USING (topic) GROUP BY id),
+SCORED = f"""liked AS (SELECT id, sum(v / n) AS liked FROM (SELECT id, 'topic' AS kind, unnest(topics) AS term, len(topics) AS n FROM items UNION ALL SELECT id, 'entity', unnest(entities), len(entities) FROM items) JOIN profile USING (kind, term) GROUP BY id),
 scored AS (SELECT c.*, count(*) OVER (PARTITION BY cluster_id) AS cluster_size,
     {_W['recency']}::DOUBLE * exp(-0.6931471805599453 * greatest(({v.NOW} - published_s) / {v.DAY}.0::DOUBLE, 0) / 7) AS recency,
     {_W['trust']}::DOUBLE * coalesce(trust, 0.5::DOUBLE) AS trust_term, {_W['metrics']}::DOUBLE * log10(1 + greatest(score + comments, 0)) / 5 AS metrics,
     {_W['cluster']}::DOUBLE * log10(CAST(count(*) OVER (PARTITION BY cluster_id) AS DOUBLE)) AS cluster,
     CASE WHEN length({plain('body')}) > 800 THEN {_W['full_text']}::DOUBLE WHEN kind IN ('video', 'audio') THEN {_W['media']}::DOUBLE ELSE 0 END AS content,
     {_W['read_time']}::DOUBLE * exp(-({minutes('body')} - 15.0::DOUBLE) * ({minutes('body')} - 15.0::DOUBLE) / 200) AS read_time,
-    {_W['affinity']}::DOUBLE * coalesce(liked, 0) / len(topics) AS affinity
+    {_W['affinity']}::DOUBLE * coalesce(liked, 0) AS affinity
     FROM clustered c LEFT JOIN liked USING (id)),
 total AS (SELECT *, recency + trust_term + metrics + cluster + content + read_time + affinity AS total FROM scored)"""
-RANKED = "ranked AS (SELECT *, row_number() OVER (ORDER BY total DESC, id) - 1 AS place FROM total QUALIFY place < 200)"
+RANKED = "ranked AS (SELECT *, row_number() OVER (ORDER BY total DESC, id) - 1 AS place FROM total)"
 
 
 def with_(*parts: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom import vocab as v
+from feedloom.functions import text
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +29,18 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("d"), n.cast("string")).alias("id"), n.alias("ord"), "source", F.trim(F.regexp_extract("text", r"^[^\n.]{1,80}", 0)).alias("title"), F.col("text").alias("body"),
         (F.lit(v.NOW - v.DAY) - n * 37 % 43200 * 60).alias("published_s"), F.array(pick(v.CHANNELS, n % 18), pick(v.CHANNELS, (n * 7 + 3) % 18)).alias("topics"), F.col("quality").cast("double").alias("trust"),
         pick(v.ITEM_KINDS, n % 6).alias("kind"), pick(v.SOURCE_TYPES, n % 9).alias("source_type"), (F.col("n_chars") % 500).alias("score"), (n % 50).alias("comments"), F.concat(F.lit("https://e.example/"), (n % 700).cast("string")).alias("url"),
+        F.array(F.concat(F.lit("p"), (n % 41).cast("string")), F.concat(F.lit("q"), (n * 7 % 43).cast("string")), F.concat(F.lit("r"), (F.floor(n / 2) % 37).cast("string"))).alias("entities"),
     )
 
 
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items without their bodies: what scores and gates need of a body are its plain length, words and minutes."""
+    p = F.col("plain")
+    rows = items(spark, sf_dir).withColumn("plain", text.plain(F.col("body")))
+    rows = rows.withColumns({"n_plain": F.length(p), "minutes": text.half_up(text.plain_words(p) / v.WORDS_PER_MINUTE)})
+    return rows.drop("body", "plain")
+
+
 def engagements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Engagement events, valid ones and rejects with the reason."""
     e = table(spark, sf_dir, "events")

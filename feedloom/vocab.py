@@ -31,9 +31,10 @@ WEIGHTS = {"recency": 1.0, "trust": 1.0, "metrics": 1.0, "cluster": 0.5, "affini
 PEAK_MINUTES, SIGMA_MINUTES, HALF_LIFE_DAYS = 15.0, 10.0, 7.0
 WORDS_PER_MINUTE, FULL_TEXT_CHARS, MIN_READ_MINUTES, MAKER_READ_MINUTES = 225, 800, 5, 3
 MIN_EVENTS, MIN_DAYS, DWELL_MS_PER_POINT, DWELL_CAP = 20, 5, 30_000, 5.0
-SAME_TITLE_HOURS, TITLE_JACCARD, ARCHIVE_DAYS = 36, 0.6, 14
+SAME_TITLE_HOURS, TITLE_JACCARD, SHARED_ENTITIES, ARCHIVE_DAYS = 36, 0.6, 2, 14
 FEATURED, LIST_WINDOW, MIN_PER_MEDIUM = 10, 50, 2
 STRIKES, REPROBE_DAYS, SUMMARY_CHARS = 3, 7, 280
+# fixed values: channels of makers
 MAKER_CHANNELS = ["diy", "3d-printing", "iot", "embedded", "ai-projects"]
 #: The clock is always a parameter; this one fits the tables' range (2024-01-31 00:00 UTC, in seconds).
 NOW = 1_706_659_200

@@ -87,7 +87,7 @@ def test_diversity_floor_against_a_loop(spark):
         for i in late:
             want.remove(i)
         want[end - len(late) : end - len(late)] = late
-    got = feed.diversity_floor(spark.createDataFrame(rows, "id string, kind string, total double, place int")).orderBy("place").collect()
+    got = feed.diversity_floor(spark.createDataFrame(rows, "id string, kind string, total double, place bigint")).orderBy("place").collect()
     assert [r["id"] for r in got] == want
 
 
@@ -113,7 +113,7 @@ def test_health_transitions(spark, before, ok, code, n, after):
 
 def test_empty_profile_below_the_gate(spark):
     events = spark.createDataFrame([(1, "d1", "open", v.NOW, None, 1)], "event_id int, item_id string, type string, at_s bigint, dwell_ms double, device int")
-    items = spark.createDataFrame([("d1", ["ai"])], "id string, topics array<string>")
+    items = spark.createDataFrame([("d1", ["ai"], ["x"])], "id string, topics array<string>, entities array<string>")
     assert feed.taste_profile(events, items, v.NOW).collect() == []
 
 
