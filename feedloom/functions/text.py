@@ -20,7 +20,7 @@ def title_tokens(title: Column) -> Column:
 
 def plain(text: Column) -> Column:
     """Markup out, white space squeezed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]*>", " "), r"(?: \s|[\t\n\x0B\f\r])\s*", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]*>", " "), r"[\t\n\x0B\f\r]\s*| \s+", " "))
 
 
 def plain_words(p: Column) -> Column:

@@ -46,12 +46,16 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Edges beyond which minima are written before they are joined.
+SPLIT_EDGES = 1_000_000
+
+
 def components(spark: SparkSession, space: Workspace, links: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of links (a, b): (node, component), component being the smallest node.
 
     Alternates the large-star and small-star steps until the edges stay the same; each round is two map-side-combined
-    minima and two joins. What joins meet is written first, so that Spark can split a hub's rows. Nodes without links
-    are not in the result.
+    minima and two joins. In large graphs what joins meet is written first, so that Spark
+    can split a hub's rows. Nodes without links are not in the result.
     """
     written: list[str] = []
 
@@ -62,17 +66,20 @@ def components(spark: SparkSession, space: Workspace, links: DataFrame, name: st
         written.append(what)
         return found, tuple(seen.get[k] for k in ("n", "x", "s"))
 
+    def met(df: DataFrame, what: str) -> DataFrame:
+        return space.write(df, what) if now[0] > SPLIT_EDGES else df
+
     edges, now = put(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
     seen, k = None, 0
     while now != seen and now[0]:
         k, seen = k + 1, now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = space.write(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least-{k}")
-        large, _ = put(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{name}-large-{k}")
-        low = space.write(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low-{k}")
-        met = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges, now = put(met.distinct(), f"{name}-{k}")
-        space.drop(*written[:-1], f"{name}-least-{k}", f"{name}-low-{k}")
+        least = met(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least-{k}")
+        large = met(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{name}-large-{k}")
+        low = met(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low-{k}")
+        new = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        edges, now = put(new.distinct(), f"{name}-{k}")
+        space.drop(*written[:-1], *(f"{name}-{x}-{k}" for x in ("least", "large", "low")))
         del written[:-1]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

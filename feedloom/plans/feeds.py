@@ -15,8 +15,9 @@ from feedloom.sources.entities import engagements, features, items
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """All items with their stories, terms and total, without bodies."""
-    every = features(spark, sf)
-    profile = feed.taste_profile(engagements(spark, sf)[0], items(spark, sf), v.NOW)
+    space = feed.Workspace(spark)
+    every = space.write(features(spark, sf), "features")
+    profile = space.write(feed.taste_profile(engagements(spark, sf)[0], every, v.NOW), "profile")
     return feed.score_items(feed.story_clusters(every), profile, v.NOW)
 
 
