@@ -9,15 +9,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.operators.graph import Workspace, components, shared_folder
+from feedloom.operators.graph import Workspace, components, shared_folder, small
 
-__all__ = ["Rolling", "Workspace", "add_up", "chunks", "components", "mix", "randoms", "shards", "shared_folder", "shingles", "small", "store_of", "string_buffers", "text_of", "word_hashes", "words"]
+__all__ = ["Rolling", "Workspace", "add_up", "chunks", "components", "merge_sorted", "mix", "randoms", "shards", "shared_folder", "shingles", "small", "store_of", "string_buffers", "text_of", "word_hashes", "words"]
 
 #: Bytes of text that a task turns into arrays at a time (a single longer text is taken whole).
 CHUNK_BYTES = 1 << 19
+#: Bytes of text whose index entries one piece may hold.
+PIECE_BYTES = 256 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -25,9 +27,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shards(spark: SparkSession) -> int:
-    """Pieces to deal an index over: as many as the session shuffles to, so they grow with the cluster's settings."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def shards(texts: DataFrame, column: str = "body") -> int:
+    """Pieces to deal an index of texts over: as many as the session shuffles to, or more if they hold over PIECE_BYTES each."""
+    size = texts.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PIECE_BYTES))
 
 
 def text_of(column: str = "text") -> Column:
@@ -170,13 +173,26 @@ def add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[first], np.add.reduceat(c, first) if len(first) else c
 
 
+def merge_sorted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of several, each sorted and distinct, as one: neighbours are merged in pairs, nothing is sorted anew."""
+    while len(parts) > 1:
+        parts = [_merge_two(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0] if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _merge_two(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not len(a[0]) or not len(b[0]):
+        return a if len(a[0]) else b
+    at = np.searchsorted(a[0], b[0])
+    same = a[0][np.minimum(at, len(a[0]) - 1)] == b[0]
+    same &= at < len(a[0])
+    counts = a[1].copy()
+    counts[at[same]] += b[1][same]
+    return np.insert(a[0], at[~same], b[0][~same]), np.insert(counts, at[~same], b[1][~same])
+
+
 def store_of(uri: str):
     """The file system that a task reaches a folder of the shared folder by, and the path there."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast if it has at most `rows` rows; beyond that Spark's own choice of join stands."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

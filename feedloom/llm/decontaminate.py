@@ -157,25 +157,41 @@ def _window_rows(sizes: list[int], wanted: np.ndarray | None) -> Callable:
 _WINDOWS = "id bigint, fp bigint, hash bigint, place bigint, slots array<bigint>, size int, tokens bigint, reading int, pattern bigint, named boolean"
 
 
+def _shapes(windows: DataFrame) -> DataFrame:
+    return windows.groupBy("id", "fp", "reading", "pattern").agg(F.sum(F.xxhash64("place", "hash").cast("decimal(38,0)")).alias("shape"), F.count("*").alias("windows"))
+
+
+def template_classes(benchmark: DataFrame, item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per item with a window and reading: id, reading (0 to 2), class_id.
+
+    class_id is the smallest id of the items with the same template and pattern of equal slots in that reading; a
+    document reported for the one holds them all. Items without windows (empty, nearly all placeholders) have no row.
+    """
+    items = benchmark.select(F.col(item_column).cast("bigint").alias("id"), text_of(item_text).alias("body")).withColumn("fp", F.xxhash64("body"))
+    shape = Workspace(benchmark.sparkSession).write(_shapes(items.select("id", "fp", "body").mapInArrow(_window_rows([], None), _WINDOWS)), "shapes")
+    key = ["reading", "pattern", "shape", "windows"]
+    return shape.join(shape.groupBy(*key).agg(F.min("id").alias("class_id")), key).select(F.col("id").alias(item_column), "reading", "class_id").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and template of the benchmark that it holds.
 
     Returns id, fp (xxhash64 of the text), item_id (the smallest of the items with that template and the same pattern
-    of equal slots), matched_windows, item_windows, matched_tokens, n_slots, of the reading and diagonal that match
-    best. Where slots contradict each other, the windows that have the item's own values count by themselves, if there
-    are values in them. Null or empty texts hold nothing, and empty items are held by nothing; rows that repeat an id give rows that repeat; items whose words are nearly all
-    placeholders have no window. Rows with null ids are looked at and reported with a null id.
+    of equal slots), matched_windows, item_windows, matched_tokens, n_slots, n_items (how many items are in that class,
+    see template_classes), of the reading and diagonal that match best. Where slots contradict each other, the windows that have the item's own values count by themselves, if there
+    are values in them. Null or empty texts hold nothing, and empty items are held by nothing; rows that repeat an id
+    and its text give one row; items whose words are nearly all placeholders have no window. Rows with null ids are looked at and reported with a null id.
     """
     spark = docs.sparkSession
     space = Workspace(spark)
     items = benchmark.select(F.col(item_column).cast("bigint").alias("id"), text_of(item_text).alias("body")).withColumn("fp", F.xxhash64("body"))
     all_windows = space.write(items.select("id", "fp", "body").mapInArrow(_window_rows([], None), _WINDOWS), "item_windows")
     # items with one template and one pattern of equal slots are one class of a reading, named as in the first reading
-    shape = all_windows.groupBy("id", "fp", "reading", "pattern").agg(F.sum(F.xxhash64("place", "hash").cast("decimal(38,0)")).alias("shape"), F.count("*").alias("windows"))
-    classes = shape.groupBy("reading", "pattern", "shape", "windows").agg(F.min(F.struct("id", "fp")).alias("c"))
+    shape = _shapes(all_windows)
+    classes = shape.groupBy("reading", "pattern", "shape", "windows").agg(F.min(F.struct("id", "fp")).alias("c"), F.count_distinct("id").alias("n_items"))
     names = shape.where("reading = 0").join(classes, ["reading", "pattern", "shape", "windows"]).select("id", "fp", F.col("c.id").alias("item_id"))
-    classes = classes.select("c.id", "c.fp", "reading", F.col("windows").alias("item_windows")).join(names, ["id", "fp"], "left").distinct()
-    windows = space.write(all_windows.join(classes, ["id", "fp", "reading"]).select("reading", F.col("id").alias("held_id"), F.coalesce("item_id", "id").alias("item_id"), "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "size", F.col("tokens").alias("item_tokens"), "item_windows", F.col("named").alias("item_named")).distinct(), "classes")
+    classes = classes.select("c.id", "c.fp", "reading", "n_items", F.col("windows").alias("item_windows")).join(names, ["id", "fp"], "left").distinct()
+    windows = space.write(all_windows.join(classes, ["id", "fp", "reading"]).select("reading", F.col("id").alias("held_id"), F.coalesce("item_id", "id").alias("item_id"), "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "size", F.col("tokens").alias("item_tokens"), "item_windows", "n_items", F.col("named").alias("item_named")).distinct(), "classes")
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # WINDOW values at most
     hashes = windows.select("hash").distinct()
     few = hashes.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
@@ -185,7 +201,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     met = found.join(windows, "hash").withColumn("diagonal", F.col("place") - F.col("item_place"))
     pairs = F.arrays_zip(F.col("slots").alias("d"), F.col("item_slots").alias("i"))
     same = F.col("slots") == F.col("item_slots")
-    on = met.groupBy("id", "fp", "reading", "held_id", "item_id", "item_windows", "item_tokens", "size", "diagonal").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"), F.collect_set(F.when(same, F.col("item_place"))).alias("same_places"), F.array_distinct(F.flatten(F.collect_list(F.when(same, pairs)))).alias("same_pairs"), F.max(F.when(same, F.col("named") | F.col("item_named"))).alias("same_named"), F.max(F.col("named") | F.col("item_named")).alias("any_named"))
+    on = met.groupBy("id", "fp", "reading", "held_id", "item_id", "item_windows", "n_items", "item_tokens", "size", "diagonal").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"), F.collect_set(F.when(same, F.col("item_place"))).alias("same_places"), F.array_distinct(F.flatten(F.collect_list(F.when(same, pairs)))).alias("same_pairs"), F.max(F.when(same, F.col("named") | F.col("item_named"))).alias("same_named"), F.max(F.col("named") | F.col("item_named")).alias("any_named"))
     one_to_one = (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.d")))) & (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.i"))))
     # the second reading decides only where it matches names as words: else the others see at least as much
     proof = F.when(F.col("reading") == 1, F.when(F.col("fits"), F.col("any_named")).otherwise(F.col("same_named"))).otherwise(F.col("fits") | (F.size("same_pairs") > 0))
@@ -194,5 +210,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1)))))
     on = on.withColumns({"matched_windows": F.size("places"), "matched_tokens": covered, "n_slots": F.size("pairs")})
     on = on.where((F.col("matched_windows") >= SHARE * F.col("item_windows")) | (F.col("matched_tokens") >= RUN))
-    best = on.groupBy("id", "fp", "item_id").agg(F.max(F.struct("matched_windows", "matched_tokens", "n_slots", "item_windows")).alias("b"))
-    return best.select(F.col("id").alias(id_column), "fp", "item_id", *(F.col(f"b.{c}").cast("bigint").alias(c) for c in ("matched_windows", "item_windows", "matched_tokens", "n_slots")))
+    best = on.groupBy("id", "fp", "item_id").agg(F.max(F.struct("matched_windows", "matched_tokens", "n_slots", "item_windows", "n_items")).alias("b"))
+    return best.select(F.col("id").alias(id_column), "fp", "item_id", *(F.col(f"b.{c}").cast("bigint").alias(c) for c in ("matched_windows", "item_windows", "matched_tokens", "n_slots", "n_items")))

@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import Workspace, add_up, shards, small, text_of
+from feedloom.llm.common import Workspace, merge_sorted, shards, small, text_of
 
 #: Bits of a fingerprint that name its home slot; the other bits are the remainder.
 QUOTIENT_BITS = 20
 #: Repeated fingerprints (24 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Rows whose fingerprints one range of quotients may hold (16 bytes each).
+RANGE_ROWS = 4_000_000
 _FILTER = "shard int, low bigint, occupied binary, run_ends binary, remainders binary, counts binary"
 
 
@@ -52,14 +54,16 @@ class CountingQuotientFilter:
 
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter], low: int = 0, bits: int = QUOTIENT_BITS) -> CountingQuotientFilter:
-        return cls.build(*add_up([f.fingerprints(bits) for f in filters], [f.counts for f in filters]), low, bits)
+        """Runs come in the order of quotients and remainders ascend within them, so the filters are merged as they stand."""
+        return cls.build(*merge_sorted([(f.fingerprints(bits), f.counts) for f in filters]), low, bits)
 
 
 def _filters(n_shards: int, bits: int) -> Callable:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # sorted parts, each over twice as large as the next
 
         def out() -> Iterator[pa.RecordBatch]:
+            keys, counts = merge_sorted(held)
             shard = ((keys >> np.uint64(64 - bits)) * np.uint64(n_shards) >> np.uint64(bits)).astype(np.int64)
             cuts = np.searchsorted(shard, np.arange(n_shards + 1))
             for s in np.unique(shard).tolist():
@@ -69,11 +73,12 @@ def _filters(n_shards: int, bits: int) -> Callable:
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "low": [low], "occupied": [np.packbits(f.occupied).tobytes()], "run_ends": [np.packbits(f.run_ends).tobytes()], "remainders": [f.remainders.tobytes()], "counts": [f.counts.tobytes()]})
 
         for batch in batches:
-            fresh, n = np.unique(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), return_counts=True)
-            keys, counts = add_up([keys, fresh], [counts, n])
-            if len(keys) > 4_000_000:  # 64 MB: a task's memory stays bounded
+            held.append(np.unique(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), return_counts=True))
+            while len(held) > 1 and len(held[-2][0]) <= 2 * len(held[-1][0]):
+                held[-2:] = [merge_sorted(held[-2:])]
+            if sum(len(k) for k, _ in held) > 4_000_000:  # 64 MB: a task's memory stays bounded
                 yield from out()
-                keys, counts = keys[:0], counts[:0]
+                held.clear()
         yield from out()
 
     return build
@@ -94,7 +99,7 @@ def _merge(bits: int) -> Callable:
 
 def repeated_fingerprints(fingerprints: DataFrame, bits: int = QUOTIENT_BITS) -> DataFrame:
     """fingerprints: one bigint column. Returns (fp, n) of those that occur more than once."""
-    n = min(shards(fingerprints.sparkSession), 1 << bits)
+    n = min(max(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fingerprints.count() // RANGE_ROWS)), 1 << bits)
     return fingerprints.mapInArrow(_filters(n, bits), _FILTER).groupBy("shard").applyInArrow(_merge(bits), "fp bigint, n bigint")
 
 

@@ -35,6 +35,22 @@ SENTENCES = {
     "ccbysa-notice": ["Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0"],
     "ccbync-notice": ["Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0"],
     "cc0-notice": ["Licensed under CC0 1.0", "Released under the CC0 1.0 license"],
+    "gpl2-notice": ["This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2", "Released under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "gpl2-share": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
+    "lgpl-notice": ["SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later", "Licensed under the GNU Lesser General Public License, version 2.1"],
+    "lgpl-share": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl-hope": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+    "agpl-notice": ["SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later", "Licensed under the GNU Affero General Public License, version 3"],
+    "agpl-share": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "unlicense-free": ["This is free and unencumbered software released into the public domain"],
+    "unlicense-any": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "boost-notice": ["Distributed under the Boost Software License, Version 1.0", "SPDX-License-Identifier: BSL-1.0"],
+    "boost-grant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"],
+    "epl-notice": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", "SPDX-License-Identifier: EPL-2.0"],
+    "mpl-obtain": ["If a copy of the MPL was not distributed with this file, You can obtain one at", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"],
+    "bsd-disclaimer": ["THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"],
 }
 # fixed values: ordered rules (licence, identifiers in order)
 RULES = [
@@ -52,13 +68,30 @@ RULES = [
     ("CC-BY-SA-4.0", "notice", ["ccbysa-notice"]),
     ("CC-BY-NC-4.0", "notice", ["ccbync-notice"]),
     ("CC0-1.0", "notice", ["cc0-notice"]),
+    ("GPL-2.0", "notice", ["gpl2-notice"]),
+    ("GPL-2.0", "header", ["gpl2-share", "gpl-hope"]),
+    ("LGPL-2.1", "notice", ["lgpl-notice"]),
+    ("LGPL-2.1", "header", ["lgpl-share", "lgpl-hope"]),
+    ("AGPL-3.0", "notice", ["agpl-notice"]),
+    ("AGPL-3.0", "header", ["agpl-share", "gpl-hope"]),
+    ("Unlicense", "text", ["unlicense-free", "unlicense-any"]),
+    ("Zlib", "text", ["zlib-as-is", "zlib-grant"]),
+    ("BSL-1.0", "notice", ["boost-notice"]),
+    ("BSL-1.0", "text", ["boost-grant"]),
+    ("EPL-2.0", "notice", ["epl-notice"]),
+    ("MPL-2.0", "header", ["mpl-notice", "mpl-obtain"]),
 ]
 #: Every known sentence has one of the cue words, so texts without any are passed over.
-CUES = "licen|permission|redistribut|provided|warranty|subject to"
-#: Unknown sentences that may stand between two sentences of a rule.
+CUES = "licen|permission|redistribut|provided|warranty|subject to|public domain|is free to copy|obtain one at"
+#: Unknown sentences, and known ones of other rules, that may stand between two sentences of a rule.
 GAP = 3
 
 
+def sequence(ids: list[str]) -> str:
+    """The pattern of a rule's identifiers in a text's sequence of them (>a>b>; | where too many unknown ones stand between)."""
+    return ">" + f">([^|>]+>){{0,{GAP}}}".join(ids) + ">"
+
+
 def normalise(s: str) -> str:
     return re.sub("[^a-z0-9]+", " ", s.lower()).strip()
 
@@ -152,17 +185,17 @@ def licence_hits(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per row of docs with a rule's match, licence and rule: id, licence, rule, n_sentences.
 
     Known sentences are found across line breaks (as in wrapped headers), between ends of sentences, colons, blank lines,
-    list markers and line breaks, and make one sequence a text. Between two sentences of a rule at most GAP others (or
-    lines, if they are fewer) may stand. A rule that is part of a
-    longer one matched in the text is left out. Null and empty texts match nothing; a null id stays null; rows that
+    list markers and line breaks, and make one sequence a text. Between two sentences of a rule at most GAP unknown ones
+    (or lines, if they are fewer) and GAP known ones of other rules may stand. A rule that is part of a longer one
+    matched in the text is left out. Null and empty texts match nothing; a null id stays null; rows that
     repeat an id give one row for each licence and rule.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("body")).where(F.lower("body").rlike(CUES))
     kind = docs.schema[id_column].dataType.simpleString()
     ordered = rows.select("id", F.xxhash64("body").alias("fp"), "body").mapInArrow(_lines(sentence_table()), f"id {kind}, fp bigint, line string")
-    rules = F.broadcast(spark.createDataFrame([(a, b, ">" + ">".join(c) + ">", len(c)) for a, b, c in RULES], "licence string, rule string, pattern string, n_sentences int"))  # fixed size
-    found = ordered.join(rules, F.col("line").contains(F.col("pattern"))).select("id", "fp", "licence", "rule", "pattern", "n_sentences").distinct()
+    rules = F.broadcast(spark.createDataFrame([(a, b, ">" + ">".join(c) + ">", sequence(c), len(c)) for a, b, c in RULES], "licence string, rule string, pattern string, sequence string, n_sentences int"))  # fixed size
+    found = ordered.join(rules, F.regexp_like("line", F.col("sequence"))).select("id", "fp", "licence", "rule", "pattern", "n_sentences").distinct()
     best = found.groupBy("id", "fp").agg(F.collect_list(F.struct("licence", "rule", "pattern", "n_sentences")).alias("all"))
     own = F.filter("all", lambda x: ~F.exists("all", lambda y: (y["n_sentences"] > x["n_sentences"]) & y["pattern"].contains(x["pattern"])))
     return best.select("id", F.explode(own).alias("x")).select("id", "x.licence", "x.rule", "x.n_sentences").distinct().withColumnRenamed("id", id_column)

@@ -26,7 +26,8 @@ from feedloom.llm.common import Workspace, chunks, components, mix, shards, shin
 
 _OWNED = "chunk bigint, shard int, rows binary, body binary"
 _CLASSED = "fp binary, n int, n_shared int, classes binary"
-_CHUNK = 1 << 20
+#: Bytes of text whose shingles a task sends at a time: so many a piece, within bounds.
+_LEAST_CHUNK, _MOST_CHUNK, _EACH = 1 << 20, 64 << 20, 8 << 10
 
 
 def _shard_of(hashes: np.ndarray, n_shards: int) -> np.ndarray:
@@ -36,7 +37,7 @@ def _shard_of(hashes: np.ndarray, n_shards: int) -> np.ndarray:
 def _send(k: int, n_shards: int) -> Callable:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
-        for batch in chunks(batches, "body", _CHUNK):
+        for batch in chunks(batches, "body", min(_MOST_CHUNK, max(_LEAST_CHUNK, n_shards * _EACH))):
             hashes, at = shingles(*word_hashes(*string_buffers(batch.column(1))), k)
             n = np.diff(at)
             shard, row = _shard_of(hashes, n_shards), np.repeat(np.arange(len(n)), n)
@@ -117,20 +118,21 @@ def _near(num: int, den: int) -> Column:
     return (den * F.least("a.n", "b.n") >= num * F.greatest("a.n", "b.n")) & (F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= least)
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id.
+def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id, text_md5, kept.
 
     A-Z are lower-cased; words are `[^\\x20\\x09-\\x0D]+`. The set of a text has its distinct k-word shingles; with
     fewer words, all of them as one; without words, nothing, and it is linked with nothing. Texts link when
     den * intersection >= num * union; component_id is the smallest id reachable by links, itself included. Rows with
     equal texts are linked (if there are words), so rows that repeat an id share its component; rows with null ids
-    take part without lending a name, and have a null component if no row with an id is in it. Shingles are compared
-    by 64-bit hashes, texts by MD5.
+    take part without lending a name, and have a null component if no row with an id is in it. kept: of a component's
+    texts the one with the smallest id, then the smallest hash, on its rows with that id; texts without words are all
+    kept. Shingles are compared by 64-bit hashes, texts by MD5.
     """
     spark = docs.sparkSession
     space = Workspace(spark)
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), text_of(text_column).alias("body")).withColumn("fp", F.unhex(F.md5("body")))
-    owned = rows.select("fp", "body").mapInArrow(_send(k, shards(spark)), _OWNED)
+    owned = rows.select("fp", "body").mapInArrow(_send(k, shards(rows)), _OWNED)
     classed = owned.groupBy("shard").applyInArrow(_classify, _OWNED)
     classed = space.write(classed.groupBy("chunk").applyInArrow(_per_row, _CLASSED), "classes")
     # one node for each text: the place of its smallest id, or of any row if it has none
@@ -144,18 +146,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     posted = sets.select("id", "n", F.explode(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("place"))).alias("e")).select("id", "n", "e.token", "e.place")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = [sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("second").alias(f"s{x}"), F.col("third").alias(f"t{x}"), F.col("shared").alias(f"h{x}")) for x in "ab"]
-        both = pairs.join(side[0], "a").join(side[1], "b").where(F.arrays_overlap("sa", "sb") & F.arrays_overlap("ta", "tb"))
+        # the other orders' filters first, then the whole sets of what is left
+        side = [sets.select(F.col("id").alias(x), F.col("second").alias(f"s{x}"), F.col("third").alias(f"t{x}")) for x in "ab"]
+        met = pairs.join(side[0], "a").join(side[1], "b").where(F.arrays_overlap("sa", "sb") & F.arrays_overlap("ta", "tb")).select("a", "b")
+        side = [sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"h{x}")) for x in "ab"]
+        both = met.join(side[0], "a").join(side[1], "b")
         common = F.size(F.array_intersect("ha", "hb"))
         return both.where(common * (den + num) >= num * (F.col("na") + F.col("nb"))).select("a", "b")
 
-    first = posted.groupBy("token").agg(F.min(F.struct("place", "id", "n")).alias("p"), F.count("*").alias("rows")).where("rows > 1").select("token", "p.*")
+    first = space.write(posted.groupBy("token").agg(F.min(F.struct("place", "id", "n")).alias("p"), F.count("*").alias("rows")).where("rows > 1").select("token", "p.*"), "first")
     stars = posted.alias("a").join(first.alias("b"), "token").where(_near(num, den) & (F.col("a.id") != F.col("b.id")))
     stars = stars.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
     links = space.write(verified(stars), "links")
     named = space.write(components(spark, space, links, "stars"), "named")
     labelled = posted.join(named.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
+    mixed = space.write(labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token"), "mixed")
     open_rows = space.write(labelled.join(mixed, "token", "left_semi"), "open")
     a, b = open_rows.alias("a"), open_rows.alias("b")
     pairs = a.join(b, F.col("a.token").eqNullSafe(F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & _near(num, den))
@@ -164,8 +169,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # nodes without an id of their own lend no name
     nodes = texts.join(named, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("group"))
     # written first: a join against a table can split a large group, one against an aggregation cannot
-    names = space.write(nodes.groupBy("group").agg(F.min("least").alias("component_id")), "names")
+    first_text = F.min_by("fp", F.struct(F.col("least").isNull(), "least", "fp"))
+    names = space.write(nodes.groupBy("group").agg(F.min("least").alias("component_id"), first_text.alias("kept_fp")), "names")
     counts = classed.groupBy("fp").agg(F.first("n").alias("n_shingles"))
-    final = space.write(nodes.join(names, "group").join(counts, "fp").select("fp", "n_shingles", "component_id"), "final")
+    final = space.write(nodes.join(names, "group").join(counts, "fp").select("fp", "n_shingles", "component_id", (F.col("fp") == F.col("kept_fp")).alias("first")), "final")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return rows.select("id", "fp").join(final, "fp").select(F.col("id").alias(id_column), F.col("n_shingles").cast("bigint").alias("n_shingles"), own.alias("component_id"))
+    kept = (F.col("n_shingles") == 0) | (F.col("first") & F.col("id").eqNullSafe(F.col("component_id")))
+    return rows.select("id", "fp").join(final, "fp").select(F.col("id").alias(id_column), F.col("n_shingles").cast("bigint").alias("n_shingles"), own.alias("component_id"), F.lower(F.hex("fp")).alias("text_md5"), kept.alias("kept"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The first three columns of jaccard_groups: id, n_shingles, component_id."""
+    return jaccard_groups(docs, k, num, den, id_column, text_column).select(id_column, "n_shingles", "component_id")

@@ -10,11 +10,9 @@ corpus; nothing but the pieces' names and sums passes through the driver.
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -44,7 +42,10 @@ def _unpack(b: bytes, kind: str) -> np.ndarray:
 
 # files of arrays in the shared folder -------------------------------------------------------------------------------
 
-_COPIES: dict[str, str] = {}
+_MAPPED: dict[str, np.ndarray] = {}
+#: Bytes of pieces from a store without local files that a worker holds in memory; the oldest go first.
+_HELD_BYTES = 256 << 20
+_READ: OrderedDict[str, np.ndarray] = OrderedDict()
 
 
 def save(folder: str, arrays: dict[str, np.ndarray]) -> str:
@@ -59,21 +60,25 @@ def save(folder: str, arrays: dict[str, np.ndarray]) -> str:
 
 
 def mapped(folder: str, name: str, kind: str, dtype: str) -> np.ndarray:
-    """A saved array, memory-mapped; from a store without local files, by way of a copy that goes with the worker."""
+    """A saved array, memory-mapped; from a store without local files, read into a bounded part of memory."""
     from pyarrow import fs
 
+    key = f"{folder}/{name}.{kind}"
+    if key in _MAPPED:
+        return _MAPPED[key]
+    if key in _READ:
+        _READ.move_to_end(key)
+        return _READ[key]
     store, path = store_of(folder)
     file = f"{path}/{name}.{kind}"
-    if not isinstance(store, fs.LocalFileSystem):
-        if "" not in _COPIES:
-            _COPIES[""] = tempfile.mkdtemp()
-            atexit.register(shutil.rmtree, _COPIES[""], True)
-        if file not in _COPIES:
-            local = os.path.join(_COPIES[""], os.path.basename(file))
-            fs.copy_files(file, local, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
-            _COPIES[file] = local
-        file = _COPIES[file]
-    return np.memmap(file, dtype, "r") if os.path.getsize(file) else np.zeros(0, dtype)
+    if isinstance(store, fs.LocalFileSystem):
+        _MAPPED[key] = np.memmap(file, dtype, "r") if os.path.getsize(file) else np.zeros(0, dtype)
+        return _MAPPED[key]
+    with store.open_input_file(file) as f:
+        _READ[key] = np.frombuffer(f.read(), dtype)
+    while len(_READ) > 1 and sum(x.nbytes for x in _READ.values()) > _HELD_BYTES:
+        _READ.popitem(last=False)
+    return _READ[key]
 
 
 # counting -----------------------------------------------------------------------------------------------------------
@@ -171,28 +176,19 @@ class Words:
     def size(self) -> int:
         return self.base[-1]
 
-    def open(self) -> None:
-        if not hasattr(self, "keys"):
-            self.keys = [mapped(self.folder, x, "keys", "<u8") if x else np.zeros(0, np.uint64) for x in self.names]
-            self.counts = [mapped(self.folder, x, "counts", "<i8") if x else np.zeros(0, np.int64) for x in self.names]
-
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of sorted distinct hashes."""
-        self.open()
         out, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         cuts = np.searchsorted(_piece_of(hashes, len(self.names)), np.arange(len(self.names) + 1))
         for p in np.flatnonzero(np.diff(cuts)).tolist():
-            part, keys = slice(cuts[p], cuts[p + 1]), self.keys[p]
-            if len(keys):
+            part, name = slice(cuts[p], cuts[p + 1]), self.names[p]
+            if name and len(keys := mapped(self.folder, name, "keys", "<u8")):
                 i = np.minimum(np.searchsorted(keys, hashes[part]), len(keys) - 1)
                 hit = keys[i] == hashes[part]
                 out[part] = np.where(hit, i + self.base[p], -1)
-                count[part] = np.where(hit, self.counts[p][i], 0)
+                count[part] = np.where(hit, mapped(self.folder, name, "counts", "<i8")[i], 0)
         return out, count
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("keys", "counts")}
-
 
 def _pair_piece(pairs: np.ndarray, often: np.ndarray, n: int) -> np.ndarray:
     """The owner: by the first word, or by both if the first is among the frequent ones (sorted ids, at most 4 * n)."""
@@ -312,16 +308,8 @@ class Model:
         return total[inverse], kept[inverse], ways[inverse]
 
     def _file(self, group: str, piece: int, kind: str) -> np.ndarray:
-        if not hasattr(self, "_open"):
-            self._open = {}
-        key = (group, piece, kind)
-        if key not in self._open:
-            dtype = {"keys": "<u8", "counts": "<u4", "total": "<i8", "kept": "<f8", "ways": "<i8"}[kind]
-            self._open[key] = mapped(self.words.folder, getattr(self, group)[piece], kind, dtype)
-        return self._open[key]
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_open"}
+        dtype = {"keys": "<u8", "counts": "<u4", "total": "<i8", "kept": "<f8", "ways": "<i8"}[kind]
+        return mapped(self.words.folder, getattr(self, group)[piece], kind, dtype)
 
     def pair_counts(self, pairs: np.ndarray) -> np.ndarray:
         u, inverse = np.unique(pairs, return_inverse=True)
@@ -364,7 +352,7 @@ def _by_piece(rows: list, n: int, key: str = "piece") -> list[str | None]:
 
 def train(texts: DataFrame, space: Workspace) -> Model:
     """texts: one string column, body. The files lie in the workspace's folder. An empty table gives an even model."""
-    n, folder = shards(texts.sparkSession), space.folder("model")
+    n, folder = shards(texts), space.folder("model")
     counted = texts.mapInArrow(_count_words(n), _PIECE).groupBy("piece").applyInArrow(_save_words(folder), "piece int, name string, n bigint, total bigint")
     meta = sorted(space.write(counted, "words").collect())  # a row a piece
     size = {r["piece"]: r["n"] for r in meta}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import Workspace
 from feedloom.llm.decontaminate import contaminated
 from feedloom.llm.exact_dedup import exact_dedup
-from feedloom.llm.licences import CUES, GAP, RULES, licence_hits, sentence_table
+from feedloom.llm.licences import CUES, GAP, RULES, licence_hits, sentence_table, sequence
 from feedloom.llm.ngram_jaccard import jaccard_components
 from feedloom.llm.ngram_lm import score_texts
 from feedloom.llm.packing import pack
@@ -26,6 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all documents by a model of those whose id's crc32 is not 1 modulo 5. Null ids are hashed as an empty text."""
     return score_texts(table(spark, sf_dir, "documents"), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1)
 
 
@@ -54,20 +55,24 @@ def op4_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 % of their four-word shingles; documents without words are alone."""
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its equal texts that stays (the largest id); null texts are empty ones."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from the labelled ones whose id's crc32 is not 2 modulo 4; empty texts are scored too."""
     docs = table(spark, sf_dir, "documents")
     model = train(labelled_texts(docs, table(spark, sf_dir, "labels")))
     return toxicity_scores(docs, model)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents; an empty or null text is one piece, its end."""
     return packed(table(spark, sf_dir, "documents"))
 
 
@@ -77,6 +82,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence rules that documents match; documents without any have no row."""
     return licence_hits(table(spark, sf_dir, "documents"))
 
 
@@ -126,7 +132,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op9_licences": f"""
         WITH known(sentence, sid) AS (VALUES {_values(sentence_table())}),
-        rules(licence, rule, pattern, n_sentences) AS (VALUES {_values([(a, b, ">" + ">".join(c) + ">", len(c)) for a, b, c in RULES])}),
+        rules(licence, rule, pattern, sequence, n_sentences) AS (VALUES {_values([(a, b, ">" + ">".join(c) + ">", sequence(c), len(c)) for a, b, c in RULES])}),
         docs AS (SELECT doc_id, text, row_number() OVER () AS rn FROM documents WHERE regexp_matches(lower(text), '{CUES}')),
         cuts AS (SELECT rn, doc_id, 0 AS way, string_split_regex(regexp_replace(text, '\\s+', ' ', 'g'), '[.!?;]+(?: |$)') AS p FROM docs
                  UNION ALL SELECT rn, doc_id, 1, string_split_regex(text, '[\\r\\n]+') FROM docs),
@@ -134,7 +140,7 @@ ORACLE_SQL: dict[str, str] = {
         hits AS (SELECT DISTINCT rn, doc_id, way, place, sid FROM parts JOIN known ON known.sentence = trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'))),
         marked AS (SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY rn, way ORDER BY place, sid) > {GAP + 1} THEN '|>' ELSE '' END || sid AS m FROM hits),
         lines AS (SELECT rn, doc_id, '>' || string_agg(m, '>' ORDER BY place, sid) || '>' AS line FROM marked GROUP BY rn, doc_id, way),
-        found AS (SELECT DISTINCT rn, doc_id, licence, rule, pattern, n_sentences FROM lines JOIN rules ON contains(line, pattern))
+        found AS (SELECT DISTINCT rn, doc_id, licence, rule, pattern, n_sentences FROM lines JOIN rules ON regexp_matches(line, sequence))
         SELECT DISTINCT doc_id, licence, rule, n_sentences FROM found a
         WHERE NOT EXISTS (SELECT 1 FROM found b WHERE b.rn = a.rn AND b.n_sentences > a.n_sentences AND contains(b.pattern, a.pattern))
     """,

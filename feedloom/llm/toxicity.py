@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import _LOWER, Rolling, chunks, small, string_buffers, text_of
 
-#: Bytes in a feature, bits of the feature space, chosen features, rows that the weights are fitted on (a bound).
+#: Bytes in a feature, bits of the feature space, chosen features, distinct texts that the weights are fitted on (a bound).
 ORDERS, BITS, CHOSEN, TRAIN_ROWS = (3, 4, 5), 20, 4096, 20_000
 #: Steps of the descent, its pull to zero, the score from which a text is predicted toxic.
 STEPS, PULL, THRESHOLD = 200, 1e-5, 0.3
@@ -104,12 +104,16 @@ def _vectors(chosen: np.ndarray) -> Callable:
     return vectors
 
 
-def fit_weights(found: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam on the scaled and normalised features; without rows of both labels, the prior alone."""
-    n, positive = len(labels), int(labels.sum())
-    bias = float(np.log((positive + 0.5) / (n - positive + 0.5)))
+def fit_weights(found: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam on the scaled and normalised features; without rows of both labels, the prior alone.
+
+    times: how many rows each row stands for.
+    """
+    n, times = len(labels), np.ones(len(labels)) if times is None else times
+    rows, positive = float(times.sum()), float(times @ labels)
+    bias = float(np.log((positive + 0.5) / (rows - positive + 0.5)))
     weights = np.zeros(len(ratios))
-    if not 0 < positive < n:
+    if not 0 < positive < rows:
         return weights, bias
     column = np.concatenate(found).astype(np.int64)
     row = np.repeat(np.arange(n), [len(f) for f in found])
@@ -118,7 +122,7 @@ def fit_weights(found: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray)
     m, s, mb, sb = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0
     for step in range(1, STEPS + 1):
         z = np.clip(np.bincount(row, weights[column] * value, n) + bias, -700, 700)
-        miss = (1 / (1 + np.exp(-z)) - labels) / n
+        miss = (1 / (1 + np.exp(-z)) - labels) * times / rows
         g, gb = np.bincount(column, miss[row] * value, len(weights)) + PULL * weights, miss.sum()
         m, s, mb, sb = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
         a, b = 1 - 0.9**step, 1 - 0.99**step
@@ -147,8 +151,10 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     sample = labelled.select("body", "label", F.xxhash64("body", F.lit(7)).alias("draw"))
     if rate < 1:  # by content, so that it is the same sample each time
         sample = sample.where(F.pmod("draw", F.lit(1_000_000)) < int(rate * 1_000_000))
-    got = sample.mapInArrow(_vectors(chosen), "label int, draw bigint, found array<int>").orderBy("draw").limit(train_rows).collect()
-    weights, bias = fit_weights([np.array(r["found"], np.int64) for r in got], np.array([r["label"] for r in got], float), ratio[chosen])
+    # equal texts are one row with a weight, so that copies can't fill the sample
+    vectors = sample.mapInArrow(_vectors(chosen), "label int, draw bigint, found array<int>")
+    got = vectors.groupBy("draw", "label").agg(F.first("found").alias("found"), F.count("*").alias("n")).orderBy("draw", "label").limit(train_rows).collect()
+    weights, bias = fit_weights([np.array(r["found"], np.int64) for r in got], np.array([r["label"] for r in got], float), ratio[chosen], np.array([r["n"] for r in got], float))
     return Model(chosen, ratio[chosen], weights, bias)
 
 

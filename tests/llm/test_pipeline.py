@@ -51,3 +51,33 @@ def test_stages_keep_the_columns(spark, tmp_path):
         docs = after
     assert isinstance(docs.toPandas(), pd.DataFrame)
     shutil.rmtree(tmp_path)
+
+
+def test_stages_with_clashing_columns_and_null_ids(spark, tmp_path, edges, empty):
+    """Extra columns named like the operators' own, repeated ids with other texts, null ids, repeated rows, no rows."""
+    rows = edge_rows()
+    labels = [(i, 1, 0) for i, _ in rows if i is not None]
+    write(spark, tmp_path, [], labels, [(1, rows[-12][1]), (2, None)])
+    stages = dict(corpus_pipeline.STAGES)
+    exact = stages["exact dedup"](spark, edges, str(tmp_path))
+    assert exact.columns == edges.columns
+    best = {}
+    for i, t in rows:
+        best[t or ""] = max((x for x in (i, best.get(t or "")) if x is not None), default=None)
+    assert collections.Counter((r["doc_id"], r["text"] or "") for r in exact.collect()) == collections.Counter((i, t) for t, i in best.items())
+    near = stages["n-gram Jaccard join"](spark, edges, str(tmp_path))
+    assert near.columns == edges.columns
+    got = collections.Counter((r["doc_id"], r["text"] or "") for r in near.collect())
+    groups = collections.defaultdict(list)
+    for k, ((i, t), (_, n, c)) in enumerate(zip(rows, brute_components(rows, 5, 80, 100), strict=True)):
+        groups[(c, t if c is None else None) if n else ("alone", k)].append((i, t or ""))
+    assert sum(got.values()) == len(groups)
+    for members in groups.values():
+        least = min((i for i, _ in members if i is not None), default=None)
+        assert sum(got[m] > 0 and m[0] == least for m in set(members)) == 1
+    leaks = stages["benchmark decontamination"](spark, edges, str(tmp_path))
+    assert leaks.columns == edges.columns
+    gone = {(i, t) for i, t in rows if t and rows[-12][1].lower() in t.lower()}
+    assert gone and collections.Counter((r["doc_id"], r["text"]) for r in leaks.collect()) == collections.Counter(x for x in rows if x not in gone)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, str(tmp_path)).collect() == [], name

@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 
 from feedloom.llm import toxicity
 from feedloom.llm.common import Workspace
-from feedloom.llm.decontaminate import contaminated
-from feedloom.llm.licences import licence_hits
+from feedloom.llm.decontaminate import OPENERS, UNITS, WINDOW, contaminated, template_classes
+from feedloom.llm.licences import CUES, SENTENCES, licence_hits
 from feedloom.llm.ngram_lm import discounts, score_texts
 from feedloom.llm.packing import binary_pieces, pack
-from feedloom.llm.preference import format_pairs
+from feedloom.llm.preference import conversations, format_pairs, swapped_answers
 from feedloom.llm.warc import read_records, write_archives
 from tests.llm.conftest import edge_rows, frame, prose
 
@@ -272,3 +273,175 @@ def test_licence_texts_as_published(spark):
     got = {tuple(r) for r in licence_hits(frame(spark, rows)).collect()}
     text = lambda i, x, n: (i, x, "text", n)
     assert got == {text(1, "MIT", 3), text(2, "MIT", 3), text(3, "MIT", 3), text(4, "BSD-2-Clause", 3), text(5, "BSD-3-Clause", 4), text(6, "BSD-3-Clause", 4), text(7, "ISC", 1), (8, "Apache-2.0", "header", 3), (9, "Apache-2.0", "header", 3), (10, "GPL-3.0", "header", 2), text(12, "MIT", 3)}
+
+
+def test_every_known_sentence_has_a_cue():
+    for variants in SENTENCES.values():
+        for v in variants:
+            assert re.search(CUES, v.lower()), v
+
+
+def test_more_licences_and_sentences_between(spark):
+    gpl2 = GPL.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+    lgpl = gpl2.replace("program", "library").replace("General Public", "Lesser General Public", 1).replace("version 2 ", "version 2.1 ")
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    mixed = BSD2.split("2. ")[0] + "Released under the MIT License.\n\n2. " + BSD2.split("2. ")[1]
+    rows = [(1, gpl2), (2, lgpl), (3, GPL.replace("GNU General", "GNU Affero General", 1)), (4, mpl), (5, mixed)]
+    rows += [(6, "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.")]
+    rows += [(7, "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n")]
+    got = {(r["doc_id"], r["licence"], r["rule"]) for r in licence_hits(frame(spark, rows)).collect()}
+    assert got == {(1, "GPL-2.0", "header"), (2, "LGPL-2.1", "header"), (3, "AGPL-3.0", "header"), (4, "MPL-2.0", "header"), (5, "BSD-2-Clause", "text"), (5, "MIT", "notice"), (6, "Unlicense", "text"), (7, "Zlib", "text")}
+
+
+def brute_templates(text):
+    """For each reading the tokens (literal word, or kind) and slot values of a text, word by word."""
+    out = []
+    for names in range(3):
+        tokens, opens, kind_before = [], True, None
+        for line in text.split("\n"):
+            opens = True
+            for raw in line.split():
+                word = raw.strip("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()))
+                if not word:
+                    continue
+                proper = word[0].isupper() and not any(c.isdigit() for c in word) and any(c.islower() for c in word[1:])
+                if any(c.isdigit() for c in word):
+                    kind = 1
+                elif kind_before == 1 and word.lower() in UNITS:
+                    kind = 3
+                elif proper and (names == 0 and not opens or names == 2 and (not opens or word.lower() not in OPENERS)):
+                    kind = 2
+                else:
+                    kind = 0
+                if kind and tokens and tokens[-1][0] == kind:
+                    tokens[-1] = (kind, tokens[-1][1] + " " + word.lower())
+                else:
+                    tokens.append((kind, word.lower()))
+                kind_before, opens = (1 if kind == 1 else 0), raw[-1] in ".!?:;"
+        out.append(tokens)
+    return out
+
+
+def brute_holds(text, item):
+    """Half an item's windows, or 13 tokens, on one diagonal with values one to one (readings 0 and 2 only)."""
+    for reading in (0, 2):
+        d, t = brute_templates(text)[reading], brute_templates(item)[reading]
+        size = min(WINDOW, len(t))
+        shape = lambda x: [w if k == 0 else k for k, w in x]
+        windows = [p for p in range(len(t) - size + 1) if sum(k == 0 for k, _ in t[p : p + size]) >= max(1, size // 2)]
+        diagonals = collections.defaultdict(list)
+        for p in windows:
+            for q in range(len(d) - size + 1):
+                if shape(d[q : q + size]) == shape(t[p : p + size]):
+                    diagonals[q - p].append(p)
+        for gap, places in diagonals.items():
+            pairs = {(d[p + gap + i][1], t[p + i][1]) for p in places for i in range(size) if t[p + i][0]}
+            fits = len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+            covered = {p + i for p in places for i in range(size)}
+            if fits and (len(places) >= 0.5 * len(windows) or len(covered) >= 13):
+                return True
+    return False
+
+
+def test_decontamination_against_loops(spark):
+    """Made-up questions with lower-case words only, so that the reading without names never decides."""
+    rng = random.Random(21)
+    names = ["Anna", "Bert", "Cara", "Dora", "Emil"]
+
+    def question(words):
+        return " ".join(rng.choice(names) if w == "N" else str(rng.randint(2, 99)) if w == "#" else w for w in words)
+
+    shapes = [[rng.choice(["N", "#", *prose(rng, 6)]) for _ in range(rng.randint(6, 22))] for _ in range(8)]
+    items = [(i, "so " + question(s)) for i, s in enumerate(shapes)]
+    rows = []
+    for k in range(60):
+        s = list(rng.choice(shapes))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            s[rng.randrange(len(s))] = "changed"
+        lead = " ".join(prose(rng, rng.randint(0, 12)))
+        rows.append((k, f"{lead} so {question(s)} {' '.join(prose(rng, 5))}"))
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(frame(spark, rows), frame(spark, items).withColumnRenamed("doc_id", "item_id")).collect()}
+    want = {(k, i) for k, t in rows for i, s in items if brute_holds(t, s)}
+    assert want and want <= got
+    # what is reported beyond that has the item's own values in the matched windows
+    for k, i in got - want:
+        text, item = dict(rows)[k], dict(items)[i]
+        own = item.lower().split()
+        assert any(" ".join(own[j : j + 4]) in text.lower() for j in range(len(own) - 3))
+
+
+def test_template_classes_name_every_item(spark):
+    shape = "take {} red blocks out of the wooden box near the old door and put {} under the table"
+    bench = frame(spark, [(1, shape.format(5, 6)), (2, shape.format(3, 4)), (3, shape.format(3, 3)), (4, None), (5, "another question with nothing but eight words in it")]).withColumnRenamed("doc_id", "item_id")
+    got = {(r["item_id"], r["class_id"]) for r in template_classes(bench).where("reading = 0").collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (5, 5)}
+    held = contaminated(frame(spark, [(9, shape.format(7, 8))]), bench).collect()
+    assert [(r["item_id"], r["n_items"]) for r in held] == [(1, 2)]
+
+
+def grams(text):
+    folded = b" " + re.sub(rb"[\t\n\x0b\f\r]", b" ", bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())) + b" "
+    return {folded[i : i + n] for n in (3, 4, 5) for i in range(len(folded) - n + 1)}
+
+
+def test_toxicity_counts_and_scores_against_loops(spark):
+    """Log-count ratios and the choice of features from sets of n-grams, and scores from the fitted weights."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(prose(rng, rng.randint(3, 20)) + (["scumbag"] if i % 3 == 0 else []))) for i in range(60)]
+    rows += [(i, rows[0][1]) for i in range(100, 140)]  # repeated rows
+    rows.append((200, " ".join(prose(rng, 60_000))))  # beyond the length that is counted by marks
+    labels = [int(i % 3 == 0) for i, _ in rows]
+    labelled = spark.createDataFrame([(t, y) for (_, t), y in zip(rows, labels, strict=True)], "body string, label int")
+    model = toxicity.train(labelled)
+    number = lambda g: int(toxicity.Rolling(np.frombuffer(g, np.uint8)).grams(len(g))[0] >> np.uint64(64 - toxicity.BITS))
+    sets = [{number(g) for g in grams(t)} for _, t in rows]
+    n = [labels.count(0), labels.count(1)]
+    counts = [collections.Counter(), collections.Counter()]
+    for s, y in zip(sets, labels, strict=True):
+        counts[y].update(s)
+
+    def ratio(f):
+        return math.log((counts[1][f] + 1) / (n[1] + 2)) - math.log((counts[0][f] + 1) / (n[0] + 2))
+
+    def gain(f):
+        both = counts[0][f] + counts[1][f]
+        return sum(counts[y][f] * math.log(max(counts[y][f], 1e-9) / max(both * n[y] / sum(n), 1e-9)) for y in (0, 1))
+
+    chosen = model.features.tolist()
+    assert len(chosen) == toxicity.CHOSEN and model.ratios == pytest.approx([ratio(f) for f in chosen])
+    gains = {f: gain(f) for f in set(counts[0]) | set(counts[1])}
+    rest = max(g for f, g in gains.items() if f not in set(chosen))
+    assert min(gains.get(f, 0.0) for f in chosen) >= rest - 1e-9
+    place = {f: k for k, f in enumerate(chosen)}
+    docs = frame(spark, rows)
+    for r in toxicity.toxicity_scores(docs, model).collect():
+        text = dict(rows)[r["doc_id"]]
+        v = {place[f] for f in {number(g) for g in grams(text)} if f in place}
+        z = model.bias + sum(model.weights[k] * model.ratios[k] for k in v) / math.sqrt(sum(model.ratios[k] ** 2 for k in v) + 1)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z))) and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_weights_of_equal_rows():
+    """A row with a weight is that many rows."""
+    rng = np.random.default_rng(2)
+    found = [np.unique(rng.integers(0, 20, 6)) for _ in range(12)]
+    labels, times = (np.arange(12) % 2).astype(float), rng.integers(1, 4, 12)
+    ratios = rng.normal(size=20)
+    a = toxicity.fit_weights(found, labels, ratios, times.astype(float))
+    index = np.repeat(np.arange(12), times)
+    b = toxicity.fit_weights([found[i] for i in index], labels[index], ratios)
+    assert a[0] == pytest.approx(b[0]) and a[1] == pytest.approx(b[1])
+
+
+def test_conversations_and_swapped_answers(spark):
+    """Ties and nulls in turns, repeated rows, null ids, extra columns; against plain lists."""
+    rows = [(4, 0, "user", "hi"), (4, 1, "assistant", "a4"), (5, 0, "user", "hi"), (5, 1, "assistant", "a5"), (5, 2, "user", "bye"), (6, 0, "assistant", "a6"), (7, 0, "user", "only"), (8, 0, None, None), (8, 1, "assistant", "x"), (8, 1, "assistant", "x"), (None, 0, "assistant", "n")]
+    table = spark.createDataFrame([(*r, "p", "c") for r in rows], "conv_id bigint, turn int, role string, text string, prompt string, chosen string")
+    talks = conversations(table)
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in talks.collect()}
+    assert got[8] == [("", ""), ("assistant", "x"), ("assistant", "x")] and got[None] == [("assistant", "n")] and len(got) == 6
+    pairs = {r["conv_id"]: ([(t["role"], t["text"]) for t in r["chosen"]], [(t["role"], t["text"]) for t in r["rejected"]]) for r in swapped_answers(talks).collect()}
+    assert pairs[4] == (got[4], [got[4][0], ("assistant", "a5")]) and pairs[5] == (got[5][:2], [got[5][0], ("assistant", "a4")])
+    assert pairs[6] == (got[6], []) and 7 not in pairs and pairs[None] == (got[None], [])
+    none = swapped_answers(conversations(table.limit(0)))
+    assert none.collect() == [] and format_pairs(none).collect() == []
