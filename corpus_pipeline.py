@@ -9,53 +9,62 @@ from feedloom.llm import toxicity
 from feedloom.llm.common import Workspace, small, text_of
 from feedloom.llm.decontaminate import contaminated
 from feedloom.llm.exact_dedup import exact_dedup
-from feedloom.llm.ngram_jaccard import jaccard_components
+from feedloom.llm.ngram_jaccard import jaccard_groups
 from feedloom.llm.queries import packed, table
 
 #: Rows of (id, hash) that may be broadcast to leave documents out; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
-def _without(docs: DataFrame, dropped: DataFrame, *keys: str) -> DataFrame:
-    """docs without the rows whose keys (null-safe) are in dropped."""
-    same = [docs[k].eqNullSafe(dropped[k]) for k in keys]
-    return docs.join(small(dropped, BROADCAST_ROWS), same, "left_anti")
+def _join(docs: DataFrame, listed: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """docs with (left_semi) or without (left_anti) the rows whose keys (null-safe) are listed."""
+    same = [docs[k].eqNullSafe(listed[k]) for k in keys]
+    return docs.join(small(listed, BROADCAST_ROWS), same, how)
+
+
+def _keep(docs: DataFrame, marked: DataFrame, keys: list[str], gone: DataFrame, stays: DataFrame) -> DataFrame:
+    """docs (with keys in marked) without the rows in gone; of rows in stays that repeat their keys one is kept."""
+    repeated = stays.groupBy(*keys).count().where("count > 1").drop("count")
+    kept = _join(marked, gone, keys, "left_anti")
+    once = _join(kept, repeated, keys, "left_semi").dropDuplicates(keys)
+    return _join(kept, repeated, keys, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not predict toxic."""
+    """Documents that the classifier does not predict toxic, whatever their id; all their columns stay."""
     model = toxicity.train(toxicity.labelled_texts(docs, table(spark, sf_dir, "labels")))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, that with the largest id (one row, if rows repeat)."""
+    """One row of each group of equal texts, that with the largest id; a null id yields to any other, null texts are empty."""
     decided = Workspace(spark).write(exact_dedup(docs), "decided")
-    marked = docs.withColumn("__sha", F.sha2(text_of(), 256))
-    gone = decided.where("not kept").select("doc_id", F.col("text_sha256").alias("__sha"))
-    several = decided.where("kept and group_size > 1").select("doc_id", F.col("text_sha256").alias("__sha"))
-    repeated = several.groupBy("doc_id", "__sha").count().where("count > 1").drop("count")
-    kept = _without(marked, gone, "doc_id", "__sha")
-    once = kept.join(small(repeated, BROADCAST_ROWS), [kept["doc_id"].eqNullSafe(repeated["doc_id"]), kept["__sha"] == repeated["__sha"]], "left_semi").dropDuplicates(["doc_id", "__sha"])
-    return _without(kept, repeated, "doc_id", "__sha").unionByName(once).drop("__sha")
+    keys = ["doc_id", "__sha"]
+    of = lambda rows: decided.where(rows).select("doc_id", F.col("text_sha256").alias("__sha"))
+    return _keep(docs, docs.withColumn("__sha", F.sha2(text_of(), 256)), keys, of("not kept").distinct(), of("kept and group_size > 1"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 80 % of their five-word shingles, directly or by others, the one with the least id."""
-    found = Workspace(spark).write(jaccard_components(docs, k=5, num=80, den=100), "found")
-    return _without(docs, found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id")
+    """Of documents that share 80 % of their five-word shingles, directly or by others, one row stays: the least id's.
+
+    Rows are told apart by id and text, so other texts under a repeated id and rows with null ids are decided by
+    themselves. Where an id has several texts in a group, that with the smallest MD5 stays. Texts without words all stay.
+    """
+    found = Workspace(spark).write(jaccard_groups(docs, k=5, num=80, den=100), "found")
+    keys = ["doc_id", "__md5"]
+    of = lambda rows: found.where(rows).select("doc_id", F.col("text_md5").alias("__md5"))
+    return _keep(docs, docs.withColumn("__md5", F.md5(text_of())), keys, of("not kept").distinct(), of("kept and n_shingles > 0"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark; rows are told apart by id and text, null ids included."""
     held = Workspace(spark).write(contaminated(docs, table(spark, sf_dir, "benchmark")), "held")
-    marked = docs.withColumn("fp", F.xxhash64(text_of())) if "fp" not in docs.columns else docs
-    if "fp" in docs.columns:
-        return _without(docs, held.select("doc_id").distinct(), "doc_id")
-    return _without(marked, held.select("doc_id", "fp").distinct(), "doc_id", "fp").drop("fp")
+    held = held.select("doc_id", F.col("fp").alias("__fp")).distinct()
+    return _join(docs.withColumn("__fp", F.xxhash64(text_of())), held, ["doc_id", "__fp"], "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, as in the packing query."""
     return packed(docs)
 
 
