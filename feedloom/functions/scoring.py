@@ -18,6 +18,20 @@ def read_score(minutes: Column, peak: float = v.PEAK_MINUTES, sigma: float = v.S
     return F.exp(-F.pow(minutes - peak, F.lit(2.0)) / (2 * sigma * sigma))
 
 
+def volume_term(score: Column, comments: Column) -> Column:
+    return F.log10(1 + F.greatest(F.coalesce(score, F.lit(0)) + F.coalesce(comments, F.lit(0)), F.lit(0))) / 5
+
+
+def kelly(p: Column, b: Column) -> Column:
+    """The stake that grows fastest at odds b and chance p; nothing without an edge."""
+    return F.greatest(p - (1 - p) / b, F.lit(0.0))
+
+
+def growth(p: Column, b: Column, f: Column) -> Column:
+    """Log growth a bet at stake f."""
+    return p * F.ln(1 + b * f) + (1 - p) * F.ln(1 - f)
+
+
 def event_weight(kind: Column, dwell_ms: Column) -> Column:
     points = F.least(F.coalesce(dwell_ms, F.lit(0.0)) / v.DWELL_MS_PER_POINT, F.lit(v.DWELL_CAP))
     return F.when(kind == "open", 1.0).when(kind == "read", 3.0).when(kind == "dwell", points)
@@ -27,13 +41,12 @@ def contributions(now: int, cluster_size: Column, affinity: Column, weights: dic
     """The seven terms of an item's score, from n_plain and minutes. affinity: the mean over its topics plus that over its entities."""
     w = v.WEIGHTS | (weights or {})
     age = F.greatest((F.lit(now) - F.col("published_s")) / float(v.DAY), F.lit(0.0))
-    volume = F.greatest(F.coalesce("score", F.lit(0)) + F.coalesce("comments", F.lit(0)), F.lit(0))
     media = F.col("kind").isin("video", "audio")
     full = F.col("n_plain") > v.FULL_TEXT_CHARS
     return {
         "recency": w["recency"] * decay(age),
         "trust": w["trust"] * F.coalesce("trust", F.lit(0.5)),
-        "metrics": w["metrics"] * F.log10(1 + volume) / 5,
+        "metrics": w["metrics"] * volume_term(F.col("score"), F.col("comments")),
         "cluster": w["cluster"] * F.log10(cluster_size.cast("double")),
         "content": F.when(full, w["full_text"]).when(media, w["media"]).otherwise(0.0),
         "read_time": w["read_time"] * read_score(F.col("minutes")),

@@ -44,3 +44,21 @@ def credibility(subscribers: Column, views: Column, likes: Column, age_days: Col
 
 def candidate_trust(url: Column, claimed: Column) -> Column:
     return clamp01(clamp01(F.coalesce(claimed, F.lit(0.5))) + F.when(url.startswith("https:"), 0.05).otherwise(0.0))
+
+
+def feed_link(html: Column) -> Column:
+    """The address in the first link tag of a feed's type."""
+    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)(<link\b[^>]*>)"), 1), lambda t: t.rlike(r"(?i)type=[\"']application/(rss|atom)\+xml"))
+    return F.regexp_extract(F.get(tags, 0), r"(?i)href=[\"']([^\"']+)", 1)
+
+
+def trust_band(trust: Column) -> Column:
+    # fixed values: where the bands begin
+    return F.when(trust >= 0.8, "high-trust").when(trust >= 0.6, "trusted").when(trust >= 0.4, "mid-trust").otherwise("provisional")
+
+
+def trust_factors() -> Column:
+    """(label, polarity) of what speaks for and against a source: url, trust, added_by, failures, n_items."""
+    failing = F.col("failures") > 0
+    rows = [("provenance", F.when(F.col("added_by") == "seed", "positive").otherwise("neutral")), ("transport", F.when(F.col("url").startswith("https:"), "positive").otherwise("caution")), ("reliability", F.when(failing, "caution").otherwise("positive")), ("track record", F.when(F.col("n_items") > 0, "positive").otherwise("neutral")), ("needs review", F.when((F.col("trust") >= 0.75) & failing, "caution"))]
+    return F.filter(F.array(*(F.struct(F.lit(k).alias("label"), p.alias("polarity")) for k, p in rows)), lambda x: x["polarity"].isNotNull())

@@ -81,6 +81,16 @@ def origin(url: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(url), r"^([a-z][a-z0-9+.-]*://[^/?#]+)", 1), F.lit(""))
 
 
+def iso_seconds(x: Column) -> Column:
+    """Seconds of an ISO time in UTC; null for what is none."""
+    return F.unix_seconds(F.try_to_timestamp(x, F.lit("yyyy-MM-dd'T'HH:mm:ssX")))
+
+
+def week_of(day: Column) -> Column:
+    """The Monday of a day's week, both as day numbers."""
+    return day - (day + 3) % 7
+
+
 def group_of(channel: Column) -> Column:
     out = F
     for name, channels in v.GROUPS.items():

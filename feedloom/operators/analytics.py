@@ -97,3 +97,10 @@ def channel_gaps(registry: DataFrame, channels: DataFrame) -> DataFrame:
     live = F.col("status").isin("active", "dormant")
     counts = registry.groupBy("channel").agg(F.count("*").alias("total"), F.count_if(live).alias("live"), F.count_if(F.col("status") == "disabled").alias("lost"))
     return channels.join(counts, "channel", "left").na.fill(0, ["total", "live", "lost"])
+
+
+def spread(rows: DataFrame, value: str, low: float, high: float) -> DataFrame:
+    """Adds weight: the values spread evenly between low and high, the middle if all are equal."""
+    ends = F.broadcast(rows.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi")))
+    w = F.when(F.col("__lo") == F.col("__hi"), (low + high) / 2).otherwise(low + (high - low) * (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))
+    return rows.crossJoin(ends).withColumn("weight", w).drop("__lo", "__hi")

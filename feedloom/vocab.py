@@ -34,7 +34,9 @@ MIN_EVENTS, MIN_DAYS, DWELL_MS_PER_POINT, DWELL_CAP = 20, 5, 30_000, 5.0
 SAME_TITLE_HOURS, TITLE_JACCARD, SHARED_ENTITIES, ARCHIVE_DAYS = 36, 0.6, 2, 14
 FEATURED, LIST_WINDOW, MIN_PER_MEDIUM = 10, 50, 2
 STRIKES, REPROBE_DAYS, SUMMARY_CHARS = 3, 7, 280
-# fixed values: channels of makers
+# fixed values: channels of makers, those that are hardware for sure, those of thought
+HARD_CHANNELS = ["diy", "3d-printing", "iot", "embedded"]
+THINK_CHANNELS = ["politics", "history", "geopolitics", "finance", "ideas"]
 MAKER_CHANNELS = ["diy", "3d-printing", "iot", "embedded", "ai-projects"]
 #: The clock is always a parameter; this one fits the tables' range (2024-01-31 00:00 UTC, in seconds).
 NOW = 1_706_659_200
