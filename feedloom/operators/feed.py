@@ -148,6 +148,11 @@ def taste_profile(events: DataFrame, items: DataFrame, now: int) -> DataFrame:
     """
     weight = scoring.event_weight(F.col("type"), F.col("dwell_ms")) * scoring.decay((F.lit(now) - F.col("at_s")) / float(v.DAY))
     by_item = events.withColumn("w", weight).groupBy("item_id").agg(F.sum("w").alias("w"))
+    return profile_of(by_item.join(F.broadcast(gate(events).where("ready").select("ready"))).drop("ready"), items)
+
+
+def profile_of(by_item: DataFrame, items: DataFrame) -> DataFrame:
+    """(kind, term, v) from the weight of each item's engagement (item_id, w)."""
 
     def named(kind: str, column: str) -> Column:
         return F.transform(column, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("term")))
@@ -155,7 +160,7 @@ def taste_profile(events: DataFrame, items: DataFrame, now: int) -> DataFrame:
     terms = F.concat(named("topic", "topics"), named("entity", "entities"))
     joined = by_item.join(items.select(F.col("id").alias("item_id"), terms.alias("ts")), "item_id")
     sums = joined.select(F.explode("ts").alias("t"), "w").groupBy("t.kind", "t.term").agg(F.sum("w").alias("v"))
-    return _normalised(sums.join(F.broadcast(gate(events).where("ready").select("ready"))).drop("ready"), "kind")
+    return _normalised(sums, "kind")
 
 
 def format_affinity(events: DataFrame, items: DataFrame, now: int) -> DataFrame:
@@ -273,4 +278,9 @@ def archive(existing: DataFrame, fresh: DataFrame, now: int | None, days: int =
     rows = upsert(existing, fresh).where("published_s is not null")
     if now is not None:
         rows = rows.where(F.col("published_s") >= now - max(0, days) * v.DAY)
+    return archived(rows)
+
+
+def archived(rows: DataFrame) -> DataFrame:
+    """Items as the archive has them: a clean summary, no body."""
     return rows.withColumn("summary", text.clean_summary(F.col("body"))).drop("body")

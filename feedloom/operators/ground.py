@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions import text
+from feedloom.operators.graph import small
+
+#: Domains of registered sources that may be broadcast.
+DOMAINS = 200_000
+
 
 def ungrounded(citations: DataFrame, ledger: DataFrame) -> DataFrame:
     return citations.join(ledger.select("url").distinct(), "url", "left_anti")
@@ -63,3 +69,15 @@ def graph_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     known = nodes.select("node").distinct()
     loose = edges.join(known, edges["a"] == known["node"], "left_anti").union(edges.join(known, edges["b"] == known["node"], "left_anti")).distinct()
     return twice.union(loose.select(name, F.lit("unknown node"))).union(edges.where("a = b").select(name, F.lit("self loop"))).union(edges.where("value <= 0").select(name, F.lit("value not positive")))
+
+
+def unregistered(candidates: DataFrame, registered: DataFrame) -> DataFrame:
+    """Candidates (url) whose host is that of no registered source, by its url or its resolved_url; those without one drop out."""
+    known = registered.select(F.explode(F.array(text.host(F.col("url")), text.host(F.col("resolved_url")))).alias("__host")).where("__host is not null").distinct()
+    return candidates.withColumn("__host", text.host(F.col("url"))).where("__host is not null").join(small(known, DOMAINS), "__host", "left_anti").drop("__host")
+
+
+def independent_sources(citations: DataFrame, ledger: DataFrame, by: str) -> DataFrame:
+    """How many different (domain, origin) of the ledger are cited, by draft or claim."""
+    known = ledger.groupBy("url").agg(F.min("domain").alias("domain"), F.min("origin").alias("origin"))
+    return citations.join(known, "url").groupBy(by).agg(F.count_distinct("domain", "origin").alias("n"))

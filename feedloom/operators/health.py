@@ -51,3 +51,16 @@ def rediscovered(registry: DataFrame, found: DataFrame) -> DataFrame:
     rows = registry.join(found, "id", "left")
     hit = (F.col("status") == "disabled") & F.col("url").isNotNull()
     return rows.withColumns({"status": F.when(hit, "active").otherwise(F.col("status")), "enabled": F.when(hit, True).otherwise(F.col("enabled")), "strikes": F.when(hit, 0).otherwise(F.col("strikes")), "disabled_s": F.when(~hit, F.col("disabled_s"))})
+
+
+def overlaid(seed: DataFrame, stored: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
+    """The seed with the stored fields where there are any."""
+    over = stored.select(key, *(F.col(f).alias(f"__{f}") for f in fields))
+    return seed.join(over, key, "left").withColumns({f: F.coalesce(f"__{f}", f) for f in fields}).drop(*(f"__{f}" for f in fields))
+
+
+def rerated(registry: DataFrame, ratings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The registry (id, trust) with new ratings (id, rated), and the log (id, was, now) of what has changed."""
+    rows = registry.join(ratings, "id", "left")
+    changed = rows.where(F.col("rated").isNotNull() & ~F.col("trust").eqNullSafe(F.col("rated"))).select("id", F.col("trust").alias("was"), F.col("rated").alias("now"))
+    return rows.withColumn("trust", F.coalesce("rated", "trust")).drop("rated"), changed

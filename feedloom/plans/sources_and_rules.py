@@ -183,9 +183,8 @@ def stm_01_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM events WHERE event_type IN ('view', 'click', 'purchase')), s AS (SELECT user_id, sum(n) OVER (PARTITION BY user_id ORDER BY ts, n) AS k FROM g) SELECT user_id AS device, count(DISTINCT k) AS sessions, count(*) AS n FROM s GROUP BY user_id")
 def stm_07_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Session windows, here over the whole table at once; the streaming form is the same call on a stream."""
-    n = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("at_ts"), F.col("user_id").alias("device"), F.when(F.col("event_type").isin("view", "click", "purchase"), "x").alias("type"))
-    s = streams.sessions(n, "6 hours")
+    """Session windows of the stream, written as a whole by each batch."""
+    s = streams.complete(streams.sessions(streams.event_stream(spark, sf, "events"), "6 hours").select("device", "n"), "sessions")
     return s.groupBy("device").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
 
 
