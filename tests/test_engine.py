@@ -9,6 +9,8 @@ import pytest
 from feedloom import catalog
 from feedloom import vocab as v
 from feedloom.operators import feed, graph, health, world
+from feedloom.sources import files
+from feedloom.streaming import streams
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -121,3 +123,75 @@ def test_theater_edges(spark):
     e = spark.createDataFrame([(1, 1_704_067_200, 50.0, 30.0), (2, 1_704_067_199, 50.0, 30.0), (3, 1_704_067_200, 50.1, 30.0)], "event_id int, at_s bigint, lat double, lng double")
     got = {r["event_id"]: r["theater"] for r in world.membership(e, world.theaters(spark)).collect()}
     assert got == {1: "alpha", 2: None, 3: "delta"}
+
+
+@pytest.mark.parametrize("held", [1000, 0])
+def test_equal_events_stay_apart(spark, monkeypatch, held):
+    """Also where the areas are too many for an array and are joined."""
+    monkeypatch.setattr(world, "HELD_AREAS", held)
+    rows = [(1, 1_704_067_200, 50.0, 30.0), (1, 1_704_067_200, 50.0, 30.0), (2, 5, 0.0, 0.0)]
+    got = world.membership(spark.createDataFrame(rows, "event_id int, at_s bigint, lat double, lng double"), world.theaters(spark)).collect()
+    assert sorted((r["event_id"], r["theater"] or "") for r in got) == [(1, "alpha"), (1, "alpha"), (2, "")]
+
+
+def test_places_of_all_rows(spark):
+    rng = random.Random(1)
+    rows = [(f"i{k:04d}", rng.choice([1.0, 2.0, rng.random()])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id string, total double")
+    got = {r["id"]: r["place"] for r in feed.ranked(df, feed.by_total()).collect()}
+    assert got == {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    assert feed.ranked(df.limit(0), feed.by_total()).collect() == []
+
+
+def test_story_ids(spark):
+    """Titles, shared entities, copies; the id is the hash of the sorted ids, in blocks only where a story is large."""
+    import hashlib
+
+    rows = [(1, "a", "Red fox jumps high", ["x", "y"]), (2, "b", "red fox jumps", ["z"]), (3, "c", "Other", ["y", "x", "w"]), (4, "d", "Alone here", ["x"]), (5, "e", None, []), (6, "f", "red, fox jumps!", None)]
+    df = spark.createDataFrame(rows, "ord bigint, id string, title string, entities array<string>")
+    got = {r["id"]: (r["cluster_id"], r["cluster_size"]) for r in feed.story_clusters(df).collect()}
+    name = lambda ids: hashlib.sha1("|".join(ids).encode()).hexdigest()[:12]
+    assert got == {**{i: (name("abcf"), 4) for i in "abcf"}, "d": (name("d"), 1), "e": (name("e"), 1)}
+    blocks = {r["id"]: r["cluster_id"] for r in feed.story_clusters(df, block=2).collect()}
+    assert len({blocks[i] for i in "abcf"}) == 1 and blocks["d"] == name("d")
+
+
+def test_streams_go_on_from_their_folder(spark, tmp_path):
+    """A restart sums on; a batch that is run again doesn't count twice."""
+    import shutil
+
+    def put(k, n):
+        spark.createDataFrame([(i % 3, float(k)) for i in range(n)], "k int, w double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema("k int, w double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        return {r["k"]: (r["n"], r["w"]) for r in streams.rollup_batches(stream, ["k"], "w", "sums", space).collect()}
+
+    space = graph.Workspace(spark)
+    put(1, 9)
+    assert run() == {k: (3, 3.0) for k in range(3)}
+    put(2, 3)
+    put(3, 3)
+    want = {k: (5, 8.0) for k in range(3)}
+    assert run() == want
+    commits = sorted((int(x.name) for x in __import__("pathlib").Path(space.folder("sums-state"), "commits").iterdir() if x.name.isdigit()))
+    for x in __import__("pathlib").Path(space.folder("sums-state"), "commits").glob(f"*{commits[-1]}*"):
+        x.unlink()
+    assert run() == want
+    shutil.rmtree(tmp_path / "in")
+
+
+def test_day_ledger_and_loose_files(spark, tmp_path):
+    path = str(tmp_path / "days")
+    day = lambda *r: spark.createDataFrame(list(r), "day int, n int")
+    files.upsert_days(day((1, 5), (2, 6)), path)
+    files.upsert_days(day((2, 7)), path)
+    assert {tuple(r) for r in files.upsert_days(day((3, 1), (3, 1)), path).collect()} == {(1, 5), (2, 7), (3, 1)}
+    (tmp_path / "raw").mkdir()
+    for k, body in enumerate(['[{"id": "a", "n": 1}, {"id": null, "n": 2}, 7, {"id": "b", "n": "x"}]', "{}", "", "nonsense", '[\n {"id": "c"}\n]']):
+        (tmp_path / "raw" / f"{k}.json").write_text(body)
+    from pyspark.sql import functions as F
+
+    good, bad = files.json_arrays(spark, str(tmp_path / "raw"), "id string, n int", F.col("id").isNotNull())
+    assert {r["id"] for r in good.collect()} == {"a", "b", "c"} and bad.count() == 2
+    assert files.json_arrays(spark, str(tmp_path / "none"), "id string", F.lit(True))[0].collect() == []
