@@ -33,6 +33,7 @@ def is_short(url: Column) -> Column:
 def credibility(subscribers: Column, views: Column, likes: Column, age_days: Column, seconds: Column) -> Column:
     """Weighted sum of audience size (log, 10^3 to 10^7), likes per view (8 % is full), reach and recency (two years);
     videos under a minute get 85 % of it."""
+    # fixed values: bounds and weights of the parts
     known = lambda x: F.coalesce(x, F.lit(0)) > 0
     size = F.when(known(subscribers), clamp01((F.log10(subscribers.cast("double")) - 3) / 4)).otherwise(0.0)
     liked = F.when(known(likes) & known(views), clamp01(likes / views / 0.08)).otherwise(0.0)
@@ -43,6 +44,7 @@ def credibility(subscribers: Column, views: Column, likes: Column, age_days: Col
 
 
 def candidate_trust(url: Column, claimed: Column) -> Column:
+    # fixed values: what counts without a claim, and what an encrypted address adds
     return clamp01(clamp01(F.coalesce(claimed, F.lit(0.5))) + F.when(url.startswith("https:"), 0.05).otherwise(0.0))
 
 
