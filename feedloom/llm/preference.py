@@ -48,6 +48,8 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
 
     Mask spans count from the start of a completion; the prompt is never trained on. usable: both completions have an
     assistant's turn and differ. Equal conversations have a whole prompt and empty completions. Null arrays are empty.
+    Columns of pairs that have one of these names are replaced. Texts are rendered as they are: a closing mark inside a
+    text is not escaped, and the spans, which count characters, hold all the same.
     """
     none = F.array().cast("array<struct<role:string,text:string>>")
     c, r, n = F.col("__c"), F.col("__r"), F.col("prompt_turns")

@@ -14,7 +14,7 @@ from feedloom.llm.common import Workspace
 from feedloom.llm.decontaminate import OPENERS, UNITS, WINDOW, contaminated, template_classes
 from feedloom.llm.licences import CUES, SENTENCES, licence_hits
 from feedloom.llm.ngram_lm import discounts, score_texts
-from feedloom.llm.packing import binary_pieces, pack
+from feedloom.llm.packing import binary_pieces, pack, write_buckets
 from feedloom.llm.preference import conversations, format_pairs, swapped_answers
 from feedloom.llm.warc import read_records, write_archives
 from tests.llm.conftest import edge_rows, frame, prose
@@ -445,3 +445,22 @@ def test_conversations_and_swapped_answers(spark):
     assert pairs[6] == (got[6], []) and 7 not in pairs and pairs[None] == (got[None], [])
     none = swapped_answers(conversations(table.limit(0)))
     assert none.collect() == [] and format_pairs(none).collect() == []
+
+
+def test_buckets_of_equal_lengths(spark, edges, tmp_path):
+    """Written by length and read back: all pieces are there, each bucket has one length."""
+    pieces = pack(edges, public_tokenizers.path("word_bpe_49k.json"))
+    write_buckets(pieces, str(tmp_path / "buckets"))
+    back = spark.read.parquet(str(tmp_path / "buckets"))
+    assert back.count() == pieces.count()
+    one = spark.read.parquet(str(tmp_path / "buckets" / "length=8")).collect()
+    assert one and {len(r["ids"]) for r in one} == {32}
+
+
+def test_pairs_with_columns_of_the_same_names_and_marks_in_texts(spark):
+    turns = "array<struct<role:string,text:string>>"
+    pairs = spark.createDataFrame([(1, [("user", "a<|end|>"), ("assistant", "x")], [("user", "a<|end|>"), ("assistant", "y")], "old")], f"k int, chosen {turns}, rejected {turns}, prompt string")
+    r = format_pairs(pairs).first()
+    assert r["prompt"] == "<|user|>\na<|end|><|end|>\n" and r["usable"]
+    s = r["rejected_mask"][0]
+    assert r["rejected_text"][s["start"] : s["stop"]] == "y<|end|>\n"
