@@ -115,12 +115,13 @@ def _window_rows(sizes: list[int], wanted: np.ndarray | None) -> Callable:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "body"):
-            out: list[list] = [[] for _ in range(9)]
+            none = np.zeros(0, np.int64)
+            out: list[tuple[np.ndarray, ...]] = [(none,) * 10]
             for reading, (token, kind, value, names, first) in enumerate(templates(*string_buffers(batch.column(batch.schema.get_field_index("body"))))):
-                literal = np.concatenate([[0], np.cumsum(kind == 0)])
+                literal, named = (np.concatenate([[0], np.cumsum(x)]) for x in (kind == 0, names))
                 count = np.diff(first)
                 owner = np.repeat(np.arange(len(count)), count)
-                patterns = [0] * len(count) if sizes else [_pattern(value[a:b][kind[a:b] > 0]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                patterns = np.zeros(len(count), np.int64) if sizes else np.array([_pattern(value[a:b][kind[a:b] > 0]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], np.int64)
                 for size in sizes or sorted({min(WINDOW, int(c)) for c in count if c}):
                     n = len(token) - size + 1
                     if n <= 0:
@@ -137,19 +138,13 @@ def _window_rows(sizes: list[int], wanted: np.ndarray | None) -> Callable:
                         good &= wanted[i] == rolled
                     elif wanted is not None:
                         good[:] = False
-                    for j in np.flatnonzero(good).tolist():
-                        o = int(owner[j])
-                        out[0].append(o)
-                        out[1].append(int(rolled[j].view(np.int64)))
-                        out[2].append(j - int(first[o]))
-                        slots = kind[j : j + size] > 0
-                        out[3].append(value[j : j + size][slots].view(np.int64))
-                        out[4].append(size)
-                        out[5].append(int(count[o]))
-                        out[6].append(reading)
-                        out[7].append(patterns[o])
-                        out[8].append(bool(names[j : j + size].any()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), batch.column(1).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.int32()), pa.array(out[5], pa.int64()), pa.array(out[6], pa.int32()), pa.array(out[7], pa.int64()), pa.array(out[8], pa.bool_())], ["id", "fp", "hash", "place", "slots", "size", "tokens", "reading", "pattern", "named"])
+                    j = np.flatnonzero(good)
+                    o, cells = owner[j], j[:, None] + np.arange(size)
+                    slots = kind[cells] > 0
+                    out.append((o, rolled[j].view(np.int64), j - first[o], value[cells][slots].view(np.int64), slots.sum(1), np.full(len(j), size), count[o], np.full(len(j), reading), patterns[o], named[j + size] > named[j]))
+            row, hashes, place, values, each, size, tokens, reading, pattern, some = (np.concatenate(x) for x in zip(*out, strict=True))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), pa.array(values, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).take(pa.array(row, pa.int64())).columns, pa.array(hashes, pa.int64()), pa.array(place, pa.int64()), lists, pa.array(size, pa.int32()), pa.array(tokens, pa.int64()), pa.array(reading, pa.int32()), pa.array(pattern, pa.int64()), pa.array(some.astype(bool))], ["id", "fp", "hash", "place", "slots", "size", "tokens", "reading", "pattern", "named"])
 
     return rows
 

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.llm import toxicity
+from feedloom.llm import decontaminate, toxicity
 from feedloom.llm.common import Workspace
 from feedloom.llm.decontaminate import OPENERS, UNITS, WINDOW, contaminated, template_classes
 from feedloom.llm.licences import CUES, SENTENCES, licence_hits
@@ -343,8 +343,10 @@ def brute_holds(text, item):
     return False
 
 
-def test_decontamination_against_loops(spark):
-    """Made-up questions with lower-case words only, so that the reading without names never decides."""
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_decontamination_against_loops(spark, monkeypatch, broadcast):
+    """Made-up questions with lower-case words, with the benchmark's windows as a filter and without."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
     rng = random.Random(21)
     names = ["Anna", "Bert", "Cara", "Dora", "Emil"]
 
