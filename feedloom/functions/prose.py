@@ -20,8 +20,8 @@ AD_DENSITY, EXCERPT_CHARS, SENTENCE_SHARE = 5, 180, 0.4
 def sponsor_density(text: Column) -> Column:
     """Two points for each brand, one for each turn of phrase, each counted once."""
     hits = [(r"\b" + b + r"\b", 2) for b in BRANDS] + [(p, 1) for p in LEXICON]
-    found = F.transform(F.array(*(F.struct(F.lit("(?i)" + p).alias("p"), F.lit(n).alias("n")) for p, n in hits)), lambda x: F.when(F.regexp_like(text, x["p"]), x["n"]).otherwise(0))
-    return F.aggregate(found, F.lit(0), lambda a, b: a + b)
+    # constant patterns, so each is compiled once
+    return F.aggregate(F.array(*(F.when(text.rlike("(?i)" + p), n).otherwise(0) for p, n in hits)), F.lit(0), lambda a, b: a + b)
 
 
 def is_ad(text: Column) -> Column:
