@@ -546,11 +546,16 @@ def str_19_figures(spark: SparkSession, sf: str) -> DataFrame:
 # whole passes -----------------------------------------------------------------------------------------------------------
 
 
-@query(q.with_(q.ITEMS, q.REGISTRY) + "SELECT id, source, rn FROM (SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY published_s DESC, id) AS rn FROM items) WHERE rn <= 3")
+@query(q.with_(q.ITEMS, q.REGISTRY, q.OUTCOMES, "fresh AS (SELECT 's' || (ord % 120) AS id, least(count(*), 3) AS n_new FROM items GROUP BY 1)",
+    "j AS (SELECT r.id, r.status, o.ok, o.item_count, r.status = 'disabled' AS off, coalesce(NOT o.ok AND o.http_status IN (404, 410) AND r.status <> 'disabled' AND r.strikes + 1 >= 3, false) AS gone FROM registry r LEFT JOIN outcomes o ON o.id = r.id)")
+    + "SELECT id, CASE WHEN ok IS NULL THEN status WHEN ok THEN CASE WHEN item_count > 0 THEN 'active' ELSE 'dormant' END WHEN off OR gone THEN 'disabled' ELSE 'failing' END AS status, coalesce(n_new, 0) AS n_new FROM j LEFT JOIN fresh USING (id)")
 def pip_02_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """One round of ingestion: each item once, at most three a source of what is new (the cap is the feature)."""
-    rows = features(spark, sf).select("id", "source", "published_s").dropDuplicates(["id"])
-    return analytics.top_per_group(rows, "source", [F.desc("published_s"), F.col("id")], 3).select("id", "source", F.col("nth").cast("bigint").alias("rn"))
+    """One round of ingestion: the registry after its outcomes, and each source's new items, three at most (the cap is the feature)."""
+    source = F.concat(F.lit("s"), (F.col("ord") % 120).cast("string"))
+    rows = features(spark, sf).select("id", source.alias("source"), "published_s").dropDuplicates(["id"])
+    fresh = analytics.top_per_group(rows, "source", [F.desc("published_s"), F.col("id")], 3).groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n_new"))
+    after = health.reconcile(registry(spark, sf), outcomes(spark, sf), v.NOW)
+    return after.join(fresh, "id", "left").select("id", "status", F.coalesce("n_new", F.lit(0)).alias("n_new"))
 
 
 @query(f"WITH c AS (SELECT {_HOST} AS domain, page_id AS ord, url, page_id % 4 + 1 AS seen FROM pages) SELECT domain, arg_min(url, ord) AS url, CAST(sum(seen) AS BIGINT) AS seen FROM c WHERE domain IS NOT NULL GROUP BY domain HAVING sum(seen) >= 3 AND domain NOT IN (SELECT domain FROM c WHERE ord % 9 = 0 AND domain IS NOT NULL)")
