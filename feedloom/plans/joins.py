@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom import vocab as v
 from feedloom.catalog import query
-from feedloom.functions import prose, sources, text
+from feedloom.functions import sources, text
 from feedloom.operators import analytics, catalogue, drafts, feed, ground, health
 from feedloom.operators.graph import Workspace
 from feedloom.plans import sql as q
@@ -208,9 +208,6 @@ def src_08_taste_payloads(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(k.alias("k"), F.explode(files.numbers(payload, "topics")).alias("topic", "v"))
 
 
-_OUTLINE = "o AS (SELECT page_id AS n, url FROM pages)"
-
-
 @query(f"SELECT domain, min(page_id) AS first FROM (SELECT page_id, {_HOST} AS domain FROM pages) WHERE domain IS NOT NULL GROUP BY domain")
 def src_14_outline(spark: SparkSession, sf: str) -> DataFrame:
     """Feeds of an outline, one a domain, the first of them; only addresses of the web."""
