@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import _LOWER, _SPACE, Rolling, Workspace, chunks, mix, randoms, string_buffers, text_of, words
+from feedloom.llm.common import _LOWER, Rolling, Workspace, chunks, mix, randoms, string_buffers, text_of, words
 
 #: Template tokens in a window; shorter items are one window. A window needs half as many literal words.
 WINDOW = 8

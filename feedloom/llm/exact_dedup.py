@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import Workspace, merge_sorted, shards, small, text_of
+from feedloom.llm.common import Workspace, merge_sorted, small, text_of
 
 #: Bits of a fingerprint that name its home slot; the other bits are the remainder.
 QUOTIENT_BITS = 20
