@@ -5,6 +5,7 @@ All hashing here is 64-bit and depends on content alone, so every executor agree
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from feedloom.operators.graph import Workspace, components, shared_folder, small
 
-__all__ = ["Rolling", "Workspace", "add_up", "chunks", "components", "merge_sorted", "mix", "randoms", "shards", "shared_folder", "shingles", "small", "store_of", "string_buffers", "text_of", "word_hashes", "words"]
+__all__ = ["Rolling", "Workspace", "add_up", "chunks", "components", "merge_sorted", "mix", "randoms", "release", "shards", "shared_folder", "shingles", "small", "store_of", "string_buffers", "text_of", "word_hashes", "words"]
 
 #: Bytes of text that a task turns into arrays at a time (a single longer text is taken whole).
 CHUNK_BYTES = 1 << 19
@@ -33,6 +34,14 @@ def shards(texts: DataFrame, column: str = "body") -> int:
     return max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PIECE_BYTES))
 
 
+def release() -> None:
+    """Gives freed memory back to the system, for workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -107,6 +116,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             high = max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1)
             yield batch.slice(low, high - low)
             low = high
+    release()
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ from feedloom.llm.common import chunks, text_of
 SEQUENCE = 2048
 END_ID = 1
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 _TRAILING = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 
