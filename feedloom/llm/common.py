@@ -119,15 +119,15 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     release()
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, at: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row starts of the words `[^\\x20\\x09-\\x0D]+`; words never cross rows.
 
-    at: offsets of the rows. The third array has, for each row and the end, how many words start before it.
+    at: offsets of the rows; gap: which bytes stand between words. The third array has, for each row and the end, how many words start before it.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~gap[data]
     first = np.zeros(n + 1, bool)
     first[at] = True
     begins = solid.copy()

@@ -8,13 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.llm.centroids import cluster
 from feedloom.llm.common import Workspace
 from feedloom.llm.decontaminate import contaminated
 from feedloom.llm.exact_dedup import exact_dedup
 from feedloom.llm.licences import CUES, GAP, RULES, licence_hits, sentence_table, sequence
+from feedloom.llm.line_dedup import keep_lines, line_bitmaps
 from feedloom.llm.ngram_jaccard import jaccard_components
 from feedloom.llm.ngram_lm import score_texts
 from feedloom.llm.packing import pack
+from feedloom.llm.phrases import collocations
 from feedloom.llm.preference import conversations, format_pairs, swapped_answers
 from feedloom.llm.suffix_dedup import remove_repeats
 from feedloom.llm.toxicity import labelled_texts, toxicity_scores, train
@@ -93,6 +96,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable vectors of 64 components around 8 centroids after 10 rounds."""
+    return cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)[0]
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language, from all texts."""
+    return collocations(table(spark, sf_dir, "documents"), top=2000, least=30, longest=4, cover=80)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that five or more share, but for the largest id's; bitmaps decide, then texts are read."""
+    docs = table(spark, sf_dir, "documents")
+    out = keep_lines(docs, line_bitmaps(docs, least=40, documents=5))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_lm": op1_ngram_lm,
     "op2_decontaminate": op2_decontaminate,
@@ -104,6 +124,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_licences": op9_licences,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_centroids": op11_centroids,
+    "op12_phrases": op12_phrases,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 
@@ -111,7 +134,49 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
+def _rounds(n: int) -> str:
+    """Assignments and centroids of n rounds, a pair of tables a round."""
+    near = "n{0} AS MATERIALIZED (SELECT v, min_by(c, (d, c)) AS c, min(d) AS d FROM (SELECT v, c, sum((q - m) * (q - m)) AS d FROM x JOIN c{0} USING (i) GROUP BY v, c) GROUP BY v)"
+    step = "c{1} AS MATERIALIZED (SELECT c, i, coalesce(f, m) AS m FROM c{0} LEFT JOIN (SELECT c, i, CAST(floor(sum(q) / count(*)) AS BIGINT) AS f FROM x JOIN n{0} USING (v) GROUP BY c, i) USING (c, i))"
+    return ", ".join(y for k in range(n) for y in (near.format(k), step.format(k, k + 1))) + ", " + near.format(n)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLE_SQL: dict[str, str] = {
+    # whole-number sums stay far below 2^53, so the division in double is exact to the floor
+    "op11_centroids": f"""
+        WITH kept AS (SELECT row_number() OVER () AS v, vec_id, embedding AS e FROM embeddings
+                      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = 64),
+        x AS MATERIALIZED (SELECT v, unnest(range(1, 65)) AS i, CAST(floor(1024 * CAST(unnest(e) AS DOUBLE)) AS BIGINT) AS q FROM kept),
+        seeds AS (SELECT v, row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), e) - 1 AS c FROM kept QUALIFY c < 8),
+        c0 AS MATERIALIZED (SELECT c, i, q AS m FROM seeds JOIN x USING (v)), {_rounds(10)},
+        sha AS (SELECT c, sha256(string_agg(CAST(m AS VARCHAR), ',' ORDER BY i)) AS s FROM c10 GROUP BY c)
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, s AS centroid_sha256
+        FROM n10 JOIN kept USING (v) JOIN sha USING (c)
+    """,
+    "op12_phrases": f"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda y: y <> '') AS w FROM p),
+        g AS (SELECT lang, m, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS phrase FROM w, (VALUES (1), (2), (3), (4)) t(m)),
+        f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+        n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+        cuts AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+        s AS (SELECT c.lang, c.m, c.phrase, c.a, c.k, l.a AS l, r.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (l.a + r.a) AS BIGINT) AS score FROM cuts c
+              JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ') AND l.m = c.k JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ') AND r.m = c.m - c.k),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = b.lang AND f.m > b.m AND contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * f.a >= 80 * b.a)),
+        z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM o)
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM z JOIN n USING (lang) WHERE rank <= 2000
+    """,
+    "op13_line_dedup": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rn FROM documents),
+        l AS (SELECT rn, doc_id, t, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d),
+        k AS MATERIALIZED (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM l),
+        c AS (SELECT key, max(doc_id) AS first FROM (SELECT DISTINCT doc_id, t, key FROM k WHERE length(key) >= 40) GROUP BY key HAVING count(*) >= 5),
+        m AS (SELECT k.*, c.key IS NOT NULL AND doc_id IS DISTINCT FROM first AS gone FROM k LEFT JOIN c USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY rn, doc_id
+    """,
     "op4_preference": """
         WITH t AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS turns FROM conversations GROUP BY conv_id),
         l AS (SELECT *, list_max([i FOR i IN range(1, len(turns) + 1) IF turns[i].role = 'assistant']) AS last FROM t),
