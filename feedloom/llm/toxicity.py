@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +22,8 @@ ORDERS, BITS, CHOSEN, TRAIN_ROWS = (3, 4, 5), 20, 4096, 20_000
 #: Steps of the descent, its pull to zero, the score from which a text is predicted toxic.
 STEPS, PULL, THRESHOLD = 200, 1e-5, 0.3
 _BLOCKS = 64
+#: The text beside the columns of the rows that are filtered.
+_SCORED = "__text_to_score"
 #: Label rows (12 bytes each) that may be broadcast.
 BROADCAST_ROWS = 2_000_000
 _FOLD = _LOWER.copy()
@@ -188,12 +189,17 @@ def toxicity_scores(docs: DataFrame, model: Model, id_column: str = "doc_id", te
     return scored.select(F.col("id").alias(id_column), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """The rows of docs whose text the model does not predict toxic, all columns as they are."""
-
-    @F.pandas_udf("double")
-    def score(bodies: pd.Series) -> pd.Series:
+def _clean(model: Model) -> Callable:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = _present(model.features)
-        return bodies.map(lambda b: model.score(present(np.frombuffer(b.encode(), np.uint8)))).astype("float64")
+        for batch in chunks(batches, _SCORED):
+            data, at = string_buffers(batch.column(batch.num_columns - 1))
+            keep = [model.score(present(data[at[i] : at[i + 1]])) < THRESHOLD for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+
+    return clean
 
-    return docs.where(score(text_of(text_column)) < THRESHOLD)
+
+def drop_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """The rows of docs whose text the model does not predict toxic, all columns as they are."""
+    return docs.select("*", text_of(text_column).alias(_SCORED)).mapInArrow(_clean(model), docs.schema)
