@@ -17,6 +17,11 @@ def event_stream(spark: SparkSession, path: str, pattern: str = "*.parquet") ->
     """The event table as a stream of files, with types and weights as in the batch scan."""
     schema = spark.read.parquet(f"{path}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(path) if pattern == "events" else spark.readStream.schema(schema).parquet(path)
+    return weighted(raw)
+
+
+def weighted(raw: DataFrame) -> DataFrame:
+    """Rows of the event table, from a table or a stream, with the engagement's type and weight."""
     kind = F.when(F.col("event_type") == "view", "open").when(F.col("event_type") == "click", "read").when(F.col("event_type") == "purchase", "dwell")
     rows = raw.select("event_id", F.concat(F.lit("d"), F.regexp_extract("props", r"(\d+)", 1)).alias("item_id"), F.col("ts").cast("timestamp").alias("at_ts"), F.col("user_id").alias("device"), kind.alias("type"), F.col("event_type").alias("raw_type"), F.when(kind == "dwell", F.col("value") * 1000).alias("dwell_ms"))
     return rows.withColumn("w", event_weight(F.col("type"), F.col("dwell_ms")))
