@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from feedloom import vocab as v
 
 # fixed values: words that tell of hardware, and weaker ones that tell of building
-HARDWARE = r"\b(?:DIY|3D[- ]?print(?:ed|ing|er)?s?|PCB|solder(?:ing|ed)?|breadboard|Arduino|Raspberry[- ]?Pi|ESP32|ESP8266|STM32|microcontroller|firmware|enclosure|schematic|servo|teardown|laser[- ]?cut|CNC|filament|gcode|breakout[- ]?board|GPIO|I2C|SPI)\b"
+HARDWARE = r"\b(?:DIY|3D[- ]?print(?:ed|ing|er)?s?|PCB|solder(?:ing|ed)?|breadboard|Arduino|Raspberry[- ]?Pi|ESP32|ESP8266|STM32|microcontroller|firmware|enclosure|schematic|servo|teardown|laser[- ]?cut|CNC|filament|gcode|breakout[- ]?board|GPIO|I2C|SPI|home[- ]?(?:automation|assistant)|self[- ]?host(?:ed|ing)?)\b"
 BUILD = r"\b(?:build|built|builds|building|makes?|making|made|CAD|wiring|sensor|robot|how[- ]?to|tutorial|project|kit|hack|mod|flash(?:ing)?|retrofit)\b"
 # fixed value: points from which an item is something to build
 THRESHOLD = 3

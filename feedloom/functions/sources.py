@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedloom import vocab as v
 from feedloom.functions import text
 
 
@@ -30,6 +31,19 @@ def is_short(url: Column) -> Column:
     return F.lower(url).rlike(r"^https?://((www|m)\.)?youtube\.com/shorts/")
 
 
+def is_junk_video(kind: Column, title: Column) -> Column:
+    """Raw clips among the videos, by their titles; other kinds are never junk."""
+    # fixed values: what such titles say
+    return (kind == "video") & (title.rlike(r"(?i)\(no audio\)") | title.rlike(r"(?i)\btesting video\b"))
+
+
+def is_ignored(host: Column) -> Column:
+    """Is the host, or a domain above it, a platform or infrastructure?"""
+    parts = F.split(host, r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.coalesce(F.arrays_overlap(above, F.array(*map(F.lit, v.IGNORED_DOMAINS))), F.lit(False))
+
+
 def credibility(subscribers: Column, views: Column, likes: Column, age_days: Column, seconds: Column) -> Column:
     """Weighted sum of audience size (log, 10^3 to 10^7), likes per view (8 % is full), reach and recency (two years);
     videos under a minute get 85 % of it."""
@@ -43,6 +57,13 @@ def credibility(subscribers: Column, views: Column, likes: Column, age_days: Col
     return F.when(F.coalesce(seconds, F.lit(60)) < 60, total * 0.85).otherwise(total)
 
 
+def transcript_rank(kind: Column) -> Column:
+    """How good a transcript's format is: those for machines, then plain text, then pages."""
+    # fixed values: the ranks
+    k = F.lower(kind)
+    return F.when(k.contains("vtt") | k.contains("subrip") | k.contains("srt") | k.contains("json"), 3).when(k.contains("html"), 1).otherwise(2)
+
+
 def candidate_trust(url: Column, claimed: Column) -> Column:
     # fixed values: what counts without a claim, and what an encrypted address adds
     return clamp01(clamp01(F.coalesce(claimed, F.lit(0.5))) + F.when(url.startswith("https:"), 0.05).otherwise(0.0))

@@ -102,3 +102,21 @@ def unsafe_reasons(html: Column) -> Column:
     """Names of the unsafe constructs that a piece of markup has."""
     rules = {"script": r"(?i)<script\b", "iframe": r"(?i)<iframe\b", "object": r"(?i)<(object|embed)\b", "style": r"(?i)<style\b", "form": r"(?i)<form\b", "handler": r"(?i)\son[a-z]+\s*=", "javascript-url": r"(?i)javascript:", "data-url": r"(?i)data:text/html"}
     return F.filter(F.array(*(F.when(html.rlike(r), k) for k, r in rules.items())), lambda x: x.isNotNull())
+
+
+def match_score(label: Column, typed: Column) -> Column:
+    """0 where the label begins with what is typed (or nothing is), 1 and a hundredth for each letter before it within, 2 where its
+    letters come in this order, null elsewhere. Case doesn't count."""
+    t, x = F.lower(label), F.lower(F.trim(typed))
+    place = F.position(x, t)
+    # letter by letter: each is looked for behind the one before
+    left = F.aggregate(F.filter(F.split(x, ""), lambda c: c != ""), t, lambda rest, c: F.when(F.position(c, rest) > 0, F.substr(rest, F.position(c, rest) + 1)))
+    return F.when((x == "") | (place == 1), 0.0).when(place > 1, 1 + (place - 1) / 100).when(left.isNotNull(), 2.0)
+
+
+def is_degenerate(chunk: Column) -> Column:
+    """Speech that says nothing: no words, under 30 % different words, or letters repeated over 7.2 times on average."""
+    # fixed values: the share of different words, three times the ratio of letters
+    w = F.filter(F.split(F.lower(F.coalesce(chunk, F.lit(""))), r"\s+"), lambda x: x != "")
+    letters = F.filter(F.split(F.regexp_replace(F.coalesce(chunk, F.lit("")), r"\s", ""), ""), lambda x: x != "")
+    return (F.size(w) == 0) | (F.size(F.array_distinct(w)) / F.size(w) < 0.3) | (F.size(letters) / F.size(F.array_distinct(letters)) > 7.2)

@@ -92,11 +92,13 @@ def compare_counts(live: DataFrame, snapshot: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, F.coalesce("live", F.lit(0)).alias("live"), F.coalesce("snapshot", F.lit(0)).alias("snapshot"))
 
 
-def channel_gaps(registry: DataFrame, channels: DataFrame) -> DataFrame:
-    """Per channel: how many sources, how many still live, how many lost; channels without sources are kept."""
-    live = F.col("status").isin("active", "dormant")
-    counts = registry.groupBy("channel").agg(F.count("*").alias("total"), F.count_if(live).alias("live"), F.count_if(F.col("status") == "disabled").alias("lost"))
-    return channels.join(counts, "channel", "left").na.fill(0, ["total", "live", "lost"])
+def channel_gaps(registry: DataFrame, channels: DataFrame, least: int = 2) -> DataFrame:
+    """Per channel, from sources (channel, type, status, enabled): how many are enabled, how many failures have disabled, the types that
+    were lost with them (sorted), and whether too few are left; channels without sources are kept."""
+    lost = ~F.col("enabled") & (F.col("status") == "disabled")
+    counts = registry.groupBy("channel").agg(F.count_if("enabled").alias("enabled"), F.count_if(lost).alias("disabled"), F.array_sort(F.collect_set(F.when(lost, F.col("type")))).alias("lost_types"))
+    rows = channels.join(counts, "channel", "left").na.fill(0, ["enabled", "disabled"])
+    return rows.withColumns({"lost_types": F.coalesce("lost_types", F.array().cast("array<string>")), "underserved": F.col("enabled") < least})
 
 
 def spread(rows: DataFrame, value: str, low: float, high: float) -> DataFrame:

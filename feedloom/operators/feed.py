@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,15 +49,17 @@ def duplicate_groups(items: DataFrame) -> DataFrame:
 def representatives(grouped: DataFrame) -> DataFrame:
     """One item a group: full text first, then the longer (n_plain), the more trusted, the more active, the smaller id.
 
-    The representative keeps its own fields; topics are united, its own first; metrics are the greatest of the group.
+    The representative keeps its own fields; topics and entities are united, its own first; metrics are the greatest of
+    the group.
     """
     plain = F.col("n_plain")
     rank = F.struct((plain <= v.FULL_TEXT_CHARS).alias("short"), (-plain).alias("length"), (-F.coalesce("trust", F.lit(0.5))).alias("trust"), (-(F.coalesce("score", F.lit(0)) + F.coalesce("comments", F.lit(0)))).alias("volume"), F.col("id").alias("i"))
-    # topics one by one: the set is the vocabulary at most, however large the group
-    united = grouped.select("group", F.explode("topics").alias("t")).groupBy("group").agg(F.array_sort(F.collect_set("t")).alias("all_topics"))
+    # one by one: the sets are the vocabularies at most, however large the group
+    sets = {c: grouped.select("group", F.explode(c).alias("t")).groupBy("group").agg(F.array_sort(F.collect_set("t")).alias(f"all_{c}")) for c in ("topics", "entities")}
     best = grouped.withColumn("rank", rank).groupBy("group").agg(F.min_by("id", "rank").alias("id"), F.max("score").alias("score"), F.max("comments").alias("comments"), F.count("*").alias("size"), F.min("ord").alias("first"))
-    own = grouped.drop("score", "comments", "group")
-    return own.join(best.join(united, "group", "left"), "id").withColumn("topics", F.array_distinct(F.concat("topics", F.coalesce("all_topics", F.array().cast("array<string>"))))).drop("all_topics")
+    own, none = grouped.drop("score", "comments", "group"), F.array().cast("array<string>")
+    joined = own.join(best.join(sets["topics"], "group", "left").join(sets["entities"], "group", "left"), "id")
+    return joined.withColumns({c: F.array_distinct(F.concat(c, F.coalesce(f"all_{c}", none))) for c in sets}).drop("group", *(f"all_{c}" for c in sets))
 
 
 def title_classes(items: DataFrame) -> DataFrame:
@@ -100,26 +106,38 @@ def entity_links(items: DataFrame, shared: int = v.SHARED_ENTITIES) -> DataFrame
     return keyed.join(first, "k").where("ord <> x").select("x", F.col("ord").alias("y"), F.lit("entities").alias("kind")).distinct()
 
 
-#: Ids of one story that are joined and hashed at once; longer lists are hashed in blocks, and the blocks' hashes again.
-STORY_BLOCK = 50_000
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(component, cluster_id, cluster_size) from rows sorted by component and id; ids are hashed as they stream by."""
+    component, sha, n = None, None, 0
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"component": pa.array([component], pa.int64()), "cluster_id": [sha.hexdigest()[:12]], "cluster_size": pa.array([n], pa.int64())})
 
+    for batch in batches:
+        for c, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if n and c == component:
+                sha.update(b"|")
+            else:
+                if n:
+                    yield row()
+                component, sha, n = c, hashlib.sha1(usedforsecurity=False), 0
+            sha.update(i.encode())
+            n += 1
+    if n:
+        yield row()
 
-def story_clusters(items: DataFrame, block: int = STORY_BLOCK) -> DataFrame:
+
+def story_clusters(items: DataFrame) -> DataFrame:
     """Adds cluster_id, the hash of the sorted ids of the items whose titles or entities connect, and cluster_size."""
     space = Workspace(items.sparkSession)
     slim = items.select("ord", "id", "title", "entities")
     links = story_links(slim).select(F.col("x").alias("a"), F.col("y").alias("b"))
     named = space.write(components(items.sparkSession, space, links), "named")
-    size = space.write(named.groupBy("component").agg(F.count("*").alias("cluster_size")), "sizes")
-    placed = space.write(slim.select("ord", "id").join(named.withColumnRenamed("node", "ord"), "ord").join(size, "component"), "placed")
-
-    def digest(x):
-        return F.sha1(F.array_join(F.array_sort(F.collect_list(x)), "|").cast("binary"))
-
-    parts = placed.groupBy("component", "cluster_size", F.when(F.col("cluster_size") > block, F.pmod(F.xxhash64("id"), F.ceil(F.col("cluster_size") / block))).alias("part")).agg(digest("id").alias("d"))
-    whole = parts.groupBy("component", "cluster_size").agg(F.when(F.count("*") == 1, F.first("d")).otherwise(digest("d")).alias("d"))
-    ids = space.write(whole.select("component", F.substring("d", 1, 12).alias("cluster_id")), "ids")
-    clusters = placed.join(ids, "component").select("ord", "cluster_id", "cluster_size")
+    placed = space.write(slim.select("ord", "id").join(named.withColumnRenamed("node", "ord"), "ord"), "placed")
+    # a story's ids pass one task, which holds none of them
+    dealt = placed.select("component", "id").repartition("component").sortWithinPartitions("component", "id")
+    stories = space.write(dealt.mapInArrow(_digests, "component bigint, cluster_id string, cluster_size bigint"), "stories")
+    clusters = placed.join(stories, "component").select("ord", "cluster_id", "cluster_size")
     alone = F.substring(F.sha1(F.col("id").cast("binary")), 1, 12)
     return items.join(clusters, "ord", "left").withColumns({"cluster_id": F.coalesce("cluster_id", alone), "cluster_size": F.coalesce("cluster_size", F.lit(1))})
 
@@ -250,19 +268,45 @@ def balanced(scored: DataFrame, n: int) -> DataFrame:
     return first.unionByName(body).withColumn("pick", pick).where(F.col("pick") < n).drop("turn", "lead", "lead_id", "nth", "feature", "feature_channel")
 
 
-def one_per_source(scored: DataFrame, n: int, backfill: int = 2) -> DataFrame:
-    """Each source's best first; if there are fewer than n, up to `backfill` more of the best."""
+def one_per_source(scored: DataFrame, n: int, slack: int = 2) -> DataFrame:
+    """Each source's best, n at most; a list that is short by at most `slack` is filled up with the next best of all."""
     key = F.struct((-F.col("total")).alias("t"), F.col("id").alias("i"))
     best = scored.groupBy("source").agg(F.min(key).alias("b")).select(F.col("b.i").alias("id"))
     first = scored.join(best, "id", "left_semi").orderBy(*by_total()).limit(n).withColumn("late", F.lit(0))
-    more = scored.join(best, "id", "left_anti").orderBy(*by_total()).limit(backfill).withColumn("late", F.lit(1))
+    more = scored.join(best, "id", "left_anti").orderBy(*by_total()).limit(slack).withColumn("late", F.lit(1))
+    short = F.broadcast(best.limit(n).agg((n - F.count("*")).alias("__short")))  # one row
+    more = more.crossJoin(short).where(F.col("__short") <= slack).drop("__short")
     return first.unionByName(more).orderBy("late", *by_total()).limit(n).drop("late")
 
 
 def featured(scored: DataFrame, n: int = v.FEATURED) -> DataFrame:
-    """The ids of the best n that have a full text of enough minutes: what the front page features."""
-    ok = (F.col("minutes") >= v.MAKER_READ_MINUTES) & (F.col("n_plain") > v.FULL_TEXT_CHARS)
-    return scored.where(ok).orderBy(*by_total()).limit(n).select("id")
+    """The ids of the best n whose body takes enough minutes: what the front page features."""
+    return scored.where(F.col("minutes") >= v.FEATURE_MINUTES).orderBy(*by_total()).limit(n).select("id")
+
+
+def maker(sources: list[str]) -> Column:
+    """Is an item a maker's, by its source or by a channel that is hardware for sure?"""
+    return F.coalesce(F.col("source").isin(sources), F.lit(False)) | F.coalesce(F.arrays_overlap("topics", F.array(*map(F.lit, v.HARD_CHANNELS))), F.lit(False))
+
+
+def substantial(items: DataFrame, makers: list[str] | None = None) -> DataFrame:
+    """Items with a full text that takes long enough to read: five minutes, or three for makers."""
+    long = (F.col("minutes") >= v.MIN_READ_MINUTES) | (F.col("minutes") >= v.MAKER_READ_MINUTES) & maker(v.MAKER_SOURCES if makers is None else makers)
+    return items.where((F.col("n_plain") > v.FULL_TEXT_CHARS) & long)
+
+
+def curate(items: DataFrame, events: DataFrame, now: int, makers: list[str] | None = None) -> DataFrame:
+    """The curated feed: all items that stay, with place, total, its terms, cluster_id and cluster_size.
+
+    Duplicates are one item before stories are told; then the gates; taste and the sizes of stories are those of what is
+    left; all of it is ranked, and videos and audio come forward where the list has too few.
+    """
+    space = Workspace(items.sparkSession)
+    once = space.write(representatives(duplicate_groups(items)).drop("size", "first"), "once")
+    kept = space.write(substantial(story_clusters(once), makers).drop("cluster_size"), "kept")
+    sizes = kept.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"))
+    profile = space.write(taste_profile(events, kept, now), "profile")
+    return diversity_floor(ranked(score_items(kept.join(sizes, "cluster_id"), profile, now), by_total()))
 
 
 # archive --------------------------------------------------------------------------------------------------------------

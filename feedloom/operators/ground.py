@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions import text
+from feedloom import vocab as v
+from feedloom.functions import sources, text
 from feedloom.operators.graph import small
 
 #: Domains of registered sources that may be broadcast.
@@ -25,16 +26,44 @@ def citation_stats(citations: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
-def claim_verdicts(claims: DataFrame, coverage: float = 0.9, corroboration: float = 0.6) -> DataFrame:
-    """Per draft, from claims (draft, load_bearing, high_stakes, n_sources): do they hold?
+def claim_verdicts(claims: DataFrame, citations: DataFrame, ledger: DataFrame, drafts: DataFrame | None = None, coverage: float = 0.9, corroboration: float = 0.6) -> DataFrame:
+    """Per draft, from claims (draft, claim, load_bearing, high_stakes), citations (claim, url) and the ledger (url, domain, origin): do they hold?
 
-    Load-bearing claims need a source nearly all, two sources mostly; a high-stakes claim always needs two. No claims
-    fail.
+    coverage: the share of all claims that cite the ledger; corroboration: the share of load-bearing claims with two
+    independent sources (different domain or origin), 1 without such claims; unknown: citations that the ledger lacks;
+    risky: load-bearing claims of high stakes without two sources. A draft passes with both shares high enough and
+    nothing unknown or risky; one without claims (drafts: all there are) doesn't.
     """
-    bearing = F.col("load_bearing")
-    agg = claims.groupBy("draft").agg(F.count("*").alias("n"), F.count_if(bearing).alias("k"), F.count_if(bearing & (F.col("n_sources") >= 1)).alias("covered"), F.count_if(bearing & (F.col("n_sources") >= 2)).alias("twice"), F.count_if(F.col("high_stakes") & (F.col("n_sources") < 2)).alias("risky"))
-    c, t = (F.coalesce(F.try_divide(F.col(x).cast("double"), F.col("k").cast("double")), F.lit(1.0)) for x in ("covered", "twice"))
-    return agg.select("draft", "n", c.alias("coverage"), t.alias("corroboration"), "risky", ((F.col("n") > 0) & (c >= coverage) & (t >= corroboration) & (F.col("risky") == 0)).alias("passed"))
+    known = ledger.groupBy("url").agg(F.min("domain").alias("domain"), F.min("origin").alias("origin")).withColumn("known", F.lit(True))
+    cited = citations.join(known, "url", "left").groupBy("claim").agg(F.count_if("known").alias("backed"), F.count_if(F.col("known").isNull()).alias("unknown"), F.count_distinct(F.when(F.col("known"), F.struct("domain", "origin"))).alias("independent"))
+    rows = claims.join(cited, "claim", "left").na.fill(0, ["backed", "unknown", "independent"])
+    bearing, twice = F.col("load_bearing"), F.col("independent") >= 2
+    agg = rows.groupBy("draft").agg(F.count("*").alias("n"), F.count_if(F.col("backed") > 0).alias("covered"), F.count_if(bearing).alias("k"), F.count_if(bearing & twice).alias("twice"), F.sum("unknown").alias("unknown"), F.count_if(bearing & F.col("high_stakes") & ~twice).alias("risky"))
+    if drafts is not None:
+        agg = drafts.select("draft").distinct().join(agg, "draft", "left").na.fill(0, ["n", "covered", "k", "twice", "unknown", "risky"])
+    c = F.coalesce(F.try_divide(F.col("covered").cast("double"), F.col("n").cast("double")), F.lit(0.0))
+    t = F.when(F.col("n") == 0, 0.0).otherwise(F.coalesce(F.try_divide(F.col("twice").cast("double"), F.col("k").cast("double")), F.lit(1.0)))
+    return agg.select("draft", "n", c.alias("coverage"), t.alias("corroboration"), "unknown", "risky", ((F.col("n") > 0) & (c >= coverage) & (t >= corroboration) & (F.col("unknown") == 0) & (F.col("risky") == 0)).alias("passed"))
+
+
+def frequent_domains(items: DataFrame, registered: DataFrame, least: int = 3) -> DataFrame:
+    """(domain, seen): where items (url, source_type) of aggregators lead at least `least` times; sources and platforms are left out."""
+    rows = items.where(F.col("source_type").isin(v.AGGREGATORS)).select(text.host(F.col("url")).alias("domain"))
+    return _foreign(rows.groupBy("domain").agg(F.count("*").alias("seen")).where(F.col("seen") >= least), registered)
+
+
+def mined_domains(items: DataFrame, registered: DataFrame, least_total: float = 0.0) -> DataFrame:
+    """(domain, seen): domains that the bodies of items (id, url, body, total) link to, once an item; not the item's own, no sources, no platforms."""
+    links = F.regexp_extract_all("body", F.lit(r"(?i)href\s*=\s*[\"']([^\"']+)[\"']"), 1)
+    hosts = F.array_distinct(F.transform(F.filter(links, lambda x: x.rlike("(?i)^https?://")), text.host))
+    rows = items.where((F.coalesce("total", F.lit(0)) >= least_total) & F.col("body").isNotNull())
+    rows = rows.select(text.host(F.col("url")).alias("own"), F.explode(hosts).alias("domain")).where(~F.col("domain").eqNullSafe(F.col("own")))
+    return _foreign(rows.groupBy("domain").agg(F.count("*").alias("seen")), registered)
+
+
+def _foreign(domains: DataFrame, registered: DataFrame) -> DataFrame:
+    found = domains.where(F.col("domain").isNotNull()).where(~sources.is_ignored(F.col("domain")))
+    return found.join(small(registered.where("domain is not null").distinct(), DOMAINS), "domain", "left_anti")
 
 
 def merge_candidates(rows: DataFrame) -> DataFrame:
@@ -46,14 +75,20 @@ def merge_candidates(rows: DataFrame) -> DataFrame:
 def appraised(candidates: DataFrame, appraisals: DataFrame) -> DataFrame:
     """Candidates with the last appraisal of their domain; rejected and unappraised ones drop out."""
     last = appraisals.groupBy("domain").agg(F.max_by(F.struct("decision", "trust"), "ord").alias("a"))
-    return candidates.join(last, "domain").where("a.decision <> 'reject'").select("domain", "url", "a.decision", "a.trust")
+    return candidates.join(last, "domain").where("a.decision <> 'reject'").select("domain", "url", "feed_url", "a.decision", "a.trust")
 
 
 def verdicts(candidates: DataFrame, registered: DataFrame, approve: float = 0.7, queue: float = 0.4) -> DataFrame:
-    """(domain, verdict): known ones are duplicates; the others go by trust."""
-    known = registered.select("domain").distinct().withColumn("known", F.lit(True))
+    """(domain, decision, reason) of candidates (domain, url, feed_url, channels, trust): no feed, known domain (of the site or the feed) and
+    no known channel are rejected, in this order; the others go by trust."""
+    known = small(registered.select("domain").where("domain is not null").distinct(), DOMAINS)
+    rows = candidates.withColumn("__feed", text.host(F.col("feed_url")))
+    for name, column in (("__site_known", "domain"), ("__feed_known", "__feed")):
+        rows = rows.join(known.select(F.col("domain").alias(column), F.lit(True).alias(name)), column, "left")
+    valid = F.arrays_overlap("channels", F.array(*map(F.lit, v.CHANNELS)))
     t = F.col("trust")
-    return candidates.join(known, "domain", "left").select("domain", F.when(F.col("known"), "duplicate").when(t >= approve, "approve").when(t >= queue, "queue").otherwise("reject").alias("verdict"))
+    reason = F.when(F.col("feed_url").isNull(), "no-feed").when(F.coalesce("__site_known", "__feed_known", F.lit(False)), "duplicate").when(~F.coalesce(valid, F.lit(False)), "no-valid-channels").when(t >= approve, "auto-add").when(t >= queue, "queue-review").otherwise("low-trust")
+    return rows.select("domain", F.when(reason == "auto-add", "add").when(reason == "queue-review", "queue").otherwise("reject").alias("decision"), reason.alias("reason"))
 
 
 def violations(rows: DataFrame, key: str, rules: dict) -> DataFrame:

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom import vocab as v
 
 
-def permanent():
-    return ~F.col("ok") & F.col("http_status").isin(404, 410)
+def permanent() -> Column:
+    """Is an outcome (ok, error_kind, http_status) a dead or moved feed's?"""
+    gone = F.col("error_kind").isin("dns", "not-a-feed") | (F.col("error_kind") == "http-4xx") & F.col("http_status").isin(404, 410)
+    return F.coalesce(~F.col("ok") & gone, F.lit(False))
+
+
+def is_off() -> Column:
+    """Disabled by failures: so its status says, or it has none and isn't enabled."""
+    return F.coalesce(F.col("status") == "disabled", ~F.col("enabled"))
 
 
 def reconcile(registry: DataFrame, outcomes: DataFrame, now: int, threshold: int = v.STRIKES) -> DataFrame:
@@ -20,7 +27,7 @@ def reconcile(registry: DataFrame, outcomes: DataFrame, now: int, threshold: int
     """
     rows = registry.join(outcomes, "id", "left")
     ok, seen = F.col("ok"), F.col("ok").isNotNull()
-    off = F.col("status") == "disabled"
+    off = is_off()
     alive = F.when(F.col("item_count") > 0, "active").otherwise("dormant")
     out = permanent() & ~off & (F.col("strikes") + 1 >= threshold)
     fail = F.when(off | out, "disabled").otherwise("failing")
@@ -37,7 +44,7 @@ def reconcile(registry: DataFrame, outcomes: DataFrame, now: int, threshold: int
 
 
 def reprobe_eligible(registry: DataFrame, now: int, days: int = v.REPROBE_DAYS) -> DataFrame:
-    return registry.where(~F.col("enabled") & (F.col("status") == "disabled") & (F.col("disabled_s").isNull() | (now - F.col("disabled_s") >= days * v.DAY)))
+    return registry.where(~F.col("enabled") & is_off() & (F.col("disabled_s").isNull() | (now - F.col("disabled_s") >= days * v.DAY)))
 
 
 def prune(registry: DataFrame, now: int, strikes: int = v.STRIKES, stale_days: int = 30) -> DataFrame:

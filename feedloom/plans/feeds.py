@@ -70,10 +70,10 @@ def mth_05_explain(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "term", F.round(s, 5).alias("share"), F.when(s >= 0.3, "strong").when(s >= 0.12, "moderate").otherwise("weak").alias("strength"), tier.alias("tier"))
 
 
-@query(q.FULL_RANK + "SELECT place, id, title, round(total, 5) AS total FROM ranked WHERE place < 50")
+@query(q.FULL_RANK + "SELECT place, id, title, round(total, 5) AS total FROM ranked")
 def srt_01_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship: events and items to a profile, stories, seven-term scores and the top of the feed."""
-    return feed.top(scored(spark, sf), 50).select("place", "id", "title", F.round("total", 5).alias("total")).withColumn("place", F.col("place").cast("bigint"))
+    """The flagship: events and items to a profile, stories, seven-term scores and all items in their order."""
+    return rank(spark, sf).select("place", "id", "title", F.round("total", 5).alias("total"))
 
 
 @query(q.FULL_RANK + "SELECT source, id, nth FROM (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY total DESC, id) AS nth FROM total) WHERE nth <= 5")
@@ -83,7 +83,7 @@ def win_09_top_per_source(spark: SparkSession, sf: str) -> DataFrame:
     return top_per_group(scored(spark, sf), "source", [F.desc("total"), F.col("id")], 5).select("source", "id", F.col("nth").cast("bigint").alias("nth"))
 
 
-_BALANCED = q.FULL_RANK + f""", el AS (SELECT *, row_number() OVER (ORDER BY place) - 1 AS p FROM ranked WHERE {q.minutes('body')} >= 3), f AS (SELECT topics[1] AS fc FROM el WHERE p = 0),
+_BALANCED = q.FULL_RANK + f""", el AS (SELECT *, row_number() OVER (ORDER BY place) - 1 AS p FROM ranked WHERE {q.minutes('body')} >= 7), f AS (SELECT topics[1] AS fc FROM el WHERE p = 0),
     b AS (SELECT id, p, topics[1] AS channel, row_number() OVER (PARTITION BY topics[1] ORDER BY p) + CAST(topics[1] = fc AS INT) AS turn, min(p) OVER (PARTITION BY topics[1]) AS cp FROM el, f WHERE p > 0),
     e AS (SELECT id, topics[1] AS channel, 0 AS turn, -1 AS cp FROM el WHERE p = 0 UNION ALL SELECT id, channel, turn, cp FROM b), o AS (SELECT id, channel, row_number() OVER (ORDER BY turn, cp) - 1 AS pick FROM e)
     SELECT id, channel, pick FROM o WHERE pick < 13"""
@@ -92,7 +92,7 @@ _BALANCED = q.FULL_RANK + f""", el AS (SELECT *, row_number() OVER (ORDER BY pla
 @query(_BALANCED)
 def win_06_balanced(spark: SparkSession, sf: str) -> DataFrame:
     """A front page of 13 from the items that are long enough."""
-    return feed.balanced(scored(spark, sf).where(F.col("minutes") >= v.MAKER_READ_MINUTES), 13).select("id", "channel", F.col("pick").cast("bigint").alias("pick"))
+    return feed.balanced(scored(spark, sf).where(F.col("minutes") >= v.FEATURE_MINUTES), 13).select("id", "channel", F.col("pick").cast("bigint").alias("pick"))
 
 
 def _floor_sql(kind: str, before: str, after: str) -> str:
@@ -113,7 +113,7 @@ def win_01_rank_index(spark: SparkSession, sf: str) -> DataFrame:
     return rank(spark, sf).select("id", "place")
 
 
-@query(q.FULL_RANK + ", n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY place) AS nth FROM ranked), f AS (SELECT id, source, place, 0 AS late FROM n WHERE nth = 1 ORDER BY place LIMIT 60), m AS (SELECT id, source, place, 1 AS late FROM n WHERE nth > 1 ORDER BY place LIMIT 2) SELECT id, source FROM (SELECT * FROM f UNION ALL SELECT * FROM m ORDER BY late, place LIMIT 60)")
+@query(q.FULL_RANK + ", n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY place) AS nth FROM ranked), f AS (SELECT id, source, place, 0 AS late FROM n WHERE nth = 1 ORDER BY place LIMIT 60), m AS (SELECT id, source, place, 1 AS late FROM n WHERE nth > 1 AND 60 - (SELECT count(*) FROM f) <= 2 ORDER BY place LIMIT 2) SELECT id, source FROM (SELECT * FROM f UNION ALL SELECT * FROM m ORDER BY late, place LIMIT 60)")
 def win_05_one_per_source(spark: SparkSession, sf: str) -> DataFrame:
     return feed.one_per_source(scored(spark, sf), 60).select("id", "source")
 
@@ -161,16 +161,27 @@ def jon_08_engaged(spark: SparkSession, sf: str) -> DataFrame:
     return items(spark, sf).join(e.select(F.col("item_id").alias("id")), "id", "left_semi").select("id")
 
 
-@query(q.with_(q.ITEMS, f"k AS (SELECT *, {q.title('title')} AS t FROM items)") + "SELECT id, CASE WHEN starts_with(t, 'the') THEN 3 WHEN contains(t, 'the') THEN 2 ELSE 1 END AS match FROM k WHERE regexp_matches(t, 't.*h.*e')")
+_NEEDLES = ["the", "an", "On ", "xq", " "]
+
+
+@query(q.with_(q.ITEMS, "n AS (SELECT unnest(" + q.array(_NEEDLES) + ") AS needle)", "k AS (SELECT id, needle, lower(title) AS t, lower(trim(needle)) AS x FROM items, n)") + "SELECT id, needle, round(CASE WHEN x = '' OR starts_with(t, x) THEN 0 WHEN contains(t, x) THEN 1 + (strpos(t, x) - 1) / 100.0::DOUBLE ELSE 2 END, 6) AS score FROM k WHERE x = '' OR contains(t, x) OR regexp_matches(t, array_to_string(string_split(x, ''), '.*'))")
 def srt_11_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    """Prefix before substring before subsequence."""
-    t = text.normalise_title(F.col("title"))
-    return items(spark, sf).where(t.rlike("t.*h.*e")).select("id", F.when(t.startswith("the"), 3).when(t.contains("the"), 2).otherwise(1).alias("match"))
+    """Titles by how well they match what is typed: at the start, the earlier within, letter by letter; nothing typed matches all."""
+    needles = F.explode(F.array(*map(F.lit, _NEEDLES))).alias("needle")
+    rows = items(spark, sf).select("id", "title", needles).withColumn("score", text.match_score(F.col("title"), F.col("needle")))
+    return rows.where("score is not null").select("id", "needle", F.round("score", 6).alias("score"))
+
+
+_REPS = f"""un AS (SELECT grp, list_sort(list_distinct(flatten(list(topics)))) AS all_t, list_sort(list_distinct(flatten(list(entities)))) AS all_e, max(score) AS ms, max(comments) AS mc FROM grouped GROUP BY grp),
+best AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY length({q.plain('body')}) <= 800, length({q.plain('body')}) DESC, coalesce(trust, 0.5) DESC, score + comments DESC, id) AS rn FROM grouped),
+reps AS (SELECT b.* EXCLUDE (rn, topics, entities, score, comments), list_concat(topics, list_filter(all_t, lambda x: NOT list_contains(topics, x))) AS topics, list_concat(entities, list_filter(all_e, lambda x: NOT list_contains(entities, x))) AS entities, ms AS score, mc AS comments FROM best b JOIN un USING (grp) WHERE rn = 1)"""
+_KEPT = f"kept AS (SELECT * FROM clustered WHERE length({q.plain('body')}) > 800 AND ({q.minutes('body')} >= 5 OR ({q.minutes('body')} >= 3 AND (list_has_any(topics, {q.array(v.HARD_CHANNELS)}) OR list_contains({q.array(v.MAKER_SOURCES)}, source)))))"
+_CURATED = q.with_(q.ITEMS, q.EVENTS, q.GROUPS, _REPS, q.CLUSTERS.replace("items", "reps"), _KEPT, q.PROFILE.replace("items", "kept"), q.SCORED.replace("items", "kept").replace("FROM clustered c", "FROM kept c"), q.RANKED)
 
 
-@query(q.FULL_SCORE + f", g AS (SELECT *, {q.minutes('body')} AS m FROM total WHERE (length({q.plain('body')}) > 800 OR kind IN ('video', 'audio')) AND ({q.minutes('body')} >= 5 OR {q.plain('body')} = '')) SELECT id, cluster_id, round(total, 5) AS total FROM g ORDER BY g.total DESC, id LIMIT 100")
+@query(_CURATED + ", r0 AS (SELECT id, kind, total, place FROM ranked), " + _floor_sql("video", "r0", "r1") + ", " + _floor_sql("audio", "r1", "r2") + " SELECT r2.place, id, cluster_id, cluster_size, round(r2.total, 5) AS total FROM r2 JOIN ranked USING (id)")
 def pip_01_curate(spark: SparkSession, sf: str) -> DataFrame:
-    """Stories, scores, then the gates on full text and reading time, then the top 100."""
-    full = (F.col("n_plain") > v.FULL_TEXT_CHARS) | F.col("kind").isin("video", "audio")
-    rows = scored(spark, sf).where(full & ((F.col("minutes") >= v.MIN_READ_MINUTES) | (F.col("n_plain") == 0)))
-    return feed.top(rows, 100).select("id", "cluster_id", F.round("total", 5).alias("total"))
+    """The curated feed, all of it: one item a group of duplicates, stories, gates, taste, order, diversity."""
+    every = feed.Workspace(spark).write(features(spark, sf), "features")
+    out = feed.curate(every, engagements(spark, sf)[0], v.NOW)
+    return out.select("place", "id", "cluster_id", "cluster_size", F.round("total", 5).alias("total"))

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from feedloom import vocab as v
 from feedloom.catalog import query
 from feedloom.functions import maker, prose, scoring, sources, text
-from feedloom.operators import health, world
+from feedloom.operators import feed, health, world
 from feedloom.plans import sql as q
 from feedloom.plans.texts import _HOST
 from feedloom.sources.entities import features, items, outcomes, seconds, table
 
 _N, _M = f"length({q.plain('body')})", q.minutes("body")
-_MAKERS = ", ".join(f"'{c}'" for c in v.MAKER_CHANNELS)
 
 
 @query(q.with_(q.ITEMS) + f"SELECT id FROM items WHERE {_N} <= 800 AND kind IN ('video', 'audio')")
@@ -23,11 +22,10 @@ def flt_02_bare_media(spark: SparkSession, sf: str) -> DataFrame:
     return features(spark, sf).where((F.col("n_plain") <= v.FULL_TEXT_CHARS) & F.col("kind").isin("video", "audio")).select("id")
 
 
-@query(q.with_(q.ITEMS) + f"SELECT id FROM items WHERE {_M} >= 5 OR ({_M} >= 3 AND (topics[1] IN ({_MAKERS}) OR topics[2] IN ({_MAKERS})))")
+@query(q.with_(q.ITEMS) + f"SELECT id FROM items WHERE {_M} >= 5 OR ({_M} >= 3 AND (list_has_any(topics, {q.array(v.HARD_CHANNELS)}) OR list_contains({q.array(v.MAKER_SOURCES)}, source)))")
 def flt_03_read_time_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Five minutes, or three for makers."""
-    made = F.arrays_overlap("topics", F.array(*map(F.lit, v.MAKER_CHANNELS)))
-    return features(spark, sf).where((F.col("minutes") >= v.MIN_READ_MINUTES) | (F.col("minutes") >= v.MAKER_READ_MINUTES) & made).select("id")
+    return features(spark, sf).where((F.col("minutes") >= v.MIN_READ_MINUTES) | (F.col("minutes") >= v.MAKER_READ_MINUTES) & feed.maker(v.MAKER_SOURCES)).select("id")
 
 
 @query(q.with_(q.ITEMS) + f"SELECT id FROM items WHERE {q.plain('body')} = '' OR {_M} >= 5")
@@ -35,16 +33,17 @@ def flt_04_feed_floor(spark: SparkSession, sf: str) -> DataFrame:
     return features(spark, sf).where((F.col("n_plain") == 0) | (F.col("minutes") >= v.MIN_READ_MINUTES)).select("id")
 
 
-_SHORTS = "vid AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'https://www.youtube.com/shorts/' WHEN 1 THEN 'HTTPS://m.YouTube.com/shorts/' ELSE 'https://www.youtube.com/watch?v=' END || o_orderkey AS url, CASE WHEN o_orderkey % 7 = 0 THEN 'Watch this #shorts now' WHEN o_orderkey % 11 = 0 THEN 'LIVE: a stream' ELSE 'A talk' END AS title FROM orders)"
+_SHORTS = "vid AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'https://www.youtube.com/shorts/' WHEN 1 THEN 'HTTPS://m.YouTube.com/shorts/' ELSE 'https://www.youtube.com/watch?v=' END || o_orderkey AS url, CASE WHEN o_orderkey % 7 = 0 THEN 'Pool run 1 (No Audio)' WHEN o_orderkey % 11 = 0 THEN 'River Testing Video' ELSE 'Testing videos: a talk' END AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'video' ELSE 'link' END AS kind FROM orders)"
 
 
-@query(q.with_(_SHORTS) + "SELECT k FROM vid WHERE NOT regexp_matches(lower(url), '^https?://((www|m)\\.)?youtube\\.com/shorts/') AND NOT regexp_matches(title, '(?i)#shorts\\b')")
+@query(q.with_(_SHORTS) + "SELECT k FROM vid WHERE NOT regexp_matches(lower(url), '^https?://((www|m)\\.)?youtube\\.com/shorts/') AND NOT (kind = 'video' AND (contains(lower(title), '(no audio)') OR regexp_matches(title, '(?i)\\btesting video\\b')))")
 def flt_05_without_shorts(spark: SparkSession, sf: str) -> DataFrame:
-    """Videos whose address and title are not those of shorts."""
+    """Items whose address is not that of a short, and videos that are no raw clips."""
     k = F.col("o_orderkey")
     url = F.concat(F.when(k % 3 == 0, "https://www.youtube.com/shorts/").when(k % 3 == 1, "HTTPS://m.YouTube.com/shorts/").otherwise("https://www.youtube.com/watch?v="), k.cast("string"))
-    title = F.when(k % 7 == 0, "Watch this #shorts now").when(k % 11 == 0, "LIVE: a stream").otherwise("A talk")
-    return table(spark, sf, "orders").where(~sources.is_short(url) & ~title.rlike(r"(?i)#shorts\b")).select(k.alias("k"))
+    title = F.when(k % 7 == 0, "Pool run 1 (No Audio)").when(k % 11 == 0, "River Testing Video").otherwise("Testing videos: a talk")
+    kind = F.when(k % 2 == 0, "video").otherwise("link")
+    return table(spark, sf, "orders").where(~sources.is_short(url) & ~sources.is_junk_video(kind, title)).select(k.alias("k"))
 
 
 @query(q.with_(q.ITEMS) + "SELECT id FROM items WHERE list_has_any(topics, ['ai', 'tech', 'science']) AND kind IN ('video', 'paper') AND source_type IS NOT NULL")
@@ -66,7 +65,7 @@ def flt_09_any_column(spark: SparkSession, sf: str) -> DataFrame:
     return c.where(F.exists(shown, lambda x: x.contains("build"))).select("c_custkey")
 
 
-@query(q.with_(q.OUTCOMES) + "SELECT id FROM outcomes WHERE NOT ok AND http_status IN (404, 410)")
+@query(q.with_(q.OUTCOMES) + f"SELECT id FROM outcomes WHERE {q.PERMANENT}")
 def flt_13_permanent(spark: SparkSession, sf: str) -> DataFrame:
     return outcomes(spark, sf).where(health.permanent()).select("id")
 
@@ -170,17 +169,16 @@ def str_07_excerpts(spark: SparkSession, sf: str) -> DataFrame:
     return items(spark, sf).select("id", prose.excerpt(F.col("body")).alias("excerpt"))
 
 
-_TRACKS = "tr AS (SELECT l_orderkey AS k, l_linenumber AS n, CASE l_linenumber % 4 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/srt' WHEN 2 THEN 'application/json' ELSE 'text/vtt' END AS format, CASE WHEN l_partkey % 3 = 0 THEN 'de' ELSE 'en-US' END AS lang, l_suppkey % 2 = 0 AS auto FROM lineitem)"
-_RANK = "list_position(['text/vtt', 'application/srt', 'application/json', 'text/html'], format)"
+_TRACKS = "tr AS (SELECT l_orderkey AS k, l_linenumber AS n, CASE l_linenumber % 4 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/srt' WHEN 2 THEN 'text/plain' ELSE 'text/vtt' END AS format, CASE WHEN l_partkey % 3 = 0 THEN 'de' ELSE 'en-US' END AS lang, l_suppkey % 2 = 0 AS auto FROM lineitem)"
+_RANK = "CASE WHEN contains(format, 'vtt') OR contains(format, 'srt') OR contains(format, 'json') THEN 3 WHEN contains(format, 'html') THEN 1 ELSE 2 END"
 
 
-@query(q.with_(_TRACKS) + f"SELECT k, n FROM (SELECT k, n, row_number() OVER (PARTITION BY k ORDER BY NOT starts_with(lang, 'en'), auto, {_RANK}, n) AS rn FROM tr) WHERE rn = 1")
+@query(q.with_(_TRACKS) + f"SELECT k, n FROM (SELECT k, n, row_number() OVER (PARTITION BY k ORDER BY {_RANK} DESC, NOT starts_with(lang, 'en'), n) AS rn FROM tr) WHERE rn = 1")
 def str_15_chosen_tracks(spark: SparkSession, sf: str) -> DataFrame:
-    """One caption track a work: the language first, hand-made before automatic, then the better format, as one minimum."""
+    """One transcript a work: the better format (those for machines are equal), then the feed's language, then the first, as one minimum."""
     n = F.col("l_linenumber")
-    order = F.array(*map(F.lit, ["text/vtt", "application/srt", "application/json", "text/html"]))
-    kind = F.when(n % 4 == 0, "text/html").when(n % 4 == 1, "application/srt").when(n % 4 == 2, "application/json").otherwise("text/vtt")
-    key = F.struct((F.col("l_partkey") % 3 == 0).alias("other_language"), (F.col("l_suppkey") % 2 == 0).alias("automatic"), F.array_position(order, kind).alias("format"), n.alias("n"))
+    kind = F.when(n % 4 == 0, "text/html").when(n % 4 == 1, "application/srt").when(n % 4 == 2, "text/plain").otherwise("text/vtt")
+    key = F.struct((-sources.transcript_rank(kind)).alias("format"), (F.col("l_partkey") % 3 == 0).alias("other_language"), n.alias("n"))
     return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.min(key)["n"].alias("n"))
 
 

@@ -12,12 +12,12 @@ from feedloom.operators import analytics, catalogue, drafts, feed, ground, healt
 from feedloom.operators.graph import Workspace
 from feedloom.plans import sql as q
 from feedloom.plans.feeds import scored
-from feedloom.plans.sources_and_rules import _CITED, _HOST, _candidates, _citations, _ledger
+from feedloom.plans.sources_and_rules import _APP, _CAND, _CITED, _HOST, _LADDER, _appraised, _candidates, _citations, _judged, _ledger
 from feedloom.sources import files
 from feedloom.sources.entities import engagements, features, items, outcomes, registry, seconds, table
 from feedloom.streaming import streams
 
-_OK = f"({q.minutes('body')} >= 3 AND length({q.plain('body')}) > 800)"
+_OK = f"({q.minutes('body')} >= 7)"
 
 
 @query(q.with_(q.ITEMS, q.EVENTS) + "SELECT event_id, id, source, kind FROM ev JOIN items ON id = item_id")
@@ -112,10 +112,10 @@ def set_03_array_union(spark: SparkSession, sf: str) -> DataFrame:
     return items(spark, sf).select("id", F.array_join(F.array_distinct(F.concat("topics", other)), ",").alias("topics"))
 
 
-@query("SELECT c_nationkey AS key FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT c_nationkey AS key FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey % 4 <> 1")
 def set_04_missing(spark: SparkSession, sf: str) -> DataFrame:
     """Keys asked for that nobody has."""
-    return table(spark, sf, "customer").select(F.col("c_nationkey").alias("key")).subtract(table(spark, sf, "supplier").select(F.col("s_nationkey").alias("key")))
+    return table(spark, sf, "customer").select(F.col("c_nationkey").alias("key")).subtract(table(spark, sf, "supplier").where("s_nationkey % 4 <> 1").select(F.col("s_nationkey").alias("key")))
 
 
 @query(q.with_(q.ITEMS, q.EVENTS, q.PROFILE) + ", a AS (SELECT term, v FROM profile WHERE kind = 'topic'), b AS (SELECT topics[1] AS term, count(*) AS n FROM items GROUP BY 1) SELECT coalesce(a.term, b.term) AS term, round(coalesce(v, 0), 6) AS v, coalesce(n, 0) AS n FROM a FULL JOIN b ON a.term = b.term")
@@ -126,13 +126,21 @@ def set_05_key_union(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(n, "term", "full_outer").select("term", F.round(F.coalesce("v", F.lit(0.0)), 6).alias("v"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT page_id, NOT regexp_matches(coalesce(html, ''), '(?i)(<script\\b|<iframe\\b|<(object|embed)\\b|<style\\b|<form\\b|\\son[a-z]+\\s*=|javascript:|data:text/html)') AS safe FROM pages")
+def _half_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages, every third without its markup, so that safe ones are among them."""
+    html = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", "<[^>]*>", " ")).otherwise(F.col("html"))
+    return table(spark, sf, "pages").select("page_id", html.alias("html"))
+
+
+@query("WITH pages AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, '<[^>]*>', ' ', 'g') ELSE html END AS html FROM pages) SELECT page_id, NOT regexp_matches(coalesce(html, ''), '(?i)(<script\\b|<iframe\\b|<(object|embed)\\b|<style\\b|<form\\b|\\son[a-z]+\\s*=|javascript:|data:text/html)') AS safe FROM pages")
 def set_06_partition(spark: SparkSession, sf: str) -> DataFrame:
     """Safe rows and dropped ones, together all of them."""
-    safe, dropped = files.split_safe(table(spark, sf, "pages"), "html")
+    safe, dropped = files.split_safe(_half_plain(spark, sf), "html")
     return safe.select("page_id", F.lit(True).alias("safe")).union(dropped.select("page_id", F.lit(False)))
 
 
+#: Rows that one loose file holds.
+FILE_ROWS = 500
 # scans and sinks ------------------------------------------------------------------------------------------------------
 
 _RAW = "r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'o' || o_orderkey END AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'bogus' ELSE 'link' END AS kind, CAST(floor(o_totalprice) AS BIGINT) AS score FROM orders)"
@@ -142,7 +150,7 @@ def _raw_array(spark: SparkSession, sf: str) -> str:
     """Orders written as files with one JSON array each, as a feed's raw items."""
     k, folder = F.col("o_orderkey"), Workspace(spark).folder("raw")
     one = F.to_json(F.struct(F.when(k % 5 != 0, F.concat(F.lit("o"), k.cast("string"))).alias("id"), F.when(k % 7 == 0, "bogus").otherwise("link").alias("kind"), F.floor("o_totalprice").alias("score")))
-    table(spark, sf, "orders").groupBy((k % 8).alias("f")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("value")).write.partitionBy("f").text(folder)
+    table(spark, sf, "orders").groupBy(F.floor(k / FILE_ROWS).alias("f")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("value")).write.partitionBy("f").text(folder)
     return folder
 
 
@@ -196,7 +204,7 @@ def src_07_pending(spark: SparkSession, sf: str) -> DataFrame:
     """Pending sources, as a list or as an object that has one."""
     k, folder = F.col("c_custkey"), Workspace(spark).folder("pending")
     listed = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(k.alias("id")))), ","), F.lit("]"))
-    table(spark, sf, "customer").groupBy((k % 4).alias("f")).agg(listed.alias("a")).select(F.when(F.col("f") % 2 == 0, F.col("a")).otherwise(F.concat(F.lit('{"sources": '), F.col("a"), F.lit("}"))).alias("value")).write.text(folder)
+    table(spark, sf, "customer").groupBy(F.floor(k / FILE_ROWS).alias("f")).agg(listed.alias("a")).select(F.when(F.col("f") % 2 == 0, F.col("a")).otherwise(F.concat(F.lit('{"sources": '), F.col("a"), F.lit("}"))).alias("value")).write.text(folder)
     return files.listed(spark, folder, "sources", "id bigint")
 
 
@@ -216,11 +224,11 @@ def src_14_outline(spark: SparkSession, sf: str) -> DataFrame:
     return files.outline(table(spark, sf, "pages").select(n.alias("n"), F.coalesce(line, F.lit("")).alias("line")), "n", "line").select("domain", F.col("n").alias("first"))
 
 
-@query("SELECT page_id FROM pages WHERE NOT regexp_matches(coalesce(html, ''), '(?i)(<script\\b|<iframe\\b|<(object|embed)\\b|<style\\b|<form\\b|\\son[a-z]+\\s*=|javascript:|data:text/html)')")
+@query("WITH pages AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, '<[^>]*>', ' ', 'g') ELSE html END AS html FROM pages) SELECT page_id FROM pages WHERE NOT regexp_matches(coalesce(html, ''), '(?i)(<script\\b|<iframe\\b|<(object|embed)\\b|<style\\b|<form\\b|\\son[a-z]+\\s*=|javascript:|data:text/html)')")
 def snk_01_safe_sink(spark: SparkSession, sf: str) -> DataFrame:
     """What a sink with a safety net has written, read back; unsafe rows lie in quarantine."""
     space = Workspace(spark)
-    files.write_safe(table(spark, sf, "pages"), "html", space.folder("curated"), space.folder("quarantine"))
+    files.write_safe(_half_plain(spark, sf), "html", space.folder("curated"), space.folder("quarantine"))
     return spark.read.parquet(space.folder("curated")).select("page_id")
 
 
@@ -375,10 +383,11 @@ def agg_35_forces(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("n_name", F.round(F.try_divide("a", F.greatest(F.abs("a"), F.abs("b"))), 6).alias("left_share"), F.when(F.col("a") > F.col("b"), "left").when(F.col("a") < F.col("b"), "right").otherwise("even").alias("side"))
 
 
-@query(q.with_(q.ITEMS) + f"SELECT id FROM items WHERE published_s >= {v.NOW - 14 * v.DAY} ORDER BY published_s DESC, id LIMIT 500")
+@query(q.with_(q.ITEMS) + f"SELECT id, row_number() OVER (ORDER BY published_s DESC, id) - 1 AS place FROM items WHERE published_s >= {v.NOW - 14 * v.DAY}")
 def srt_03_newest(spark: SparkSession, sf: str) -> DataFrame:
-    """The archive's newest 500 (the limit is the feature)."""
-    return items(spark, sf).where(F.col("published_s") >= v.NOW - 14 * v.DAY).orderBy(F.desc("published_s"), "id").limit(500).select("id")
+    """The whole archive, the newest first."""
+    rows = items(spark, sf).where(F.col("published_s") >= v.NOW - 14 * v.DAY).select("id", "published_s")
+    return feed.ranked(rows, [F.desc("published_s"), F.col("id")]).select("id", "place")
 
 
 @query(q.with_(q.ITEMS, q.EVENTS, q.PROFILE) + "SELECT term, round(v, 6) AS v FROM profile WHERE kind = 'entity' ORDER BY profile.v DESC, term LIMIT 20")
@@ -543,14 +552,14 @@ def str_19_figures(spark: SparkSession, sf: str) -> DataFrame:
 # whole passes -----------------------------------------------------------------------------------------------------------
 
 
-@query(q.with_(q.ITEMS, q.REGISTRY, q.OUTCOMES, "fresh AS (SELECT 's' || (ord % 120) AS id, least(count(*), 3) AS n_new FROM items GROUP BY 1)",
-    "j AS (SELECT r.id, r.status, o.ok, o.item_count, r.status = 'disabled' AS off, coalesce(NOT o.ok AND o.http_status IN (404, 410) AND r.status <> 'disabled' AND r.strikes + 1 >= 3, false) AS gone FROM registry r LEFT JOIN outcomes o ON o.id = r.id)")
+@query(q.with_(q.ITEMS, q.REGISTRY, q.OUTCOMES, "fresh AS (SELECT 's' || (ord % (SELECT count(*) FROM customer) + 1) AS id, count(*) AS n_new FROM items GROUP BY 1)",
+    "j AS (SELECT r.id, r.status, o.ok, o.item_count, r.status = 'disabled' AS off, " + q.PERMANENT + " AND r.status <> 'disabled' AND r.strikes + 1 >= 3 AS gone FROM registry r LEFT JOIN outcomes o ON o.id = r.id)")
     + "SELECT id, CASE WHEN ok IS NULL THEN status WHEN ok THEN CASE WHEN item_count > 0 THEN 'active' ELSE 'dormant' END WHEN off OR gone THEN 'disabled' ELSE 'failing' END AS status, coalesce(n_new, 0) AS n_new FROM j LEFT JOIN fresh USING (id)")
 def pip_02_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """One round of ingestion: the registry after its outcomes, and each source's new items, three at most (the cap is the feature)."""
-    source = F.concat(F.lit("s"), (F.col("ord") % 120).cast("string"))
-    rows = features(spark, sf).select("id", source.alias("source"), "published_s").dropDuplicates(["id"])
-    fresh = analytics.top_per_group(rows, "source", [F.desc("published_s"), F.col("id")], 3).groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n_new"))
+    """One round of ingestion: the registry after its outcomes, and how many items each source has brought (all of them)."""
+    every = F.broadcast(table(spark, sf, "customer").agg(F.count("*").alias("n")))  # one row
+    rows = features(spark, sf).select("id", "ord").dropDuplicates(["id"]).crossJoin(every)
+    fresh = rows.groupBy(F.concat(F.lit("s"), (F.col("ord") % F.col("n") + 1).cast("string")).alias("id")).agg(F.count("*").alias("n_new"))
     after = health.reconcile(registry(spark, sf), outcomes(spark, sf), v.NOW)
     return after.join(fresh, "id", "left").select("id", "status", F.coalesce("n_new", F.lit(0)).alias("n_new"))
 
@@ -562,15 +571,11 @@ def pip_03_discovery(spark: SparkSession, sf: str) -> DataFrame:
     return ground.unregistered(ground.merge_candidates(_candidates(spark, sf)).where("domain is not null and seen >= 3"), known).select("domain", "url", "seen")
 
 
-@query(f"""WITH cand AS (SELECT {_HOST} AS domain, page_id AS ord, url FROM pages), app AS (SELECT domain, ord, CASE WHEN ord % 4 = 0 THEN 'reject' ELSE 'approve' END AS decision, (ord % 11) / 10.0::DOUBLE AS trust FROM cand WHERE ord % 5 <> 0 AND domain IS NOT NULL),
-    a AS (SELECT domain, arg_max(decision, ord) AS decision, arg_max(trust, ord) AS trust FROM app GROUP BY domain) SELECT domain, round(trust, 6) AS trust FROM a WHERE decision <> 'reject' AND trust >= 0.7::DOUBLE AND domain NOT IN (SELECT domain FROM cand WHERE ord % 13 = 0 AND domain IS NOT NULL)""")
+@query(q.with_(_CAND, _APP) + _LADDER + " SELECT domain, round(trust, 6) AS trust FROM y WHERE reason = 'auto-add'")
 def pip_04_apply(spark: SparkSession, sf: str) -> DataFrame:
     """Appraised candidates that become sources."""
-    rows = _candidates(spark, sf)
-    appraisals = rows.where("ord % 5 <> 0").select("domain", "ord", F.when(F.col("ord") % 4 == 0, "reject").otherwise("approve").alias("decision"), (F.col("ord") % 11 / 10).alias("trust"))
-    found = ground.appraised(ground.merge_candidates(rows), appraisals)
-    new = ground.verdicts(found, rows.where("ord % 13 = 0")).where("verdict = 'approve'").select("domain")
-    return found.join(new, "domain", "left_semi").select("domain", F.round("trust", 6).alias("trust"))
+    new = _judged(spark, sf).where("decision = 'add'").select("domain")
+    return _appraised(spark, sf).join(new, "domain", "left_semi").select("domain", F.round("trust", 6).alias("trust"))
 
 
 @query(q.FULL_SCORE + ", c AS (SELECT cluster_id, sum(total) + log10(1 + count(*)) AS s FROM total GROUP BY cluster_id) SELECT cluster_id, round(s, 5) AS score FROM c WHERE cluster_id NOT IN (SELECT cluster_id FROM total WHERE ord % 50 = 0) ORDER BY s DESC, cluster_id LIMIT 3")
@@ -602,10 +607,13 @@ def pip_09_context(spark: SparkSession, sf: str) -> DataFrame:
     return t.groupBy(F.get("topics", 0).alias("channel")).agg(F.count("*").alias("n"), F.count_distinct("cluster_id").alias("stories"), F.round(F.max("total"), 5).alias("best"))
 
 
-@query(q.with_(q.ITEMS) + f"SELECT id FROM items WHERE ord % 3 <> 2 AND published_s - CASE WHEN ord % 3 = 1 THEN 60 ELSE 0 END >= {v.NOW - 14 * v.DAY} ORDER BY published_s - CASE WHEN ord % 3 = 1 THEN 60 ELSE 0 END DESC, id LIMIT 1000")
+_FRESH = "u AS (SELECT id, published_s - CASE WHEN ord % 3 = 1 THEN 60 ELSE 0 END AS t FROM items)"
+
+
+@query(q.with_(q.ITEMS, _FRESH) + f"SELECT id, row_number() OVER (ORDER BY t DESC, id) - 1 AS place FROM u WHERE t >= {v.NOW - 14 * v.DAY}")
 def pip_10_archive_update(spark: SparkSession, sf: str) -> DataFrame:
-    """Fresh items into the archive, the last 14 days, the newest thousand shown."""
-    every = features(spark, sf).select("id", "ord", "published_s")
+    """Fresh items (every third, a minute earlier) into the archive of all, the last 14 days, the newest first."""
+    every = items(spark, sf)
     fresh = every.where("ord % 3 = 1").withColumn("published_s", F.col("published_s") - 60)
-    kept = feed.upsert(every.where("ord % 3 <= 1"), fresh).where(F.col("published_s") >= v.NOW - v.ARCHIVE_DAYS * v.DAY)
-    return kept.orderBy(F.desc("published_s"), "id").limit(1000).select("id")
+    kept = feed.archive(every, fresh, v.NOW).select("id", "published_s")
+    return feed.ranked(kept, [F.desc("published_s"), F.col("id")]).select("id", "place")

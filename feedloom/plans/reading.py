@@ -158,7 +158,7 @@ def jon_10_story_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return feed.story_links(items(spark, sf).select("ord", "title", "entities"))
 
 
-_OK = f"({q.minutes('body')} >= 3 AND length({q.plain('body')}) > 800)"
+_OK = f"({q.minutes('body')} >= 7)"
 
 
 @query(q.FULL_RANK + f"SELECT id, {_OK} AND sum(CAST({_OK} AS INT)) OVER (ORDER BY place) <= 10 AS featured FROM ranked")
@@ -233,13 +233,13 @@ def dq_02_layer_rules(spark: SparkSession, sf: str) -> DataFrame:
     return ground.violations(rows, "o_orderkey", {"open without geometry": (F.col("status") == "open") & F.col("geometry").isNull(), "link-out with geometry": (F.col("status") == "link-out") & F.col("geometry").isNotNull(), "range is reversed": F.col("lo") > F.col("hi")})
 
 
-@query("SELECT c_name, count(*) AS n FROM customer GROUP BY c_name HAVING count(*) > 1 UNION ALL SELECT n_name, CAST(0 AS BIGINT) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)")
+@query("WITH c AS (SELECT 'r' || (c_custkey // 3 * 2) AS id FROM customer), w AS (SELECT 'r' || (n_nationkey * 3) AS id FROM nation) SELECT id, count(*) AS n FROM c GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, CAST(0 AS BIGINT) FROM w WHERE id NOT IN (SELECT id FROM c)")
 def dq_04_registry_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Ids that repeat, and required ids that are missing."""
-    c = table(spark, sf, "customer")
-    twice = c.groupBy("c_name").agg(F.count("*").alias("n")).where("n > 1")
-    missing = table(spark, sf, "nation").join(c.select(F.col("c_nationkey").alias("n_nationkey")), "n_nationkey", "left_anti").select(F.col("n_name").alias("c_name"), F.lit(0).cast("bigint").alias("n"))
-    return twice.union(missing)
+    c = table(spark, sf, "customer").select(F.concat(F.lit("r"), (F.floor(F.col("c_custkey") / 3) * 2).cast("string")).alias("id"))
+    wanted = table(spark, sf, "nation").select(F.concat(F.lit("r"), (F.col("n_nationkey") * 3).cast("string")).alias("id"))
+    twice = c.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    return twice.union(wanted.join(c, "id", "left_anti").select("id", F.lit(0).cast("bigint")))
 
 
 @query(q.with_(q.ITEMS) + f"SELECT DISTINCT published_s // {v.DAY} AS day, (published_s // {v.DAY} + 3) % 7 AS weekday, CASE WHEN (published_s // {v.DAY} + 3) % 7 = 6 THEN 'chronicle' WHEN (published_s // {v.DAY} + 3) % 7 = 2 THEN 'dispatch' END AS due FROM items")
@@ -250,9 +250,11 @@ def dat_04_due_columns(spark: SparkSession, sf: str) -> DataFrame:
     return items(spark, sf).select(day.alias("day"), w.alias("weekday"), F.when(w == 6, "chronicle").when(w == 2, "dispatch").alias("due")).distinct()
 
 
-@query(q.with_("d AS (SELECT r.range AS day FROM range(61) r)") + "SELECT day, round(exp(-0.6931471805599453 * day / 7), 9) AS weight FROM d")
+@query(q.with_(q.ITEMS) + f"SELECT id, round(exp(-0.6931471805599453 * greatest(({v.NOW} - published_s) / {v.DAY}.0::DOUBLE, 0) / 7), 9) AS weight FROM items")
 def mth_01_decay_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(61).select(F.col("id").alias("day"), F.round(scoring.decay(F.col("id").cast("double")), 9).alias("weight"))
+    """What an item's age leaves of it; dates to come count as now."""
+    age = F.greatest((F.lit(v.NOW) - F.col("published_s")) / float(v.DAY), F.lit(0.0))
+    return items(spark, sf).select("id", F.round(scoring.decay(age), 9).alias("weight"))
 
 
 @query(q.with_(q.REGISTRY) + f"SELECT id, 'active' AS status, 0 AS strikes FROM registry WHERE status = 'disabled' AND n % 2 = 0 UNION ALL SELECT id, status, strikes FROM registry WHERE NOT (status = 'disabled' AND n % 2 = 0)")

@@ -10,13 +10,14 @@ from feedloom.catalog import query
 from feedloom.functions import text
 from feedloom.operators import analytics, graph, ground, health, world
 from feedloom.plans import sql as q
-from feedloom.sources.entities import items, outcomes, registry, table
+from feedloom.plans.texts import _CITED_URL, _IGNORED, cited_url
+from feedloom.sources.entities import items, outcomes, pick, registry, table
 from feedloom.streaming import streams
 
 _HOST = "nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1), '^www\\.', ''), '')"
 
 
-@query(q.with_(q.REGISTRY, q.OUTCOMES) + f""", j AS (SELECT r.*, o.ok, o.http_status, o.item_count, r.status = 'disabled' AS off, NOT o.ok AND coalesce(o.http_status IN (404, 410), false) AS perm FROM registry r LEFT JOIN outcomes o ON o.id = r.id),
+@query(q.with_(q.REGISTRY, q.OUTCOMES) + f""", j AS (SELECT r.*, o.ok, o.http_status, o.item_count, r.status = 'disabled' AS off, {q.PERMANENT} AS perm FROM registry r LEFT JOIN outcomes o ON o.id = r.id),
     k AS (SELECT *, coalesce(perm AND NOT off AND strikes + 1 >= 3, false) AS gone FROM j)
     SELECT id, CASE WHEN ok IS NULL THEN status WHEN ok THEN CASE WHEN item_count > 0 THEN 'active' ELSE 'dormant' END WHEN off OR gone THEN 'disabled' ELSE 'failing' END AS status,
       CASE WHEN ok IS NULL THEN enabled WHEN ok AND off THEN true WHEN NOT ok AND (off OR gone) THEN false ELSE enabled END AS enabled,
@@ -40,9 +41,12 @@ def stf_03_prune(spark: SparkSession, sf: str) -> DataFrame:
 _CHANNELS = ", ".join(f"('{c}')" for c in [*v.CHANNELS, "none"])
 
 
-@query(q.with_(q.REGISTRY) + f"SELECT c.channel, count(r.id) AS total, count(*) FILTER (status IN ('active', 'dormant')) AS live, count(*) FILTER (status = 'disabled') AS lost FROM (VALUES {_CHANNELS}) c(channel) LEFT JOIN registry r ON r.channel = c.channel GROUP BY c.channel")
+@query(q.with_(q.REGISTRY) + f"SELECT c.channel, count(*) FILTER (enabled) AS enabled, count(*) FILTER (NOT enabled AND status = 'disabled') AS disabled, coalesce(array_to_string(list_sort(list_distinct(list({q.array(v.SOURCE_TYPES)}[n % 9 + 1]) FILTER (NOT enabled AND status = 'disabled'))), ','), '') AS lost_types, count(*) FILTER (enabled) < 2 AS underserved FROM (VALUES {_CHANNELS}) c(channel) LEFT JOIN registry r ON r.channel = c.channel GROUP BY c.channel")
 def agg_25_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.channel_gaps(registry(spark, sf), spark.createDataFrame([(c,) for c in [*v.CHANNELS, "none"]], "channel string"))
+    """Where sources are missing: too few left in a channel, or lost by failures, with the lost types."""
+    rows = registry(spark, sf).withColumn("type", pick(v.SOURCE_TYPES, F.col("n") % 9))
+    gaps = analytics.channel_gaps(rows, spark.createDataFrame([(c,) for c in [*v.CHANNELS, "none"]], "channel string"))
+    return gaps.withColumn("lost_types", F.array_join("lost_types", ","))
 
 
 def _ledger(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,17 +74,36 @@ def agg_27_citations(spark: SparkSession, sf: str) -> DataFrame:
     return ground.citation_stats(_citations(spark, sf), _ledger(spark, sf)).withColumn("grounded", F.round("grounded", 6))
 
 
-@query("""WITH c AS (SELECT doc_id % 61 AS draft, doc_id % 3 <> 0 AS lb, doc_id % 10 = 0 AS hs, n_chars % 4 AS s FROM documents), a AS (SELECT draft, count(*) AS n, count(*) FILTER (lb) AS k, count(*) FILTER (lb AND s >= 1) AS covered, count(*) FILTER (lb AND s >= 2) AS twice, count(*) FILTER (hs AND s < 2) AS risky FROM c GROUP BY draft)
-    SELECT draft, n, round(coalesce(covered / nullif(k, 0), 1.0), 6) AS coverage, round(coalesce(twice / nullif(k, 0), 1.0), 6) AS corroboration, risky, coalesce(covered / nullif(k, 0), 1) >= 0.9::DOUBLE AND coalesce(twice / nullif(k, 0), 1) >= 0.6::DOUBLE AND risky = 0 AS passed FROM a""")
+_CLAIMS = f"""led AS (SELECT url, min({q.REGISTRABLE.format(x='h')}) AS domain, min(CASE WHEN page_id % 2 = 0 THEN 'curated' ELSE 'researched' END) AS origin FROM (SELECT *, {_HOST} AS h FROM pages WHERE page_id % 40 <> 0) GROUP BY url),
+    claim AS (SELECT doc_id AS claim, doc_id // 8 AS draft, doc_id % 3 <> 0 AS lb, doc_id % 10 = 0 AS hs, n_chars % 7 AS s FROM documents),
+    cites AS (SELECT claim, url FROM (SELECT claim, (claim * 7 + unnest(range(CAST(s AS BIGINT))) * 13) % (SELECT count(*) FROM pages) AS page_id FROM claim) JOIN pages USING (page_id)),
+    per AS (SELECT claim, count(l.url) AS backed, count(*) - count(l.url) AS unknown, count(DISTINCT CASE WHEN l.url IS NOT NULL THEN domain || '::' || origin END) AS ind FROM cites LEFT JOIN led l USING (url) GROUP BY claim),
+    a AS (SELECT draft, count(*) AS n, count(*) FILTER (backed > 0) AS covered, count(*) FILTER (lb) AS k, count(*) FILTER (lb AND ind >= 2) AS twice, CAST(coalesce(sum(unknown), 0) AS BIGINT) AS unknown, count(*) FILTER (lb AND hs AND coalesce(ind, 0) < 2) AS risky FROM claim LEFT JOIN per USING (claim) GROUP BY draft)"""
+
+
+@query(q.with_(_CLAIMS) + "SELECT draft, n, round(covered / n, 6) AS coverage, round(coalesce(twice / nullif(k, 0), 1.0), 6) AS corroboration, unknown, risky, covered / n >= 0.9::DOUBLE AND coalesce(twice / nullif(k, 0), 1) >= 0.6::DOUBLE AND unknown = 0 AND risky = 0 AS passed FROM a")
 def agg_28_claims(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.col("doc_id")
-    claims = table(spark, sf, "documents").select((n % 61).alias("draft"), (n % 3 != 0).alias("load_bearing"), (n % 10 == 0).alias("high_stakes"), (F.col("n_chars") % 4).alias("n_sources"))
-    return ground.claim_verdicts(claims).withColumns({"coverage": F.round("coverage", 6), "corroboration": F.round("corroboration", 6)})
+    """Do the claims of drafts (eight documents each) hold against a ledger of pages?"""
+    return ground.claim_verdicts(*_claims(spark, sf)).withColumns({"coverage": F.round("coverage", 6), "corroboration": F.round("corroboration", 6)})
+
 
+def _claims(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Claims, their citations, and the ledger; what is cited is spread over all pages."""
+    n, p = F.col("doc_id"), table(spark, sf, "pages")
+    docs = table(spark, sf, "documents")
+    claims = docs.select(n.alias("claim"), F.floor(n / 8).alias("draft"), (n % 3 != 0).alias("load_bearing"), (n % 10 == 0).alias("high_stakes"))
+    many = F.broadcast(p.agg(F.count("*").alias("pages")))  # one row
+    named = docs.crossJoin(many).select(n.alias("claim"), F.explode(F.when(F.col("n_chars") % 7 > 0, F.transform(F.sequence(F.lit(0), (F.col("n_chars") % 7 - 1).cast("int")), lambda j: (n * 7 + j * 13) % F.col("pages")))).alias("page_id"))
+    ledger = p.where("page_id % 40 <> 0").select("url", text.registrable_domain(text.host(F.col("url"))).alias("domain"), F.when(F.col("page_id") % 2 == 0, "curated").otherwise("researched").alias("origin"))
+    return claims, named.join(p.select("page_id", "url"), "page_id").select("claim", "url"), ledger
 
-@query(f"WITH h AS (SELECT {_HOST} AS domain FROM pages) SELECT domain, count(*) AS n FROM h WHERE domain IS NOT NULL GROUP BY domain HAVING count(*) >= 2")
+
+@query(f"""WITH p AS (SELECT page_id, {_CITED_URL} AS url FROM pages), h AS (SELECT page_id, {_HOST} AS domain FROM p) SELECT domain, count(*) AS seen FROM h WHERE page_id % 3 < 2 AND domain IS NOT NULL AND NOT {_IGNORED.format(x='domain')} AND domain NOT IN (SELECT domain FROM h WHERE page_id % 60 = 5 AND domain IS NOT NULL) GROUP BY domain HAVING count(*) >= 3""")
 def agg_22_domains(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select(text.host(F.col("url")).alias("domain")).where("domain is not null").groupBy("domain").agg(F.count("*").alias("n")).where("n >= 2")
+    """Domains that items of aggregators lead to again and again, without those that are sources already or platforms."""
+    n = F.col("page_id")
+    p = table(spark, sf, "pages").select(n, cited_url().alias("url"), F.when(n % 3 == 0, "hn").when(n % 3 == 1, "reddit").otherwise("rss").alias("source_type"))
+    return ground.frequent_domains(p, p.where("page_id % 60 = 5").select(text.host(F.col("url")).alias("domain")), 3)
 
 
 _CAND = f"cand AS (SELECT {_HOST} AS domain, page_id AS ord, url, CASE page_id % 3 WHEN 0 THEN 'link' WHEN 1 THEN 'reddit' ELSE 'hn' END AS evidence, page_id % 4 + 1 AS seen, CASE WHEN page_id % 2 = 0 THEN url || '/feed' END AS feed_url FROM pages)"
@@ -107,13 +130,24 @@ def _appraised(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(q.with_(_CAND, _APP) + "SELECT domain, url, decision, trust FROM (SELECT domain, arg_min(url, ord) AS url FROM cand WHERE domain IS NOT NULL GROUP BY domain) JOIN (SELECT domain, arg_max(decision, ord) AS decision, arg_max(trust, ord) AS trust FROM app GROUP BY domain) USING (domain) WHERE decision <> 'reject'")
 def jon_15_appraisals(spark: SparkSession, sf: str) -> DataFrame:
-    return _appraised(spark, sf)
+    return _appraised(spark, sf).drop("feed_url")
+
+
+_LADDER = """, a AS (SELECT domain, arg_max(decision, ord) AS decision, arg_max(trust, ord) AS trust FROM app WHERE domain IS NOT NULL GROUP BY domain),
+    f AS (SELECT domain, arg_min(feed_url, ord) FILTER (feed_url IS NOT NULL) AS feed_url FROM cand WHERE domain IS NOT NULL GROUP BY domain),
+    y AS (SELECT domain, trust, CASE WHEN feed_url IS NULL THEN 'no-feed' WHEN domain IN (SELECT domain FROM cand WHERE ord % 97 = 0 AND domain IS NOT NULL) THEN 'duplicate' WHEN length(domain) % 5 = 0 THEN 'no-valid-channels' WHEN trust >= 0.7::DOUBLE THEN 'auto-add' WHEN trust >= 0.4::DOUBLE THEN 'queue-review' ELSE 'low-trust' END AS reason FROM a JOIN f USING (domain) WHERE decision <> 'reject')"""
+
+
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts on appraised candidates; a fifth of the domains, by their length, name no known channel."""
+    channels = F.when(F.length("domain") % 5 == 0, F.array(F.lit("nonsense"))).otherwise(F.array(F.lit("nonsense"), F.lit("ai")))
+    found = _appraised(spark, sf).withColumn("channels", channels)
+    return ground.verdicts(found, _candidates(spark, sf).where("ord % 97 = 0"))
 
 
-@query(q.with_(_CAND, _APP) + """, a AS (SELECT domain, arg_max(decision, ord) AS decision, arg_max(trust, ord) AS trust FROM app WHERE domain IS NOT NULL GROUP BY domain)
-    SELECT domain, CASE WHEN domain IN (SELECT domain FROM cand WHERE ord % 13 = 0) THEN 'duplicate' WHEN trust >= 0.7::DOUBLE THEN 'approve' WHEN trust >= 0.4::DOUBLE THEN 'queue' ELSE 'reject' END AS verdict FROM a WHERE decision <> 'reject'""")
+@query(q.with_(_CAND, _APP) + _LADDER + " SELECT domain, CASE reason WHEN 'auto-add' THEN 'add' WHEN 'queue-review' THEN 'queue' ELSE 'reject' END AS decision, reason FROM y")
 def stf_04_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    return ground.verdicts(_appraised(spark, sf), _candidates(spark, sf).where("ord % 13 = 0"))
+    return _judged(spark, sf)
 
 
 _AREAS = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in t) + ")" for t in world.THEATERS)

@@ -51,8 +51,11 @@ REGISTRY = f"""registry AS (
            c_custkey % 11 <> 0 AS enabled, CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 3 ELSE 0 END AS strikes, CASE WHEN c_custkey % 11 = 0 THEN {v.NOW} - (c_custkey % 20) * {v.DAY} END AS disabled_s,
            {v.NOW} - (c_custkey % 60) * {v.DAY} AS last_ok_s, {array(v.CHANNELS)}[c_custkey % 18 + 1] AS channel FROM customer)"""
 OUTCOMES = """last AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY floor(epoch(o_orderdate)) DESC, o_orderkey DESC) AS rn FROM orders),
-outcomes AS (SELECT 's' || o_custkey AS id, o_orderstatus = 'O' AS ok, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 404 ELSE 410 END WHEN o_orderstatus = 'P' THEN 503 END AS http_status,
+outcomes AS (SELECT 's' || o_custkey AS id, o_orderstatus = 'O' AS ok, CASE WHEN o_orderstatus = 'F' THEN CASE o_orderkey % 5 WHEN 0 THEN 404 WHEN 1 THEN 410 WHEN 4 THEN 403 END WHEN o_orderstatus = 'P' AND o_orderkey % 5 < 3 THEN 503 END AS http_status,
+                    CASE WHEN o_orderstatus = 'F' THEN CASE o_orderkey % 5 WHEN 2 THEN 'dns' WHEN 3 THEN 'not-a-feed' ELSE 'http-4xx' END WHEN o_orderstatus = 'P' THEN CASE WHEN o_orderkey % 5 < 3 THEN 'http-5xx' ELSE 'timeout' END END AS error_kind,
                     CASE WHEN o_orderstatus = 'O' THEN o_orderkey % 4 ELSE 0 END AS item_count FROM last WHERE rn = 1)"""
+PERMANENT = "coalesce(NOT ok AND (error_kind IN ('dns', 'not-a-feed') OR error_kind = 'http-4xx' AND http_status IN (404, 410)), false)"
+REGISTRABLE = "CASE WHEN len(string_split({x}, '.')) <= 2 THEN {x} WHEN length(string_split({x}, '.')[-1]) = 2 AND string_split({x}, '.')[-2] IN ('co', 'com', 'org', 'net', 'gov', 'edu', 'ac') THEN array_to_string(string_split({x}, '.')[-3:], '.') ELSE array_to_string(string_split({x}, '.')[-2:], '.') END"
 # title sessions: gaps over 36 hours split the items of one title
 SESSIONS = f"""keyed AS (SELECT *, {title('title')} AS key FROM items),
 gaps AS (SELECT *, coalesce(CAST(published_s - lag(published_s) OVER (PARTITION BY key ORDER BY published_s, id) > {v.SAME_TITLE_HOURS * 3600} AS INT), 0) AS far FROM keyed),

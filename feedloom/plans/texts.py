@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from feedloom import vocab as v
 from feedloom.catalog import query
-from feedloom.functions import text
+from feedloom.functions import sources, text
+from feedloom.operators import ground
 from feedloom.plans import sql as q
 from feedloom.sources.entities import engagements, items, table
 
@@ -98,17 +99,28 @@ def flt_10_recent(spark: SparkSession, sf: str) -> DataFrame:
     return items(spark, sf).where(F.col("published_s") >= v.NOW - v.ARCHIVE_DAYS * v.DAY).select("id")
 
 
-@query(f"WITH h AS (SELECT page_id, {_HOST} AS host FROM pages) SELECT page_id FROM h WHERE NOT (host = 'example.com' OR host LIKE '%.example.com')")
+_CITED_URL = "CASE page_id % 6 WHEN 0 THEN 'https://gist.github.com/' || page_id WHEN 1 THEN 'https://www.EN.wikipedia.org/x' WHEN 2 THEN 'https://notgithub.com/y' ELSE url END"
+_IGNORED = "len(list_filter(" + q.array(v.IGNORED_DOMAINS) + ", lambda d: {x} = d OR ends_with({x}, '.' || d))) > 0"
+
+
+def cited_url() -> Column:
+    """Addresses of pages, some of them on platforms, one that only looks like it."""
+    n = F.col("page_id")
+    return F.when(n % 6 == 0, F.concat(F.lit("https://gist.github.com/"), n.cast("string"))).when(n % 6 == 1, "https://www.EN.wikipedia.org/x").when(n % 6 == 2, "https://notgithub.com/y").otherwise(F.col("url"))
+
+
+@query(f"WITH p AS (SELECT page_id, {_CITED_URL} AS url FROM pages), h AS (SELECT page_id, {_HOST} AS host FROM p) SELECT page_id, host FROM h WHERE host IS NOT NULL AND NOT {_IGNORED.format(x='host')}")
 def flt_12_ignored_domains(spark: SparkSession, sf: str) -> DataFrame:
-    h = text.host(F.col("url"))
-    return table(spark, sf, "pages").where(~((h == "example.com") | h.endswith(".example.com"))).select("page_id")
+    h = text.host(cited_url())
+    return table(spark, sf, "pages").select("page_id", h.alias("host")).where(F.col("host").isNotNull() & ~sources.is_ignored(F.col("host")))
 
 
-@query(q.with_("""turns AS (SELECT conv_id, turn, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM conversations)""") + "SELECT conv_id, turn, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_distinct(w)) AS BIGINT) AS n_unique, len(w) > 0 AND len(list_distinct(w)) < 0.3::DOUBLE * len(w) AS degenerate FROM turns")
+@query("""WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN repeat(text || ' ', 3) ELSE text END AS x FROM conversations), w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(x), '\\s+'), lambda y: y <> '') AS w, list_filter(string_split(regexp_replace(x, '\\s', '', 'g'), ''), lambda y: y <> '') AS c FROM t)
+    SELECT conv_id, turn, len(w) = 0 OR len(list_distinct(w)) / len(w) < 0.3::DOUBLE OR len(c) / len(list_distinct(c)) > 7.2::DOUBLE AS degenerate FROM w""")
 def flt_20_degenerate_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    w = F.filter(F.split(text.normalise_title(F.col("text")), " "), lambda x: x != "")
-    t = table(spark, sf, "conversations").select("conv_id", "turn", w.alias("w"))
-    return t.select("conv_id", "turn", F.size("w").cast("bigint").alias("n_words"), F.size(F.array_distinct("w")).cast("bigint").alias("n_unique"), ((F.size("w") > 0) & (F.size(F.array_distinct("w")) < 0.3 * F.size("w"))).alias("degenerate"))
+    """Chunks of speech that say nothing: empty ones, those of few different words, and those of few different letters."""
+    x = F.when(F.col("turn") % 4 == 0, "").when(F.col("turn") % 4 == 1, F.repeat(F.concat("text", F.lit(" ")), 3)).otherwise(F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.is_degenerate(x).alias("degenerate"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'ok' WHEN o_orderkey % 7 = 0 THEN 'dns' WHEN o_orderkey % 7 = 1 THEN 'timeout' WHEN o_orderkey % 7 = 2 THEN 'not-a-feed' WHEN o_orderkey % 7 IN (3, 4) THEN 'http-4xx' WHEN o_orderkey % 7 = 5 THEN 'http-5xx' ELSE 'network' END AS kind FROM orders")
@@ -136,7 +148,15 @@ def agg_30_tag_usage(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select(F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), 1))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query("WITH t AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"(/[^/\"]*)', 1))) AS path FROM pages) SELECT path, count(*) AS n FROM t GROUP BY path")
+_LINKED = f"""p AS (SELECT page_id, {_CITED_URL} AS url, regexp_replace(regexp_replace(html, 'href="/([^/"]*)', 'href="https://\\1.example/', 'g'), 'href="https://The', 'href="https://gist.github.com/The', 'g') AS html FROM pages),
+    s AS (SELECT page_id, {_HOST} AS own FROM p), known AS (SELECT DISTINCT own FROM s WHERE page_id % 9 = 0 AND own IS NOT NULL UNION SELECT 'and.example'),
+    u AS (SELECT page_id, unnest(regexp_extract_all(html, 'href\\s*=\\s*["'']([^"'']+)["'']', 1)) AS url FROM p WHERE page_id % 5 > 0)"""
+
+
+@query(q.with_(_LINKED) + f"SELECT domain, count(*) AS seen FROM (SELECT DISTINCT page_id, {_HOST} AS domain FROM u WHERE regexp_matches(url, '(?i)^https?://')) d JOIN s USING (page_id) WHERE domain IS NOT NULL AND domain IS DISTINCT FROM own AND domain NOT IN (SELECT own FROM known) AND NOT {_IGNORED.format(x='domain')} GROUP BY domain")
 def agg_23_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Link mining: each page counts a target once. The pages' links are relative, so targets are first path segments."""
-    return table(spark, sf, "pages").select(F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^/"]*)'), 1))).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
+    """Domains that liked items cite, each counted once an item. The pages' links are relative; here they are put on hosts of their own."""
+    html = F.regexp_replace(F.regexp_replace("html", 'href="/([^/"]*)', 'href="https://$1.example/'), 'href="https://The', 'href="https://gist.github.com/The')
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("id"), cited_url().alias("url"), html.alias("body"), (F.col("page_id") % 5).alias("total"))
+    known = p.where("id % 9 = 0").select(text.host(F.col("url")).alias("domain")).union(spark.createDataFrame([("and.example",)], "domain string"))
+    return ground.mined_domains(p, known, 1)

@@ -60,5 +60,5 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest fetch outcome of each source, from orders."""
     o = table(spark, sf_dir, "orders")
     last = o.groupBy("o_custkey").agg(F.max(F.struct(seconds(F.col("o_orderdate")).alias("t"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))).alias("m"))
-    s = F.col("m.s")
-    return last.select(F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("id"), (s == "O").alias("ok"), F.when(s == "F", F.when(F.col("m.k") % 2 == 0, 404).otherwise(410)).when(s == "P", 503).alias("http_status"), F.when(s == "O", F.col("m.k") % 4).otherwise(0).alias("item_count"))
+    s, k = F.col("m.s"), F.col("m.k") % 5
+    return last.select(F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("id"), (s == "O").alias("ok"), F.when(s == "F", F.when(k == 0, 404).when(k == 1, 410).when(k == 4, 403)).when((s == "P") & (k < 3), 503).alias("http_status"), F.when(s == "F", F.when(k == 2, "dns").when(k == 3, "not-a-feed").otherwise("http-4xx")).when(s == "P", F.when(k < 3, "http-5xx").otherwise("timeout")).alias("error_kind"), F.when(s == "O", F.col("m.k") % 4).otherwise(0).alias("item_count"))

@@ -20,7 +20,8 @@ _STATE = "turn bigint, status string, enabled boolean, strikes bigint, disabled_
 
 def transition(state: dict[str, Any], outcome: dict[str, Any], threshold: int = v.STRIKES) -> tuple[dict[str, Any], bool]:
     """A source's health after one outcome (ok, permanent, item_count, at_s), and whether it should be rediscovered."""
-    at, off = outcome["at_s"], state["status"] == "disabled"
+    at = outcome["at_s"]
+    off = state["status"] == "disabled" or state["status"] is None and not state["enabled"]
     new = {**state, "turn": state["turn"] + 1}
     if outcome["ok"]:
         new |= {"status": "active" if outcome["item_count"] > 0 else "dormant", "strikes": 0, "disabled_s": None, "last_ok_s": at, "last_error": None}
