@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom import vocab as v
 from feedloom.catalog import query
-from feedloom.functions import maker, prose, scoring, sources, text
+from feedloom.functions import formula, maker, prose, scoring, sources, text
 from feedloom.operators import feed, health, world
 from feedloom.plans import sql as q
 from feedloom.plans.texts import _HOST
@@ -361,3 +361,14 @@ def dat_06_node_dates(spark: SparkSession, sf: str) -> DataFrame:
     """Dates by their precision: a year, a month, a day."""
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     return table(spark, sf, "orders").select("o_orderkey", F.when(k % 3 == 0, F.date_format(d, "yyyy")).when(k % 3 == 1, F.date_format(d, "MMM yyyy")).otherwise(F.date_format(d, "MMM d, yyyy")).alias("label"))
+
+
+_FORMULA = "min(quantity, 30) * (1 - discount) ^ 2 / sqrt(1 + tax) - ln(price) + round(price / 7) / (line - 4)"
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_extendedprice AS p, l_discount AS d, l_tax AS t, l_linenumber AS n FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE WHEN n <> 4 THEN round(least(q, 30) * power(1 - d, 2) / sqrt(1 + t) - ln(p) + floor(p / 7 + 0.5) / (n - 4), 4) END AS value FROM l""")
+def mth_14_formula(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's formula over line items; where it divides by zero it has no value."""
+    columns = {"quantity": F.col("l_quantity"), "price": F.col("l_extendedprice"), "discount": F.col("l_discount"), "tax": F.col("l_tax"), "line": F.col("l_linenumber")}
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(formula.evaluated(_FORMULA, columns), 4).alias("value"))
