@@ -120,3 +120,26 @@ def is_degenerate(chunk: Column) -> Column:
     w = F.filter(F.split(F.lower(F.coalesce(chunk, F.lit(""))), r"\s+"), lambda x: x != "")
     letters = F.filter(F.split(F.regexp_replace(F.coalesce(chunk, F.lit("")), r"\s", ""), ""), lambda x: x != "")
     return (F.size(w) == 0) | (F.size(F.array_distinct(w)) / F.size(w) < 0.3) | (F.size(letters) / F.size(F.array_distinct(letters)) > 7.2)
+
+
+def paragraphs(cues: Column, most: int = 500) -> Column:
+    """Cues (speaker, text) of a transcript, in order, as paragraphs (speaker, text).
+
+    A cue of another speaker begins a paragraph, and so does what follows a paragraph of at least `most` characters;
+    a cue without a speaker goes on with the one before. Blank paragraphs drop out.
+    """
+    kinds = "struct<speaker: string, text: string>"
+    start = F.struct(F.array().cast(f"array<{kinds}>").alias("done"), F.get(cues, 0)["speaker"].alias("speaker"), F.lit("").alias("text"))
+
+    def closed(s: Column) -> Column:
+        return F.when(F.trim(s["text"]) == "", s["done"]).otherwise(F.array_append(s["done"], F.struct(s["speaker"].alias("speaker"), F.trim(s["text"]).alias("text"))))
+
+    def step(s: Column, cue: Column) -> Column:
+        other = cue["speaker"].isNotNull() & ~cue["speaker"].eqNullSafe(s["speaker"])
+        words = F.coalesce(cue["text"], F.lit(""))
+        speaker = F.when(other, cue["speaker"]).otherwise(s["speaker"])
+        now = F.struct(F.when(other, closed(s)).otherwise(s["done"]).alias("done"), speaker.alias("speaker"), F.when(other | (s["text"] == ""), words).otherwise(F.concat(s["text"], F.lit(" "), words)).alias("text"))
+        full = F.length(now["text"]) >= most
+        return F.struct(F.when(full, closed(now)).otherwise(now["done"]).alias("done"), F.when(full, cue["speaker"]).otherwise(speaker).alias("speaker"), F.when(full, "").otherwise(now["text"]).alias("text"))
+
+    return F.aggregate(cues, start, step, closed)

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from feedloom import vocab as v
 from feedloom.catalog import ORACLE_SQL, query
+from feedloom.functions import text
 from feedloom.operators import divergence as dv
-from feedloom.operators import health, measures
+from feedloom.operators import health, measures, timeline
 from feedloom.operators.graph import Workspace
 from feedloom.plans import sql as q
 from feedloom.plans import sources_and_rules  # noqa: F401  its SQL is used here
-from feedloom.sources import plugin
+from feedloom.sources import files, plugin
 from feedloom.sources.entities import outcomes, registry, table
 from feedloom.streaming import keyed, streams
 
@@ -131,3 +132,40 @@ def stm_08_event_time(spark: SparkSession, sf: str) -> DataFrame:
     rows, late = keyed.fed(parts, Workspace(spark), "once", lambda s: keyed.distinct_events(s, "key", "at_ts", "2 days"), "append")
     days = rows.groupBy("day").agg(F.count("*").alias("n")).select(F.col("day").cast("string").alias("what"), "n")
     return days.union(spark.createDataFrame([("behind the watermark", late)], "what string, n bigint"))
+
+
+# transcripts, timelines, shards ---------------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, list_filter(string_split_regex(text, '[.!?]\\s+'), lambda y: y <> '') AS s FROM conversations), c AS (SELECT conv_id, turn, unnest(range(1, len(s) + 1)) AS k, unnest(s) AS x, CASE WHEN generate_subscripts(s, 1) = 1 THEN role END AS who FROM t),
+    l AS (SELECT conv_id, list({'d': [{'speaker': CAST(NULL AS VARCHAR), 'text': ''}][1:0], 'who': who, 't': x} ORDER BY turn, k) AS l, arg_min(who, (turn, k)) AS w FROM c GROUP BY conv_id),
+    r AS (SELECT conv_id, list_reduce(list_prepend({'d': [{'speaker': CAST(NULL AS VARCHAR), 'text': ''}][1:0], 'who': w, 't': ''}, l), lambda p, y: CASE WHEN y.who IS NOT NULL AND y.who IS DISTINCT FROM p.who
+        THEN CASE WHEN length(y.t) >= 500 THEN {'d': list_append(CASE WHEN trim(p.t) = '' THEN p.d ELSE list_append(p.d, {'speaker': p.who, 'text': trim(p.t)}) END, {'speaker': y.who, 'text': trim(y.t)}), 'who': y.who, 't': ''} ELSE {'d': CASE WHEN trim(p.t) = '' THEN p.d ELSE list_append(p.d, {'speaker': p.who, 'text': trim(p.t)}) END, 'who': y.who, 't': y.t} END
+        WHEN length(CASE WHEN p.t = '' THEN y.t ELSE p.t || ' ' || y.t END) >= 500 THEN {'d': list_append(p.d, {'speaker': p.who, 'text': trim(CASE WHEN p.t = '' THEN y.t ELSE p.t || ' ' || y.t END)}), 'who': y.who, 't': ''}
+        ELSE {'d': p.d, 'who': p.who, 't': CASE WHEN p.t = '' THEN y.t ELSE p.t || ' ' || y.t END} END) AS r FROM l)
+    SELECT conv_id, CAST(n AS INTEGER) AS n, p.speaker AS speaker, p.text AS text FROM (SELECT conv_id, unnest(range(len(f))) AS n, unnest(f) AS p FROM (SELECT conv_id, CASE WHEN trim(r.t) = '' THEN r.d ELSE list_append(r.d, {'speaker': r.who, 'text': trim(r.t)}) END AS f FROM r))""")
+def str_12_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as transcripts: the sentences of a turn are cues, of which the first names the speaker; cues become paragraphs."""
+    s = F.filter(F.split("text", r"[.!?]\s+"), lambda x: x != "")
+    cues = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.posexplode(s).alias("k", "x"))
+    cue = F.struct("turn", "k", F.when(F.col("k") == 0, F.col("role")).alias("speaker"), F.col("x").alias("text"))
+    talks = cues.groupBy("conv_id").agg(F.array_sort(F.collect_list(cue)).alias("cues"))
+    return talks.select("conv_id", F.posexplode(text.paragraphs(F.col("cues"))).alias("n", "p")).select("conv_id", "n", "p.speaker", "p.text")
+
+
+@query()
+def win_14_label_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as labels on a timeline for each customer: from their day on, as long as their price is high."""
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    labels = table(spark, sf, "orders").select(F.col("o_custkey").alias("timeline"), F.col("o_orderkey").alias("ord"), day.alias("start"), (day + F.floor(F.col("o_totalprice") / 1000).cast("int")).alias("stop"))
+    return timeline.packed_rows(labels, 2).select("timeline", "ord", "row")
+
+
+@query(f"SELECT event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) // {v.DAY} AS day, CASE WHEN event_id % 5 = 0 AND day(ts) > 20 THEN value + 1 ELSE value END AS value FROM events")
+def spc_06_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in shards by day; fresh values for some rows of the last days replace the old ones there, other shards keep their files."""
+    path = Workspace(spark).folder("shards")
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint").alias("day"), "value", F.day("ts").alias("d"))
+    files.write_shards(e.drop("d"), path, ["day"])
+    fresh = e.where("id % 5 = 0 and d > 20").withColumn("value", F.col("value") + 1).drop("d")
+    return files.write_shards(fresh, path, ["day"]).select("id", F.col("day").cast("bigint").alias("day"), "value")

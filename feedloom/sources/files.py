@@ -111,3 +111,47 @@ def upsert_days(rows: DataFrame, path: str, key: str = "day") -> DataFrame:
     target = f"{path}/{max(versions, default=0) + 1}"
     one.write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
+
+
+def _versions(spark: SparkSession, path: str, done: bool) -> list[int]:
+    """Numbers of the folders under path named n or version=n; with done only those whose writer finished."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(p.getName().rpartition("=")[2]) for p in found if not done or fs.exists(hadoop.Path(p, "_SUCCESS")))
+
+
+def write_shards(fresh: DataFrame, path: str, keys: list[str], key: str = "id", retained: Column | None = None) -> DataFrame:
+    """Merges fresh rows into a table of shards (one for each value of keys): of rows with the same key in a shard the fresh one stays.
+
+    Only shards with fresh rows are written, into a new version; the others keep their files. A manifest names each
+    shard's version, and writing it whole is what commits: a writer that fails before leaves the table as it was. Shards
+    that don't meet `retained` (a condition on keys) leave the manifest. Keys are not null; among fresh rows with one key any stays.
+    Returns the table.
+    """
+    spark = fresh.sparkSession
+    version = max([0, *_versions(spark, f"{path}/data", False), *_versions(spark, f"{path}/manifest", False)]) + 1
+    fresh = fresh.dropDuplicates([*keys, key])
+    touched = fresh.select(*keys).distinct()
+    merged, manifest = fresh, touched.withColumn("version", F.lit(version))
+    if _versions(spark, f"{path}/manifest", True):
+        old = read_shards(spark, path, keys).select(*fresh.columns)
+        merged = fresh.unionByName(old.join(small(touched, DAYS), keys, "left_semi").join(fresh.select(*keys, key), [*keys, key], "left_anti"))
+        manifest = manifest.unionByName(_manifest(spark, path).join(touched, keys, "left_anti"))
+    merged.write.partitionBy(*keys).parquet(f"{path}/data/version={version}")
+    kept = manifest if retained is None else manifest.where(retained)
+    kept.write.parquet(f"{path}/manifest/{version}")  # a row a shard
+    return read_shards(spark, path, keys)
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/manifest/{_versions(spark, f'{path}/manifest', True)[-1]}")
+
+
+def read_shards(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The shards that the newest whole manifest names; files of older versions and of failed writers are not read."""
+    manifest = _manifest(spark, path)
+    data = spark.read.option("basePath", f"{path}/data").parquet(*(f"{path}/data/version={n}" for n in sorted({r["version"] for r in manifest.select("version").distinct().collect()})))
+    same = [data[k].cast("string") == manifest[k].cast("string") for k in keys]
+    return data.join(small(manifest, DAYS), [*same, data["version"] == manifest["version"]], "left_semi").drop("version")
