@@ -37,18 +37,18 @@ def event_weight(kind: Column, dwell_ms: Column) -> Column:
     return F.when(kind == "open", 1.0).when(kind == "read", 3.0).when(kind == "dwell", points)
 
 
-def contributions(now: int, cluster_size: Column, affinity: Column, weights: dict[str, float] | None = None) -> dict[str, Column]:
+def contributions(now: int, cluster_size: Column, affinity: Column, weights: dict[str, float] | None = None, peak: float = v.PEAK_MINUTES, sigma: float = v.SIGMA_MINUTES, half_life: float = v.HALF_LIFE_DAYS) -> dict[str, Column]:
     """The seven terms of an item's score, from n_plain and minutes. affinity: the mean over its topics plus that over its entities."""
     w = v.WEIGHTS | (weights or {})
     age = F.greatest((F.lit(now) - F.col("published_s")) / float(v.DAY), F.lit(0.0))
     media = F.col("kind").isin("video", "audio")
     full = F.col("n_plain") > v.FULL_TEXT_CHARS
     return {
-        "recency": w["recency"] * decay(age),
+        "recency": w["recency"] * decay(age, half_life),
         "trust": w["trust"] * F.coalesce("trust", F.lit(0.5)),
         "metrics": w["metrics"] * volume_term(F.col("score"), F.col("comments")),
         "cluster": w["cluster"] * F.log10(cluster_size.cast("double")),
         "content": F.when(full, w["full_text"]).when(media, w["media"]).otherwise(0.0),
-        "read_time": w["read_time"] * read_score(F.col("minutes")),
+        "read_time": w["read_time"] * read_score(F.col("minutes"), peak, sigma),
         "affinity": w["affinity"] * affinity,
     }

@@ -102,7 +102,43 @@ def synthetic_body(minutes: Column, full: Column) -> Column:
     return F.when(words == 0, "").otherwise(plain)
 
 
-def assignments(scored: DataFrame, used: DataFrame, n: int) -> DataFrame:
-    """The best n stories (cluster_id, score, n_items) of which no item is used."""
-    stories = scored.groupBy("cluster_id").agg((F.sum("total") + F.log10(1 + F.count("*"))).alias("score"), F.count("*").alias("n_items"))
-    return stories.join(used.distinct(), "cluster_id", "left_anti").orderBy(F.desc("score"), "cluster_id").limit(n)
+def assignments(scored: DataFrame, formats: DataFrame | None, weekday: int, most: int = 3) -> DataFrame:
+    """(turn, format, channel, title, is_column, id, pos): what to write next, from `most` assignments at most, a row an item.
+
+    The columns that are due on the weekday (Monday is 0) come first, with the best items of their channel (four, or two
+    for a short format; a column without any has one row without an id). Then the best stories by summed total and size
+    that no column has used, with all their items. A story's format serves the channel of its best item; formats: liking
+    (format, v) decides, or, where that is None, the length: stories of several items get a long one. Ties go by name.
+    """
+    spark, space = scored.sparkSession, Workspace(scored.sparkSession)
+    best = [F.desc("total"), F.col("id")]
+    due = [f for f, day in v.SERIES.items() if day is None or day == weekday][:most]
+    kind = "turn int, format string, channel string, title string, is_column boolean, id string, pos bigint, cluster_id string"
+    picked = spark.createDataFrame([], kind)
+    for turn, f in enumerate(due):
+        channel = v.FORMATS[f][0]
+        rows = scored.where(F.array_contains("topics", channel)).orderBy(*best).limit(2 if f in v.BRIEF_FORMATS else 4).select("id", "title", "cluster_id", F.struct((-F.col("total")).alias("t"), "id").alias("key"))
+        listed = rows.agg(F.array_sort(F.collect_list(F.struct("key", "id", "title", "cluster_id"))).alias("l"))  # four rows
+        opened = listed.select(F.posexplode_outer("l").alias("pos", "i"), F.coalesce(F.get("l", 0)["title"], F.lit(f"{f} column")).alias("title"))
+        picked = picked.union(opened.select(F.lit(turn), F.lit(f), F.lit(channel), "title", F.lit(True), "i.id", F.col("pos").cast("bigint"), "i.cluster_id"))
+    picked = space.write(picked, "columns")
+    lead = F.min(F.struct((-F.col("total")).alias("t"), "id", "title", F.coalesce(F.get("topics", 0), F.lit(v.OTHER_CHANNEL)).alias("channel"))).alias("lead")
+    stories = scored.groupBy("cluster_id").agg((F.sum("total") + F.log10(1 + F.count("*"))).alias("score"), F.max("published_s").alias("newest_s"), F.count("*").alias("n"), lead)
+    used = F.broadcast(picked.select("cluster_id").where("cluster_id is not null").distinct())
+    top = stories.join(used, "cluster_id", "left_anti").orderBy(F.desc("score"), F.desc("newest_s"), "cluster_id").limit(most - len(due))
+    keyed = top.select("cluster_id", "n", "lead", F.struct((-F.col("score")).alias("s"), (-F.col("newest_s")).alias("d"), "cluster_id").alias("key"))
+    turns = keyed.agg(F.array_sort(F.collect_list(F.struct("key", "cluster_id", "n", "lead"))).alias("l")).select(F.posexplode("l").alias("k", "s"))  # `most` rows at most
+    turns = space.write(turns.select((F.col("k") + len(due)).cast("int").alias("turn"), "s.cluster_id", "s.n", F.col("s.lead.title").alias("title"), F.col("s.lead.channel").alias("channel")), "turns")
+    served = spark.createDataFrame([(c, f, f not in v.BRIEF_FORMATS) for f, cs in v.FORMATS.items() for c in cs], "channel string, format string, long boolean")
+    pool = turns.join(F.broadcast(served), "channel", "left").select("turn", "n", F.coalesce("format", F.lit(v.OTHER_FORMAT)).alias("format"), F.coalesce("long", F.lit(v.OTHER_FORMAT not in v.BRIEF_FORMATS)).alias("long"))
+    if formats is None:
+        order = F.struct(F.when(F.col("n") >= 2, ~F.col("long")).otherwise(F.col("long")).alias("wrong"), "format")
+    else:
+        pool = pool.join(F.broadcast(formats.select("format", "v")), "format", "left")  # a row a format
+        order = F.struct((-F.coalesce("v", F.lit(0.0))).alias("v"), "format")
+    chosen = F.broadcast(pool.groupBy("turn").agg(F.min(order)["format"].alias("format")).join(turns, "turn"))
+    own = scored.select("id", "cluster_id", "total").join(chosen.drop("n"), "cluster_id")
+    placed = ranked(own, [F.col("turn"), *best])
+    first = F.broadcast(placed.groupBy("turn").agg(F.min("place").alias("first")))
+    told = placed.join(first, "turn").select("turn", "format", "channel", "title", F.lit(False).alias("is_column"), "id", (F.col("place") - F.col("first")).alias("pos"))
+    return picked.drop("cluster_id").union(told)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions import text
+from feedloom.operators import ground
 
 # fixed values: words for each component at most; words from which a text with too few components is egregious
 WORDS_PER_ISLAND, EGREGIOUS_WORDS, LEAST_ISLANDS = 1000, 1500, 2
@@ -55,3 +56,24 @@ def inconsistent_figures(texts: DataFrame, key: str) -> DataFrame:
     rows = texts.select(key, F.explode(pairs).alias("p")).select(key, "p.label", F.col("p.n").cast("double").alias("n"))
     spans = rows.groupBy(key, "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     return spans.where((F.col("hi") - F.col("lo")) / F.greatest(F.abs("hi"), F.lit(1e-9)) > FIGURE_SHARE)
+
+
+def verified(drafts: DataFrame, citations: DataFrame, ledger: DataFrame, claims: DataFrame, claim_citations: DataFrame, components: list[str], islands: list[str]) -> DataFrame:
+    """One row a draft (id, html): ok, errors (sorted), and its figures.
+
+    citations (draft, url) against the ledger (url, tier, domain, origin): n_cited, grounded, independent; words and
+    islands of the text; claims (draft, claim, load_bearing, high_stakes) with their citations (claim, url): coverage and
+    corroboration, for drafts that have claims. Errors are: broken rules of the text (a citation that the ledger lacks
+    counts as not grounded), too few islands in a long text, claims that don't hold.
+    """
+    loose = ground.ungrounded(citations, ledger).select(F.col("draft").alias("id")).distinct().withColumn("__loose", F.lit(True))
+    rows = drafts.join(loose, "id", "left").select("id", "html", F.col("__loose").isNull().alias("grounded"))
+    broken = violations(rows, components).groupBy("id").agg(F.collect_list("rule").alias("broken"))
+    rich = richness(rows, islands).select("id", "words", "islands", "egregious")
+    cited = ground.citation_stats(citations, ledger).select(F.col("draft").alias("id"), F.col("n").alias("n_cited"), F.col("grounded").alias("grounded_share"), "independent")
+    held = ground.claim_verdicts(claims, claim_citations, ledger).select(F.col("draft").alias("id"), "coverage", "corroboration", "passed")
+    every = rows.select("id").join(broken, "id", "left").join(rich, "id").join(cited, "id", "left").join(held, "id", "left")
+    one = lambda cond, name: F.when(cond, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    errors = F.concat(F.coalesce("broken", F.array().cast("array<string>")), one(F.col("egregious"), "too few components"), one(F.coalesce(~F.col("passed"), F.lit(False)), "claims do not hold"))
+    out = every.withColumn("errors", F.array_sort(errors)).na.fill(0, ["n_cited", "independent"]).na.fill(1.0, ["grounded_share"])
+    return out.select("id", (F.size("errors") == 0).alias("ok"), "errors", "words", "islands", "n_cited", F.col("grounded_share").alias("grounded"), "independent", "coverage", "corroboration")

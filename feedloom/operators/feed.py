@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom import vocab as v
-from feedloom.functions import scoring, text
+from feedloom.functions import scoring, sources, text
 from feedloom.operators.graph import Workspace, components, small
 
 
@@ -203,10 +204,10 @@ def affinity(items: DataFrame, profile: DataFrame) -> DataFrame:
     return terms[0].union(terms[1]).join(small(profile, PROFILE_ROWS), ["kind", "term"]).groupBy("id").agg(F.sum(F.col("v") / F.col("n")).alias("liked"))
 
 
-def score_items(items: DataFrame, profile: DataFrame, now: int) -> DataFrame:
-    """Adds the seven terms and total to items with cluster_size (and n_plain and minutes for their bodies)."""
+def score_items(items: DataFrame, profile: DataFrame, now: int, **tuning: Any) -> DataFrame:
+    """Adds the seven terms and total to items with cluster_size (and n_plain and minutes for their bodies). tuning: as of the terms."""
     rows = items.join(affinity(items, profile), "id", "left")
-    terms = scoring.contributions(now, F.col("cluster_size"), F.coalesce("liked", F.lit(0.0)))
+    terms = scoring.contributions(now, F.col("cluster_size"), F.coalesce("liked", F.lit(0.0)), **tuning)
     return rows.withColumns(terms).withColumn("total", sum((F.col(t) for t in scoring.TERMS[1:]), F.col(scoring.TERMS[0]))).drop("liked")
 
 
@@ -309,6 +310,50 @@ def curate(items: DataFrame, events: DataFrame, now: int, makers: list[str] | No
     return diversity_floor(ranked(score_items(kept.join(sizes, "cluster_id"), profile, now), by_total()))
 
 
+def rerank(items: DataFrame, profile: DataFrame, now: int, *, least_minutes: int = 0, channels: list[str] | None = None, group: str | None = None, diverse: bool = True, **tuning: Any) -> DataFrame:
+    """A feed by a reader's own weights, gates and filters: items (with cluster_id) with their terms, total and place.
+
+    least_minutes: the shortest read; channels: primary channels, group: a group of channels, of which items may be
+    (None or empty: any); stories are as large as what is left of them; diverse: bring videos and audio forward.
+    tuning: weights (by term; the others keep theirs), peak, sigma and half_life.
+    """
+    primary = F.get("topics", 0)
+    keep = F.col("minutes") >= least_minutes
+    if channels:
+        keep &= F.coalesce(primary.isin(channels), F.lit(False))
+    if group:
+        keep &= text.group_of(primary) == group
+    kept = Workspace(items.sparkSession).write(items.where(keep).drop("cluster_size"), "kept")
+    sizes = kept.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"))
+    order = ranked(score_items(kept.join(sizes, "cluster_id"), profile, now, **tuning), by_total())
+    return diversity_floor(order) if diverse else order
+
+
+def front_page(listed: DataFrame) -> DataFrame:
+    """(section, rail, id, pos) of the front page from the ranked feed (place, total, and url, title, kind, minutes, n_plain).
+
+    Shorts, raw clips and short texts go; what has no text stays. featured: the balanced block; category: each channel's
+    longer reads behind it, if there are enough; watch and listen: videos that can be shown and audio, one a source;
+    register: all that is not featured, in order.
+    """
+    space = Workspace(listed.sparkSession)
+    junk = sources.is_short(F.coalesce("url", F.lit(""))) | sources.is_junk_video(F.col("kind"), F.coalesce("title", F.lit("")))
+    every = space.write(listed.where(~F.coalesce(junk, F.lit(False)) & ((F.col("n_plain") == 0) | (F.col("minutes") >= v.MIN_READ_MINUTES))), "every")
+    block = space.write(balanced(every.where(F.col("minutes") >= v.FEATURE_MINUTES), v.FRONT_FEATURED).select("id", "pick"), "block")
+    rest = space.write(every.join(F.broadcast(block.select("id")), "id", "left_anti"), "rest")
+    part = lambda df, section, rail, pos: df.select(F.lit(section).alias("section"), rail.alias("rail"), "id", pos.cast("bigint").alias("pos"))
+    none = F.lit(None).cast("string")
+    read = rest.where((F.col("minutes") >= v.MIN_READ_MINUTES) & F.get("topics", 0).isNotNull()).select("id", "place", F.get("topics", 0).alias("rail"))
+    rows = ranked(read, [F.col("rail"), F.col("place")], "at")
+    first = F.broadcast(rows.groupBy("rail").agg(F.min("at").alias("first"), F.count("*").alias("n")).where(F.col("rail").isin(v.CHANNELS) & (F.col("n") >= v.ROW_LEAST)))  # a row a channel
+    category = part(rows.join(first, "rail"), "category", F.col("rail"), F.col("at") - F.col("first"))
+    numbered = lambda df: df.withColumn("pos", F.row_number().over(Window.orderBy(*by_total())) - 1)  # noqa: E731  a dozen rows
+    watch = numbered(one_per_source(rest.where((F.col("kind") == "video") & sources.video_id(F.col("url")).isNotNull()), v.WATCH))
+    listen = numbered(one_per_source(rest.where("kind = 'audio'"), v.LISTEN))
+    register = ranked(rest.select("id", "place"), [F.col("place")], "at")
+    return part(block, "featured", none, F.col("pick")).union(category).union(part(watch, "watch", none, F.col("pos"))).union(part(listen, "listen", none, F.col("pos"))).union(part(register, "register", none, F.col("at")))
+
+
 # archive --------------------------------------------------------------------------------------------------------------
 
 

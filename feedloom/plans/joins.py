@@ -578,20 +578,46 @@ def pip_04_apply(spark: SparkSession, sf: str) -> DataFrame:
     return _appraised(spark, sf).join(new, "domain", "left_semi").select("domain", F.round("trust", 6).alias("trust"))
 
 
-@query(q.FULL_SCORE + ", c AS (SELECT cluster_id, sum(total) + log10(1 + count(*)) AS s FROM total GROUP BY cluster_id) SELECT cluster_id, round(s, 5) AS score FROM c WHERE cluster_id NOT IN (SELECT cluster_id FROM total WHERE ord % 50 = 0) ORDER BY s DESC, cluster_id LIMIT 3")
+_SERVED = ", ".join(f"('{c}', '{f}', {f not in v.BRIEF_FORMATS})" for f, cs in v.FORMATS.items() for c in cs)
+
+
+@query(q.FULL_SCORE + f""", col AS (SELECT *, row_number() OVER (ORDER BY total DESC, id) - 1 AS pos FROM total WHERE list_contains(topics, 'history') QUALIFY pos < 4),
+    s AS (SELECT cluster_id, sum(total) + log10(1 + count(*)) AS score, max(published_s) AS newest, count(*) AS n, arg_min(title, (-total, id)) AS title, coalesce(arg_min(topics[1], (-total, id)), 'ideas') AS channel FROM total WHERE cluster_id NOT IN (SELECT cluster_id FROM col) GROUP BY cluster_id),
+    t AS (SELECT *, row_number() OVER (ORDER BY score DESC, newest DESC, cluster_id) AS turn FROM s QUALIFY turn <= 2),
+    served(channel, format, long) AS (VALUES {_SERVED}),
+    f AS (SELECT turn, arg_min(coalesce(format, 'field-notes'), (CASE WHEN n >= 2 THEN NOT coalesce(long, false) ELSE coalesce(long, false) END, coalesce(format, 'field-notes'))) AS format FROM t LEFT JOIN served USING (channel) GROUP BY turn)
+    SELECT 0 AS turn, 'chronicle' AS format, 'history' AS channel, (SELECT title FROM col WHERE pos = 0) AS title, true AS is_column, id, pos FROM col
+    UNION ALL SELECT CAST(t.turn AS INTEGER), format, t.channel, t.title, false, i.id, row_number() OVER (PARTITION BY t.turn ORDER BY i.total DESC, i.id) - 1 FROM t JOIN f USING (turn) JOIN total i USING (cluster_id)""")
 def pip_05_assignments(spark: SparkSession, sf: str) -> DataFrame:
-    """The three best stories that have not been written of (here: those with no item whose number ends a fifty)."""
-    rows = scored(spark, sf)
-    used = rows.where("ord % 50 = 0").select("cluster_id")
-    return catalogue.assignments(rows, used, 3).select("cluster_id", F.round("score", 5).alias("score"))
+    """What to write on a Sunday: the weekly column, then the best stories, each with its format and its items."""
+    return catalogue.assignments(Workspace(spark).write(scored(spark, sf), "scored"), None, 6, 3)
+
 
+_CHECKED = f"""led AS (SELECT url, min(CASE WHEN page_id % 3 = 1 THEN 'high' WHEN page_id % 2 = 0 THEN 'med' ELSE 'low' END) AS tier, min({q.REGISTRABLE.format(x='h')}) AS domain, min(CASE WHEN page_id % 5 = 0 THEN 'curated' ELSE 'researched' END) AS origin FROM (SELECT *, {_HOST} AS h FROM pages WHERE page_id % 7 <> 0) GROUP BY url),
+    np AS (SELECT count(*) AS np FROM pages), cit AS (SELECT draft, url FROM (SELECT page_id AS draft, (page_id * 3 + unnest(range(page_id % 4)) * 11) % np AS page_id FROM pages, np) JOIN pages USING (page_id)),
+    cs AS (SELECT draft, count(*) AS n_cited, round(count(l.url) / count(*), 6) AS grounded, count(DISTINCT CASE WHEN l.url IS NOT NULL THEN domain || '::' || origin END) AS independent, count(l.url) < count(*) AS loose FROM cit LEFT JOIN led l USING (url) GROUP BY draft),
+    cl AS (SELECT page_id AS draft, page_id * 2 + unnest([0, 1]) AS claim, page_id % 10 = 0 AS hs FROM pages WHERE page_id % 3 > 0), cc AS (SELECT claim, url FROM (SELECT claim, (claim * 5 + unnest(range(1 + claim % 3)) * 2) % np AS page_id FROM cl, np) JOIN pages USING (page_id)),
+    pc AS (SELECT claim, count(l.url) AS backed, count(*) - count(l.url) AS unknown, count(DISTINCT CASE WHEN l.url IS NOT NULL THEN domain || '::' || origin END) AS ind FROM cc LEFT JOIN led l USING (url) GROUP BY claim),
+    cv AS (SELECT draft, count(*) FILTER (backed > 0) / count(*) AS coverage, count(*) FILTER (claim % 2 = 0 AND ind >= 2) / count(*) FILTER (claim % 2 = 0) AS corroboration, sum(unknown) = 0 AND count(*) FILTER (claim % 2 = 0 AND hs AND ind < 2) = 0 AS clean FROM cl JOIN pc USING (claim) GROUP BY draft),
+    e AS (SELECT d.id, words, len(list_filter(tags, lambda t: t IN ('img', 'table', 'figure', 'pre', 'blockquote', 'ul'))) AS islands, coalesce(n_cited, 0) AS n_cited, coalesce(grounded, 1) AS grounded, coalesce(independent, 0) AS independent, coalesce(loose, false) AS loose, coverage, corroboration, clean, html, tags FROM d LEFT JOIN cs ON cs.draft = d.id LEFT JOIN cv ON cv.draft = d.id),
+    x AS (SELECT *, list_concat([CASE WHEN NOT regexp_matches(coalesce(html, ''), '(?i)<title') THEN 'no title' END, CASE WHEN loose THEN 'not grounded' END, CASE WHEN regexp_matches(coalesce(html, ''), '(?i)(<script\\b|<iframe\\b|<(object|embed)\\b|<style\\b|<form\\b|\\son[a-z]+\\s*=|javascript:|data:text/html)') THEN 'unsafe markup' END,
+      CASE WHEN words >= 1500 AND islands < 2 THEN 'too few components' END, CASE WHEN NOT (coverage >= 0.9::DOUBLE AND corroboration >= 0.6::DOUBLE AND clean) THEN 'claims do not hold' END], list_transform(list_filter(tags, lambda t: t NOT IN ('html', 'head', 'body', 'p', 'div', 'a', 'title', 'script', 'style')), lambda t: 'unknown component ' || t)) AS er FROM e)"""
 
-@query(q.with_(_DRAFT, "e AS (SELECT id, len(list_filter(tags, lambda t: t IN ('img', 'table', 'figure', 'pre', 'blockquote', 'ul'))) AS islands, words FROM d)") + "SELECT d.id, NOT (d.words >= 1500 AND islands < 2) AND d.host IS NOT NULL AND d.id % 4 <> 0 AND NOT regexp_matches(coalesce(html, ''), '(?i)(<script\\b|<iframe\\b|<(object|embed)\\b|<style\\b|<form\\b|\\son[a-z]+\\s*=|javascript:|data:text/html)') AS passed FROM d JOIN e USING (id)")
+
+@query(q.with_(_DRAFT, _CHECKED) + "SELECT id, len(list_filter(er, lambda y: y IS NOT NULL)) = 0 AS ok, array_to_string(list_sort(list_filter(er, lambda y: y IS NOT NULL)), '|') AS errors, words, islands, n_cited, CAST(grounded AS DOUBLE) AS grounded, independent, round(coverage, 6) AS coverage, round(corroboration, 6) AS corroboration FROM x")
 def pip_06_verified(spark: SparkSession, sf: str) -> DataFrame:
-    """Drafts that are rich enough, grounded and safe."""
-    p = table(spark, sf, "pages").select(F.col("page_id").alias("id"), "html", ((text.host(F.col("url")).isNotNull()) & (F.col("page_id") % 4 != 0)).alias("grounded"))
-    rich = drafts.richness(p, ["img", "table", "figure", "pre", "blockquote", "ul"]).select("id", "egregious")
-    return p.join(rich, "id").select("id", (~F.col("egregious") & F.col("grounded") & (F.size(text.unsafe_reasons(F.coalesce("html", F.lit("")))) == 0)).alias("passed"))
+    """The report on all drafts: rules of the text, components, citations against the ledger, claims."""
+    n, p = F.col("page_id"), table(spark, sf, "pages")
+    many = F.broadcast(p.agg(F.count("*").alias("np")))  # one row
+    urls = p.select("page_id", "url")
+    ledger = p.where("page_id % 7 <> 0").select("url", F.when(n % 3 == 1, "high").when(n % 2 == 0, "med").otherwise("low").alias("tier"), text.registrable_domain(text.host(F.col("url"))).alias("domain"), F.when(n % 5 == 0, "curated").otherwise("researched").alias("origin"))
+    times = lambda k: F.when(k > 0, F.sequence(F.lit(0), (k - 1).cast("int")))
+    cited = p.crossJoin(many).select(n.alias("draft"), F.explode(F.transform(times(n % 4), lambda j: (n * 3 + j * 11) % F.col("np"))).alias("page_id")).join(urls, "page_id").select("draft", "url")
+    claims = p.where("page_id % 3 > 0").select(n.alias("draft"), F.explode(F.array(n * 2, n * 2 + 1)).alias("claim"), (n % 10 == 0).alias("high_stakes")).withColumn("load_bearing", F.col("claim") % 2 == 0)
+    c = F.col("claim")
+    claimed = claims.crossJoin(many).select("claim", F.explode(F.transform(times(1 + c % 3), lambda j: (c * 5 + j * 2) % F.col("np"))).alias("page_id")).join(urls, "page_id").select("claim", "url")
+    out = drafts.verified(p.select(n.alias("id"), "html"), cited, ledger, claims, claimed, ["html", "head", "body", "p", "div", "a", "title", "script", "style"], ["img", "table", "figure", "pre", "blockquote", "ul"])
+    return out.withColumns({"errors": F.array_join("errors", "|"), **{x: F.round(x, 6) for x in ("grounded", "coverage", "corroboration")}})
 
 
 @query(q.with_(q.ITEMS) + "SELECT source_type AS grp, count(*) AS n, round(avg(coalesce(trust, 0)), 6) AS trust, count(DISTINCT source) AS sources, max(published_s) AS last_s FROM items GROUP BY source_type")

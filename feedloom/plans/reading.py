@@ -11,7 +11,7 @@ from feedloom.functions import scoring, sources, text
 from feedloom.operators import feed, ground, health
 from feedloom.plans import sql as q
 from feedloom.plans.feeds import rank, scored
-from feedloom.sources.entities import items, outcomes, pick, registry, seconds, table
+from feedloom.sources.entities import engagements, features, items, outcomes, pick, registry, seconds, table
 
 _HOST = "coalesce(nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1), '^www\\.', ''), ''), '')"
 _PATH = "regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
@@ -54,8 +54,6 @@ def mth_10_candidate_trust(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, event_type, CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 3.0 ELSE round(least(value * 1000 / 30000.0::DOUBLE, 5.0), 6) END AS w FROM events WHERE event_type IN ('view', 'click', 'purchase')")
 def mth_11_event_weights(spark: SparkSession, sf: str) -> DataFrame:
-    from feedloom.sources.entities import engagements
-
     e = engagements(spark, sf)[0]
     raw = F.when(F.col("type") == "open", "view").when(F.col("type") == "read", "click").otherwise("purchase")
     return e.select("event_id", raw.alias("event_type"), F.round(scoring.event_weight(F.col("type"), F.col("dwell_ms")), 6).alias("w"))
@@ -194,8 +192,6 @@ _LIVE = f"""live AS (SELECT kind, term, s / max(s) OVER (PARTITION BY kind) AS v
 @query(q.FULL_RANK + ", " + _LIVE + ", f AS (SELECT id, round(total - affinity + 6.0::DOUBLE * coalesce(m, 0), 9) AS s FROM ranked LEFT JOIN mine USING (id)) SELECT id, row_number() OVER (ORDER BY s DESC, id) - 1 AS place FROM f")
 def srt_02_for_you(spark: SparkSession, sf: str) -> DataFrame:
     """The base score without taste, plus the taste of the last two weeks."""
-    from feedloom.sources.entities import engagements
-
     recent = engagements(spark, sf)[0].where(F.col("at_s") >= v.NOW - 14 * v.DAY)
     live = feed.affinity(items(spark, sf), feed.taste_profile(recent, items(spark, sf), v.NOW))
     s = F.round(F.col("total") - F.col("affinity") + v.WEIGHTS["affinity"] * F.coalesce("liked", F.lit(0.0)), 9)
@@ -264,13 +260,47 @@ def stf_02_rediscovered(spark: SparkSession, sf: str) -> DataFrame:
     return health.rediscovered(registry(spark, sf), found).select("id", "status", "strikes")
 
 
+_FRONT = f"""pg AS (SELECT id, CASE WHEN ord % 11 = 0 THEN 'A testing video' ELSE title END AS title, CASE WHEN ord % 7 = 0 THEN 'https://www.youtube.com/shorts/' || ord WHEN ord % 2 = 0 THEN 'https://youtu.be/' || lpad(CAST(ord AS VARCHAR), 11, 'v') ELSE url END AS url, kind, source, topics, total, place, {q.minutes('body')} AS m, {q.plain('body')} = '' AS bare FROM ranked),
+    al AS (SELECT * FROM pg WHERE NOT contains(url, '/shorts/') AND NOT (kind = 'video' AND contains(title, 'testing video')) AND (bare OR m >= 5)),
+    el AS (SELECT *, row_number() OVER (ORDER BY place) - 1 AS p FROM al WHERE m >= 7), f AS (SELECT topics[1] AS fc FROM el WHERE p = 0),
+    b AS (SELECT id, p, row_number() OVER (PARTITION BY topics[1] ORDER BY p) + CAST(topics[1] = fc AS INT) AS turn, min(p) OVER (PARTITION BY topics[1]) AS cp FROM el, f WHERE p > 0),
+    o AS (SELECT id, row_number() OVER (ORDER BY turn, cp) - 1 AS pick FROM (SELECT id, 0 AS turn, -1 AS cp FROM el WHERE p = 0 UNION ALL SELECT id, turn, cp FROM b)), blk AS (SELECT * FROM o WHERE pick < 30),
+    rest AS (SELECT * FROM al WHERE id NOT IN (SELECT id FROM blk)),
+    w AS (SELECT *, row_number() OVER (PARTITION BY kind, source ORDER BY place) AS nth FROM rest WHERE (kind = 'video' AND contains(url, 'youtu.be/')) OR kind = 'audio'),
+    r AS (SELECT kind, id, place, 0 AS late, CASE kind WHEN 'video' THEN 12 ELSE 10 END AS most FROM w WHERE nth = 1), r1 AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY place) AS k FROM r QUALIFY k <= most),
+    gap AS (SELECT kind, any_value(most) - count(*) AS g FROM r1 GROUP BY kind), r2 AS (SELECT w.kind, id, place, 1 AS late, row_number() OVER (PARTITION BY w.kind ORDER BY place) AS k, g FROM w JOIN gap USING (kind) WHERE nth > 1 AND g BETWEEN 1 AND 2 QUALIFY k <= g)"""
+
+
+@query(q.FULL_RANK + ", " + _FRONT + """ SELECT 'featured' AS section, NULL::VARCHAR AS rail, id, pick AS pos FROM blk UNION ALL SELECT 'category', topics[1], id, row_number() OVER (PARTITION BY topics[1] ORDER BY place) - 1 FROM rest WHERE m >= 5 QUALIFY count(*) OVER (PARTITION BY topics[1]) >= 3
+    UNION ALL SELECT CASE kind WHEN 'video' THEN 'watch' ELSE 'listen' END, NULL, id, row_number() OVER (PARTITION BY kind ORDER BY place) - 1 FROM (SELECT kind, id, place FROM r1 UNION ALL SELECT kind, id, place FROM r2) UNION ALL SELECT 'register', NULL, id, row_number() OVER (ORDER BY place) - 1 FROM rest""")
+def pip_07_front_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole front page; some items are shorts, some have a video's address, some are raw clips by their title."""
+    n = F.col("ord")
+    url = F.when(n % 7 == 0, F.concat(F.lit("https://www.youtube.com/shorts/"), n.cast("string"))).when(n % 2 == 0, F.concat(F.lit("https://youtu.be/"), F.lpad(n.cast("string"), 11, "v"))).otherwise(F.col("url"))
+    rows = rank(spark, sf).withColumns({"url": url, "title": F.when(n % 11 == 0, "A testing video").otherwise(F.col("title"))})
+    return feed.front_page(rows)
+
+
 @query(q.FULL_RANK + f", ok AS (SELECT * FROM ranked WHERE {_OK}), top AS (SELECT id FROM ok ORDER BY place LIMIT 10) SELECT id, topics[1] AS rail FROM ranked WHERE id NOT IN (SELECT id FROM top)")
 def pip_07_rails(spark: SparkSession, sf: str) -> DataFrame:
-    """The front page below the feature block: what is not featured, by primary channel."""
+    """What is not featured, by primary channel."""
     rows = scored(spark, sf)
     return rows.join(F.broadcast(feed.featured(rows)), "id", "left_anti").select("id", F.get("topics", 0).alias("rail"))
 
 
+_TUNED = {"weights": {"recency": 3.0, "affinity": 1.5, "cluster": 0.0}, "peak": 8.0, "sigma": 4.0, "half_life": 3.0}
+_OWN = q.with_(q.ITEMS, q.EVENTS, q.PROFILE, q.CLUSTERS, f"chosen AS (SELECT * FROM clustered WHERE {q.minutes('body')} >= 1 AND {q.group('topics[1]')} IN ('world', 'data', 'science') AND list_contains({q.array(v.CHANNELS[:14])}, topics[1]) AND {q.group('topics[1]')} = 'data')", q.scored(**_TUNED).replace("FROM clustered c", "FROM chosen c"), q.RANKED)
+
+
+@query(_OWN + "SELECT id, place, round(total, 5) AS total FROM ranked")
+def srt_16_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed of a reader who wants fresh, shorter reads on data, by their own weights, gates and filters."""
+    rows = feed.story_clusters(feed.Workspace(spark).write(features(spark, sf), "features"))
+    profile = feed.taste_profile(engagements(spark, sf)[0], items(spark, sf), v.NOW)
+    out = feed.rerank(rows, profile, v.NOW, least_minutes=1, channels=v.CHANNELS[:14], group="data", diverse=False, **_TUNED)
+    return out.select("id", "place", F.round("total", 5).alias("total"))
+
+
 @query("SELECT DISTINCT o_custkey AS c, CAST(floor(epoch(max(o_orderdate) OVER (PARTITION BY o_custkey))) AS BIGINT) - CAST(floor(epoch(min(o_orderdate) OVER (PARTITION BY o_custkey))) AS BIGINT) AS span_s FROM orders")
 def win_11_spans(spark: SparkSession, sf: str) -> DataFrame:
     t = seconds(F.col("o_orderdate"))

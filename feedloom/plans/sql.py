@@ -77,17 +77,24 @@ sreach AS (SELECT ord AS a, ord AS b FROM items UNION SELECT r.a, e.b FROM sreac
 comp AS (SELECT a AS ord, min(b) AS c FROM sreach GROUP BY a),
 cid AS (SELECT c, substr(sha1(string_agg(i.id, '|' ORDER BY i.id)), 1, 12) AS cluster_id FROM comp JOIN items i USING (ord) GROUP BY c),
 clustered AS (SELECT i.*, cid.cluster_id FROM items i JOIN comp USING (ord) JOIN cid USING (c))"""
-_W = v.WEIGHTS
-SCORED = f"""liked AS (SELECT id, sum(v / n) AS liked FROM (SELECT id, 'topic' AS kind, unnest(topics) AS term, len(topics) AS n FROM items UNION ALL SELECT id, 'entity', unnest(entities), len(entities) FROM items) JOIN profile USING (kind, term) GROUP BY id),
+
+
+def scored(weights: dict[str, float] | None = None, peak: float = v.PEAK_MINUTES, sigma: float = v.SIGMA_MINUTES, half_life: float = v.HALF_LIFE_DAYS) -> str:
+    """Items with their terms and total."""
+    w = v.WEIGHTS | (weights or {})
+    return f"""liked AS (SELECT id, sum(v / n) AS liked FROM (SELECT id, 'topic' AS kind, unnest(topics) AS term, len(topics) AS n FROM items UNION ALL SELECT id, 'entity', unnest(entities), len(entities) FROM items) JOIN profile USING (kind, term) GROUP BY id),
 scored AS (SELECT c.*, count(*) OVER (PARTITION BY cluster_id) AS cluster_size,
-    {_W['recency']}::DOUBLE * exp(-0.6931471805599453 * greatest(({v.NOW} - published_s) / {v.DAY}.0::DOUBLE, 0) / 7) AS recency,
-    {_W['trust']}::DOUBLE * coalesce(trust, 0.5::DOUBLE) AS trust_term, {_W['metrics']}::DOUBLE * log10(1 + greatest(score + comments, 0)) / 5 AS metrics,
-    {_W['cluster']}::DOUBLE * log10(CAST(count(*) OVER (PARTITION BY cluster_id) AS DOUBLE)) AS cluster,
-    CASE WHEN length({plain('body')}) > 800 THEN {_W['full_text']}::DOUBLE WHEN kind IN ('video', 'audio') THEN {_W['media']}::DOUBLE ELSE 0 END AS content,
-    {_W['read_time']}::DOUBLE * exp(-({minutes('body')} - 15.0::DOUBLE) * ({minutes('body')} - 15.0::DOUBLE) / 200) AS read_time,
-    {_W['affinity']}::DOUBLE * coalesce(liked, 0) AS affinity
+    {w['recency']}::DOUBLE * exp(-0.6931471805599453 * greatest(({v.NOW} - published_s) / {v.DAY}.0::DOUBLE, 0) / {half_life}) AS recency,
+    {w['trust']}::DOUBLE * coalesce(trust, 0.5::DOUBLE) AS trust_term, {w['metrics']}::DOUBLE * log10(1 + greatest(score + comments, 0)) / 5 AS metrics,
+    {w['cluster']}::DOUBLE * log10(CAST(count(*) OVER (PARTITION BY cluster_id) AS DOUBLE)) AS cluster,
+    CASE WHEN length({plain('body')}) > 800 THEN {w['full_text']}::DOUBLE WHEN kind IN ('video', 'audio') THEN {w['media']}::DOUBLE ELSE 0 END AS content,
+    {w['read_time']}::DOUBLE * exp(-({minutes('body')} - {peak}::DOUBLE) * ({minutes('body')} - {peak}::DOUBLE) / {2 * sigma * sigma}) AS read_time,
+    {w['affinity']}::DOUBLE * coalesce(liked, 0) AS affinity
     FROM clustered c LEFT JOIN liked USING (id)),
 total AS (SELECT *, recency + trust_term + metrics + cluster + content + read_time + affinity AS total FROM scored)"""
+
+
+SCORED = scored()
 RANKED = "ranked AS (SELECT *, row_number() OVER (ORDER BY total DESC, id) - 1 AS place FROM total)"
 
 

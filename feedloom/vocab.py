@@ -24,6 +24,13 @@ FORMATS = {
     "build-log": ["diy", "3d-printing", "iot", "embedded", "ai-projects"],
     "theater": ["history", "geopolitics", "politics", "geography"],
 }
+# fixed values: formats that are short, and those that recur, with their weekday (Monday is 0; None: each day)
+BRIEF_FORMATS = ["field-notes"]
+SERIES = {"chronicle": 6}
+# fixed values: the format of channels that none serves, the channel of stories without one
+OTHER_FORMAT, OTHER_CHANNEL = "field-notes", "ideas"
+# fixed values: sizes of the front page's parts, how many a channel's row has at least
+FRONT_FEATURED, WATCH, LISTEN, ROW_LEAST = 30, 12, 10, 3
 # fixed values: words that say nothing about a title
 STOPWORDS = ["the", "a", "an", "of", "to", "and", "or", "for", "in", "on", "with", "at", "by", "from", "as", "is", "are", "be", "this", "that", "new"]
 # fixed values: weights of the score's terms, the preferred reading time, decay, gates
