@@ -95,16 +95,28 @@ def story_links(items: DataFrame, threshold: float = v.TITLE_JACCARD, shared: in
     return near.union(own).union(entity_links(items, shared))
 
 
-def entity_links(items: DataFrame, shared: int = v.SHARED_ENTITIES) -> DataFrame:
-    """(x, y, kind): each item and the least ord of those that share the same `shared` (1 or 2) entities with it."""
+def _entity_keys(items: DataFrame, shared: int) -> DataFrame:
+    """(ord, k): the entities of an item, or all pairs of them (p < r)."""
     sets = items.select("ord", F.array_sort(F.array_distinct("entities")).alias("e"))
     if shared == 1:
-        keyed = sets.select("ord", F.explode("e").alias("k"))
-    else:
-        pairs = F.flatten(F.transform("e", lambda p: F.transform(F.filter("e", lambda r: r > p), lambda r: F.struct(p.alias("p"), r.alias("r")))))
-        keyed = sets.select("ord", F.explode(pairs).alias("k"))
-    first = Workspace(items.sparkSession).write(keyed.groupBy("k").agg(F.min("ord").alias("x"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    return keyed.join(first, "k").where("ord <> x").select("x", F.col("ord").alias("y"), F.lit("entities").alias("kind")).distinct()
+        return sets.select("ord", F.explode("e").alias("k"))
+    pairs = F.flatten(F.transform("e", lambda p: F.transform(F.filter("e", lambda r: r > p), lambda r: F.struct(p.alias("p"), r.alias("r")))))
+    return sets.select("ord", F.explode(pairs).alias("k"))
+
+
+def entity_classes(items: DataFrame, shared: int = v.SHARED_ENTITIES) -> DataFrame:
+    """(ord, k, first, n): the items that share an entity, or a pair of them, as classes k of n items, first being the least ord.
+
+    Two items are linked by entities when they are in one class; a class is never opened into pairs.
+    """
+    keyed = _entity_keys(items, shared)
+    classes = Workspace(items.sparkSession).write(keyed.groupBy("k").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1"), "entity-classes")
+    return keyed.join(classes, "k").select("ord", "k", "first", "n")
+
+
+def entity_links(items: DataFrame, shared: int = v.SHARED_ENTITIES) -> DataFrame:
+    """(x, y, kind): each item and the least ord of those that share the same `shared` (1 or 2) entities with it."""
+    return entity_classes(items, shared).where("ord <> first").select(F.col("first").alias("x"), F.col("ord").alias("y"), F.lit("entities").alias("kind")).distinct()
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

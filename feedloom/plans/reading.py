@@ -156,6 +156,13 @@ def jon_10_story_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return feed.story_links(items(spark, sf).select("ord", "title", "entities"))
 
 
+@query(q.with_(q.ITEMS, "e AS (SELECT DISTINCT ord, unnest(entities) AS e FROM items)", "k AS (SELECT a.ord, a.e AS p, b.e AS r FROM e a JOIN e b ON a.ord = b.ord AND a.e < b.e)") + "SELECT ord, p, r, min(ord) OVER (PARTITION BY p, r) AS first, count(*) OVER (PARTITION BY p, r) AS n FROM k QUALIFY n > 1")
+def jon_10_entity_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The classes behind the links by entities: any two items of a class share its pair."""
+    return feed.entity_classes(items(spark, sf).select("ord", "entities")).select("ord", "k.p", "k.r", "first", "n")
+
+
+
 _OK = f"({q.minutes('body')} >= 7)"
 
 
