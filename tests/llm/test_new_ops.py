@@ -116,7 +116,7 @@ def documents(spark, rows):
     return spark.createDataFrame([(i, t, x, 1, 2, "p") for i, (x, t) in enumerate(rows)], "doc_id bigint, text string, lang string, n bigint, rank int, phrase string")
 
 
-@pytest.mark.parametrize(("top", "least", "longest"), [(40, 5, 4), (None, 3, 5), (10, 5, 2)])
+@pytest.mark.parametrize(("top", "least", "longest"), [(40, 5, 4), (None, 25, 5), (10, 5, 2)])
 def test_collocations(spark, top, least, longest):
     rows = phrase_rows()
     got = sorted(tuple(r) for r in collocations(documents(spark, rows), top, least, longest).collect())
