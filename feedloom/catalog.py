@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from feedloom.plans import dashboard, feeds, gates, joins, live, reading, sources_and_rules, texts  # noqa: E402, F401
+from feedloom.plans import dashboard, feeds, gates, joins, live, reading, sources_and_rules, texts, writing  # noqa: E402, F401

@@ -86,6 +86,77 @@ def shares(rows: DataFrame, group: str, value: str) -> DataFrame:
     return sums.crossJoin(all_of).select(group, "v", F.try_divide("v", "all_v").alias("share"), F.try_divide("v", "top_v").alias("ratio"))
 
 
+def _block(name: str, rows: DataFrame, k1: Column | None = None, k2: Column | None = None, n: Column | None = None, x: Column | None = None) -> DataFrame:
+    return rows.select(F.lit(name).alias("block"), *((F.lit(None) if c is None else c).cast(t).alias(a) for a, c, t in (("k1", k1, "string"), ("k2", k2, "string"), ("n", n, "bigint"), ("x", x, "double"))))
+
+
+def _stacked(blocks: list[DataFrame]) -> DataFrame:
+    out = blocks[0]
+    for b in blocks[1:]:
+        out = out.unionByName(b)
+    return out
+
+
+def dashboard(items: DataFrame, sources: int = 12, authors: int = 10, best: int = 10) -> DataFrame:
+    """The whole dashboard as rows (block, k1, k2, n, x), from scored items (id, title, topics, source, source_type, author, published_s,
+    trust, affinity, total, minutes, cluster_id).
+
+    Blocks: hero (what, number), cooccurrence (two channels, items), cluster (id, main channel, items, best score), scatter (item,
+    channel, minutes, taste), read_bin, week (Monday's day number, group), box (source type, point of the summary), channel (with group,
+    items, mean taste), source_type, top_source, top_author (blank ones left out), top_item (by taste, with channel and minutes) and
+    trust_bin. The tops are limited to what a page shows; everything else is whole. `items` is read once a block: write it before.
+    """
+    c = F.col
+    rows = items.withColumns({"channel": F.coalesce(F.get("topics", 0), F.lit("tech")), "read": F.greatest("minutes", F.lit(1)), "taste": F.coalesce("affinity", F.lit(0.0))}).withColumn("grp", text.group_of(c("channel")))
+    hero = rows.agg(F.count("*").alias("items"), (F.sum("read") / 60).alias("hours"), F.percentile("read", F.lit(0.5)).alias("median"), F.count_distinct("channel").alias("channels"), F.count_distinct("source").alias("sources"), F.count_if(c("read") >= 5).alias("long_reads"), F.max("published_s").alias("newest_s"))
+    facts = hero.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), c(k).cast("double").alias("x")) for k in hero.columns))).alias("f"))
+    weeks = weekly(rows).unpivot("week", list(v.GROUPS), "grp", "n")
+    boxes = box(rows, "source_type", "read").unpivot("source_type", [c(p).cast("double").alias(p) for p in ("lo", "q1", "median", "q3", "hi")], "point", "x")
+    tally = lambda by: rows.groupBy(by).agg(F.count("*").alias("n"))
+    writers = rows.where(F.trim("author") != "").groupBy(F.trim("author").alias("author")).agg(F.count("*").alias("n"))
+    return _stacked([
+        _block("hero", facts, c("f.k"), x=c("f.x")),
+        _block("cooccurrence", cooccurrence(rows), c("a"), c("b"), c("n")),
+        _block("cluster", cluster_summary(rows), c("cluster_id"), c("channel"), c("size"), c("best")),
+        _block("scatter", rows, c("id"), c("channel"), c("read"), c("taste")),
+        _block("read_bin", histogram(rows, c("read"), 2, 30), c("bin"), n=c("n")),
+        _block("week", weeks, c("week"), c("grp"), c("n")),
+        _block("box", boxes, c("source_type"), c("point"), x=c("x")),
+        _block("channel", per_channel(rows, "taste"), c("channel"), text.group_of(c("channel")), c("n"), c("mean")),
+        _block("source_type", tally("source_type"), c("source_type"), n=c("n")),
+        _block("top_source", tally("source").orderBy(F.desc("n"), "source").limit(sources), c("source"), n=c("n")),
+        _block("top_author", writers.orderBy(F.desc("n"), "author").limit(authors), c("author"), n=c("n")),
+        _block("top_item", rows.orderBy(F.desc("taste"), "id").limit(best), c("id"), c("channel"), c("read"), c("taste")),
+        _block("trust_bin", histogram(rows, c("trust"), 0.1, 10), c("bin"), n=c("n")),
+    ])
+
+
+def bundle(items: DataFrame, registry: DataFrame, reads: DataFrame, top: int = 150) -> DataFrame:
+    """What a writer is given, as rows (block, k1, k2, n, x).
+
+    From scored items (with snippet and cluster_id), sources (id, type, channel, trust, enabled) and earlier reads (id, title): meta
+    (numbers of all of these and of what is included), channel (items), type (sources), covered (channels that have a source), source
+    (its type, whether it is enabled, trust), cluster (size, score), digest (the `top` best liked items with snippet and place),
+    and read.
+    """
+    c = F.col
+    liked = items.select("id", "snippet", F.coalesce("affinity", F.lit(0.0)).alias("taste")).orderBy(F.desc("taste"), "id").limit(top)
+    channels = items.select(F.explode("topics").alias("channel")).groupBy("channel").agg(F.count("*").alias("n"))
+    stories = items.groupBy("cluster_id").agg(F.count("*").alias("n"), (F.sum("total") + F.log10(1 + F.count("*"))).alias("score"))
+    numbers = {"items": items, "included": liked, "clusters": stories, "channels": channels, "sources": registry, "reads": reads}
+    meta = [_block("meta", df.agg(F.count("*").alias("n")), F.lit(k), n=c("n")) for k, df in numbers.items()]
+    return _stacked([
+        *meta,
+        _block("channel", channels, c("channel"), n=c("n")),
+        _block("type", registry.groupBy("type").agg(F.count("*").alias("n")), c("type"), n=c("n")),
+        _block("covered", registry.where("channel is not null").select("channel").distinct(), c("channel")),
+        _block("source", registry, c("id"), c("type"), c("enabled").cast("int"), c("trust")),
+        _block("cluster", stories, c("cluster_id"), n=c("n"), x=c("score")),
+        _block("digest", liked, c("id"), c("snippet"), x=c("taste")),
+        _block("read", reads, c("id"), c("title")),
+    ])
+
+
 def compare_counts(live: DataFrame, snapshot: DataFrame, key: str) -> DataFrame:
     """Full outer join of two count maps; a side that lacks a key counts zero."""
     a, b = live.select(F.col(key), F.col("n").alias("live")), snapshot.select(F.col(key), F.col("n").alias("snapshot"))

@@ -87,3 +87,22 @@ def blindspots(reportings: DataFrame, thin: float = 0.1, dense: int = 3) -> Data
     n = once.groupBy("event").agg(F.count_if(F.col("lean") < 0).alias("left"), F.count_if(F.col("lean") == 0).alias("center"), F.count_if(F.col("lean") > 0).alias("right"))
     lacks = lambda a, b: (F.col(b) >= dense) & (F.col(a) <= thin * F.col(b))
     return n.withColumn("blind", F.when(lacks("left", "right"), "left").when(lacks("right", "left"), "right"))
+
+
+def wartime(reportings: DataFrame, edges: DataFrame) -> DataFrame:
+    """Reportings (event, id, outlet, side) of a conflict, with what others confirm, from edges (event, a, b, relation).
+
+    confirmed: outlets other than its own whose reporting it entails or is entailed by; single_source: there is none;
+    opposed: do its outlet and theirs span more than one side (null is on none); weight: 1 if so, 0.5 if it is confirmed
+    within one side only, 0 if by nobody. Edges to unknown reportings, between
+    reportings of one outlet, and of other relations confirm nothing; repeated edges count once.
+    """
+    who = reportings.select("event", "id", "outlet", "side")
+    both = edges.where("relation = 'entails'").select("event", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("by")), F.struct(F.col("b").alias("id"), F.col("a").alias("by")))).alias("e")).select("event", "e.*").distinct()
+    by = both.join(who.select("event", F.col("id").alias("by"), F.col("outlet").alias("by_outlet"), F.col("side").alias("by_side")), ["event", "by"])
+    # the sides of those that confirm a reporting, itself included
+    seen = who.join(by, ["event", "id"]).where("by_outlet <> outlet").groupBy("event", "id").agg(
+        F.count_distinct("by_outlet").alias("confirmed"), F.coalesce((F.least(F.min("side"), F.min("by_side")) != F.greatest(F.max("side"), F.max("by_side"))), F.lit(False)).alias("opposed"))
+    rows = who.join(seen, ["event", "id"], "left")
+    n, opposed = F.coalesce("confirmed", F.lit(0)), F.coalesce("opposed", F.lit(False))
+    return rows.withColumns({"confirmed": n, "opposed": opposed, "single_source": n == 0, "weight": F.when(opposed, 1.0).when(n > 0, 0.5).otherwise(0.0)})
