@@ -73,6 +73,21 @@ def top_per_group(rows: DataFrame, group: str, order: list[Column], n: int) -> D
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("nth") <= n)
 
 
+def produced(items: DataFrame, newest: int = 5) -> DataFrame:
+    """Per source, from items (id, source, topics, published_s, minutes): items, mean minutes (one decimal), last date, all channels
+    produced (sorted, joined by commas) and the ids of the `newest` items, the latest first. Items without a source are left out.
+
+    Both lists are bounded, by the vocabulary of channels and by `newest`; Spark cuts a large source down before it is shuffled.
+    """
+    rows = items.where("source is not null")
+    sums = rows.groupBy("source").agg(F.count("*").alias("n"), (text.half_up(F.avg("minutes") * 10) / 10).alias("mean_minutes"), F.max("published_s").alias("last_s"))
+    channels = rows.select("source", F.explode("topics").alias("c")).groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("c")), ",").alias("channels"))
+    top = top_per_group(rows.select("source", "id", "published_s"), "source", [F.desc("published_s"), F.col("id")], newest)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("nth", "id"))), lambda t: t["id"])
+    latest = top.groupBy("source").agg(F.array_join(ids, ",").alias("newest"))
+    return sums.join(channels, "source", "left").join(latest, "source").withColumn("channels", F.coalesce("channels", F.lit("")))
+
+
 def source_health(items: DataFrame, registry: DataFrame, key: str = "source") -> DataFrame:
     """Every source of the registry with its items' number, mean trust (one decimal) and last date; zeros without items."""
     found = items.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n_items"), F.avg("trust").alias("t"), F.max("published_s").alias("last_s"))

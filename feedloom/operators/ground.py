@@ -116,3 +116,12 @@ def independent_sources(citations: DataFrame, ledger: DataFrame, by: str) -> Dat
     """How many different (domain, origin) of the ledger are cited, by draft or claim."""
     known = ledger.groupBy("url").agg(F.min("domain").alias("domain"), F.min("origin").alias("origin"))
     return citations.join(known, "url").groupBy(by).agg(F.count_distinct("domain", "origin").alias("n"))
+
+
+def generated(generators: dict[str, DataFrame]) -> DataFrame:
+    """All candidates of all generators with origin, the generator's name; repeats stay, columns that one lacks are null there."""
+    parts = [df.withColumn("origin", F.lit(name)) for name, df in generators.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out

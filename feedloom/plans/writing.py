@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from feedloom import vocab as v
 from feedloom.catalog import query
 from feedloom.functions import markup, text, transcripts
-from feedloom.operators import analytics, divergence, scaling
+from feedloom.operators import analytics, divergence, ground, scaling
 from feedloom.operators.graph import Workspace
 from feedloom.plans import sql as q
 from feedloom.plans.feeds import scored
-from feedloom.sources.entities import items, registry, table
+from feedloom.sources.entities import features, items, registry, table
 
 
 def raw_transcripts(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,3 +124,28 @@ def pip_09_bundle(spark: SparkSession, sf: str) -> DataFrame:
     sources = registry(spark, sf).withColumns({"type": F.when(n % 4 == 0, "x").when(n % 4 == 1, "rss").otherwise("news"), "trust": n % 101 / 100})
     reads = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("title"))
     return analytics.bundle(rows, sources, reads).withColumn("x", F.round("x", 5))
+
+
+@query(q.with_(q.ITEMS) + f"""SELECT source, count(*) AS n, floor(avg({q.minutes('body')}) * 10 + 0.5) / 10 AS mean_minutes, max(published_s) AS last_s, any_value(channels) AS channels, any_value(newest) AS newest FROM items JOIN (SELECT source, string_agg(DISTINCT c, ',' ORDER BY c) AS channels FROM (SELECT source, unnest(topics) AS c FROM items) GROUP BY source) USING (source)
+    JOIN (SELECT source, string_agg(id, ',' ORDER BY published_s DESC, id) AS newest FROM (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY source ORDER BY published_s DESC, id) <= 5) GROUP BY source) USING (source) GROUP BY source""")
+def agg_14_produced(spark: SparkSession, sf: str) -> DataFrame:
+    """What each source has produced: its channels and its five newest items."""
+    return analytics.produced(features(spark, sf))
+
+
+@query("""SELECT url AS name, 'search' AS origin, page_id AS seen FROM pages UNION ALL SELECT s_name, 'registry', NULL FROM supplier UNION ALL SELECT DISTINCT source, 'feed', NULL FROM documents""")
+def set_01_union(spark: SparkSession, sf: str) -> DataFrame:
+    """The candidates of three generators as one table."""
+    pages = table(spark, sf, "pages").select(F.col("url").alias("name"), F.col("page_id").alias("seen"))
+    known = table(spark, sf, "supplier").select(F.col("s_name").alias("name"))
+    feeds = table(spark, sf, "documents").select(F.col("source").alias("name")).distinct()
+    return ground.generated({"search": pages, "registry": known, "feed": feeds}).select("name", "origin", "seen")
+
+
+@query(q.with_(q.ITEMS) + f"SELECT author, count(*) AS n FROM (SELECT {_AUTHOR} AS author FROM items) WHERE author <> ' ' GROUP BY author ORDER BY n DESC, author LIMIT 10")
+def srt_05_top_authors(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten authors with most items, blank names left out (the limit is the feature)."""
+    n = F.col("ord")
+    author = F.when(n % 13 > 0, F.concat(F.lit("writer "), (n % 37).cast("string"))).otherwise(" ")
+    rows = items(spark, sf).select(author.alias("author")).where(F.trim("author") != "")
+    return rows.groupBy("author").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "author").limit(10)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.functions import markup, prose, transcripts
-from feedloom.operators import analytics, divergence, scaling
+from feedloom.operators import analytics, divergence, ground, scaling
 
 
 def loop_collapsed(words):
@@ -148,3 +148,16 @@ def test_dashboard_of_nothing_and_of_nulls(spark):
     rows = analytics.dashboard(one).collect()
     assert [(r["k1"], r["k2"], r["n"], r["x"]) for r in rows if r["block"] == "scatter"] == [("a", "tech", 1, 0.0)]
     assert not [r for r in rows if r["block"] == "top_author"]
+
+
+def test_produced(spark):
+    kinds = "id string, source string, topics array<string>, published_s bigint, minutes bigint"
+    rows = [(f"i{k}", "a", ["x", "y"][: k % 3], 10 - k // 2, k) for k in range(8)] + [("n", None, ["x"], 1, 1), ("b1", "b", None, None, None)]
+    got = {r["source"]: tuple(r)[1:] for r in analytics.produced(spark.createDataFrame(rows, kinds), 3).collect()}
+    assert got == {"a": (8, 3.5, 10, "x,y", "i0,i1,i2"), "b": (1, None, None, "", "b1")}
+    assert analytics.produced(spark.createDataFrame([], kinds)).count() == 0
+
+
+def test_generated(spark):
+    one, two = spark.createDataFrame([("u", 1), ("u", 1)], "name string, seen int"), spark.createDataFrame([(None,)], "name string")
+    assert sorted(map(repr, map(tuple, ground.generated({"p": one, "q": two}).select("name", "origin", "seen").collect()))) == sorted(map(repr, [("u", "p", 1), ("u", "p", 1), (None, "q", None)]))
