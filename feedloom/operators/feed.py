@@ -57,9 +57,10 @@ def representatives(grouped: DataFrame) -> DataFrame:
     rank = F.struct((plain <= v.FULL_TEXT_CHARS).alias("short"), (-plain).alias("length"), (-F.coalesce("trust", F.lit(0.5))).alias("trust"), (-(F.coalesce("score", F.lit(0)) + F.coalesce("comments", F.lit(0)))).alias("volume"), F.col("id").alias("i"))
     # one by one: the sets are the vocabularies at most, however large the group
     sets = {c: grouped.select("group", F.explode(c).alias("t")).groupBy("group").agg(F.array_sort(F.collect_set("t")).alias(f"all_{c}")) for c in ("topics", "entities")}
-    best = grouped.withColumn("rank", rank).groupBy("group").agg(F.min_by("id", "rank").alias("id"), F.max("score").alias("score"), F.max("comments").alias("comments"), F.count("*").alias("size"), F.min("ord").alias("first"))
-    own, none = grouped.drop("score", "comments", "group"), F.array().cast("array<string>")
-    joined = own.join(best.join(sets["topics"], "group", "left").join(sets["entities"], "group", "left"), "id")
+    own = [c for c in grouped.columns if c not in ("score", "comments", "group")]
+    best = grouped.withColumns({"rank": rank, "own": F.struct(*own)}).groupBy("group").agg(F.min_by("own", "rank").alias("own"), F.max("score").alias("score"), F.max("comments").alias("comments"), F.count("*").alias("size"), F.min("ord").alias("first"))
+    none = F.array().cast("array<string>")
+    joined = best.select("group", "own.*", "score", "comments", "size", "first").join(sets["topics"], "group", "left").join(sets["entities"], "group", "left")
     return joined.withColumns({c: F.array_distinct(F.concat(c, F.coalesce(f"all_{c}", none))) for c in sets}).drop("group", *(f"all_{c}" for c in sets))
 
 
@@ -76,7 +77,7 @@ def story_links(items: DataFrame, threshold: float = v.TITLE_JACCARD, shared: in
     title: pairs x < y of classes of equal title word sets, named by their least ord, with a Jaccard similarity of at
     least threshold; member: an item and its class; entities: an item and the least ord of those that have the same
     `shared` entities. Groups of copies are thus stars and never opened into pairs. Rare words come first in a class's
-    prefix, and classes meet on prefix words.
+    prefix; classes meet on prefix words whose places leave room for the similarity, and are compared there and then.
     """
     space = Workspace(items.sparkSession)
     members = space.write(title_classes(items), "members")
@@ -84,13 +85,16 @@ def story_links(items: DataFrame, threshold: float = v.TITLE_JACCARD, shared: in
     worded = classes.select("c", F.size("words").alias("n"), F.explode("words").alias("w"))
     often = space.write(worded.groupBy("w").agg(F.count("*").alias("df")), "often")
     # prefix length: n - ceil(threshold * n) + 1
-    ordered = worded.join(often, "w").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
-    prefix = space.write(ordered.select("c", "n", F.explode(F.slice("ws", 1, (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))).alias("e")).select("c", "n", "e.w"), "prefix")
+    ordered = worded.join(often, "w").groupBy("c", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("words"))
+    stop = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    prefix = space.write(ordered.select("c", "n", "words", F.posexplode(F.slice("words", 1, stop)).alias("at", "w")), "prefix")
     a, b = prefix.alias("a"), prefix.alias("b")
-    met = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.c") < F.col("b.c")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9)).select(F.col("a.c").alias("x"), F.col("b.c").alias("y")).distinct()
-    left, right = classes.select(F.col("c").alias("x"), F.col("words").alias("wx")), classes.select(F.col("c").alias("y"), F.col("words").alias("wy"))
-    both = F.size(F.array_intersect("wx", "wy"))
-    near = met.join(left, "x").join(right, "y").where(both >= threshold * (F.size("wx") + F.size("wy") - both) - 1e-9).select("x", "y", F.lit("title").alias("kind"))
+    # the first common word of a pair stands before all others they share
+    room = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    need = threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9
+    both = F.size(F.array_intersect("a.words", "b.words"))
+    met = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.c") < F.col("b.c")) & (room >= need)).where(both >= threshold * (F.col("a.n") + F.col("b.n") - both) - 1e-9)
+    near = met.select(F.col("a.c").alias("x"), F.col("b.c").alias("y"), F.lit("title").alias("kind")).distinct()
     own = members.where("ord <> c").select(F.col("c").alias("x"), F.col("ord").alias("y"), F.lit("member").alias("kind"))
     return near.union(own).union(entity_links(items, shared))
 

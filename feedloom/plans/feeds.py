@@ -13,10 +13,16 @@ from feedloom.plans import sql as q
 from feedloom.sources.entities import engagements, features, items
 
 
+def written(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The items' features (or some of them) as a table, for what reads them more than once: texts are read here only."""
+    rows = features(spark, sf)
+    return feed.Workspace(spark).write(rows.select(*columns) if columns else rows, "features")
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """All items with their stories, terms and total, without bodies."""
     space = feed.Workspace(spark)
-    every = space.write(features(spark, sf), "features")
+    every = written(spark, sf)
     profile = space.write(feed.taste_profile(engagements(spark, sf)[0], every, v.NOW), "profile")
     return feed.score_items(feed.story_clusters(every), profile, v.NOW)
 
@@ -120,23 +126,23 @@ def win_05_one_per_source(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(q.with_(q.ITEMS, q.SESSIONS) + "SELECT id, key, CAST(session AS BIGINT) AS session FROM sessions")
 def jon_11_title_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return feed.title_sessions(features(spark, sf)).select("id", "key", F.col("session").cast("bigint").alias("session"))
+    return feed.title_sessions(written(spark, sf, "id", "title", "published_s")).select("id", "key", F.col("session").cast("bigint").alias("session"))
 
 
 @query(q.with_(q.ITEMS, q.CLUSTERS) + "SELECT id, cluster_id FROM clustered")
 def grf_02_stories(spark: SparkSession, sf: str) -> DataFrame:
-    return feed.story_clusters(features(spark, sf)).select("id", "cluster_id")
+    return feed.story_clusters(written(spark, sf, "ord", "id", "title", "entities")).select("id", "cluster_id")
 
 
 @query(q.with_(q.ITEMS, q.GROUPS) + "SELECT id, grp FROM grouped")
 def grf_01_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return feed.duplicate_groups(features(spark, sf)).select("id", F.col("group").alias("grp"))
+    return feed.duplicate_groups(written(spark, sf, "ord", "id", "url", "title", "published_s")).select("id", F.col("group").alias("grp"))
 
 
 @query(q.with_(q.ITEMS, q.GROUPS) + f"""SELECT id, size, score, comments FROM (SELECT id, count(*) OVER w AS size, max(score) OVER w AS score, max(comments) OVER w AS comments,
     row_number() OVER (PARTITION BY grp ORDER BY length({q.plain('body')}) <= 800, length({q.plain('body')}) DESC, coalesce(trust, 0.5) DESC, score + comments DESC, id) AS rn FROM grouped WINDOW w AS (PARTITION BY grp)) WHERE rn = 1""")
 def win_02_representatives(spark: SparkSession, sf: str) -> DataFrame:
-    return feed.representatives(feed.duplicate_groups(features(spark, sf))).select("id", "size", "score", "comments")
+    return feed.representatives(feed.duplicate_groups(written(spark, sf))).select("id", "size", "score", "comments")
 
 
 @query(q.with_(q.ITEMS) + f"SELECT id, published_s, trust FROM items WHERE ord % 3 = 0 AND published_s >= {v.NOW - 14 * v.DAY} UNION ALL SELECT id, published_s - 60, trust FROM items WHERE ord % 3 = 1 AND published_s - 60 >= {v.NOW - 14 * v.DAY}")
@@ -182,6 +188,6 @@ _CURATED = q.with_(q.ITEMS, q.EVENTS, q.GROUPS, _REPS, q.CLUSTERS.replace("items
 @query(_CURATED + ", r0 AS (SELECT id, kind, total, place FROM ranked), " + _floor_sql("video", "r0", "r1") + ", " + _floor_sql("audio", "r1", "r2") + " SELECT r2.place, id, cluster_id, cluster_size, round(r2.total, 5) AS total FROM r2 JOIN ranked USING (id)")
 def pip_01_curate(spark: SparkSession, sf: str) -> DataFrame:
     """The curated feed, all of it: one item a group of duplicates, stories, gates, taste, order, diversity."""
-    every = feed.Workspace(spark).write(features(spark, sf), "features")
+    every = written(spark, sf)
     out = feed.curate(every, engagements(spark, sf)[0], v.NOW)
     return out.select("place", "id", "cluster_id", "cluster_size", F.round("total", 5).alias("total"))

@@ -11,7 +11,7 @@ from feedloom.functions import sources, text
 from feedloom.operators import analytics, catalogue, drafts, feed, ground, health
 from feedloom.operators.graph import Workspace
 from feedloom.plans import sql as q
-from feedloom.plans.feeds import scored
+from feedloom.plans.feeds import scored, written
 from feedloom.plans.sources_and_rules import _APP, _CAND, _CITED, _HOST, _LADDER, _appraised, _candidates, _citations, _judged, _ledger
 from feedloom.sources import files
 from feedloom.sources.entities import engagements, features, items, outcomes, registry, seconds, table
@@ -85,7 +85,7 @@ def jon_20_dates(spark: SparkSession, sf: str) -> DataFrame:
 @query(q.with_(q.ITEMS, q.SESSIONS) + "SELECT key, CAST(session AS BIGINT) AS session, count(*) AS n, min(published_s) AS first_s, max(published_s) AS last_s FROM sessions WHERE session IS NOT NULL GROUP BY key, session")
 def win_10_session_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Items of one title whose gaps are at most 36 hours, as groups."""
-    s = feed.title_sessions(features(spark, sf)).where("session is not null")
+    s = feed.title_sessions(written(spark, sf, "id", "title", "published_s")).where("session is not null")
     return s.groupBy("key", F.col("session").cast("bigint").alias("session")).agg(F.count("*").alias("n"), F.min("published_s").alias("first_s"), F.max("published_s").alias("last_s"))
 
 

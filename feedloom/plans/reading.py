@@ -10,8 +10,8 @@ from feedloom.catalog import query
 from feedloom.functions import scoring, sources, text
 from feedloom.operators import feed, ground, health
 from feedloom.plans import sql as q
-from feedloom.plans.feeds import rank, scored
-from feedloom.sources.entities import engagements, features, items, outcomes, pick, registry, seconds, table
+from feedloom.plans.feeds import rank, scored, written
+from feedloom.sources.entities import engagements, items, outcomes, pick, registry, seconds, table
 
 _HOST = "coalesce(nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1), '^www\\.', ''), ''), '')"
 _PATH = "regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
@@ -302,7 +302,7 @@ _OWN = q.with_(q.ITEMS, q.EVENTS, q.PROFILE, q.CLUSTERS, f"chosen AS (SELECT * F
 @query(_OWN + "SELECT id, place, round(total, 5) AS total FROM ranked")
 def srt_16_rerank(spark: SparkSession, sf: str) -> DataFrame:
     """The feed of a reader who wants fresh, shorter reads on data, by their own weights, gates and filters."""
-    rows = feed.story_clusters(feed.Workspace(spark).write(features(spark, sf), "features"))
+    rows = feed.story_clusters(written(spark, sf))
     profile = feed.taste_profile(engagements(spark, sf)[0], items(spark, sf), v.NOW)
     out = feed.rerank(rows, profile, v.NOW, least_minutes=1, channels=v.CHANNELS[:14], group="data", diverse=False, **_TUNED)
     return out.select("id", "place", F.round("total", 5).alias("total"))

@@ -194,3 +194,28 @@ def test_day_ledger_and_loose_files(spark, tmp_path):
     good, bad = files.json_arrays(spark, str(tmp_path / "raw"), "id string, n int", F.col("id").isNotNull())
     assert {r["id"] for r in good.collect()} == {"a", "b", "c"} and bad.count() == 2
     assert files.json_arrays(spark, str(tmp_path / "none"), "id string", F.lit(True))[0].collect() == []
+
+
+def test_title_links_are_all_near_titles(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(14)]
+    titles = [rng.sample(words[: rng.choice([6, 14])], rng.randrange(1, 7)) for _ in range(160)] + [[], ["w1"], ["w1"]]
+    rows = spark.createDataFrame([(i, " ".join(t), []) for i, t in enumerate(titles)], "ord bigint, title string, entities array<string>")
+    first = {}
+    for i, t in enumerate(titles):
+        first.setdefault(frozenset(t), i)
+    classes = sorted((c, s) for s, c in first.items() if s)
+    near = {(a, b) for a, s in classes for b, t in classes if a < b and len(s & t) >= 0.6 * len(s | t) - 1e-9}
+    got = feed.story_links(rows, 0.6).collect()
+    assert {(r["x"], r["y"]) for r in got if r["kind"] == "title"} == near and sum(r["kind"] == "title" for r in got) == len(near)
+    assert {(r["x"], r["y"]) for r in got if r["kind"] == "member"} == {(first[frozenset(t)], i) for i, t in enumerate(titles) if t and first[frozenset(t)] != i}
+
+
+def test_representatives_keep_their_own_fields(spark):
+    columns = "group bigint, ord bigint, id string, n_plain int, trust double, score int, comments int, topics array<string>, entities array<string>, extra string"
+    rows = [(1, 1, "a", 100, 0.9, 5, None, ["x"], [], "of a"), (1, 2, "b", 2000, None, 1, 7, ["y", "y"], ["e"], "of b"), (1, 3, "c", 2000, 0.4, 9, 0, None, ["f"], None), (4, 4, "d", 0, None, None, None, [], [], "of d")]
+    got = {r["id"]: r for r in feed.representatives(spark.createDataFrame(rows, columns)).collect()}
+    assert set(got) == {"b", "d"}
+    b = got["b"]
+    assert (b["score"], b["comments"], b["size"], b["first"], b["extra"], b["topics"], b["entities"]) == (9, 7, 3, 1, "of b", ["y", "x"], ["e", "f"])
+    assert (got["d"]["size"], got["d"]["topics"], got["d"]["extra"]) == (1, [], "of d")
