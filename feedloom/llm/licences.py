@@ -3,7 +3,6 @@ sequence of identifiers in a text is matched against ordered rules."""
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import text_of
+from feedloom.llm.common import chunks, text_of
 
 # fixed values: sentences of public licences and notices, by identifier
 SENTENCES = {
@@ -51,7 +50,25 @@ SENTENCES = {
     "epl-notice": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", "SPDX-License-Identifier: EPL-2.0"],
     "mpl-obtain": ["If a copy of the MPL was not distributed with this file, You can obtain one at", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"],
     "bsd-disclaimer": ["THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"],
+    "bsd-advert": ["All advertising materials mentioning features or use of this software must display the following acknowledgement:"],
+    "0bsd-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "lgpl3-notice": ["SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later", "Licensed under the GNU Lesser General Public License, version 3"],
+    "lgpl3-share": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "apache-grant": ["Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form"],
+    "gpl3-preamble": ["The GNU General Public License is a free, copyleft license for software and other kinds of works"],
+    "gpl2-preamble": ["The licenses for most software are designed to take away your freedom to share and change it"],
+    "gpl2-contrast": ["By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users"],
+    "lgpl-contrast": ["By contrast, the GNU General Public Licenses are intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users"],
+    "agpl-preamble": ["The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software"],
+    "mpl-grant": ["Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license:"],
+    "wtfpl-copy": ["Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed"],
+    "ccbyncsa-notice": ["Licensed under CC BY-NC-SA 4.0", "This work is licensed under CC BY-NC-SA 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "ccbynd-notice": ["Licensed under CC BY-ND 4.0", "This work is licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "ccbyncnd-notice": ["Licensed under CC BY-NC-ND 4.0", "This work is licensed under CC BY-NC-ND 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
 }
+# fixed values: identifiers whose licences have no other notice above
+SPDX = ["0BSD", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "EUPL-1.2", "ISC", "MPL-2.0", "Unlicense", "WTFPL", "Zlib"]
+SENTENCES |= {f"spdx-{x.lower()}": [f"SPDX-License-Identifier: {x}"] for x in SPDX}
 # fixed values: ordered rules (licence, identifiers in order)
 RULES = [
     ("MIT", "notice", ["mit-notice"]),
@@ -80,9 +97,25 @@ RULES = [
     ("BSL-1.0", "text", ["boost-grant"]),
     ("EPL-2.0", "notice", ["epl-notice"]),
     ("MPL-2.0", "header", ["mpl-notice", "mpl-obtain"]),
+    ("BSD-4-Clause", "text", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse"]),
+    ("0BSD", "text", ["0bsd-grant"]),
+    ("LGPL-3.0", "notice", ["lgpl3-notice"]),
+    ("LGPL-3.0", "header", ["lgpl3-share", "lgpl-hope"]),
+    ("LGPL-3.0", "header", ["lgpl3-share", "gpl-hope"]),
+    ("Apache-2.0", "text", ["apache-grant"]),
+    ("GPL-3.0", "text", ["gpl3-preamble"]),
+    ("GPL-2.0", "text", ["gpl2-preamble", "gpl2-contrast"]),
+    ("LGPL-2.1", "text", ["gpl2-preamble", "lgpl-contrast"]),
+    ("AGPL-3.0", "text", ["agpl-preamble"]),
+    ("MPL-2.0", "text", ["mpl-grant"]),
+    ("WTFPL", "text", ["wtfpl-copy"]),
+    ("CC-BY-NC-SA-4.0", "notice", ["ccbyncsa-notice"]),
+    ("CC-BY-ND-4.0", "notice", ["ccbynd-notice"]),
+    ("CC-BY-NC-ND-4.0", "notice", ["ccbyncnd-notice"]),
+    *((x, "notice", [f"spdx-{x.lower()}"]) for x in SPDX),
 ]
 #: Every known sentence has one of the cue words, so texts without any are passed over.
-CUES = "licen|permission|redistribut|provided|warranty|subject to|public domain|is free to copy|obtain one at"
+CUES = "licen|permission|redistribut|provided|warranty|subject to|public domain|is free to copy|obtain one at|advertising materials"
 #: Unknown sentences, and known ones of other rules, that may stand between two sentences of a rule.
 GAP = 3
 
@@ -115,41 +148,62 @@ _BLANK = re.compile(r"(?:\r\n|\r|\n)[^A-Za-z0-9\r\n]*(?:\r\n|\r|\n)")
 _LIST = re.compile(r"(?:^|[\r\n])[^A-Za-z0-9\r\n]*?(?:[-*\u2022]|\(?[A-Za-z0-9]{1,3}[.)])(?=\s)")
 
 
-def _known(body: str, table: list[tuple[str, str]]) -> list[tuple[int, int, str]]:
+def lengths(table: list[tuple[str, str]]) -> dict[tuple[str, ...], list[int]]:
+    """The numbers of words that the sentences with the same two words in front have."""
+    out: dict[tuple[str, ...], set[int]] = {}
+    for sentence, _ in table:
+        words = sentence.split(" ")
+        out.setdefault(tuple(words[:2]), set()).add(len(words))
+    return {k: sorted(x) for k, x in out.items()}
+
+
+#: What stands before a word: something that ends a sentence, a line break.
+_END, _BREAK = 1, 2
+
+
+def _gaps(body: str, lower: str) -> dict[int, int]:
+    """What stands before the words of a text, by their starts, where anything does; the text's length stands for its end."""
+    marks = dict.fromkeys((m.end() for m in _LINE.finditer(body)), _BREAK)
+    for x in marks:
+        if (m := _ALNUM.search(body, x)) and not m[0].islower():
+            marks[x] |= _END
+    for m in (m for x in (_STOP, _COLON, _BLANK, _LIST) for m in x.finditer(body)):
+        marks[m.end()] = marks.get(m.end(), 0) | _END
+    out, word = {}, -1
+    for p in (0, *sorted(marks)):
+        if p > word:
+            m = _WORD.search(lower, p)
+            word = m.start() if m else len(body)
+        out[word] = out.get(word, 0) | marks.get(p, 0)
+    out[len(body)] = _END | _BREAK
+    first = _WORD.search(lower)
+    if first:
+        out[first.start()] = _END | _BREAK
+    return out
+
+
+def _known(body: str, table: dict[str, str], sizes: dict[tuple[str, ...], list[int]]) -> list[tuple[int, int, str]]:
     """(start, end, identifier) of the known sentences of a text, in order.
 
     A sentence begins and ends at the end of another, a colon, a blank line, a list marker, or a line break where the
     next line begins with a capital or a figure; one that is alone in its line ends there anyhow. Of two that overlap
-    the longer stands.
+    the longer stands. The text is cut once; a place where a sentence may begin takes one look-up of its first two words
+    and one for each length that they allow, however many sentences are known.
     """
     lower = "".join(c if len(c) == 1 else " " for c in map(str.lower, body)) if len(body.lower()) != len(body) else body.lower()
-    spans = [m.span() for m in _WORD.finditer(lower)]
-    flat = " " + " ".join(lower[a:b] for a, b in spans) + " "
-    at = None
+    gaps = _gaps(body, lower)
     found = []
-    for sentence, sid in table:
-        i = flat.find(f" {sentence} ")
-        while i >= 0:
-            if at is None:
-                at, n = {}, 0
-                for k, (a, b) in enumerate(spans):
-                    at[n] = k
-                    n += b - a + 1
-                cuts = sorted({0, len(body), *(m.end() for x in (_STOP, _COLON, _BLANK, _LIST) for m in x.finditer(body))})
-                breaks = sorted({0, len(body), *(m.end() for m in _LINE.finditer(body))})
-                starts = [x for x in breaks if (m := _ALNUM.search(body, x)) and not m[0].islower()]
-            first = at[i]
-            last = first + sentence.count(" ")
-            a, b = spans[first][0], spans[last][1]
-            low = spans[first - 1][1] if first else 0
-            high = spans[last + 1][0] if last + 1 < len(spans) else len(body)
-            between = lambda p, x, y: bisect.bisect_left(p, x) < bisect.bisect_right(p, y)
-            opens = first == 0 or between(cuts, low, a) or between(starts, low, a)
-            closes = last + 1 == len(spans) or between(cuts, b, high) or between(starts, b, high)
-            alone = (first == 0 or between(breaks, low, a)) and (last + 1 == len(spans) or between(breaks, b, high)) and not between(breaks, a + 1, b)
-            if opens and closes or alone:
-                found.append((a, b, sid))
-            i = flat.find(f" {sentence} ", i + 1)
+    for begin, mark in gaps.items():
+        words = _WORD.finditer(lower, begin)
+        run = [m for _, m in zip(range(2), words, strict=False)]
+        for n in sizes.get(tuple(m[0] for m in run), ()) if mark else ():
+            run += [m for _, m in zip(range(n + 1 - len(run)), words, strict=False)]
+            sid = table.get(" ".join(m[0] for m in run[:n])) if len(run) >= n else None
+            if sid:
+                after = gaps.get(run[n].start() if len(run) > n else len(body), 0)
+                alone = mark & after & _BREAK and not any(gaps.get(m.start(), 0) & _BREAK for m in run[1:n])
+                if mark & after & _END or alone:
+                    found.append((begin, run[n - 1].end(), sid))
     kept: list[tuple[int, int, str]] = []
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if not kept or x[0] >= kept[-1][1]:
@@ -160,16 +214,18 @@ def _known(body: str, table: list[tuple[str, str]]) -> list[tuple[int, int, str]
 
 
 def _lines(table: list[tuple[str, str]]):
+    known, sizes = dict(table), lengths(table)
+
     def unknown(between: str) -> int:
         pieces = [sum(bool(_ALNUM.search(p)) for p in x.split(between)) for x in (_STOP, _LINE)]
         return min(pieces)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, "body"):
             rows, out = [], []
             for k, body in enumerate(batch.column(2).to_pylist()):
                 line, end = ">", None
-                for a, b, sid in _known(body, table):
+                for a, b, sid in _known(body, known, sizes):
                     line += ("|>" if end is not None and unknown(body[end:a]) > GAP else "") + sid + ">"
                     end = b
                 if end is not None:
@@ -186,8 +242,8 @@ def licence_hits(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     Known sentences are found across line breaks (as in wrapped headers), between ends of sentences, colons, blank lines,
     list markers and line breaks, and make one sequence a text. Between two sentences of a rule at most GAP unknown ones
-    (or lines, if they are fewer) and GAP known ones of other rules may stand. A rule that is part of a longer one
-    matched in the text is left out. Null and empty texts match nothing; a null id stays null; rows that
+    (or lines, if they are fewer) and GAP known ones of other rules may stand. A rule whose sentences stand in
+    a longer one matched in the text, in the same order, is left out. Null and empty texts match nothing; a null id stays null; rows that
     repeat an id give one row for each licence and rule.
     """
     spark = docs.sparkSession
@@ -195,7 +251,7 @@ def licence_hits(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     kind = docs.schema[id_column].dataType.simpleString()
     ordered = rows.select("id", F.xxhash64("body").alias("fp"), "body").mapInArrow(_lines(sentence_table()), f"id {kind}, fp bigint, line string")
     rules = F.broadcast(spark.createDataFrame([(a, b, ">" + ">".join(c) + ">", sequence(c), len(c)) for a, b, c in RULES], "licence string, rule string, pattern string, sequence string, n_sentences int"))  # fixed size
-    found = ordered.join(rules, F.regexp_like("line", F.col("sequence"))).select("id", "fp", "licence", "rule", "pattern", "n_sentences").distinct()
-    best = found.groupBy("id", "fp").agg(F.collect_list(F.struct("licence", "rule", "pattern", "n_sentences")).alias("all"))
-    own = F.filter("all", lambda x: ~F.exists("all", lambda y: (y["n_sentences"] > x["n_sentences"]) & y["pattern"].contains(x["pattern"])))
+    found = ordered.join(rules, F.regexp_like("line", F.col("sequence"))).select("id", "fp", "licence", "rule", "pattern", "sequence", "n_sentences").distinct()
+    best = found.groupBy("id", "fp").agg(F.collect_list(F.struct("licence", "rule", "pattern", "sequence", "n_sentences")).alias("all"))
+    own = F.filter("all", lambda x: ~F.exists("all", lambda y: (y["n_sentences"] > x["n_sentences"]) & F.regexp_like(y["pattern"], x["sequence"])))
     return best.select("id", F.explode(own).alias("x")).select("id", "x.licence", "x.rule", "x.n_sentences").distinct().withColumnRenamed("id", id_column)

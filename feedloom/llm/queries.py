@@ -205,9 +205,9 @@ ORACLE_SQL: dict[str, str] = {
         hits AS (SELECT DISTINCT rn, doc_id, way, place, sid FROM parts JOIN known ON known.sentence = trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'))),
         marked AS (SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY rn, way ORDER BY place, sid) > {GAP + 1} THEN '|>' ELSE '' END || sid AS m FROM hits),
         lines AS (SELECT rn, doc_id, '>' || string_agg(m, '>' ORDER BY place, sid) || '>' AS line FROM marked GROUP BY rn, doc_id, way),
-        found AS (SELECT DISTINCT rn, doc_id, licence, rule, pattern, n_sentences FROM lines JOIN rules ON regexp_matches(line, sequence))
+        found AS (SELECT DISTINCT rn, doc_id, licence, rule, pattern, sequence, n_sentences FROM lines JOIN rules ON regexp_matches(line, sequence))
         SELECT DISTINCT doc_id, licence, rule, n_sentences FROM found a
-        WHERE NOT EXISTS (SELECT 1 FROM found b WHERE b.rn = a.rn AND b.n_sentences > a.n_sentences AND contains(b.pattern, a.pattern))
+        WHERE NOT EXISTS (SELECT 1 FROM found b WHERE b.rn = a.rn AND b.n_sentences > a.n_sentences AND regexp_matches(b.pattern, a.sequence))
     """,
     "op3_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from feedloom.llm import decontaminate, toxicity
 from feedloom.llm.common import Workspace
 from feedloom.llm.decontaminate import OPENERS, UNITS, WINDOW, contaminated, template_classes
-from feedloom.llm.licences import CUES, SENTENCES, licence_hits
+from feedloom.llm.licences import CUES, RULES, SENTENCES, _known, lengths, licence_hits, sentence_table
 from feedloom.llm.ngram_lm import discounts, score_texts
 from feedloom.llm.packing import binary_pieces, pack, write_buckets
 from feedloom.llm.preference import conversations, format_pairs, swapped_answers
@@ -293,6 +293,83 @@ def test_more_licences_and_sentences_between(spark):
     assert got == {(1, "GPL-2.0", "header"), (2, "LGPL-2.1", "header"), (3, "AGPL-3.0", "header"), (4, "MPL-2.0", "header"), (5, "BSD-2-Clause", "text"), (5, "MIT", "notice"), (6, "Unlicense", "text"), (7, "Zlib", "text")}
 
 
+def brute_sentences(body, table):
+    """Every known sentence at every word of a text, by the words of the docstring."""
+    spans = [m.span() for m in re.finditer("[a-z0-9]+", body.lower())]
+    lower = body.lower()
+    found = []
+    for i, (a, _) in enumerate(spans):
+        before = body[spans[i - 1][1] if i else 0 : a]
+        for sentence, sid in table:
+            words = sentence.split(" ")
+            j = i + len(words)
+            if [lower[x:y] for x, y in spans[i:j]] != words:
+                continue
+            b = spans[j - 1][1]
+            after = body[b : spans[j][0] if j < len(spans) else len(body)]
+
+            def ends(at, gap, following):
+                stop = re.search(r"[.!?;:]+\s", gap + (following or " "))
+                blank = re.search(r"(\r\n|\r|\n)[^\r\n]*(\r\n|\r|\n)", gap)
+                marker = any(at <= m.end() <= at + len(gap) for m in re.finditer(r"(?:^|[\r\n])[^A-Za-z0-9\r\n]*?(?:[-*\u2022]|\(?[A-Za-z0-9]{1,3}[.)])(?=\s)", body))
+                line = re.search(r"[\r\n]", gap) and following and not following.islower()
+                return bool(stop or blank or marker or line)
+
+            first, last = i == 0, j == len(spans)
+            opens = first or ends(a - len(before), before, body[a])
+            closes = last or ends(b, after, None if last else body[spans[j][0]])
+            alone = (first or re.search(r"[\r\n]", before)) and (last or re.search(r"[\r\n]", after)) and not re.search(r"[\r\n]", body[a:b])
+            if opens and closes or alone:
+                found.append((a, b, sid))
+    kept = []
+    for x in sorted(found, key=lambda x: (x[0], -x[1])):
+        if not kept or x[0] >= kept[-1][1]:
+            kept.append(x)
+        elif x[1] - x[0] > kept[-1][1] - kept[-1][0]:
+            kept[-1] = x
+    return kept
+
+
+def test_sentences_by_look_up_equal_every_sentence_at_every_word():
+    rng = random.Random(12)
+    table = sentence_table()
+    pool = [v for x in SENTENCES.values() for v in x]
+    glue = [" ", ". ", "; ", "\n", "\r\n", "\n\n", ": ", ", ", "\n * ", "\n1. ", " - ", ".", "\n# \n", " the ", "\nof ", "\u00c9. "]
+    n = 0
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randrange(1, 7)):
+            x = rng.choice(pool)
+            if rng.random() < 0.3:
+                w = x.split(" ")
+                k = rng.randrange(len(w))
+                x = " ".join(w[:k]) + rng.choice(["\n", "\n// ", " x "]) + " ".join(w[k:])
+            parts += [x, rng.choice(glue), rng.choice(["", "Some words", "more text here", "9"]), rng.choice(glue)]
+        body = "".join(parts)
+        got = _known(body, dict(table), lengths(table))
+        assert got == brute_sentences(body, table), body
+        n += len(got)
+    assert n > 400 and _known("", dict(table), lengths(table)) == []
+
+
+def test_every_rule_matches_its_own_sentences(spark):
+    """A text of a rule's sentences, one a paragraph, has that rule or a longer one of which it is a part."""
+    rows = [(i, ".\n\n".join(SENTENCES[s][0].rstrip(":") for s in ids) + "\n") for i, (_, _, ids) in enumerate(RULES)]
+    got = {(r["doc_id"], r["licence"], r["rule"]) for r in licence_hits(frame(spark, rows)).collect()}
+    assert {(i, a, b) for i, (a, b, _) in enumerate(RULES)} <= got
+
+
+def test_licences_by_more_rules(spark):
+    bsd4 = BSD2 + "\n3. All advertising materials mentioning features or use of this software must\n   display the following acknowledgement:\n   This product includes software developed by Jo Doe.\n" + BSD3.replace("3.", "4.") + BSD_END
+    zero = ISC.replace("ISC License\n\n", "").replace("fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "fee is hereby granted.")
+    lgpl3 = GPL.replace("GNU General", "GNU Lesser General", 1)
+    apache = "   2. Grant of Copyright License. Subject to the terms and conditions of\n      this License, each Contributor hereby grants to You a perpetual,\n      worldwide, non-exclusive, no-charge, royalty-free, irrevocable\n      copyright license to reproduce, prepare Derivative Works of,\n      publicly display, publicly perform, sublicense, and distribute the\n      Work and such Derivative Works in Source or Object form.\n"
+    gpl2 = "  The licenses for most software are designed to take away your\nfreedom to share and change it.  By contrast, the GNU General Public\nLicense is intended to guarantee your freedom to share and change free\nsoftware--to make sure the software is free for all its users.  This\nGeneral Public License applies to most of it.\n"
+    rows = [(1, bsd4), (2, zero), (3, lgpl3), (4, apache), (5, gpl2), (6, "# SPDX-License-Identifier: BSD-3-Clause\n# code"), (7, "This work is licensed under CC BY-NC-SA 4.0."), (8, "This work is licensed under CC BY-NC-SA 4.0 or so")]
+    got = {(r["doc_id"], r["licence"], r["rule"]) for r in licence_hits(frame(spark, rows)).collect()}
+    assert got == {(1, "BSD-4-Clause", "text"), (2, "0BSD", "text"), (3, "LGPL-3.0", "header"), (4, "Apache-2.0", "text"), (5, "GPL-2.0", "text"), (6, "BSD-3-Clause", "notice"), (7, "CC-BY-NC-SA-4.0", "notice")}
+
+
 def brute_templates(text):
     """For each reading the tokens (literal word, or kind) and slot values of a text, word by word."""
     out = []
