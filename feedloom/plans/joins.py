@@ -46,7 +46,7 @@ def jon_07_unregistered(spark: SparkSession, sf: str) -> DataFrame:
     return ground.unregistered(p, known).select("page_id")
 
 
-_ASSIGNED = "asg AS (SELECT c_custkey AS k, ['d' || (c_custkey % 50), 'd' || (c_custkey * 3 % 700), 'nope', 'd' || (c_custkey % 7)] AS ids FROM customer)"
+_ASSIGNED = "asg AS (SELECT c_custkey AS k, ['d' || (c_custkey // 2), 'd' || (c_custkey * 3), 'nope', 'd' || (c_custkey // 3)] AS ids FROM customer)"
 
 
 @query(q.with_(q.ITEMS, _ASSIGNED) + ", u AS (SELECT k, unnest(ids) AS id, generate_subscripts(ids, 1) AS n FROM asg) SELECT k, string_agg(title, '|' ORDER BY n) AS titles FROM u JOIN items USING (id) GROUP BY k")
@@ -54,7 +54,7 @@ def jon_17_assigned_items(spark: SparkSession, sf: str) -> DataFrame:
     """The items of a list in the list's order; what is missing drops out."""
     n = F.col("c_custkey")
     d = lambda x: F.concat(F.lit("d"), x.cast("string"))
-    lists = table(spark, sf, "customer").select(n.alias("k"), F.array(d(n % 50), d(n * 3 % 700), F.lit("nope"), d(n % 7)).alias("ids"))
+    lists = table(spark, sf, "customer").select(n.alias("k"), F.array(d(F.expr("c_custkey div 2")), d(n * 3), F.lit("nope"), d(F.expr("c_custkey div 3"))).alias("ids"))
     return catalogue.looked_up(lists, "k", "ids", items(spark, sf).select("id", "title")).select("k", F.array_join(F.transform("found", lambda x: x["title"]), "|").alias("titles"))
 
 
@@ -327,23 +327,23 @@ def prj_13_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", F.greatest(a, b).alias("score"), (F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))).alias("volume"))
 
 
-@query(f"WITH h AS (SELECT {_HOST} AS host, url, page_id FROM pages) SELECT draft, count(*) AS citations, count(DISTINCT host) AS hosts, max(page_id) AS newest FROM (SELECT doc_id % 97 AS draft, doc_id % 250 AS p FROM documents) JOIN h ON page_id = p WHERE host IS NOT NULL GROUP BY draft")
+@query(f"WITH h AS (SELECT {_HOST} AS host, url, page_id FROM pages) SELECT draft, count(*) AS citations, count(DISTINCT host) AS hosts, max(page_id) AS newest FROM (SELECT CAST(doc_id // 10 AS BIGINT) AS draft, doc_id // 4 AS p FROM documents) JOIN h ON page_id = p WHERE host IS NOT NULL GROUP BY draft")
 def prj_14_read_records(spark: SparkSession, sf: str) -> DataFrame:
     """A record a draft: its valid citations, their hosts, the newest."""
-    c = table(spark, sf, "documents").select((F.col("doc_id") % 97).alias("draft"), (F.col("doc_id") % 250).alias("page_id")).join(table(spark, sf, "pages").select("page_id", text.host(F.col("url")).alias("host")), "page_id")
+    c = table(spark, sf, "documents").select(F.expr("doc_id div 10").alias("draft"), F.expr("doc_id div 4").alias("page_id")).join(table(spark, sf, "pages").select("page_id", text.host(F.col("url")).alias("host")), "page_id")
     return c.where("host is not null").groupBy("draft").agg(F.count("*").alias("citations"), F.count_distinct("host").alias("hosts"), F.max("page_id").alias("newest"))
 
 
 # catalogues and orders --------------------------------------------------------------------------------------------------
 
-_ENRICHED = q.with_(q.ITEMS, q.REGISTRY, f"own AS (SELECT 's' || (ord % 120) AS id, count(*) AS n, floor(avg(greatest(1, {q.minutes('body')})) * 10 + 0.5) / 10 AS minutes, max(published_s) AS last_s FROM items GROUP BY 1)",
+_ENRICHED = q.with_(q.ITEMS, q.REGISTRY, f"own AS (SELECT 's' || (ord // 3) AS id, count(*) AS n, floor(avg(greatest(1, {q.minutes('body')})) * 10 + 0.5) / 10 AS minutes, max(published_s) AS last_s FROM items GROUP BY 1)",
     "e AS (SELECT r.id, r.n AS num, channel, enabled, strikes, coalesce(o.n, 0) AS n_items, coalesce(minutes, 0) AS minutes, last_s, r.n % 101 / 100.0::DOUBLE AS trust, CASE WHEN r.n % 4 = 0 THEN 'x' WHEN r.n % 4 = 1 THEN 'rss' ELSE 'news' END AS type FROM registry r LEFT JOIN own o USING (id))",
     "s AS (SELECT *, CASE WHEN NOT enabled THEN CASE WHEN type = 'x' THEN 'deferred' ELSE 'disabled' END WHEN strikes > 0 THEN 'failing' WHEN n_items > 0 THEN 'producing' ELSE 'dormant' END AS state FROM e)")
 
 
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
     """Sources with what they have produced and their state."""
-    own = features(spark, sf).withColumn("source", F.concat(F.lit("s"), (F.col("ord") % 120).cast("string")))
+    own = features(spark, sf).withColumn("source", F.concat(F.lit("s"), F.expr("ord div 3").cast("string")))
     n = F.col("n")
     reg = registry(spark, sf).withColumns({"trust": n % 101 / 100, "type": F.when(n % 4 == 0, "x").when(n % 4 == 1, "rss").otherwise("news")})
     return catalogue.enriched(reg, own)

@@ -56,12 +56,13 @@ def _ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _citations(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten citations a draft; four in a row are of one page."""
     pages, docs = table(spark, sf, "pages"), table(spark, sf, "documents")
-    return docs.select((F.col("doc_id") % 97).alias("draft"), (F.col("doc_id") % 250).alias("page_id")).join(pages.select("page_id", "url"), "page_id").select("draft", "url")
+    return docs.select(F.expr("doc_id div 10").alias("draft"), F.expr("doc_id div 4").alias("page_id")).join(pages.select("page_id", "url"), "page_id").select("draft", "url")
 
 
 _CITED = f"""ledger AS (SELECT url, {_HOST} AS domain, CASE WHEN page_id % 3 = 1 THEN 'high' WHEN page_id % 2 = 0 THEN 'med' ELSE 'low' END AS tier, CASE WHEN page_id % 5 = 0 THEN 'curated' ELSE 'researched' END AS origin FROM pages WHERE page_id % 3 <> 0),
-cited AS (SELECT doc_id % 97 AS draft, url FROM documents JOIN pages ON page_id = doc_id % 250)"""
+cited AS (SELECT CAST(doc_id // 10 AS BIGINT) AS draft, url FROM documents JOIN pages ON page_id = doc_id // 4)"""
 
 
 @query(q.with_(_CITED) + "SELECT draft, url FROM cited WHERE url NOT IN (SELECT url FROM ledger WHERE url IS NOT NULL)")
