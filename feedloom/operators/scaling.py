@@ -51,6 +51,11 @@ def word_fits(counts: np.ndarray, alpha: np.ndarray, omega: np.ndarray) -> tuple
     return psi, beta, mu
 
 
+def alike_words(words: DataFrame) -> DataFrame:
+    """(ks, ns, words): how many words have these uses, as the sources' numbers and the counts; all of them have one fit."""
+    return words.select(F.col("uses.k").alias("ks"), F.col("uses.n").alias("ns")).groupBy("ks", "ns").agg(F.count("*").alias("words"))
+
+
 def wordfish(counts: DataFrame, low: str, high: str, rounds: int = 200, settled: float = 1e-4) -> tuple[DataFrame, DataFrame]:
     """Sources and words on one line, from counts (source, word, n).
 
@@ -58,7 +63,8 @@ def wordfish(counts: DataFrame, low: str, high: str, rounds: int = 200, settled:
     alpha, omega, se), the second (word, n, psi, beta). omega has mean 0 and variance 1 over the sources, and that of
     `low` is below that of `high`. A round fits every word to the sources as they stand, sums slopes and curvatures by
     source in Spark, and moves each source by a Newton step of at most 1. It stops when no position has moved by
-    `settled`, at the latest after `rounds` (then an error says so). se is the curvature's standard error.
+    `settled`, at the latest after `rounds` (then an error says so). se is the curvature's standard error. Words that all
+    sources use equally often have one fit, so a round fits each such row of counts once and weighs it by its words.
 
     Rows with a null source or word, or with n null or below 1, are left out; repeated rows are added up. No rows give two
     empty tables; a single source, or `low` or `high` without words, is an error, as are more than `SOURCES` sources.
@@ -75,7 +81,9 @@ def wordfish(counts: DataFrame, low: str, high: str, rounds: int = 200, settled:
     if low not in names or high not in names or low == high:
         raise ValueError("the two sources that give the direction need words")
     place = F.broadcast(spark.createDataFrame([(s, k) for k, s in enumerate(names)], "source string, k int"))  # at most SOURCES rows
-    words = space.write(pairs.join(place, "source").groupBy("word").agg(F.collect_list(F.struct("k", "n")).alias("uses"), F.sum("n").alias("n")), "words")
+    words = space.write(pairs.join(place, "source").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("uses"), F.sum("n").alias("n")), "words")
+    # few rows with much to do for each: not left to one task
+    alike = space.write(alike_words(words).repartition(spark.sparkContext.defaultParallelism), "alike")
 
     many, rows_at_once = len(names), max(1, BLOCK // len(names))
 
@@ -84,18 +92,16 @@ def wordfish(counts: DataFrame, low: str, high: str, rounds: int = 200, settled:
             for i in range(0, len(batch), rows_at_once):
                 part = batch.iloc[i : i + rows_at_once]
                 table = np.zeros((len(part), many))
-                for row, uses in enumerate(part["uses"]):
-                    for u in uses:
-                        table[row, u["k"]] = u["n"]
+                table[np.repeat(np.arange(len(part)), part["ks"].str.len()), np.concatenate(part["ks"].to_numpy())] = np.concatenate(part["ns"].to_numpy())
                 yield part, table
 
     def sums(alpha: np.ndarray, omega: np.ndarray):
         def of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((5, many))
-            for _, table in blocks(batches):
+            for part, table in blocks(batches):
                 _, beta, mu = word_fits(table, alpha, omega)
-                rest = table - mu
-                total += [rest.sum(0), beta @ rest, mu.sum(0), beta @ mu, (beta * beta) @ mu]
+                rest, m = table - mu, part["words"].to_numpy(dtype=float)
+                total += [m @ rest, (m * beta) @ rest, m @ mu, (m * beta) @ mu, (m * beta * beta) @ mu]
             yield pd.DataFrame({"k": np.arange(many), **{f"x{j}": total[j] for j in range(5)}})
 
         return of_task
@@ -109,7 +115,7 @@ def wordfish(counts: DataFrame, low: str, high: str, rounds: int = 200, settled:
         return of_task
 
     def curvatures(alpha: np.ndarray, omega: np.ndarray) -> np.ndarray:
-        parts = words.select("uses").mapInPandas(sums(alpha, omega), "k int, x0 double, x1 double, x2 double, x3 double, x4 double")
+        parts = alike.mapInPandas(sums(alpha, omega), "k int, x0 double, x1 double, x2 double, x3 double, x4 double")
         rows = parts.groupBy("k").agg(*(F.sum(f"x{j}").alias(f"x{j}") for j in range(5))).collect()  # one a source
         return np.array([r[1:] for r in sorted(rows)]).T
 
@@ -159,4 +165,4 @@ def wordfish(counts: DataFrame, low: str, high: str, rounds: int = 200, settled:
     se = np.sqrt(h00 / np.maximum(h00 * (h11 + 1) - h01 * h01, 1e-12))
     rows = [(s, int(c), float(x), float(o), float(e)) for s, c, x, o, e in zip(names, count, alpha, omega, se)]
     sources = spark.createDataFrame(rows, "source string, n bigint, alpha double, omega double, se double")
-    return sources, words.mapInPandas(fitted(alpha, omega), "word string, n bigint, psi double, beta double")
+    return sources, words.select("word", "n", F.col("uses.k").alias("ks"), F.col("uses.n").alias("ns")).mapInPandas(fitted(alpha, omega), "word string, n bigint, psi double, beta double")

@@ -126,6 +126,16 @@ def test_positions_are_recovered(spark):
         assert abs(rest.sum()) < 1e-3 and abs(rest @ x - w["beta"] / 9) < 1e-3
 
 
+def test_words_used_alike_are_fitted_once_and_count_each(spark):
+    """Two rows of counts, however many words have them."""
+    counts = [("a", f"w{j}", 1 + j % 2) for j in range(50)] + [("b", f"w{j}", 3) for j in range(50) if j % 2]
+    words = spark.createDataFrame([(f"w{j}", [(k, n) for k, (s, w, n) in enumerate((("a", f"w{j}", 1 + j % 2), ("b", f"w{j}", 3 * (j % 2)))) if n]) for j in range(50)], "word string, uses array<struct<k: int, n: bigint>>")
+    assert sorted(map(tuple, scaling.alike_words(words).collect())) == [([0], [1], 25), ([0, 1], [2, 3], 25)]
+    sources, fits = scaling.wordfish(spark.createDataFrame(counts, "source string, word string, n bigint"), "a", "b")
+    assert {r["source"]: r["n"] for r in sources.collect()} == {"a": 75, "b": 75} and fits.count() == 50
+    assert fits.select(F.round("psi", 9), F.round("beta", 9)).distinct().count() == 2
+
+
 def test_positions_of_little(spark):
     none = spark.createDataFrame([], "source string, word string, n bigint")
     assert [t.count() for t in scaling.wordfish(none, "a", "b")] == [0, 0]
