@@ -5,10 +5,11 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from feedloom import catalog
 from feedloom import vocab as v
-from feedloom.operators import feed, graph, health, world
+from feedloom.operators import catalogue, feed, graph, health, world
 from feedloom.sources import files
 from feedloom.streaming import streams
 
@@ -211,6 +212,23 @@ def test_title_links_are_all_near_titles(spark):
     assert {(r["x"], r["y"]) for r in got if r["kind"] == "member"} == {(first[frozenset(t)], i) for i, t in enumerate(titles) if t and first[frozenset(t)] != i}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_story_components_are_those_of_all_links(spark, seed):
+    """Like titles are only compared between components, which leaves all stories as they are."""
+    rng = random.Random(seed)
+    pool = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    rows = [(i, f"i{i}", " ".join(rng.sample(pool, rng.randint(1, 6))) if i % 9 else "", [f"e{rng.randrange(2 + 20 * (i % 2))}" for _ in range(2 - i % 3 // 2)] if i % 4 else []) for i in range(160)]
+    rows += [(200, "x", "one two three four five", ["e0", "e1"]), (201, "y", "one two three four", []), (202, "z", "one two three", []), (203, "w", "quite alone", [])]
+    items = spark.createDataFrame(rows, "ord bigint, id string, title string, entities array<string>")
+    links = feed.story_links(items).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    want = sorted(map(tuple, graph.components(spark, graph.Workspace(spark), links).collect()))
+    assert sorted(map(tuple, feed.story_components(items).collect())) == want and {n for n, _ in want} >= {201, 202}
+    # titles of one component have no pairs, not even of their words
+    one = spark.createDataFrame([(i, 0) for i, *_ in rows], "node bigint, component bigint")
+    prefix = feed.title_prefixes(items, v.TITLE_JACCARD)[1]
+    assert feed.title_bridges(prefix, one, v.TITLE_JACCARD).count() == 0 < feed.title_bridges(prefix, one.where("node < 20"), v.TITLE_JACCARD).count()
+
+
 def test_representatives_keep_their_own_fields(spark):
     columns = "group bigint, ord bigint, id string, n_plain int, trust double, score int, comments int, topics array<string>, entities array<string>, extra string"
     rows = [(1, 1, "a", 100, 0.9, 5, None, ["x"], [], "of a"), (1, 2, "b", 2000, None, 1, 7, ["y", "y"], ["e"], "of b"), (1, 3, "c", 2000, 0.4, 9, 0, None, ["f"], None), (4, 4, "d", 0, None, None, None, [], [], "of d")]
