@@ -34,9 +34,11 @@ def source_facets(sources: DataFrame) -> DataFrame:
 
 def cards(items: DataFrame) -> DataFrame:
     """Reads as cards: id, title, topics, source, kind, published_s, read_min (230 words a minute, one at least), date_label, excerpt."""
-    b = F.col("body")
     day = F.date_format(F.timestamp_seconds("published_s"), "yyyy-MM-dd")
-    return items.select("id", "title", "topics", "source", "kind", "published_s", F.greatest(F.lit(1), text.read_minutes(b, 230)).alias("read_min"), day.alias("date_label"), prose.excerpt(b).alias("excerpt"))
+    # a column of its own, as the words' number needs it three times
+    read = items.withColumn("plain", text.plain(F.col("body")))
+    minutes = F.greatest(F.lit(1), text.half_up(text.plain_words(F.col("plain")) / 230))
+    return read.select("id", "title", "topics", "source", "kind", "published_s", minutes.alias("read_min"), day.alias("date_label"), prose.excerpt(F.col("body")).alias("excerpt"))
 
 
 def reads_index(read: DataFrame) -> DataFrame:
@@ -56,8 +58,11 @@ def by_channel(sources: DataFrame) -> DataFrame:
 
 
 def places(rows: DataFrame, orders: dict[str, list[Column]]) -> DataFrame:
-    """id and its place under each of the orders (none of which may have ties), each sorted by ranges."""
-    out = None
+    """id and its place under each of the orders (none of which may have ties), each sorted by ranges.
+
+    Each sort reads its rows twice, so they are written first: what they are computed from (texts, say) is read once.
+    """
+    rows, out = Workspace(rows.sparkSession).write(rows, "rows"), None
     for name, order in orders.items():
         one = ranked(rows, order, name).select("id", name)
         out = one if out is None else out.join(one, "id")

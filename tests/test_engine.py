@@ -229,6 +229,21 @@ def test_story_components_are_those_of_all_links(spark, seed):
     assert feed.title_bridges(prefix, one, v.TITLE_JACCARD).count() == 0 < feed.title_bridges(prefix, one.where("node < 20"), v.TITLE_JACCARD).count()
 
 
+def test_orders_read_their_rows_once(spark):
+    """Three sorts of a computed column: each row is computed once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def counted(x):
+        seen.add(1)
+        return -x
+
+    rows = spark.range(50).select(F.col("id").cast("string").alias("id"), counted("id").alias("k"))
+    got = catalogue.places(rows, {name: [F.col("k"), F.col("id")] for name in ("p", "q", "r")}).collect()
+    assert sorted(r["p"] for r in got) == list(range(50)) and all(r["p"] == r["q"] == r["r"] == 49 - int(r["id"]) for r in got)
+    assert seen.value == 50
+
+
 def test_representatives_keep_their_own_fields(spark):
     columns = "group bigint, ord bigint, id string, n_plain int, trust double, score int, comments int, topics array<string>, entities array<string>, extra string"
     rows = [(1, 1, "a", 100, 0.9, 5, None, ["x"], [], "of a"), (1, 2, "b", 2000, None, 1, 7, ["y", "y"], ["e"], "of b"), (1, 3, "c", 2000, 0.4, 9, 0, None, ["f"], None), (4, 4, "d", 0, None, None, None, [], [], "of d")]
