@@ -15,7 +15,10 @@ from feedloom.operators.graph import Workspace
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HEALTH = "id string, turn bigint, kind string, status string, enabled boolean, strikes bigint, disabled_s bigint, last_ok_s bigint, last_error string, rediscover boolean"
-_STATE = "turn bigint, status string, enabled boolean, strikes bigint, disabled_s bigint, last_ok_s bigint, last_error string"
+_STATE = "id string, turn bigint, status string, enabled boolean, strikes bigint, disabled_s bigint, last_ok_s bigint, last_error string, waiting boolean"
+_NAMES = [c.split()[0] for c in _STATE.split(", ")]
+#: Keys that sources are dealt to. Fixed, as the state of a stream that goes on lies under them.
+SHARDS = 1 << 16
 
 
 def transition(state: dict[str, Any], outcome: dict[str, Any], threshold: int = v.STRIKES) -> tuple[dict[str, Any], bool]:
@@ -36,52 +39,69 @@ def transition(state: dict[str, Any], outcome: dict[str, Any], threshold: int =
 
 
 class SourceHealth(StatefulProcessor):
-    """The health state machine of one source a key. A disabled source sets a timer; when event time passes it, it is due for a re-probe."""
+    """The health state machines of a shard's sources. A disabled source sets a timer; when event time passes it, it is due for a re-probe.
+
+    A key costs several calls between Spark and Python, so a key holds many sources: their states are read and written
+    at once. A timer stands for all sources of the shard that were disabled in that second and still wait for it.
+    """
 
     def __init__(self, window_s: int = v.REPROBE_DAYS * v.DAY):
         self.window_s = window_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("health", _STATE)
+        self.state = handle.getListState("health", _STATE)
 
-    def _held(self) -> dict[str, Any]:
-        names = [c.split()[0] for c in _STATE.split(", ")]
-        if not self.state.exists():
-            return {"turn": 0, "status": "active", "enabled": True, "strikes": 0, "disabled_s": None, "last_ok_s": None, "last_error": None}
-        return dict(zip(names, self.state.get(), strict=True))
+    def _held(self) -> dict[Any, dict[str, Any]]:
+        return {s[0]: dict(zip(_NAMES, s, strict=True)) for s in self.state.get()}
 
-    def _keep(self, s: dict[str, Any]) -> None:
-        self.state.update((s["turn"], s["status"], s["enabled"], s["strikes"], s["disabled_s"], s["last_ok_s"], s["last_error"]))
+    def _keep(self, sources: dict[Any, dict[str, Any]]) -> None:
+        self.state.put([tuple(s[c] for c in _NAMES) for s in sources.values()])
 
-    def _set_timer(self, before: int | None, after: int | None) -> None:
-        if before is not None and before != after:
-            self.handle.deleteTimer((before + self.window_s) * 1000)
-        if after is not None and before != after:
-            self.handle.registerTimer((after + self.window_s) * 1000)
+    def _set_timers(self, before: set[int], sources: dict[Any, dict[str, Any]]) -> None:
+        after = {s["disabled_s"] for s in sources.values() if s["waiting"]}
+        for at in before - after:
+            self.handle.deleteTimer((at + self.window_s) * 1000)
+        for at in after - before:
+            self.handle.registerTimer((at + self.window_s) * 1000)
 
-    def _row(self, key: Any, s: dict[str, Any], kind: str, rediscover: bool = False) -> Row:
-        return Row(id=key[0], turn=s["turn"], kind=kind, status=s["status"], enabled=s["enabled"], strikes=s["strikes"], disabled_s=s["disabled_s"], last_ok_s=s["last_ok_s"], last_error=s["last_error"], rediscover=rediscover)
+    def _row(self, s: dict[str, Any], kind: str, rediscover: bool = False) -> Row:
+        return Row(id=s["id"], turn=s["turn"], kind=kind, status=s["status"], enabled=s["enabled"], strikes=s["strikes"], disabled_s=s["disabled_s"], last_ok_s=s["last_ok_s"], last_error=s["last_error"], rediscover=rediscover)
 
     def handleInitialState(self, key: Any, initialState: Any, timerValues: Any) -> None:  # noqa: N802, N803
-        rows = [initialState] if isinstance(initialState, Row) else list(initialState)
-        s = {"turn": 0, "last_error": None} | {k: rows[0][k] for k in ("status", "enabled", "strikes", "disabled_s", "last_ok_s")}
-        self._keep(s)
-        self._set_timer(None, s["disabled_s"])
+        row = initialState if isinstance(initialState, Row) else next(iter(initialState))  # one a shard
+        sources = {r["id"]: {"turn": 0, "last_error": None, "waiting": r["disabled_s"] is not None} | {k: r[k] for k in ("id", "status", "enabled", "strikes", "disabled_s", "last_ok_s")} for r in row["sources"]}
+        self._keep(sources)
+        self._set_timers(set(), sources)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        s = self._held()
-        before, gone = s["disabled_s"], False
-        # a key's outcomes within a batch, in the order of their times; the latest transition speaks
-        for r in sorted((r.asDict() for r in rows), key=lambda r: (r["at_s"], r["ok"])):
-            s, gone = transition(s, r)
-        self._keep(s)
-        self._set_timer(before, s["disabled_s"])
-        yield self._row(key, s, "outcome", gone)
+        sources = self._held()
+        before = {s["disabled_s"] for s in sources.values() if s["waiting"]}
+        new: dict[Any, list[dict[str, Any]]] = {}
+        for r in rows:
+            new.setdefault(r["id"], []).append(r.asDict())
+        gone = {}
+        for i, own in new.items():
+            s = sources.get(i) or {"id": i, "turn": 0, "status": "active", "enabled": True, "strikes": 0, "disabled_s": None, "last_ok_s": None, "last_error": None, "waiting": False}
+            off = s["disabled_s"]
+            # a key's outcomes within a batch, in the order of their times; the latest transition speaks
+            for r in sorted(own, key=lambda r: (r["at_s"], r["ok"])):
+                s, gone[i] = transition(s, r)
+            sources[i] = s if s["disabled_s"] == off else s | {"waiting": s["disabled_s"] is not None}
+        self._keep(sources)
+        self._set_timers(before, sources)
+        for i in new:
+            yield self._row(sources[i], "outcome", gone[i])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
-        if self.state.exists():
-            yield self._row(key, self._held(), "reprobe")
+        at = expiredTimerInfo.getExpiryTimeInMs() // 1000 - self.window_s
+        sources = self._held()
+        due = [i for i, s in sources.items() if s["waiting"] and s["disabled_s"] == at]
+        for i in due:
+            sources[i] = sources[i] | {"waiting": False}
+        self._keep(sources)
+        for i in due:
+            yield self._row(sources[i], "reprobe")
 
     def close(self) -> None:
         pass
@@ -96,9 +116,11 @@ def source_health(outcomes: DataFrame, registry: DataFrame, delay: str = "1 day"
     """
     spark = outcomes.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    rows = outcomes.select("id", "at_ts", F.unix_timestamp("at_ts").alias("at_s"), "ok", F.coalesce("permanent", F.lit(False)).alias("permanent"), F.coalesce("item_count", F.lit(0)).alias("item_count")).withWatermark("at_ts", delay)
-    first = registry.select("id", "status", "enabled", F.col("strikes").cast("bigint").alias("strikes"), F.col("disabled_s").cast("bigint").alias("disabled_s"), F.col("last_ok_s").cast("bigint").alias("last_ok_s")).groupBy("id")
-    return rows.groupBy("id").transformWithState(SourceHealth(), HEALTH, "Update", "EventTime", initialState=first)
+    shard = F.pmod(F.xxhash64("id"), F.lit(SHARDS)).alias("shard")
+    rows = outcomes.select(shard, "id", "at_ts", F.unix_timestamp("at_ts").alias("at_s"), "ok", F.coalesce("permanent", F.lit(False)).alias("permanent"), F.coalesce("item_count", F.lit(0)).alias("item_count")).withWatermark("at_ts", delay)
+    held = F.struct("id", "status", "enabled", F.col("strikes").cast("bigint").alias("strikes"), F.col("disabled_s").cast("bigint").alias("disabled_s"), F.col("last_ok_s").cast("bigint").alias("last_ok_s"))
+    first = registry.groupBy(shard).agg(F.collect_list(held).alias("sources")).groupBy("shard")
+    return rows.groupBy("shard").transformWithState(SourceHealth(), HEALTH, "Update", "EventTime", initialState=first)
 
 
 class DecayedWeight(StatefulProcessor):

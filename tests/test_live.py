@@ -202,6 +202,17 @@ def test_a_silent_source_is_due_and_late_outcomes_count_nothing(spark):
     assert max((r["turn"], r["status"]) for r in rows if r["id"] == "s0") == (4, "failing")
 
 
+def test_sources_share_keys_and_keep_their_own_timers(spark, monkeypatch):
+    """Three sources of one key were disabled in one second: one comes back, two are due, once each; a fourth is off later."""
+    monkeypatch.setattr(keyed, "SHARDS", 1)
+    registry = spark.createDataFrame([(f"s{k}", "disabled", False, 3, DAY, None) for k in range(3)] + [("s3", "active", True, 2, None, None)], "id string, status string, enabled boolean, strikes bigint, disabled_s bigint, last_ok_s bigint")
+    parts = [[("s0", 2 * DAY, True, False, 1)], [("s3", 3 * DAY, False, True, 0)], [("x", 9 * DAY + 60, True, False, 1)], [("x", 30 * DAY, True, False, 1)]]
+    out, late = keyed.fed([as_frame(spark, p) for p in parts], Workspace(spark), "health", lambda s: keyed.source_health(s, registry))
+    rows = [r.asDict() for r in out.collect()]
+    assert late == 0 and sorted((r["id"], r["disabled_s"]) for r in rows if r["kind"] == "reprobe") == [("s1", DAY), ("s2", DAY), ("s3", 3 * DAY)]
+    assert sorted((r["id"], r["turn"], r["status"], r["rediscover"]) for r in rows if r["kind"] == "outcome") == [("s0", 1, "active", False), ("s3", 1, "disabled", True), ("x", 1, "active", False), ("x", 2, "active", False)]
+
+
 def test_decayed_weights_in_any_order(spark):
     rng = random.Random(8)
     rows = [(rng.choice(["x", "y", None]), rng.randrange(20 * DAY), rng.random()) for _ in range(200)]
