@@ -244,6 +244,25 @@ def test_orders_read_their_rows_once(spark):
     assert seen.value == 50
 
 
+@pytest.mark.parametrize("name", ["win_05_one_per_source", "win_06_balanced", "win_08_featured", "pip_07_rails"])
+def test_scores_are_computed_once(spark, monkeypatch, name):
+    """What selects from the scored items reads them several times, but each item is scored once."""
+    from feedloom.plans import feeds, reading
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return float(x)
+
+    rows = spark.range(40).select(F.concat(F.lit("i"), "id").alias("id"), F.concat(F.lit("s"), F.col("id") % 5).alias("source"), F.array(F.concat(F.lit("c"), F.col("id") % 3)).alias("topics"), (F.col("id") % 9).alias("minutes"), counted("id").alias("total"))
+    monkeypatch.setattr(feeds, "scored", lambda *_: rows)
+    monkeypatch.setattr(reading, "scored", lambda *_: rows)
+    catalog.QUERIES[name](spark, SF).collect()
+    assert seen.value == 40
+
+
 def test_representatives_keep_their_own_fields(spark):
     columns = "group bigint, ord bigint, id string, n_plain int, trust double, score int, comments int, topics array<string>, entities array<string>, extra string"
     rows = [(1, 1, "a", 100, 0.9, 5, None, ["x"], [], "of a"), (1, 2, "b", 2000, None, 1, 7, ["y", "y"], ["e"], "of b"), (1, 3, "c", 2000, 0.4, 9, 0, None, ["f"], None), (4, 4, "d", 0, None, None, None, [], [], "of d")]
